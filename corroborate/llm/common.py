@@ -1,0 +1,57 @@
+"""Helpers that the operators of this subpackage share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_fallback: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset, as in tests."""
+    global _fallback
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _fallback is None:
+        _fallback = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return _fallback
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` under the shared folder and read it back: the rows survive a lost executor and the lineage ends here."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_of(column: str = "text") -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def hot_aware_join(facts: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join of ``facts`` to one row a key without letting a frequent key meet in one task.
+
+    ``groups`` has one row a key and, in ``count``, how many fact rows hold it.
+    Keys with over ``total / share`` rows number fewer than ``share``, so they are broadcast;
+    the others are joined by a shuffle in which no key has over ``total / share`` rows.
+    """
+    limit = max(1, total // share)
+    added = [c for c in groups.columns if c not in keys and c != count]
+    hot = F.broadcast(groups.where(F.col(count) > limit).select(*keys, *added, F.lit(True).alias("__hot")))
+    marked = facts.join(hot, keys, "left")
+    easy = marked.where(F.col("__hot").isNull()).drop("__hot", *added)
+    easy = easy.join(groups.where(F.col(count) <= limit).select(*keys, *added), keys, "left")
+    return marked.where(F.col("__hot")).drop("__hot").unionByName(easy)

@@ -1,0 +1,122 @@
+"""Words of whole texts as 64-bit hashes, computed over Arrow buffers with numpy."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+
+#: Texts are worked on in groups of about so many bytes; a longer text is a group of its own.
+GROUP_BYTES = 2 << 20
+_SEGMENT = 1 << 19
+_LONG_WORD = 1 << 16
+_BASE = 0x9E3779B97F4A7C55
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    n = _SEGMENT + _LONG_WORD + 2
+    up = np.full(n, np.uint64(_BASE))
+    down = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, bounds) of groups of rows; nulls count as empty."""
+    texts = batch.column(column).cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        end = int(np.searchsorted(offsets, offsets[first] + GROUP_BYTES, "right")) - 1
+        end = min(max(end, first + 1), len(texts))
+        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        first = end
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, in order, and the bounds of each text in that array. Words are runs without ASCII white space."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    letter = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    before = np.empty(len(data), bool)
+    before[0], before[1:] = False, letter[:-1]
+    starts = np.flatnonzero(letter & (cut[:-1] | ~before))
+    after = np.empty(len(data), bool)
+    after[-1], after[:-1] = False, letter[1:]
+    ends = np.flatnonzero(letter & (cut[1:] | ~after)) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    up, down = _powers()
+    k = 0
+    while k < len(starts):
+        begin = starts[k]
+        if ends[k] - begin > _LONG_WORD:
+            word = data[begin : ends[k]]
+            word = _ASCII_LOWER[word] if lower else word
+            hashes[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+            k += 1
+            continue
+        stop = int(np.searchsorted(ends, begin + _SEGMENT, "right"))
+        stop = max(stop, k + 1)
+        sizes = ends[k:stop] - starts[k:stop]
+        if (sizes > _LONG_WORD).any():
+            stop = k + int(np.argmax(sizes > _LONG_WORD))
+            sizes = sizes[: stop - k]
+        piece = data[begin : ends[stop - 1]]
+        value = (_ASCII_LOWER[piece] if lower else piece).astype(np.uint64)
+        value += np.uint64(1)
+        value *= up[: len(piece)]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        raw = (total[ends[k:stop] - begin] - total[starts[k:stop] - begin]) * down[starts[k:stop] - begin]
+        hashes[k:stop] = mix(raw + sizes.astype(np.uint64) * _STEP)
+        k = stop
+    return hashes, np.searchsorted(starts, bounds)
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, over the ends of texts too."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = words[:n].copy()
+    for k in range(1, size):
+        total *= _STEP
+        total += words[k : k + n]
+    return mix(total + np.uint64(size))
+
+
+def inside(bounds: np.ndarray, size: int) -> np.ndarray:
+    """Of the positions of ``window_hashes``, those whose window lies in one text."""
+    n = max(int(bounds[-1]) - size + 1, 0)
+    ok = np.ones(n, bool)
+    for end in range(1, size):
+        at = bounds[1:] - end
+        ok[at[(at >= 0) & (at < n)]] = False
+    return ok

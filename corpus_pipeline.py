@@ -1,8 +1,65 @@
-"""The corpus pipeline: classify, remove exact copies, remove near copies, mix, pack."""
+"""The corpus pipeline: classify, remove exact copies, remove near copies, mix sources, pack into sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run``
+writes each stage's result to the shared folder and reads it again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corroborate.llm import exact, mixing, ngram_join, packing, quality
+from corroborate.llm.common import write_once
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify_quality(docs.select(*COLUMNS), labels).where("keep").select(*COLUMNS)
+
+
+def _chosen(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is kept; rows of one id that are equal count as one document."""
+    return docs.select(*COLUMNS).join(keep.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id stays."""
+    return _chosen(docs, exact.exact_dedup(docs).where("kept")).dropDuplicates(["doc_id"])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest id stays."""
+    return _chosen(docs, ngram_join.ngram_join(docs).where("component_id = doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought to their target weights; a repeated document is several equal rows."""
+    return mixing.mix_to_weights(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: SQL has neither the fitted classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = write_once(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

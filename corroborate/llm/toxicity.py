@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import logistic
 from .common import text_of, write_once
+from .ngram_join import shingle_sets
+from .words import text_groups
 
 #: Labelled documents of each class that the lexicon and the curve are fitted on, least hash of the id first.
 FIT_ROWS = 8_000
 #: A lexicon word stands in at least this share of the toxic fitting documents ...
-LEAST_SHARE = 0.004
+LEAST_SHARE = 0.01
 #: ... and this many times as often, by document share, in toxic as in clean ones.
-LEAST_RATIO = 20.0
+LEAST_RATIO = 50.0
+#: Stems of these lengths are tried beside whole words; a stem is written with a star and matches at the start of a word.
+STEMS = (4, 5, 6)
 #: Words counted as the least length of a text, so that a few words cannot make a density.
 LEAST_WORDS = 10
 THRESHOLD = 0.7
@@ -65,9 +69,10 @@ class Lexicon:
         self.weights, self.exceptions = weights, exceptions
         self.automaton = ahocorasick.Automaton()
         for word, weight in weights.items():
-            self.automaton.add_word(word, (len(word), weight))
+            stem = word.rstrip("*")
+            self.automaton.add_word(stem, (len(stem), weight, word != stem))
         for phrase in exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
+            self.automaton.add_word(phrase, (len(phrase), None, False))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -77,9 +82,9 @@ class Lexicon:
             return 0.0
         folded = fold(text)
         hits, spared = [], []
-        for end, (size, weight) in self.automaton.iter(folded):
+        for end, (size, weight, open_end) in self.automaton.iter(folded):
             start, end = end - size + 1, end + 1
-            if (start and folded[start - 1].isalpha()) or (end < len(folded) and folded[end].isalpha()):
+            if (start and folded[start - 1].isalpha()) or (not open_end and end < len(folded) and folded[end].isalpha()):
                 continue
             (spared if weight is None else hits).append((start, end, weight))
         if not hits:
@@ -94,19 +99,34 @@ def held_out(id_col: str) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents of each class; their ids are broadcast, so no text is shuffled."""
+    """(text, toxic) of at most ``rows`` labelled documents of each class; their ids are broadcast, so no other text is shuffled.
+
+    Of documents with the same least shingle hash, mostly near copies, one is taken, so that words of one much copied text
+    do not look like words of many.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     each = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     picked = write_once(each[0].unionByName(each[1]).dropDuplicates(["doc_id"]), "toxicity-labels")
-    return write_once(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxicity-sample")
+    signed = map_arrow(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic"), _sign, "text string, toxic int, least long")
+    return write_once(signed.dropDuplicates(["least", "toxic"]).drop("least"), "toxicity-sample")
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least: list[int] = []
+        for _, _, data, bounds in text_groups(batch, 0):
+            shingles, edges = shingle_sets(data, bounds, 5)
+            least += [int(shingles[a]) >> 1 if b > a else 0 for a, b in zip(edges[:-1], edges[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "toxic", "least"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of folded words by class; a word stands for itself and, with its neighbours, for two phrases."""
+    """Document counts of folded words and of their stems, by class."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[toxic].update(set(_WORD.findall(fold(text))))
+            words = set(_WORD.findall(fold(text)))
+            counts[toxic].update(words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n})
     words = sorted(counts[0].keys() | counts[1].keys())
     for at in range(0, len(words), 20_000):
         some = words[at : at + 20_000]
@@ -119,7 +139,8 @@ def _phrases(words: frozenset[str]):
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 line = fold(text).split()
-                at = [k for k, w in enumerate(line) if w.strip(".,;:!?\"'()") in words]
+                bare = [w.strip(".,;:!?\"'()") for w in line]
+                at = [k for k, w in enumerate(bare) if w in words or any(w[:n] + "*" in words for n in STEMS)]
                 counts[toxic].update({" ".join(line[a:b]) for k in at for a, b in ((k - 1, k + 1), (k, k + 2)) if a >= 0 and b <= len(line)})
         found = [p for p, n in counts[0].items()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([counts[1][p] for p in found], pa.int64()), pa.array([counts[0][p] for p in found], pa.int64())], names=["phrase", "toxic", "clean"])
@@ -140,7 +161,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
     ratio = ((F.col("toxic") + 0.5) / F.lit(bad + 1.0)) / ((F.col("clean") + 0.5) / F.lit(good + 1.0))
     chosen = counted.where((F.length("word") >= 3) & (F.col("toxic") >= F.lit(float(max(3, LEAST_SHARE * bad, min(chance, 1e9))))) & (ratio >= LEAST_RATIO))
     most = int(1 / LEAST_SHARE) * 20
-    weights = {r["word"]: float(r["w"]) for r in chosen.select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(most).collect()}
+    got = {r["word"]: float(r["w"]) for r in chosen.select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(most).collect()}
+    weights: dict[str, float] = {}
+    # strongest first, of about equal ones the shortest; what another entry matches, or what matches more than one, is left out
+    for word in sorted(got, key=lambda w: (-round(got[w]), len(w), w)):
+        bare = word.rstrip("*")
+        if not any(bare[:n] + "*" in weights for n in STEMS if n <= len(bare)) and not (word != bare and any(w.startswith(bare) for w in weights)):
+            weights[word] = got[word]
     found: list[str] = []
     if weights:
         spared = map_arrow(sample, _phrases(frozenset(weights)), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("evidence_plans", "metric_plans", "snapshot_plans")
+FAMILIES = ("evidence_plans", "metric_plans", "snapshot_plans", "split_plans", "variance_plans", "vector_plans")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

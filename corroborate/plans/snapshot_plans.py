@@ -217,12 +217,17 @@ def dif10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes_of(spark, sf_dir).select("item", "grp", audit.alias("audit"))
 
 
-def digest_sql(rows: str, source: str) -> str:
-    return f"""hs as (select sha256({rows}) as h from {source}), hb as (select substr(h, 1, 2) as bucket, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from hs group by 1)
+def digest_sql(rows: str, source: str, nested: bool = False) -> str:
+    """The two-level digest of ``rows`` of ``source``: as the end of a query's list of tables, or as one table."""
+    lead = "with " if nested else ""
+    return f"""{lead}hs as (select sha256({rows}) as h from {source}), hb as (select substr(h, 1, 2) as bucket, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from hs group by 1)
   select sha256(string_agg(d, ',' order by bucket)) as digest, sum(n)::bigint as n from hb"""
 
 
-@query("DIF11", f"with {READ}, tr as (select * from re where reading = 'training'), " + digest_sql("item || '|' || grp || '|' || status || '|' || label", "tr").replace("as digest, sum(n)::bigint as n from hb", "as digest, sum(n)::bigint as n, true as unchanged_by_b from hb"))
+TRAINING_ROWS = "item || '|' || grp || '|' || status || '|' || label"
+
+
+@query("DIF11", f"with {READ}, tr as (select * from re where reading = 'training'), hd as ({digest_sql(TRAINING_ROWS, 'tr', nested=True)}) select digest, n, true as unchanged_by_b from hd")
 def dif11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training labels' digest with both releases at hand, and whether the earlier release alone gives the same."""
     row = F.concat_ws("|", "item", "grp", "status", "label")

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("evidence_plans", "metric_plans", "snapshot_plans", "split_plans", "variance_plans", "vector_plans")
+FAMILIES = (
+    "evidence_plans", "metric_plans", "snapshot_plans", "split_plans", "variance_plans", "vector_plans", "source_plans", "statistics_plans", "report_plans", "stream_plans",
+)
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

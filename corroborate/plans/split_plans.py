@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, splits
+from ..operators.clustering import cluster_sequences
 from ..operators.snapshots import set_digest
 from ..sources.tables import OBS, observations, table
 from .evidence_plans import EVIDENCE, evidence_of, r6
@@ -214,6 +215,11 @@ def spl14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_digest(members, F.col("item").cast("string")).withColumn("population", F.lit("release:N"))
 
 
+@query("SPL16")
+def spl16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_sequences(table(spark, sf_dir, "documents"))
+
+
 @query("SPL17", "select p_partkey as item, coalesce(nullif(case when p_size % 5 = 0 then '' else p_brand end, ''), '__own__' || p_partkey) as cluster from part")
 def spl17(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand"))

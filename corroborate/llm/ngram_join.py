@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
@@ -154,7 +154,7 @@ def _count_shingles(width: int):
     return run
 
 
-_SETS = "cls long, n long, doc_id long, tokens binary, prefix array<struct<token: long, pos: int>>"
+_SETS = "cls long, n long, doc_id long, lone long, tokens binary, prefix array<struct<token: long, pos: int>>"
 
 
 def _prefixes(percent: int):
@@ -186,14 +186,14 @@ def _prefixes(percent: int):
         sent: set[int] = set()
         out: list[tuple] = []
         for d, c, size in zip(doc.tolist(), cls.tolist(), n.tolist()):
-            tokens = places = None
+            tokens = places = skip = None
             if size and c not in sent:
                 sent.add(c)
                 a, b, p, skip = table[c]
                 if p:
                     tokens = np.sort(token[a:b]).tobytes()
                     places = [{"token": t, "pos": skip + k} for k, t in enumerate(token[a : a + p].tolist())]
-            out.append((c - (1 << 64) if c >= 1 << 63 else c, size, d, tokens, places))
+            out.append((c - (1 << 64) if c >= 1 << 63 else c, size, d, skip, tokens, places))
             if len(out) == 2000:
                 yield _sets_batch(out)
                 out = []
@@ -205,8 +205,8 @@ def _prefixes(percent: int):
 
 def _sets_batch(rows: list[tuple]) -> pa.RecordBatch:
     place = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), place)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["cls", "n", "doc_id", "tokens", "prefix"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), place)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["cls", "n", "doc_id", "lone", "tokens", "prefix"])
 
 
 def overlap_needed(n_a, n_b, percent: int):
@@ -245,24 +245,26 @@ class _Join:
     def __init__(self, sets: DataFrame, percent: int) -> None:
         self.percent = percent
         self.sets = sets.where(F.col("tokens").isNotNull()).select("cls", "n", "tokens")
-        entries = sets.where(F.col("prefix").isNotNull()).select("cls", "n", F.explode("prefix").alias("p")).select(F.col("p.token").alias("token"), F.col("p.pos").alias("pos"), "cls", "n")
+        entries = sets.where(F.col("prefix").isNotNull()).select("cls", "n", "lone", F.explode("prefix").alias("p")).select(F.col("p.token").alias("token"), F.col("p.pos").alias("pos"), "cls", "n", "lone")
         met = entries.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
         self.entries = write_once(entries.join(met, "token"), "ngram-prefixes")
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
 
-    def _filtered(self, pairs: DataFrame) -> DataFrame:
-        """Length filter, then for each pair the positional filter at its first common token."""
-        need = F.ceil(self.percent * (F.col("a_n") + F.col("b_n")) / F.lit(100 + self.percent))
-        near = (F.lit(100) * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n"))
-        rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-        once = pairs.where(near).groupBy("a", "b").agg(F.max(rest).alias("most"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-        once = once.where(F.col("most") >= need).select("a", "b")
-        return once if self.tested is None else once.join(self.tested, ["a", "b"], "left_anti")
+    def may_link(self, n_a: Column, n_b: Column, pos_a: Column, pos_b: Column) -> Column:
+        """Length filter, and positional filter at this token.
+
+        At the first common token of a pair, what follows bounds the whole intersection; later tokens give smaller bounds.
+        So a pair is lost at all its tokens only if it is lost at the first, and then it cannot link.
+        """
+        need = F.ceil(self.percent * (n_a + n_b) / F.lit(100 + self.percent))
+        return (F.lit(100) * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
 
     def verify(self, pairs: DataFrame) -> None:
         """Count the common shingles of each new pair once."""
-        pairs = self._filtered(pairs)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         one, two = (self.sets.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "b_n", "a_tokens", "b_tokens")
         found = write_once(map_arrow(both, _verify(self.percent), "a long, b long, linked boolean"), "ngram-verified")
@@ -279,25 +281,22 @@ class _Join:
             labelled = labelled.join(torn, "token")
         return labelled
 
-    def to_leaders(self, entries: DataFrame, by_size: bool) -> DataFrame:
-        """Each set with the leader of each of its tokens: linear in the entries, however many sets share a token."""
-        rank = F.struct("n", "cls", "pos", "comp") if by_size else F.struct("cls", "n", "pos", "comp")
-        leaders = entries.groupBy("token").agg(F.min(rank).alias("l"))
-        tied = entries.join(leaders, "token").where(F.col("comp") != F.col("l.comp"))
-        return tied.select(
-            F.least("cls", F.col("l.cls")).alias("a"),
-            F.greatest("cls", F.col("l.cls")).alias("b"),
-            F.when(F.col("cls") < F.col("l.cls"), F.col("n")).otherwise(F.col("l.n")).alias("a_n"),
-            F.when(F.col("cls") < F.col("l.cls"), F.col("l.n")).otherwise(F.col("n")).alias("b_n"),
-            F.when(F.col("cls") < F.col("l.cls"), F.col("pos")).otherwise(F.col("l.pos")).alias("a_pos"),
-            F.when(F.col("cls") < F.col("l.cls"), F.col("l.pos")).otherwise(F.col("pos")).alias("b_pos"),
-        )
+    def to_leaders(self, entries: DataFrame, central: bool) -> DataFrame:
+        """Each set with the leader of each of its tokens: linear in the entries, however many sets share a token.
+
+        The central leader has the least share of shingles that stand in no other set: of a group of near copies, the
+        one that the others were most likely made from, and that most of them link with.
+        """
+        rank = [(F.col("lone") * 1000 / F.col("n")).cast("int").alias("share")] if central else []
+        leaders = entries.groupBy("token").agg(F.min(F.struct(*rank, "cls", "n", "pos", "comp")).alias("l"))
+        tied = entries.join(leaders, "token")
+        return tied.where((F.col("comp") != F.col("l.comp")) & self.may_link(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"))).select(F.col("cls").alias("a"), F.col("l.cls").alias("b"))
 
     def across(self, entries: DataFrame) -> DataFrame:
-        """What is left: the pairs of sets that share a token and are not connected yet."""
-        one, two = (entries.select("token", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("pos").alias(f"{c}_pos"), F.col("comp").alias(f"{c}_comp")) for c in "ab")
-        near = (F.lit(100) * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n"))
-        return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near)
+        """What is left: the pairs of sets that share a token, pass its filters and are not connected yet."""
+        one, two = (entries.select("token", *[F.col(x).alias(f"{c}_{x}") for x in ("cls", "n", "pos", "comp")]) for c in "ab")
+        left = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & self.may_link(*[F.col(x) for x in ("a_n", "b_n", "a_pos", "b_pos")])
+        return one.join(two, (one["token"] == two["token"]) & left).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
 
     def labels(self) -> DataFrame:
         """(node, root) of all sets that the links so far connect."""
@@ -331,9 +330,9 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str =
     release(docs)
     join = _Join(sets, percent)
     entries = join.open_entries(None)
-    join.verify(join.to_leaders(entries, by_size=False))
+    join.verify(join.to_leaders(entries, central=True))
     entries = write_once(join.open_entries(join.labels()), "ngram-open")
-    join.verify(join.to_leaders(entries, by_size=True))
+    join.verify(join.to_leaders(entries, central=False))
     entries = write_once(join.open_entries(join.labels()), "ngram-open")
     join.verify(join.across(entries))
     labels = join.labels()

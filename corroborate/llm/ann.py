@@ -194,7 +194,7 @@ def _distinct(keep: int):
 
 def _add(held: dict[bytes, list[int]], vector: bytes, ids: list[int], keep: int) -> None:
     old = held.get(vector)
-    held[vector] = ids if old is None else sorted([*old, *ids])[:keep]
+    held[vector] = ids if old is None else sorted({*old, *ids})[:keep]
 
 
 def _distinct_batch(held: dict[bytes, list[int]]) -> pa.RecordBatch:

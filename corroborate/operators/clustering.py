@@ -10,10 +10,14 @@ from ..sources.releases import scratch
 
 def shingles(text: Column, words: int) -> Column:
     """Distinct hashes of the runs of ``words`` words; the whole sequence where it is shorter, nothing where it is empty."""
-    w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
-    n = F.size(w) - words + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+        return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(runs))
+
+    split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+    # bound to a name by a list of one: else the words would be split again for each run
+    return F.transform(F.array(split), of)[0]
 
 
 def cluster_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.75, bands: int = 8) -> DataFrame:

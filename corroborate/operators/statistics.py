@@ -24,7 +24,8 @@ def poisson_one(u: Column) -> Column:
 def replicate(df: DataFrame, rounds: int, seed: str, *keys: str) -> DataFrame:
     """Each row in each bootstrap round with its hashed Poisson weight; rows of weight 0 are left out."""
     each = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    return each.withColumn("w", poisson_one(uniform(F.lit(seed), F.col("b"), *map(F.col, keys)))).where("w > 0")
+    drawn = each.withColumn("__u", uniform(F.lit(seed), F.col("b"), *map(F.col, keys)))  # hashed once, compared nine times
+    return drawn.withColumn("w", poisson_one(F.col("__u"))).where("w > 0").drop("__u")
 
 
 def weighted_auroc(df: DataFrame, group: list[str], score: str = "score") -> DataFrame:

@@ -54,7 +54,8 @@ def evidence_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("PRJ01", f"with {PARSED} select okey, line, item, relation, sign as relation_raw, case when relation in ('<', '>') then false when relation in ('<=', '>=') then true end as bound_inclusive, body as value_text, number as value_numeric from parsed")
 def prj01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observation_texts(spark, sf_dir).select("okey", "line", "item", fn.parse_value(F.col("value_text")).alias("p")).where("p is not null").select("okey", "line", "item", "p.*")
+    fields = observation_texts(spark, sf_dir).select("okey", "line", "item", F.col("value_text").alias("field"))
+    return fn.with_parsed(fields, "field").drop("field")
 
 
 WIDE = """wide as (select okey, line, item, grp, max(case when mtype = 'KI' then value_text end) as ki, max(case when mtype = 'IC50' then value_text end) as ic50,

@@ -69,7 +69,9 @@ def observation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(">"), whole, F.lit(" nM")),
         F.concat(F.lit("≈"), whole),
     ]
-    text = F.element_at(F.array(*spelled), (F.col("okey") % 11 + 1).cast("int"))
+    text = spelled[-1]
+    for k in range(len(spelled) - 2, -1, -1):  # branches, so that a row makes one spelling and not all
+        text = F.when(F.col("okey") % 11 == k, spelled[k]).otherwise(text)
     return observations(spark, sf_dir).withColumn("value_text", text)
 
 

@@ -16,19 +16,25 @@ parsed1 as (select *, regexp_extract(body, '^\s*(<=|>=|≤|≥|≈|<|>|~|=)?\s*(
 parsed as (select *, case when regexp_matches(digits, {NUM}) then try_cast(digits as double) end as number,
   case when sign = '≤' then '<=' when sign = '≥' then '>=' when sign = '≈' then '~' when sign <> '' then sign when regexp_matches(digits, {NUM}) then '=' else '?' end as relation from parsed1 where body <> '')"""
 
-ROLES = OBS + """, r as (select *, case when not v > 0 then 'unusable' when rel = '=' then 'exact' when rel in ('<', '<=', '>', '>=') then 'censored' else 'no_constraint' end as role,
-  case when v > 0 then 9 - log10(v) end as p from obs)"""
-
-EVIDENCE = ROLES + """, b as (select item, grp, max(p) filter (where role = 'censored' and rel in ('<', '<=')) as lo, min(p) filter (where role = 'censored' and rel in ('>', '>=')) as hi,
-  median(p) filter (where role = 'exact') as median from r group by item, grp),
-c as (select r.*, b.lo, b.hi, b.median from r join b on r.item = b.item and r.grp = b.grp),
-i as (select *, bool_and(rel = '<=') filter (where role = 'censored' and rel in ('<', '<=') and p = lo) over (partition by item, grp) as lo_inclusive,
-  bool_and(rel = '>=') filter (where role = 'censored' and rel in ('>', '>=') and p = hi) over (partition by item, grp) as hi_inclusive from c),
-a as (select item, grp, count(*) filter (where role = 'exact') as n_exact, count(*) filter (where role = 'censored') as n_censored, count(*) filter (where role = 'unusable') as n_unusable,
+def roles_sql(source: str) -> str:
+    return f"""r as (select *, case when not v > 0 then 'unusable' when rel = '=' then 'exact' when rel in ('<', '<=', '>', '>=') then 'censored' else 'no_constraint' end as role,
+  case when v > 0 then 9 - log10(v) end as p from {source})"""
+
+
+def evidence_sql(source: str, *keys: str) -> str:
+    """Tables that lead from ``source`` to ``ev3``, evidence at three thresholds, and ``ev``, that at the first."""
+    by = ", ".join(keys)
+    same = " and ".join(f"r.{k} = b.{k}" for k in keys)
+    return f"""{roles_sql(source)}, b as (select {by}, max(p) filter (where role = 'censored' and rel in ('<', '<=')) as lo, min(p) filter (where role = 'censored' and rel in ('>', '>=')) as hi,
+  median(p) filter (where role = 'exact') as median from r group by {by}),
+c as (select r.*, b.lo, b.hi, b.median from r join b on {same}),
+i as (select *, bool_and(rel = '<=') filter (where role = 'censored' and rel in ('<', '<=') and p = lo) over (partition by {by}) as lo_inclusive,
+  bool_and(rel = '>=') filter (where role = 'censored' and rel in ('>', '>=') and p = hi) over (partition by {by}) as hi_inclusive from c),
+a as (select {by}, count(*) filter (where role = 'exact') as n_exact, count(*) filter (where role = 'censored') as n_censored, count(*) filter (where role = 'unusable') as n_unusable,
   count(*) filter (where role = 'no_constraint') as n_no_constraint, any_value(median) as median, min(p) filter (where role = 'exact') as least, max(p) filter (where role = 'exact') as most,
   median(abs(p - median)) filter (where role = 'exact') as mad,
   count(*) filter (where role = 'exact' and (lo is not null or hi is not null) and (coalesce(p < lo or (p = lo and not lo_inclusive), false) or coalesce(p > hi or (p = hi and not hi_inclusive), false))) as n_outside,
-  count(distinct assay) as n_assays, count(distinct pub) as n_pubs, any_value(lo) as lo, any_value(lo_inclusive) as lo_inclusive, any_value(hi) as hi, any_value(hi_inclusive) as hi_inclusive from i group by item, grp),
+  count(distinct assay) as n_assays, count(distinct pub) as n_pubs, any_value(lo) as lo, any_value(lo_inclusive) as lo_inclusive, any_value(hi) as hi, any_value(hi_inclusive) as hi_inclusive from i group by {by}),
 t as (select *, most - least as spread, coalesce(most - least > 1.0, false) as discordant, unnest([6.0, 7.0, 8.0])::double as threshold,
   case when n_exact = 0 and n_censored = 0 then 'no_usable_evidence' when n_censored > 0 and coalesce(lo > hi or (lo = hi and not (lo_inclusive and hi_inclusive)), false) then 'empty_intersection'
        when n_outside > 0 then 'exact_bound_conflict' else 'ok' end as status from a),
@@ -40,6 +46,10 @@ ev3 as (select *, case when status <> 'ok' then status when discordant then 'dis
 ev as (select * from ev3 where threshold = 6.0)"""
 
 
+ROLES = f"{OBS}, {roles_sql('obs')}"
+EVIDENCE = f"{OBS}, {evidence_sql('obs', 'item', 'grp')}"
+
+
 def r6(*names: str) -> list[F.Column]:
     return [F.round(n, 6).alias(n) for n in names]
 

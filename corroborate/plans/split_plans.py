@@ -9,7 +9,7 @@ from ..operators import evidence, splits
 from ..operators.clustering import cluster_sequences
 from ..operators.snapshots import set_digest
 from ..sources.tables import OBS, observations, table
-from .evidence_plans import EVIDENCE, evidence_of, r6
+from .evidence_plans import EVIDENCE, evidence_of, evidence_sql, r6
 from .registry import query
 from .snapshot_plans import digest_sql
 
@@ -79,20 +79,7 @@ def sca06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.temporal_parts(observations(spark, sf_dir), VALIDATION, TEST).select("okey", "line", "item", F.date_format("day", "yyyy-MM-dd").alias("day"), "date_source", "part")
 
 
-def _by_part(sql: str) -> str:
-    """The evidence SQL with the period as a third key."""
-    return (
-        sql.replace("from obs)", "from dated)")
-        .replace("from r group by item, grp", "from r group by item, grp, part")
-        .replace("select item, grp, max(p) filter", "select item, grp, part, max(p) filter")
-        .replace("r.item = b.item and r.grp = b.grp", "r.item = b.item and r.grp = b.grp and r.part = b.part")
-        .replace("partition by item, grp)", "partition by item, grp, part)")
-        .replace("a as (select item, grp, count", "a as (select item, grp, part, count")
-        .replace("from i group by item, grp)", "from i group by item, grp, part)")
-    )
-
-
-TEMPORAL = DATED + _by_part(EVIDENCE[len(OBS) :])
+TEMPORAL = DATED + ", " + evidence_sql("dated", "item", "grp", "part")
 
 
 @query(

@@ -22,13 +22,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _chosen(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept; rows of one id that are equal count as one document."""
-    return docs.select(*COLUMNS).join(keep.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` whose id is kept, one of each id. One key column serves the join and the last step: one exchange."""
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("__key")
+    kept = docs.select(*COLUMNS, key).join(keep.select(key).distinct(), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id stays."""
-    return _chosen(docs, exact.exact_dedup(docs).where("kept")).dropDuplicates(["doc_id"])
+    return _chosen(docs, exact.exact_dedup(docs).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,8 +34,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays."""
-    return _chosen(docs, ngram_join.ngram_join(docs).where("component_id = doc_id"))
+    """Of each group of linked documents, the one with the smallest id stays. Documents without an id cannot be named and stay."""
+    named = docs.where("doc_id is not null")
+    kept = _chosen(named, ngram_join.ngram_join(named).where("component_id = doc_id"))
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ def test_of_each_group_of_copies_one_stays(spark):
     docs = spark.createDataFrame(rows, p_docs())
     assert sorted(r.doc_id for r in p.drop_copies(spark, docs, SF).collect()) == [2, 4]
     near = " ".join(f"w{k}" for k in range(60))
-    rows = [(5, near, "en", "s", 1), (6, near + " tail", "en", "s", 1), (7, "quite another text of seven words", "en", "s", 1)]
-    assert sorted(r.doc_id for r in p.drop_near_copies(spark, spark.createDataFrame(rows, p_docs()), SF).collect()) == [5, 7]
+    rows = [(5, near, "en", "s", 1), (6, near + " tail", "en", "s", 1), (7, "quite another text of seven words", "en", "s", 1), (None, "no name", None, None, None)]
+    assert sorted(str(r.doc_id) for r in p.drop_near_copies(spark, spark.createDataFrame(rows, p_docs()), SF).collect()) == ["5", "7", "None"]
 
 
 def p_docs():

@@ -30,9 +30,11 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
         for name, value in weights.items():
             named = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(named)
         sized = sized.withColumn("target", named)
-    totals = sized.agg(F.sum("units").alias("all_units"), F.sum("target").alias("all_target"))
-    rate = F.lit(float(epochs)) * F.col("target") / F.col("all_target") * F.col("all_units") / F.col("units")
-    rated = sized.crossJoin(F.broadcast(totals)).select("__source", F.when(F.col("all_target") > 0, rate).otherwise(0.0).alias("__rate"))
+    sized = write_once(sized, "mix-sources")
+    totals = sized.agg(F.sum("units").alias("units"), F.sum("target").alias("target")).first()
+    # two numbers reach the driver; without any target no document is repeated
+    rate = F.lit(float(epochs) * (totals["units"] or 0.0)) * (F.col("target") / F.lit(totals["target"])) / F.col("units") if totals["target"] else F.lit(0.0)
+    rated = sized.select("__source", rate.alias("__rate"))
     draws = F.greatest(F.lit(1), F.ceil(F.col("__rate") / DRAW_MEAN)).cast("int")
     mean = F.col("__rate") / F.col("__draws")
     steps = F.aggregate(

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import write_once
+from .common import shuffle_width, write_once
 from .packed import narrow, pack_arrays, unpack_arrays
 
-#: Distinct vectors of one shard: bounds a task's memory and the graph's depth, not the input.
-SHARD_ROWS = 2048
+#: Distinct vectors of one shard: at least the first while the session's tasks are not all in use, at most the second, which
+#: bounds a task's memory. Larger shards cost a query less in all; smaller ones are built by more tasks at once.
+SHARD_ROWS, MOST_SHARD_ROWS = 2048, 16_384
 #: Neighbours a node keeps on the upper layers and on the lowest one.
 LINKS, LOW_LINKS = 12, 32
 #: Candidates followed while building and while searching.
@@ -23,6 +24,10 @@ BUILD_WIDTH, SEARCH_WIDTH = 64, 96
 BLOCK = 128
 #: Queries searched at once.
 QUERY_BLOCK = 1024
+#: Blocks of queries that meet one copy of a shard in a task; more blocks take more copies, so a task stays bounded.
+SLICE_BLOCKS = 16
+#: Most tasks that the cells of shards and slices are dealt over.
+MOST_TASKS = 20_000
 
 
 class Graph:
@@ -255,7 +260,8 @@ def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col:
     """A row a shard (and width of vectors) with its graph, its original distinct vectors and their ids; written to the shared folder."""
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     local = write_once(map_arrow(slim, _distinct(k + 1), _DISTINCT), "ann-vectors")
-    shards = max(1, -(-local.count() // SHARD_ROWS))
+    rows = local.count()
+    shards = max(1, min(-(-rows // SHARD_ROWS), shuffle_width(vectors.sparkSession)), -(-rows // MOST_SHARD_ROWS))
     dealt = local.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
     merged = map_arrow(dealt.select("vector", "width", "ids"), _distinct(k + 1), _DISTINCT)
     merged = merged.select("vector", "width", "ids", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"))
@@ -285,9 +291,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     clean = write_once(map_arrow(asked, parse, "q_id long, q_vector binary, width int").distinct(), "ann-queries")
     blocks = -(-max(clean.count(), 1) // QUERY_BLOCK)
     blocked = clean.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks))).groupBy("width", "block")
-    blocked = blocked.agg(F.collect_list(F.struct("q_id", "q_vector")).alias("q")).select("width", F.col("q.q_id").alias("q_ids"), F.col("q.q_vector").alias("q_vectors"))
-    # a row a (shard, block): each graph is read once a block of queries
-    pairs = index.repartition(max(1, index.count())).join(blocked, "width").select("width", "graph", "vectors", "counts", "ids", "q_ids", "q_vectors")
+    blocked = blocked.agg(F.collect_list(F.struct("q_id", "q_vector")).alias("q")).select("width", "block", F.col("q.q_id").alias("q_ids"), F.col("q.q_vector").alias("q_vectors"))
+    # a grid of cells (shard, slice of blocks): graphs are copied to each slice and blocks to each shard, so no key gathers all rows
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    slices = -(-blocks // SLICE_BLOCKS)
+    cell, tasks = ["shard", "slice", "width"], min(shards * slices, MOST_TASKS)
+    graphs = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, *cell)
+    spread = blocked.withColumn("slice", F.pmod("block", F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    pairs = graphs.join(spread.repartition(tasks, *cell), cell).select("width", "graph", "vectors", "counts", "ids", "q_ids", "q_vectors")
     found = map_arrow(pairs, _search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

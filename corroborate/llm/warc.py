@@ -63,7 +63,7 @@ def payload_of(column: str = "html") -> Column:
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, refers_to) of the records whose payload a smaller page_id has too. Payloads stay where they are."""
+    """(page_id, digest, refers_to) of the records whose payload a smaller page_id has too. Payloads stay where they are."""
     slim = pages.select(F.col(id_col).cast("long").alias("r_id"), F.sha1(payload_of(html_col)).alias("digest"), F.octet_length(payload_of(html_col)).alias("n"))
     slim = slim.where((F.col("n") >= min_bytes) & F.col("r_id").isNotNull())
     groups = slim.groupBy("digest", "n").agg(F.min("r_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
@@ -73,7 +73,7 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> Da
     hot = slim.join(F.broadcast(many.where(F.col("rows") > limit)), ["digest", "n"])
     rest = slim.join(F.broadcast(many.where(F.col("rows") > limit).select("digest", "n")), ["digest", "n"], "left_anti").join(many.where(F.col("rows") <= limit), ["digest", "n"])
     found = hot.unionByName(rest).where(F.col("r_id") != F.col("refers_to"))
-    return found.select("r_id", "refers_to").distinct()
+    return found.select("r_id", F.col("digest").alias("r_digest"), "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -85,18 +85,20 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = fresh_path(spark, "warc")
     known = revisits(pages, id_col, html_col, min_bytes)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload_of(html_col).alias("payload"))
-    joined = slim.join(known, F.col("page_id") == F.col("r_id"), "left").select("page_id", "url", "payload", "refers_to", F.octet_length("payload").alias("n"))
+    # by id and digest: rows that share an id may differ in payload
+    digested = slim.withColumn("digest", F.sha1("payload"))
+    joined = digested.join(known, (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "refers_to", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         out, name, at = None, f"part-{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
             rows = []
-            for page_id, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for page_id, url, payload, refers_to, sha1 in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 is_revisit = refers_to is not None and refers_to != page_id
                 member = record(page_id, url, payload, digest, refers_to, is_revisit)
                 out.write(member)
@@ -178,7 +180,7 @@ def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     Of records with equal payloads of at least ``min_bytes`` bytes, that with the smallest page_id is a response and the
     others revisit it. A null html is an empty payload, a null url an empty one; rows that share page_id and payload are
-    all responses, if theirs is the smallest; a null page_id never revisits nor is revisited. An empty table gives an
+    all responses, if theirs is the smallest, and rows that share a page_id alone are judged each by its payload; a null page_id never revisits nor is revisited. An empty table gives an
     empty one. Other columns are not read. Very long payloads are one record each.
     """
     return read_records(write_archives(pages, id_col, url_col, html_col, min_bytes), with_payload=False).drop("payload")

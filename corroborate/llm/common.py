@@ -33,8 +33,27 @@ def write_once(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Text that one part of a dealt table should come from: a task then holds some hundred megabytes of hashes.
+PART_BYTES = 64 << 20
+#: Parquet text is taken to be this many times larger when it is read.
+EXPANSION = 3
+#: Most parts of one exchange; inputs of over MOST_PARTS * PART_BYTES need larger executors in proportion.
+MOST_PARTS = 100_000
+
+
+def shuffle_width(spark: SparkSession, source: DataFrame | None = None) -> int:
+    """Parts of an exchange: as the session sets, or more where the files that ``source`` reads are too large for that.
+
+    The size is that of the plan's leaves, so neither a column choice nor a join distorts it; a leaf of unknown size
+    counts as none.
+    """
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if source is None:
+        return width
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)
+    return max(width, min(-(-EXPANSION * known // PART_BYTES), MOST_PARTS))
 
 
 def text_of(column: str = "text") -> Column:

@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("body"))
     members = write_once(map_arrow(slim, _collapse, _MEMBERS), "exact-members")
-    dealt = members.where(F.col("local_rows").isNotNull()).repartition(shuffle_width(spark), "n_bytes", "digest")
+    dealt = members.where(F.col("local_rows").isNotNull()).repartition(shuffle_width(spark, docs), "n_bytes", "digest")
     owners = map_arrow(dealt.select("local_id", "local_rows", "digest", "body"), _owners, _OWNERS)
     named = owners.select(F.col("local_id").alias("o_id"), F.col("digest").alias("o_digest"), "keep_id", "group_size")
     joined = members.select("doc_id", "local_id", "digest").join(named, F.col("local_id").eqNullSafe(F.col("o_id")) & (F.col("digest") == F.col("o_digest")))

@@ -321,7 +321,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str =
     apart by 64-bit hashes: two of a billion different sets are taken for equal with odds of 3 percent.
     """
     spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(spark, docs)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), text_of(text_col).alias("text"))
     dealt = map_arrow(slim, _deal_shingles(width, words), "part int, kind int, payload binary")
     counted = write_once(deal(dealt, _count_shingles(width), width), "ngram-counted")

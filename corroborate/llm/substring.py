@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one. Other columns are not read. Windows are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(spark, docs)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), text_of(text_col).alias("text"))
     shared = write_once(deal(map_arrow(slim, _deal_anchors(width), SCHEMA), _match_anchors(width), width), "windows-shared")
     release(docs)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corroborate.llm import ann, exact, graph, mixing, ngram_join, packing, pii, quality, substring, toxicity, trie, warc, words
+from corroborate.llm import ann, common, exact, graph, mixing, ngram_join, packing, pii, quality, substring, toxicity, trie, warc, words
 
 EDGES = [(1, None), (2, ""), (3, "  \t\n"), (4, "one"), (5, "one"), (6, "ONE two three four five six"), (6, "ONE two three four five six"), (7, "é ü 漢字 🙂"), (None, "one"), (8, "word " * 30000)]
 
@@ -312,6 +312,31 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     assert ann.nearest(empty, empty).count() == 0
 
 
+def test_queries_in_several_slices_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(400)], "vec_id long, embedding array<double>")
+    whole = rows_of(ann.nearest(frame, frame.where("vec_id % 5 = 0")), "query_id", "rank", "vec_id")
+    for name, value in (("QUERY_BLOCK", 8), ("SLICE_BLOCKS", 2), ("SHARD_ROWS", 200)):
+        monkeypatch.setattr(ann, name, value)
+    cut = rows_of(ann.nearest(frame, frame.where("vec_id % 5 = 0")), "query_id", "rank", "vec_id")
+    assert len(cut) == len(whole) == 400
+    assert len(set(cut) & set(whole)) >= 390
+
+
+def test_the_width_of_an_exchange_follows_the_files(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/wide"
+    spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) as text").write.parquet(path)
+    frame = spark.read.parquet(path)
+    assert common.shuffle_width(spark, frame) == common.shuffle_width(spark) == 4
+    monkeypatch.setattr(common, "PART_BYTES", 100_000)
+    wide = common.shuffle_width(spark, frame)
+    assert wide > 4
+    assert common.shuffle_width(spark, frame.select("id").where("id > 5")) == wide
+    monkeypatch.setattr(common, "MOST_PARTS", 7)
+    assert common.shuffle_width(spark, frame) == 7
+    assert common.shuffle_width(spark, spark.createDataFrame([(1,)], "x long").rdd.toDF()) == 4
+
+
 # toxicity
 
 
@@ -383,6 +408,8 @@ def test_warc_round_trip(spark):
     assert read.where("page_id = 5").first().payload == pages[5][2].encode()
     assert warc.read_records(index.where("page_id = 5")).count() == 1
     assert warc.archive_and_read(frame.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (2, "u", "other")], "page_id long, url string, html string")
+    assert rows_of(warc.archive_and_read(twice), "page_id", "payload_bytes", "record_type", "refers_to") == [(1, 4, "response", None), (2, 4, "revisit", 1), (2, 5, "response", None)]
 
 
 def test_ranges_coalesce_neighbours():

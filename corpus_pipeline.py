@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import exact, mixing, ngram_join, packing, quality
-from corroborate.llm.common import write_once
+from corroborate.llm.common import text_of, write_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,22 +21,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify_quality(docs.select(*COLUMNS), labels).where("keep").select(*COLUMNS)
 
 
-def _chosen(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, one of each id. One key column serves the join and the last step: one exchange."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("__key")
-    kept = docs.select(*COLUMNS, key).join(keep.select(key).distinct(), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*COLUMNS)
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest id stays."""
-    return _chosen(docs, exact.exact_dedup(docs).where("kept"))
+    """Of equal texts, the one with the largest id stays; of equal texts without any id, one. One id may name several texts: each stays.
+
+    One key column of id and digest serves the join and the last step: one exchange.
+    """
+    # concat_ws leaves out a null id; digests are of one length, so no two pairs give the same key
+    key = lambda digest: F.concat_ws(":", F.col("doc_id").cast("string"), digest).alias("__key")
+    kept = exact.exact_dedup(docs).where("kept").select(key(F.col("text_sha256"))).distinct()
+    rows = docs.select(*COLUMNS, key(F.sha2(F.encode(text_of("text"), "UTF-8"), 256)))
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays. Documents without an id cannot be named and stay."""
-    named = docs.where("doc_id is not null")
-    kept = _chosen(named, ngram_join.ngram_join(named).where("component_id = doc_id"))
+    """Of each group of linked documents, the one with the smallest id stays. Documents without an id cannot be named and stay.
+
+    One id may name several texts, so groups are of (id, text) by a 64-bit hash; two rows that it takes for one both stay.
+    """
+    named = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64("doc_id", text_of("text")).alias("__row"))
+    linked = ngram_join.ngram_join(named, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    ids = linked.join(named.select("__row", "doc_id").distinct(), "__row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row").distinct()
+    kept = named.join(first, "__row", "left_semi").dropDuplicates(["__row", "doc_id"]).select(*COLUMNS)
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -38,5 +38,20 @@ def test_of_each_group_of_copies_one_stays(spark):
     assert sorted(str(r.doc_id) for r in p.drop_near_copies(spark, spark.createDataFrame(rows, p_docs()), SF).collect()) == ["5", "7", "None"]
 
 
+def test_each_text_without_an_id_or_with_a_shared_one_stays_once(spark):
+    texts = [(None, "first"), (None, "second"), (None, "second"), (None, "third"), (None, "named too"), (9, "named too"), (7, "one text"), (7, "another text"), (7, "another text"), (-(1 << 63), "least id"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts], p_docs()).repartition(4)
+    kept = sorted((str(r.doc_id), r.text or "") for r in p.drop_copies(spark, docs, SF).collect())
+    assert kept == sorted([("None", ""), ("None", "first"), ("None", "second"), ("None", "third"), ("9", "named too"), ("7", "one text"), ("7", "another text"), (str(-(1 << 63)), "least id")])
+
+
+def test_near_copies_of_one_id_on_two_texts(spark):
+    near, far = (" ".join(f"{c}{k}" for k in range(60)) for c in "wv")
+    texts = [(3, near), (3, far), (4, near + " tail"), (5, far + " tail"), (6, "six"), (6, "half a dozen"), (8, far + " end"), (8, far + " End of it"), (2, far + " least id"), (6, ""), (6, "six")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts], p_docs())
+    kept = sorted((r.doc_id, r.text) for r in p.drop_near_copies(spark, docs, SF).collect())
+    assert kept == sorted([(3, near), (2, far + " least id"), (6, "six"), (6, "half a dozen"), (6, "")])
+
+
 def p_docs():
     return "doc_id long, text string, lang string, source string, n_chars long"

@@ -17,6 +17,8 @@ from .common import text_of, write_once
 
 CAPACITY = 1024
 END_ID = 2
+#: Added tokens of the vocabulary, which its JSON file lists and its rank file does not hold; texts may contain them literally.
+ADDED = {"<|endoftext|>": 50256}
 #: Pieces that one packing task holds: a bound on a task's memory, not on the input.
 PART_ROWS = 40_000
 #: From a partition that is not certified, the emptiest bins are exchanged: this many for each bin of the gap, and at least as many again.
@@ -40,13 +42,13 @@ def _encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -183,7 +185,7 @@ def pack_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None, c
     """Tokenise documents, cut those over the capacity and pack all pieces into few sequences.
 
     Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only lengths travel: the texts
-    are read once, in place. A null or empty text is its end id alone. Rows that share an id are packed each. An empty
+    are read once, in place. An added token that stands in a text is its one id. A null or empty text is its end id alone. Rows that share an id are packed each. An empty
     table gives an empty one. Other columns are not read. A very long text becomes many pieces, all but the first full.
     """
     return pack(tokenize_pieces(docs, vocabulary or tokenizer_files(), capacity, id_col, text_col), capacity)

@@ -168,6 +168,27 @@ def test_piece_checksums_and_the_two_tokenizers_agree(make_docs):
     assert row.ids_crc32 == zlib.crc32(np.array([*slow("plain text"), 2], "<u4").tobytes())
 
 
+def test_added_tokens_in_texts_are_one_id(make_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.ADDED == {t.content: k for k, t in library.get_added_tokens_decoder().items()}
+    plain = lambda text: library.encode(text, add_special_tokens=False).ids
+    assert plain("first part<|endoftext|>second part") == [11085, 636, 50256, 12227, 636]
+    encoders = [packing._encoder(*packing.tokenizer_files()), packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), "")]
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n\n", "word", " word", "s'll", "é漢🙂", "12"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert all(list(encode(text)) == plain(text) for encode in encoders), repr(text)
+    text = "a<|endoftext|> b" * 700
+    ids = np.array([*plain(text), packing.END_ID], "<u4")
+    rows = packing.pack_documents(make_docs([(1, text)])).collect()
+    assert sum(r.length for r in rows) == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
 def test_best_fit_is_valid_and_bounds_hold(lengths):

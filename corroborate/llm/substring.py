@@ -33,34 +33,69 @@ def doc_part(ids: np.ndarray, width: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64)) % np.uint64(width)).astype(np.int64)
 
 
-def _by_doc(kind: int, ids: np.ndarray, places: np.ndarray, width: int) -> list[tuple[int, int, bytes]]:
+def text_tag(text: bytes) -> int:
+    """Tells the texts of one id apart; 0 stands for the only text of its id."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") or 1
+
+
+def _tags(tags: np.ndarray) -> list[np.ndarray]:
+    """What a row holds of these tags: nothing, unless an id has several texts."""
+    return [tags] if tags.any() else []
+
+
+def _by_doc(kind: int, ids: np.ndarray, places: np.ndarray, width: int, tags: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
     """Rows (one a part of documents) that tell documents of places in them."""
     if not len(ids):
         return []
     part = doc_part(ids, width)
     order = np.lexsort((places, ids, part))
     ids, places, part = ids[order], places[order], part[order]
+    tags = None if tags is None else tags[order]
     rows = []
     for a, c in zip(*(x.tolist() for x in by_group(part))):
         held, times = by_group(ids[a : a + c])
-        rows.append((int(part[a]), kind, pack_arrays(ids[a : a + c][held], narrow(times), narrow(places[a : a + c]))))
+        more = [] if tags is None else _tags(tags[a : a + c])
+        rows.append((int(part[a]), kind, pack_arrays(ids[a : a + c][held], narrow(times), narrow(places[a : a + c]), *more)))
     return rows
 
 
-def _from_doc_rows(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (sorted, distinct), bounds and places of all rows of one part."""
-    ids, places = [], []
+def _from_doc_rows(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids (sorted, distinct), bounds, places and, if there are any, tags of all rows of one part."""
+    ids, places, tags = [], [], []
     for payload in payloads:
-        held, times, at = unpack_arrays(payload)
+        held, times, at, *tag = unpack_arrays(payload)
         ids.append(np.repeat(held, times))
         places.append(at.astype(np.int64))
+        tags.append(tag[0] if tag else None)
     if not ids:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
-    one, two = np.concatenate(ids), np.concatenate(places)
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), None
+    one, two, three = np.concatenate(ids), np.concatenate(places), _joined(tags, places)
     order = np.lexsort((two, one))
     one, two = one[order], two[order]
     first, _ = by_group(one)
-    return one[first], np.append(first, len(one)), two
+    return one[first], np.append(first, len(one)), two, None if three is None else three[order]
+
+
+def _joined(tags: list[np.ndarray | None], beside: list[np.ndarray]) -> np.ndarray | None:
+    if all(t is None for t in tags):
+        return None
+    return np.concatenate([np.zeros(len(b), np.uint64) if t is None else t for t, b in zip(tags, beside)])
+
+
+def _sorted_windows(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, tags: np.ndarray | None) -> tuple:
+    """The windows by value, document and start; which of them stand later than the first of their value; which to send on.
+
+    Of each value the first is sent on. Where texts share an id it may stand in several of them, and each is.
+    """
+    order = np.lexsort((starts, ids, hashes) if tags is None else (tags, starts, ids, hashes))
+    ids, starts, hashes = ids[order], starts[order], hashes[order]
+    first, count = by_group(hashes)
+    later = (ids != np.repeat(ids[first], count)) | (starts != np.repeat(starts[first], count))
+    if tags is None:
+        return ids, starts, hashes, None, later, first
+    tags = tags[order]
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (tags[1:] != tags[:-1])))
+    return ids, starts, hashes, tags, later, np.flatnonzero(~later & new)
 
 
 def _deal_anchors(width: int):
@@ -177,8 +212,11 @@ def _extend(width: int):
     """Extend around shared anchors: hash the windows that hold one, settle repeats within the part, send on one of each value."""
 
     def one_part(shared: list[bytes], texts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-        known, edges, places = _from_doc_rows(shared)
+        known, edges, places, _ = _from_doc_rows(shared)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        tags: list[int] = []
+        one_tag: dict[int, int] = {}
+        several: set[int] = set()
         for payload in texts:
             ids, bounds, body = _texts_of(payload)
             at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
@@ -190,26 +228,32 @@ def _extend(width: int):
                 if n <= 0:
                     continue
                 mark = np.zeros(len(words) + PERIOD + 1, np.int32)
-                mark[places[edges[at[k]] : edges[at[k] + 1]]] = 1
+                told = places[edges[at[k]] : edges[at[k] + 1]]
+                mark[told[told < len(words)]] = 1  # other texts of this id may be longer
                 total = np.concatenate(([0], np.cumsum(mark)))
                 starts = np.flatnonzero(total[PERIOD : PERIOD + n] > total[:n])
                 found.append((np.full(len(starts), ids[k]), starts, window_hashes(words, WINDOW)[starts]))
+                tags.append(text_tag(data.tobytes()))
+                if one_tag.setdefault(int(ids[k]), tags[-1]) != tags[-1]:
+                    several.add(int(ids[k]))
         if not found:
             return
+        tag = None
+        if several:
+            tag = np.concatenate([np.full(len(f[0]), t if len(f[0]) and int(f[0][0]) in several else 0, np.uint64) for f, t in zip(found, tags)])
         ids, starts, hashes = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((starts, ids, hashes))
-        ids, starts, hashes = ids[order], starts[order], hashes[order]
-        first, count = by_group(hashes)
-        later = (ids != np.repeat(ids[first], count)) | (starts != np.repeat(starts[first], count))
-        yield batch_of(_by_doc(_FLAGGED, ids[later], starts[later], width))
-        ids, starts, hashes = ids[first], starts[first], hashes[first]
+        ids, starts, hashes, tag, later, on = _sorted_windows(ids, starts, hashes, tag)
+        yield batch_of(_by_doc(_FLAGGED, ids[later], starts[later], width, None if tag is None else tag[later]))
+        ids, starts, hashes, tag = ids[on], starts[on], hashes[on], None if tag is None else tag[on]
         part = ((hashes >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
         order = np.lexsort((ids, part))
         ids, starts, hashes, part = ids[order], starts[order], hashes[order], part[order]
+        tag = None if tag is None else tag[order]
         rows = []
         for a, c in zip(*(x.tolist() for x in by_group(part))):
             held, times = by_group(ids[a : a + c])
-            rows.append((int(part[a]), _WINDOWS, pack_arrays(ids[a : a + c][held], narrow(times), narrow(starts[a : a + c]), hashes[a : a + c])))
+            more = [] if tag is None else _tags(tag[a : a + c])
+            rows.append((int(part[a]), _WINDOWS, pack_arrays(ids[a : a + c][held], narrow(times), narrow(starts[a : a + c]), hashes[a : a + c], *more)))
         yield batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,25 +288,23 @@ def _first_windows(width: int):
     """Reduce side: of each window value the least (document, start) stays, the others are flagged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        got, tags = [], []
         for batch in batches:
             rows = []
             for part, kind, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if kind == _FLAGGED:
                     rows.append((part, kind, payload))
                     continue
-                ids, times, starts, hashes = unpack_arrays(payload)
+                ids, times, starts, hashes, *tag = unpack_arrays(payload)
                 got.append((np.repeat(ids, times), starts.astype(np.int64), hashes))
+                tags.append(tag[0] if tag else None)
             if rows:
                 yield batch_of(rows)
         if not got:
             return
         ids, starts, hashes = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((starts, ids, hashes))
-        ids, starts, hashes = ids[order], starts[order], hashes[order]
-        first, count = by_group(hashes)
-        later = (ids != np.repeat(ids[first], count)) | (starts != np.repeat(starts[first], count))
-        yield batch_of(_by_doc(_FLAGGED, ids[later], starts[later], width))
+        ids, starts, hashes, tag, later, _ = _sorted_windows(ids, starts, hashes, _joined(tags, [g[1] for g in got]))
+        yield batch_of(_by_doc(_FLAGGED, ids[later], starts[later], width, None if tag is None else tag[later]))
 
     return run
 
@@ -272,7 +314,7 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept s
 
 def _cut_out(with_text: bool):
     def one_part(flagged: list[bytes], texts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-        known, edges, starts = _from_doc_rows(flagged)
+        known, edges, starts, tags = _from_doc_rows(flagged)
         table = {d: k for k, d in enumerate(known.tolist())}
         out: list[tuple] = []
         size = 0
@@ -284,6 +326,8 @@ def _cut_out(with_text: bool):
                 if at is not None:
                     cover = np.zeros(n + WINDOW + 1, np.int32)
                     mine = starts[edges[at] : edges[at + 1]]
+                    if tags is not None and (meant := tags[edges[at] : edges[at + 1]]).any():
+                        mine = mine[meant == np.uint64(text_tag(body[bounds[k] : bounds[k + 1]]))]
                     mine = mine[mine + WINDOW <= n]
                     np.add.at(cover, mine, 1)
                     np.add.at(cover, mine + WINDOW, -1)
@@ -320,8 +364,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stays. Both exchanges send one entry a value and task, so a passage in a large part of all texts costs a task one entry
     for each task. Texts travel compressed, twice.
 
-    A null text has no words. Rows that share an id are not earlier than one another at the same start, and share what is
-    removed at each start. A null id counts as 0. Texts of fewer than 20 words lose nothing. An empty table gives an empty
+    A null text has no words. Rows that share an id are not earlier than one another at the same start; each loses what is
+    repeated in its own text. A null id counts as 0. Texts of fewer than 20 words lose nothing. An empty table gives an empty
     one. Other columns are not read. Windows are compared by 64-bit hashes.
     """
     spark = docs.sparkSession

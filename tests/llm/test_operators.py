@@ -295,6 +295,31 @@ def test_substring_edge_cases(make_docs):
     assert substring.remove_repeats(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("shared", [7, None])
+def test_substring_texts_of_one_id_lose_their_own_repeats(make_docs, shared):
+    rng = random.Random(6)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    one, two, three = fresh(30), fresh(24), fresh(22)
+    texts = [
+        (shared, fresh(25)),
+        (shared, [*fresh(150), *one, *fresh(20)]),  # a passage beyond the end of the short text
+        (shared, [*two, *fresh(176)]),
+        (shared, [*fresh(2), *one, *fresh(70), *two]),
+        (shared, [*three, *fresh(30)]),  # of one start in two texts of the id, and earlier in another
+        (shared, [*three, *fresh(60)]),
+        (shared, [*three, *fresh(60)]),
+        (shared, fresh(60)),
+        (-5, [*fresh(3), *three]),
+        (9, [*one, *two, *three]),
+        *[(k, [*fresh(k % 11), *rng.choice([one, two, three]), *fresh(k)]) for k in range(10, 30)],
+        *[(rng.choice([shared, 3]), [*fresh(rng.randrange(12)), *rng.choice([one, two, three]), *fresh(rng.randrange(90))]) for _ in range(40)],
+    ]
+    docs = [(d, " ".join(w)) for d, w in texts]
+    got = rows_of(substring.remove_repeats(make_docs(docs).repartition(3)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(substring.brute_force(docs), key=str)
+    assert any(removed for _, _, removed, _ in got)
+
+
 def test_every_shift_has_an_aligned_anchor():
     for difference in range(substring.PERIOD):
         assert any((c + difference) % substring.PERIOD in substring.COVER for c in substring.COVER)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import exact, mixing, ngram_join, packing, quality
-from corroborate.llm.common import text_of, write_once
+from corroborate.llm import exact, mixing, packing, quality
+from corroborate.similarity import ngram_join
+from corroborate.similarity.common import text_of, write_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

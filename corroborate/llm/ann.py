@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import shuffle_width, write_once
-from .packed import narrow, pack_arrays, unpack_arrays
+from ..similarity.common import shuffle_width, write_once
+from ..similarity.packed import narrow, pack_arrays, unpack_arrays
 
 #: Distinct vectors of one shard: at least the first while the session's tasks are not all in use, at most the second, which
 #: bounds a task's memory. Larger shards cost a query less in all; smaller ones are built by more tasks at once.

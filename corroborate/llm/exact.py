@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import shuffle_width, text_of, write_once
+from ..similarity.common import shuffle_width, text_of, write_once
 from .trie import OwnerTrie
 
 _MEMBERS = "doc_id long, local_id long, local_rows long, n_bytes long, digest binary, body binary"

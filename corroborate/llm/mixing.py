@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_once
+from ..similarity.common import write_once
 
 #: Largest mean of one Poisson draw; larger means are sums of independent draws.
 DRAW_MEAN = 16.0

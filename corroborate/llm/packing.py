@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import text_of, write_once
+from ..similarity.common import text_of, write_once
 
 CAPACITY = 1024
 END_ID = 2

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
+from ..similarity.common import text_of, write_once
+from ..similarity.words import text_groups, word_hashes
 from . import logistic
-from .common import text_of, write_once
-from .words import text_groups, word_hashes
 
 #: Labelled documents of each class that the document classifier is fitted on, least hash of the id first.
 FIT_ROWS = 10_000

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, mixing, ngram_join, packing, pii, quality, substring, toxicity, warc
+from ..similarity import ngram_join
+from . import ann, exact, mixing, packing, pii, quality, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

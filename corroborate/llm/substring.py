@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import shuffle_width, text_of, write_once
-from .packed import SCHEMA, batch_of, by_group, deal, narrow, pack_arrays, release, unpack_arrays
-from .words import inside, mix, text_groups, window_hashes, word_hashes
+from ..similarity.common import shuffle_width, text_of, write_once
+from ..similarity.packed import SCHEMA, batch_of, by_group, deal, narrow, pack_arrays, release, unpack_arrays
+from ..similarity.words import inside, mix, text_groups, window_hashes, word_hashes
 
 WINDOW = 20
 #: Any two positions agree, after some shift under PERIOD, on residues in COVER: every difference mod 13 is one of two residues.

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
+from ..similarity.common import text_of, write_once
+from ..similarity.ngram_join import shingle_sets
+from ..similarity.words import text_groups
 from . import logistic
-from .common import text_of, write_once
-from .ngram_join import shingle_sets
-from .words import text_groups
 
 #: Labelled documents of each class that the lexicon and the curve are fitted on, least hash of the id first.
 FIT_ROWS = 8_000

@@ -1,61 +1,22 @@
-"""Clusters of similar sequences: minimum-hash buckets, comparison with each bucket's centre, connected components."""
+"""Clusters of similar sequences: connected components of the exact set-similarity join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.releases import scratch
+from ..similarity.ngram_join import ngram_join
 
 
-def shingles(text: Column, words: int) -> Column:
-    """Distinct hashes of the runs of ``words`` words; the whole sequence where it is shorter, nothing where it is empty."""
+def cluster_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.75) -> DataFrame:
+    """(id, cluster): cluster is the least id that links reach. Two sequences link at a Jaccard similarity of ``threshold``, a whole percentage.
 
-    def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-        return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(runs))
-
-    split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
-    # bound to a name by a list of one: else the words would be split again for each run
-    return F.transform(F.array(split), of)[0]
-
-
-def cluster_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.75, bands: int = 8) -> DataFrame:
-    """(id, cluster): cluster is the least id that links reach.
-
-    A sequence is compared with the longest one of each of its buckets only, so a bucket costs its size; like the linear
-    clustering tools that this stands for, it may miss links that no bucket's centre has.
+    No pair that links is left out unless earlier links connect it already. A sequence without an id links with nothing
+    and has no cluster.
     """
-    base = docs.select(F.col(id_col).alias("id"), shingles(F.col(text_col), words).alias("s")).withColumn("n", F.size("s"))
-    path = scratch(docs.sparkSession, "sequences")
-    base.write.parquet(path)
-    base = docs.sparkSession.read.parquet(path)
-    keyed = base.where("n > 0").select("id", "n", F.posexplode(F.array(*[F.array_min(F.transform("s", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(bands)])).alias("band", "key"))
-    centres = keyed.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("id")).alias("neg"))).alias("c"), F.count("*").alias("m")).where("m > 1")
-    pairs = keyed.join(centres.select("band", "key", (-F.col("c.neg")).alias("centre")), ["band", "key"]).where("id <> centre").select("id", "centre").distinct()
-    both = pairs.join(base.select("id", F.col("s").alias("s1")), "id").join(base.select(F.col("id").alias("centre"), F.col("s").alias("s2")), "centre")
-    common = F.size(F.array_intersect("s1", "s2"))
-    links = both.where(common >= threshold * (F.size("s1") + F.size("s2") - common)).select(F.col("id").alias("a"), F.col("centre").alias("b"))
-    return label_propagation(base.select("id"), links)
-
-
-def label_propagation(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
-    """Least id of each component: labels pass along links and are followed to their own label, until none changes."""
-    spark = nodes.sparkSession
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        path = scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(nodes.select("id", F.col("id").alias("cluster")), "labels")
-    for _ in range(most):
-        near = both.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-        passed = labels.join(near, "id", "left").select("id", "cluster", F.least("cluster", F.coalesce("near", "cluster")).alias("new"))
-        jumped = passed.join(labels.select(F.col("id").alias("new"), F.col("cluster").alias("further")), "new").select("id", F.least("new", "further").alias("next"), "cluster")
-        step = written(jumped, "labels")
-        labels = step.select("id", F.col("next").alias("cluster"))
-        if not step.where("next <> cluster").limit(1).count():
-            return labels
-    raise RuntimeError("labels did not settle")
+    percent = round(100 * threshold)
+    if abs(percent - 100 * threshold) > 1e-9:
+        raise ValueError(f"threshold {threshold} is not a whole percentage")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
+    linked = ngram_join(rows.where("doc_id is not null"), words, percent).select(F.col("doc_id").alias("id"), F.col("component_id").alias("cluster"))
+    return linked.unionByName(rows.where("doc_id is null").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cluster")))

@@ -45,6 +45,33 @@ def test_sequences_cluster_with_their_near_copies(spark):
     assert all(got[10 * g + k] == 10 * g for g in range(3) for k in range(4)) and got[90] == 90 and got[91] == 91
 
 
+def test_clusters_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):  # drafts that grow
+        draft = fresh(400)
+        texts += [draft[:n] for n in range(100, 401, 10)]
+    for _ in range(6):  # a pair of similarity 88 / 104 beside longer texts that quote it
+        passage = fresh(100)
+        texts += [passage, [*passage[:92], *fresh(8)]]
+        texts += [[*fresh(20), *passage, *fresh(20)] for _ in range(20)]
+    rng.shuffle(texts)
+    texts = [[f"É{w}" if k % 2 else f"é{w}" for w in t] for k, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in ([w.lower() for w in t] for t in texts)]
+    least = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= 0.75 * (len(sets[a]) + len(sets[b]) - common) and least[a] != least[b]:
+                lo, hi = sorted((least[a], least[b]))
+                least = [lo if x == hi else x for x in least]
+    assert len(set(least)) == 6 + 6 * 21
+    docs = spark.createDataFrame([*((k, " ".join(t)) for k, t in enumerate(texts)), (None, " ".join(texts[0]))], "doc_id long, text string")
+    got = [(r.id, r.cluster) for r in clustering.cluster_sequences(docs).collect()]
+    assert sorted(got, key=str) == sorted([*enumerate(least), (None, None)], key=str)
+
+
 def test_blocks_give_what_the_broadcast_gives(spark, monkeypatch):
     rng = random.Random(2)
     rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(80)], "id long, vector array<double>")

@@ -1,10 +1,11 @@
-"""Helpers that the operators of this subpackage share."""
+"""Helpers that similarity and training-data operators share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,14 @@ _fallback: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names. Only a session on one machine may leave it unset; it then gets a folder of its own."""
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return _fallback
@@ -30,47 +34,42 @@ def write_once(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` under the shared folder and read it back: the rows survive a lost executor and the lineage ends here."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-#: Text that one part of a dealt table should come from: a task then holds some hundred megabytes of hashes.
-PART_BYTES = 64 << 20
-#: Parquet text is taken to be this many times larger when it is read.
-EXPANSION = 3
-#: Most parts of one exchange; inputs of over MOST_PARTS * PART_BYTES need larger executors in proportion.
-MOST_PARTS = 100_000
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``write_once`` that no later step reads. What they led to must have been written before."""
+    for table in tables:
+        store, path = fs.FileSystem.from_uri(table.written_to)
+        store.delete_dir(path)
 
 
-def shuffle_width(spark: SparkSession, source: DataFrame | None = None) -> int:
-    """Parts of an exchange: as the session sets, or more where the files that ``source`` reads are too large for that.
+def exchange_width(spark: SparkSession, parts: int | None = None) -> int:
+    """Parts of an exchange: ``parts``, or what the session sets in ``spark.sql.shuffle.partitions``.
 
-    The size is that of the plan's leaves, so neither a column choice nor a join distorts it; a leaf of unknown size
-    counts as none.
+    A task of the operators that use it holds numpy arrays of some times its part's text. Parts of 64 MB suit executors of
+    a few GB: 16,000 parts a TB. Larger executors take larger parts in proportion.
     """
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if source is None:
-        return width
-    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    known = sum(n for n in sizes if n < 1 << 60)
-    return max(width, min(-(-EXPANSION * known // PART_BYTES), MOST_PARTS))
+    return parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def hot_aware_join(facts: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
-    """Left join of ``facts`` to one row a key without letting a frequent key meet in one task.
+def salted_join(facts: DataFrame, groups: DataFrame, key: str, spread: str, counts: DataFrame | None = None, total: int | None = None, share: int = 1000) -> DataFrame:
+    """Inner join of ``facts`` to ``groups`` (one row a key) in which no task gets over about 1 / ``share`` of the facts for one key.
 
-    ``groups`` has one row a key and, in ``count``, how many fact rows hold it.
-    Keys with over ``total / share`` rows number fewer than ``share``, so they are broadcast;
-    the others are joined by a shuffle in which no key has over ``total / share`` rows.
+    Keys with more rows number fewer than ``share``. They and their number of salts are broadcast; the facts of such a key
+    are dealt over the salts by the column ``spread``, and its group row is repeated for each. ``counts`` (key, rows) and ``total``
+    spare counting.
     """
-    limit = max(1, total // share)
-    added = [c for c in groups.columns if c not in keys and c != count]
-    hot = F.broadcast(groups.where(F.col(count) > limit).select(*keys, *added, F.lit(True).alias("__hot")))
-    marked = facts.join(hot, keys, "left")
-    easy = marked.where(F.col("__hot").isNull()).drop("__hot", *added)
-    easy = easy.join(groups.where(F.col(count) <= limit).select(*keys, *added), keys, "left")
-    return marked.where(F.col("__hot")).drop("__hot").unionByName(easy)
+    counts = facts.groupBy(key).agg(F.count("*").alias("rows")) if counts is None else counts.select(key, "rows")
+    limit = max(1, (facts.count() if total is None else total) // share)
+    hot = F.broadcast(write_once(counts.where(F.col("rows") > limit).select(key, F.ceil(F.col("rows") / limit).cast("int").alias("__k")), "hot-keys"))
+    k = F.coalesce("__k", F.lit(1))
+    dealt = facts.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), k).cast("int")).drop("__k")
+    repeated = groups.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")

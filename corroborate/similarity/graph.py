@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_once
+from .common import discard, write_once
 
 _ROUNDS = 60
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     seen = current.agg(F.count("*"), mark).first()
     for _ in range(_ROUNDS):
-        current = write_once(_star(_star(current, True), False), "graph")
+        before, current = current, write_once(_star(_star(current, True), False), "graph")
+        discard(before)
         now = current.agg(F.count("*"), mark).first()
         if now == seen:
             break

@@ -13,7 +13,7 @@ import pyarrow as pa
 GROUP_BYTES = 2 << 20
 _SEGMENT = 1 << 19
 _LONG_WORD = 1 << 16
-_BASE = 0x9E3779B97F4A7C55
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 _SPACE = np.zeros(256, bool)
@@ -32,11 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     n = _SEGMENT + _LONG_WORD + 2
-    up = np.full(n, np.uint64(_BASE))
-    down = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
+    up = np.full(n, np.uint64(base))
+    down = np.full(n, np.uint64(pow(base, -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -58,8 +58,11 @@ def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int,
         first = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, in order, and the bounds of each text in that array. Words are runs without ASCII white space."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, in order, and the bounds of each text in that array. Words are runs without ASCII white space.
+
+    ``other`` gives a second hash that is independent of the first.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     letter = ~_SPACE[data]
@@ -72,14 +75,14 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.n
     after[-1], after[:-1] = False, letter[1:]
     ends = np.flatnonzero(letter & (cut[1:] | ~after)) + 1
     hashes = np.empty(len(starts), np.uint64)
-    up, down = _powers()
+    up, down = _powers(_OTHER_BASE if other else _BASE)
     k = 0
     while k < len(starts):
         begin = starts[k]
         if ends[k] - begin > _LONG_WORD:
             word = data[begin : ends[k]]
             word = _ASCII_LOWER[word] if lower else word
-            hashes[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+            hashes[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, salt=b"other" if other else b"").digest(), "little")
             k += 1
             continue
         stop = int(np.searchsorted(ends, begin + _SEGMENT, "right"))

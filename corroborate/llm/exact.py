@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ..similarity.common import shuffle_width, text_of, write_once
+from ..similarity.common import exchange_width, text_of, write_once
 from .trie import OwnerTrie
 
 _MEMBERS = "doc_id long, local_id long, local_rows long, n_bytes long, digest binary, body binary"
@@ -25,7 +25,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = OwnerTrie(budget=1 << 62)
         owners = []
         for identifier, body in zip(ids, bodies):
-            owner, _ = trie._find(body, b"")
+            owner = trie.owner(body)
             if owner.rows == 0:
                 owner.key = hashlib.sha256(body).digest()
             owner.add(identifier, 1, True)
@@ -66,7 +66,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Find the groups of equal texts; of each, the row with the largest id stays.
 
     Each input batch first collapses its own copies in a trie, so a group that holds a large part of all rows sends one
@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("body"))
     members = write_once(map_arrow(slim, _collapse, _MEMBERS), "exact-members")
-    dealt = members.where(F.col("local_rows").isNotNull()).repartition(shuffle_width(spark, docs), "n_bytes", "digest")
+    dealt = members.where(F.col("local_rows").isNotNull()).repartition(exchange_width(spark, parts), "n_bytes", "digest")
     owners = map_arrow(dealt.select("local_id", "local_rows", "digest", "body"), _owners, _OWNERS)
     named = owners.select(F.col("local_id").alias("o_id"), F.col("digest").alias("o_digest"), "keep_id", "group_size")
     joined = members.select("doc_id", "local_id", "digest").join(named, F.col("local_id").eqNullSafe(F.col("o_id")) & (F.col("digest") == F.col("o_digest")))

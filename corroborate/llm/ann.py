@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ..similarity.common import shuffle_width, write_once
+from ..similarity.common import write_once
 from ..similarity.packed import narrow, pack_arrays, unpack_arrays
 
-#: Distinct vectors of one shard: at least the first while the session's tasks are not all in use, at most the second, which
-#: bounds a task's memory. Larger shards cost a query less in all; smaller ones are built by more tasks at once.
-SHARD_ROWS, MOST_SHARD_ROWS = 2048, 16_384
+#: Distinct vectors of one shard, about: the same for every table, so recall and the cost of a vector do not change with size.
+SHARD_ROWS = 4096
 #: Neighbours a node keeps on the upper layers and on the lowest one.
 LINKS, LOW_LINKS = 12, 32
 #: Candidates followed while building and while searching.
@@ -92,26 +91,29 @@ class Graph:
         return Graph(unit.reshape(-1, int(width)), shaped, int(entry))
 
 
-def _diverse(unit: np.ndarray, node: np.ndarray, candidates: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
-    """Of candidates sorted nearest first, those nearer to the node than to any chosen one; then the nearest of the rest."""
-    out = np.full((len(node), most), -1)
-    for k in range(len(node)):
-        ids = candidates[k][candidates[k] >= 0]
-        if len(ids) <= most:
-            out[k, : len(ids)] = ids
-            continue
-        own, near = scores[k][candidates[k] >= 0], unit[ids] @ unit[ids].T
-        chosen: list[int] = []
-        for j in range(len(ids)):
-            if not chosen or near[j, chosen].max() < own[j]:
-                chosen.append(j)
-                if len(chosen) == most:
-                    break
-        if len(chosen) < most:
-            taken = set(chosen)
-            chosen += [j for j in range(len(ids)) if j not in taken][: most - len(chosen)]
-        out[k, : len(chosen)] = ids[chosen]
-    return out
+def _diverse(unit: np.ndarray, candidates: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
+    """Of each row's candidates (-1: none), sorted nearest first, those nearer to the row's node than to any chosen one; then the nearest of the rest.
+
+    All rows step through their candidates together.
+    """
+    n, width = candidates.shape
+    if width <= most:
+        return np.concatenate((candidates, np.full((n, most - width), -1)), 1)
+    vectors = unit[candidates]
+    near = vectors @ vectors.transpose(0, 2, 1)
+    there = candidates >= 0
+    chosen = np.zeros((n, width), bool)
+    closest = np.full((n, width), -np.inf, np.float32)  # of each candidate, its cosine to the nearest chosen one
+    count = np.zeros(n, np.int64)
+    for j in range(width):
+        take = there[:, j] & (count < most) & (closest[:, j] < scores[:, j])
+        chosen[:, j] = take
+        count += take
+        closest = np.where(take[:, None], np.maximum(closest, near[:, j]), closest)
+    # chosen ones first, then the rest, each in order; what there is not comes last
+    rank = np.where(chosen, 0, np.where(there, 1, 2)) * width + np.arange(width)
+    order = np.argsort(rank, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(candidates, order, 1)
 
 
 def build(unit: np.ndarray, levels: np.ndarray) -> Graph:
@@ -138,7 +140,7 @@ def build(unit: np.ndarray, levels: np.ndarray) -> Graph:
             by = np.argsort(-score, axis=1, kind="stable")[:, :BUILD_WIDTH]
             found, score = np.take_along_axis(found, by, 1), np.take_along_axis(score, by, 1)
             most = layers[k].shape[1]
-            layers[k][mine] = _diverse(unit, mine, found, score, most)
+            layers[k][mine] = _diverse(unit, found, score, most)
             _link_back(unit, layers[k], mine)
         at += len(block)
     return graph
@@ -150,17 +152,38 @@ def _link_back(unit: np.ndarray, layer: np.ndarray, mine: np.ndarray) -> None:
     source, target = np.repeat(mine, (near >= 0).sum(1)), near[near >= 0]
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
-    nodes, first = np.unique(target, return_index=True)
-    for node, new in zip(nodes.tolist(), np.split(source, first[1:])):
-        held = layer[node][layer[node] >= 0]
-        both = np.unique(np.concatenate((held, new)))
-        if len(both) > layer.shape[1]:
-            s = unit[both] @ unit[node]
-            by = np.argsort(-s, kind="stable")
-            layer[node] = _diverse(unit, np.array([node]), both[by][None, :], s[by][None, :], layer.shape[1])[0]
-        else:
-            layer[node] = -1
-            layer[node, : len(both)] = both
+    nodes, first, times = np.unique(target, return_index=True, return_counts=True)
+    place = np.arange(len(source)) - np.repeat(first, times)
+    most = layer.shape[1]
+    # nodes with few new links share a narrow table, the few hubs of a block a wide one
+    for few in (times <= 8, times > 8):
+        if not few.any():
+            continue
+        row = np.cumsum(few) - 1
+        new = np.full((int(few.sum()), int(times[few].max())), -1)
+        mine_too = np.repeat(few, times)
+        new[np.repeat(row, times)[mine_too], place[mine_too]] = source[mine_too]
+        held = layer[nodes[few]]
+        new[(new[:, :, None] == held[:, None, :]).any(2)] = -1
+        both = np.concatenate((held, new), 1)
+        score = np.where(both >= 0, np.einsum("ikj,ij->ik", unit[both], unit[nodes[few]]), -np.inf)
+        by = np.argsort(-score, axis=1, kind="stable")
+        both, score = np.take_along_axis(both, by, 1), np.take_along_axis(score, by, 1)
+        full = (both >= 0).sum(1) > most
+        chosen = both[:, :most].copy()
+        if full.any():
+            chosen[full] = _diverse(unit, both[full], score[full], most)
+        layer[nodes[few]] = chosen
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row by the power of two that brings its largest component near 1: exact, and products neither over- nor underflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
+def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosine of each row and the query, all of them ``scaled``, in double precision."""
+    return (rows @ query) / (np.linalg.norm(rows, axis=1) * np.linalg.norm(query))
 
 
 def _vectors(batch: pa.RecordBatch, column: int) -> list[np.ndarray | None]:
@@ -220,7 +243,8 @@ def _build_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for width, rows in by_width.items():
         rows.sort()
         vectors = np.frombuffer(b"".join(v for v, _ in rows), np.float64).reshape(-1, width)
-        unit = (vectors / np.linalg.norm(vectors / np.abs(vectors).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(vectors).max(1, keepdims=True)).astype(np.float32)
+        unit = scaled(vectors)
+        unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
         random = np.random.default_rng(7).random(len(rows))
         levels = np.minimum((-np.log(np.maximum(random, 1e-12)) / np.log(LINKS)).astype(int), 6)
         body = build(unit, levels).to_bytes()
@@ -237,18 +261,16 @@ def _search(k: int):
             for r in range(batch.num_rows):
                 width, graph, vectors, counts, ids, q_ids, q_vectors = (batch.column(c)[r].as_py() for c in range(7))
                 shard = Graph.from_bytes(graph)
-                whole = np.frombuffer(vectors, np.float64).reshape(-1, width)
+                whole = scaled(np.frombuffer(vectors, np.float64).reshape(-1, width))
                 edges = np.concatenate(([0], np.cumsum(np.frombuffer(counts, np.int32))))
                 members = np.frombuffer(ids, np.int64)
-                query = np.frombuffer(b"".join(q_vectors), np.float64).reshape(-1, width)
-                scale = np.abs(query).max(1, keepdims=True)
-                unit = (query / scale / np.linalg.norm(query / scale, axis=1, keepdims=True)).astype(np.float32)
+                query = scaled(np.frombuffer(b"".join(q_vectors), np.float64).reshape(-1, width))
+                unit = (query / np.linalg.norm(query, axis=1, keepdims=True)).astype(np.float32)
                 found, _ = shard.search(unit, min(SEARCH_WIDTH, len(whole)))
                 rows: list[tuple[int, int, float]] = []
-                norm = np.linalg.norm(whole, axis=1)
                 for q, (q_id, near) in enumerate(zip(q_ids, found)):
                     near = near[near >= 0]
-                    exact = np.minimum(1.0, np.maximum(-1.0, (whole[near] @ query[q]) / (norm[near] * np.linalg.norm(query[q]))))
+                    exact = cosines(whole[near], query[q])
                     best = sorted(((-s, int(i)) for s, node in zip(exact.tolist(), near.tolist()) for i in members[edges[node] : edges[node + 1]]))
                     rows.extend((q_id, i, -s) for s, i in [b for b in best if b[1] != q_id][:k])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
@@ -256,30 +278,31 @@ def _search(k: int):
     return run
 
 
-def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row a shard (and width of vectors) with its graph, its original distinct vectors and their ids; written to the shared folder."""
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     local = write_once(map_arrow(slim, _distinct(k + 1), _DISTINCT), "ann-vectors")
     rows = local.count()
-    shards = max(1, min(-(-rows // SHARD_ROWS), shuffle_width(vectors.sparkSession)), -(-rows // MOST_SHARD_ROWS))
+    shards = max(1, -(-rows // shard_rows))
     dealt = local.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
     merged = map_arrow(dealt.select("vector", "width", "ids"), _distinct(k + 1), _DISTINCT)
     merged = merged.select("vector", "width", "ids", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"))
     return write_once(map_arrow(merged, _build_shard, _SHARD), "ann-graphs")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The ``k`` rows of ``vectors`` nearest to each query by cosine, without the query's own id.
 
     Returns query_id, rank (from 1), vec_id and score: nearest first, ties to the smaller vec_id. Vectors are dealt over
     shards by content, equal ones become one node that keeps its least k + 1 ids, and each shard holds one graph over its
-    nodes. Queries go to every shard in blocks; scores are computed on the original vectors in double precision.
+    nodes. Queries go to every shard in blocks, so a search costs the queries times the shards; scores are computed on the
+    original vectors in double precision, scaled by powers of two so that no magnitude over- or underflows.
 
     Vectors that are null, empty, all zero or hold null or non-finite components take no part, neither do null ids;
     vectors of another width than the query are no candidates. Of rows that share an id and a vector one counts. Empty
     tables give an empty one. Other columns are not read.
     """
-    index = build_index(vectors, k, id_col, vector_col)
+    index = build_index(vectors, k, id_col, vector_col, shard_rows)
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +334,7 @@ def nearest_exactly(rows: list[tuple[int, list[float] | None]], query_ids: set[i
     out: dict[int, list[tuple[int, float]]] = {}
     for q, x in good:
         if q in query_ids:
-            scored = sorted((-float(x @ v / (np.linalg.norm(x) * np.linalg.norm(v))), i) for i, v in good if i != q)
+            small = scaled(np.array([x]))[0]
+            scored = sorted((-float(cosines(scaled(np.array([v])), small)[0]), i) for i, v in good if i != q and len(v) == len(x))
             out[q] = [(i, -s) for s, i in scored[:k]]
     return out

@@ -30,6 +30,8 @@ STEMS = (4, 5, 6)
 #: Words counted as the least length of a text, so that a few words cannot make a density.
 LEAST_WORDS = 10
 THRESHOLD = 0.7
+#: Most words of a lexicon, strongest first, and most exception phrases, most frequent first, that a fit takes.
+MOST_WORDS, MOST_PHRASES = 2_000, 1_000
 
 # Letters of other scripts that look like Latin ones, in the order of the Latin alphabet.
 HOMOGLYPHS = {
@@ -86,10 +88,18 @@ class Lexicon:
             start, end = end - size + 1, end + 1
             if (start and folded[start - 1].isalpha()) or (not open_end and end < len(folded) and folded[end].isalpha()):
                 continue
-            (spared if weight is None else hits).append((start, end, weight))
+            spared.append((start, end)) if weight is None else hits.append((start, end, weight))
         if not hits:
             return 0.0
-        total = sum(w for a, b, w in hits if not any(s <= a and b <= e for s, e, _ in spared))
+        # both lists in order of their starts: a word is spared if of the phrases that start before it one ends after it
+        spared.sort()
+        total, k, reach = 0.0, 0, -1
+        for start, end, weight in sorted(hits):
+            while k < len(spared) and spared[k][0] <= start:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if reach < end:
+                total += weight
         return 100.0 * total / max(len(text.split()), LEAST_WORDS)
 
 
@@ -105,10 +115,14 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     do not look like words of many.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    each = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    picked = write_once(each[0].unionByName(each[1]).dropDuplicates(["doc_id"]), "toxicity-labels")
+    agreed = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    each = [agreed.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    picked = write_once(each[0].unionByName(each[1]), "toxicity-labels")
     signed = map_arrow(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic"), _sign, "text string, toxic int, least long")
-    return write_once(signed.dropDuplicates(["least", "toxic"]).drop("least"), "toxicity-sample")
+    # an id may name many rows: they are bounded again by class
+    apart = write_once(signed.groupBy("least", "toxic").agg(F.min("text").alias("text")), "toxicity-apart")
+    each = [apart.where(F.col("toxic") == k).orderBy(F.xxhash64("least"), "least").limit(rows).select("text", "toxic") for k in (0, 1)]
+    return write_once(each[0].unionByName(each[1]), "toxicity-sample")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +162,11 @@ def _phrases(words: frozenset[str]):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = ()) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon with its weights (log ratio of smoothed document shares), and the curve from density to score."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = (), most_words: int = MOST_WORDS, most_phrases: int = MOST_PHRASES) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon with its weights (log ratio of smoothed document shares), and the curve from density to score.
+
+    The driver gets at most ``most_words`` words, ``most_phrases`` phrases and one number for each row of the sample.
+    """
     sample = _sample(docs, labels, rows)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -160,8 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
     chance = np.log(tried) / np.log((bad + good) / bad) if bad and good else np.inf
     ratio = ((F.col("toxic") + 0.5) / F.lit(bad + 1.0)) / ((F.col("clean") + 0.5) / F.lit(good + 1.0))
     chosen = counted.where((F.length("word") >= 3) & (F.col("toxic") >= F.lit(float(max(3, LEAST_SHARE * bad, min(chance, 1e9))))) & (ratio >= LEAST_RATIO))
-    most = int(1 / LEAST_SHARE) * 20
-    got = {r["word"]: float(r["w"]) for r in chosen.select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(most).collect()}
+    got = {r["word"]: float(r["w"]) for r in chosen.select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(most_words).collect()}
     weights: dict[str, float] = {}
     # strongest first, of about equal ones the shortest; what another entry matches, or what matches more than one, is left out
     for word in sorted(got, key=lambda w: (-round(got[w]), len(w), w)):
@@ -171,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
     found: list[str] = []
     if weights:
         spared = map_arrow(sample, _phrases(frozenset(weights)), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        found = [r["phrase"] for r in spared.where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(1000).collect()]
+        found = [r["phrase"] for r in spared.where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(most_phrases).collect()]
     lexicon = Lexicon(weights, sorted({*(fold(p) for p in exceptions), *found}))
     seen = _densities(sample.select("toxic", "text"), lexicon.weights, lexicon.exceptions, "toxic int").collect()
     x = np.log1p(np.array([r["density"] for r in seen], float))
@@ -199,7 +215,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exc
     text alone. Phrases that clean documents hold and toxic ones do not, and ``exceptions``, spare the word in them.
 
     A null or empty text has density 0. A null id is never held out. Rows that share an id are scored each. Labels other than 0 and 1 are
-    ignored; without labels every score is one half. An empty table gives an empty one. Other columns are not read.
+    ignored, as are those of an id whose labels disagree; without labels every score is one half. An empty table gives an empty one. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     lexicon, curve = learn(slim, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), rows, exceptions)

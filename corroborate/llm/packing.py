@@ -26,7 +26,7 @@ RELEASED = 8
 ROUNDS = 2
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = _PIECES + ", part int, bin int, offset long, released boolean, gap int"
+_PACKED = _PIECES + ", row long, part int, bin int, offset long, released boolean, gap int"
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -132,7 +132,7 @@ def _pack_parts(pieces: DataFrame, rows: int, capacity: int, salt: int) -> DataF
         whole = pa.Table.from_batches(list(batches), schema=None) if (batches := [b for b in batches if b.num_rows]) else None
         if whole is None:
             return
-        whole = whole.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        whole = whole.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         lengths = whole.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         gap = len(room) - lower_bound(lengths, capacity)
@@ -142,9 +142,10 @@ def _pack_parts(pieces: DataFrame, rows: int, capacity: int, salt: int) -> DataF
         released &= room > 0
         whole = whole.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offsets))
         whole = whole.append_column("released", pa.array(released[bins])).append_column("gap", pa.array(np.full(len(bins), gap, np.int32)))
-        yield from whole.select(["doc_id", "piece", "start", "length", "ids_crc32", "part", "bin", "offset", "released", "gap"]).to_batches(10_000)
+        yield from whole.select(["doc_id", "piece", "start", "length", "ids_crc32", "row", "part", "bin", "offset", "released", "gap"]).to_batches(10_000)
 
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(max(parts, 1))).cast("int"))
+    # rows may share an id, or have none: the checksum, and a number that was drawn when the pieces were written, spread them
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "row", F.lit(salt)), F.lit(max(parts, 1))).cast("int"))
     return map_arrow(dealt.repartitionById(max(parts, 1), F.col("part")), run, _PACKED)
 
 
@@ -155,7 +156,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The other parts release their emptiest bins, whose pieces meet in new parts and are packed again; what comes back is
     taken if it needs fewer bins.
     """
-    pieces = write_once(pieces, "pack-pieces")
+    columns = pieces.columns
+    pieces = write_once(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     settled: list[DataFrame] = []
     current = pieces
     rows = current.count()
@@ -178,14 +180,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select(*pieces.columns, "sequence_id", "offset")
+    return out.select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise documents, cut those over the capacity and pack all pieces into few sequences.
 
     Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only lengths travel: the texts
-    are read once, in place. An added token that stands in a text is its one id. A null or empty text is its end id alone. Rows that share an id are packed each. An empty
-    table gives an empty one. Other columns are not read. A very long text becomes many pieces, all but the first full.
+    are read once, in place. An added token that stands in a text is its one id. A null or empty text is its end id alone.
+    Rows that share an id, or have none, are packed each. An empty table gives an empty one. Other columns are not read. A
+    very long text becomes many pieces, all but the first full.
     """
     return pack(tokenize_pieces(docs, vocabulary or tokenizer_files(), capacity, id_col, text_col), capacity)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ..similarity.common import fresh_path, shuffle_width, write_once
+from ..similarity.common import exchange_width, fresh_path, salted_join, write_once
 
 _INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -22,28 +24,36 @@ _READ = "page_id long, url string, payload_bytes long, payload_digest string, re
 NEAR_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 
+_CONTROL = re.compile("[\\x00-\\x20\\x7f]")
 
-def _one_line(value: object) -> str:
-    return "" if value is None else str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
+def target_uri(url: str | None) -> str:
+    """The address as it stands; only what would break a header line, blanks and control characters, is percent-encoded."""
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One gzip member that holds one WARC/1.1 record."""
-    body = b"" if is_revisit else payload
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One gzip member that holds one WARC/1.1 record: a revisit if it refers to another page, else a response."""
+    body = b"" if refers_to is not None else payload
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{_one_line(page_id)}>",
-        f"WARC-Target-URI: {_one_line(url)}",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {target_uri(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
     ]
-    if is_revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{_one_line(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    if refers_to is not None:
+        lines += [f"WARC-Refers-To: {_record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", ""]
     return gzip.compress("\r\n".join(lines).encode("utf-8", "surrogateescape") + body + b"\r\n\r\n", 6, mtime=0)
 
 
+def _record_id(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and body of one record."""
     whole = gzip.decompress(member)
@@ -62,47 +72,44 @@ def payload_of(column: str = "html") -> Column:
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
 
 
-def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to) of the records whose payload a smaller page_id has too. Payloads stay where they are."""
-    slim = pages.select(F.col(id_col).cast("long").alias("r_id"), F.sha1(payload_of(html_col)).alias("digest"), F.octet_length(payload_of(html_col)).alias("n"))
-    slim = slim.where((F.col("n") >= min_bytes) & F.col("r_id").isNotNull())
-    groups = slim.groupBy("digest", "n").agg(F.min("r_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
+def revisits(slim: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, digest, refers_to) of the records whose payload a smaller page_id has too, each once. Payloads are not read."""
+    slim = slim.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct()
+    groups = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
     many = write_once(groups, "warc-groups")
-    # of groups with over a thousandth of all rows there are fewer than a thousand: these are broadcast, the others shuffled
-    limit = max(1, slim.count() // 1000)
-    hot = slim.join(F.broadcast(many.where(F.col("rows") > limit)), ["digest", "n"])
-    rest = slim.join(F.broadcast(many.where(F.col("rows") > limit).select("digest", "n")), ["digest", "n"], "left_anti").join(many.where(F.col("rows") <= limit), ["digest", "n"])
-    found = hot.unionByName(rest).where(F.col("r_id") != F.col("refers_to"))
-    return found.select("r_id", F.col("digest").alias("r_digest"), "refers_to").distinct()
+    found = salted_join(slim, many.select("digest", "refers_to"), "digest", "page_id", counts=many)
+    return found.where(F.col("page_id") != F.col("refers_to"))
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Write one archive a task into the shared folder and return the index: a row a record with its archive and byte range.
 
-    A task that is tried again writes another archive; the index names those of the tries that counted.
+    A task that is tried again writes another archive; the index names those of the tries that counted. Payloads are equal
+    if their SHA-256 is. ``date`` is the capture date of all records, by default the time of writing.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
-    known = revisits(pages, id_col, html_col, min_bytes)
+    captured = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload_of(html_col).alias("payload"))
-    # by id and digest: rows that share an id may differ in payload
-    digested = slim.withColumn("digest", F.sha1("payload"))
-    joined = digested.join(known, (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "refers_to", "digest")
+    digested = slim.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    known = revisits(digested.select("page_id", "digest", F.octet_length("payload").alias("n")), min_bytes)
+    # by id and digest: rows that share an id may differ in payload; rows without an id are responses, and join with nothing
+    named = digested.where("page_id is not null").join(known, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    joined = named.unionByName(digested.where("page_id is null").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         out, name, at = None, f"part-{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
             rows = []
-            for page_id, url, payload, refers_to, sha1 in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for page_id, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                is_revisit = refers_to is not None and refers_to != page_id
-                member = record(page_id, url, payload, digest, refers_to, is_revisit)
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                member = record(page_id, url, payload, digest, refers_to, captured)
                 out.write(member)
-                rows.append((page_id, url, len(payload), digest, "revisit" if is_revisit else "response", refers_to if is_revisit else None, name, at, len(member)))
+                rows.append((page_id, url, len(payload), digest, "response" if refers_to is None else "revisit", refers_to, name, at, len(member)))
                 at += len(member)
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -136,8 +143,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 block = source.read_at(size, begin)
                 for at, n, page_id, url in rows[first:end]:
                     headers, body = parse(block[at - begin : at - begin + n])
-                    if headers["WARC-Record-ID"] != f"<urn:page:{_one_line(page_id)}>":
-                        raise ValueError(f"the index names page {page_id}, the archive {headers['WARC-Record-ID']}")
+                    if headers["WARC-Record-ID"] != _record_id(page_id) or headers["WARC-Target-URI"] != target_uri(url):
+                        raise ValueError(f"the index names page {page_id} at {url}, the archive {headers['WARC-Record-ID']} at {headers['WARC-Target-URI']}")
                     digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                     if kind == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                         raise ValueError(f"the payload of page {page_id} differs from its digest")
@@ -171,7 +178,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
         yield from flush(archive, rows)
 
     slim = index.select("archive", "offset", "length", "page_id", "url")
-    dealt = slim.repartition(shuffle_width(index.sparkSession), "archive").sortWithinPartitions("archive", "offset")
+    dealt = slim.repartition(exchange_width(index.sparkSession), "archive").sortWithinPartitions("archive", "offset")
     return map_arrow(dealt, run, _READ)
 
 

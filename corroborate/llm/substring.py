@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ..similarity.common import shuffle_width, text_of, write_once
+from ..similarity.common import discard, exchange_width, text_of, write_once
 from ..similarity.packed import SCHEMA, batch_of, by_group, deal, narrow, pack_arrays, release, unpack_arrays
 from ..similarity.words import inside, mix, text_groups, window_hashes, word_hashes
 
@@ -29,93 +30,83 @@ _LOW = np.uint64((1 << 40) - 1)
 _ANCHORS, _SHARED, _WINDOWS, _FLAGGED, _TEXTS = 0, 1, 2, 3, 4
 
 
-def doc_part(ids: np.ndarray, width: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(width)).astype(np.int64)
+NO_ID = -(1 << 63)
 
 
-def text_tag(text: bytes) -> int:
-    """Tells the texts of one id apart; 0 stands for the only text of its id."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") or 1
+def doc_names(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each document, that is of its id and its text; it also deals the documents over parts."""
+    return mix(mix(ids.view(np.uint64)) + hashes.view(np.uint64))
 
 
-def _tags(tags: np.ndarray) -> list[np.ndarray]:
-    """What a row holds of these tags: nothing, unless an id has several texts."""
-    return [tags] if tags.any() else []
+def _doc_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (a null one as the least), text hashes and names of the rows of (doc_id, text, hash)."""
+    ids, hashes = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(2).to_numpy()
+    return ids, hashes, doc_names(ids, hashes)
 
 
-def _by_doc(kind: int, ids: np.ndarray, places: np.ndarray, width: int, tags: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
-    """Rows (one a part of documents) that tell documents of places in them."""
-    if not len(ids):
+def _by_doc(kind: int, names: np.ndarray, ids: np.ndarray | None, places: np.ndarray, width: int) -> list[tuple[int, int, bytes]]:
+    """Rows (one a part of documents) that tell documents, by name and, if given, id, of places in them."""
+    if not len(names):
         return []
-    part = doc_part(ids, width)
-    order = np.lexsort((places, ids, part))
-    ids, places, part = ids[order], places[order], part[order]
-    tags = None if tags is None else tags[order]
+    part = (names % np.uint64(width)).astype(np.int64)
+    order = np.lexsort((places, names, part))
+    names, places, part = names[order], places[order], part[order]
     rows = []
     for a, c in zip(*(x.tolist() for x in by_group(part))):
-        held, times = by_group(ids[a : a + c])
-        more = [] if tags is None else _tags(tags[a : a + c])
-        rows.append((int(part[a]), kind, pack_arrays(ids[a : a + c][held], narrow(times), narrow(places[a : a + c]), *more)))
+        held, times = by_group(names[a : a + c])
+        more = [] if ids is None else [ids[order[a : a + c][held]]]
+        rows.append((int(part[a]), kind, pack_arrays(names[a : a + c][held], narrow(times), narrow(places[a : a + c]), *more)))
     return rows
 
 
 def _from_doc_rows(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Ids (sorted, distinct), bounds, places and, if there are any, tags of all rows of one part."""
-    ids, places, tags = [], [], []
+    """Names (sorted, distinct), bounds and places of all rows of one part, and the ids if they hold them."""
+    names, places, ids = [], [], []
     for payload in payloads:
-        held, times, at, *tag = unpack_arrays(payload)
-        ids.append(np.repeat(held, times))
+        held, times, at, *more = unpack_arrays(payload)
+        names.append(np.repeat(held, times))
         places.append(at.astype(np.int64))
-        tags.append(tag[0] if tag else None)
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), None
-    one, two, three = np.concatenate(ids), np.concatenate(places), _joined(tags, places)
+        if more:
+            ids.append(np.repeat(more[0], times))
+    if not names:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), None
+    one, two = np.concatenate(names), np.concatenate(places)
     order = np.lexsort((two, one))
     one, two = one[order], two[order]
     first, _ = by_group(one)
-    return one[first], np.append(first, len(one)), two, None if three is None else three[order]
+    return one[first], np.append(first, len(one)), two, np.concatenate(ids)[order][first] if ids else None
 
 
-def _joined(tags: list[np.ndarray | None], beside: list[np.ndarray]) -> np.ndarray | None:
-    if all(t is None for t in tags):
-        return None
-    return np.concatenate([np.zeros(len(b), np.uint64) if t is None else t for t, b in zip(tags, beside)])
-
-
-def _sorted_windows(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, tags: np.ndarray | None) -> tuple:
-    """The windows by value, document and start; which of them stand later than the first of their value; which to send on.
-
-    Of each value the first is sent on. Where texts share an id it may stand in several of them, and each is.
-    """
-    order = np.lexsort((starts, ids, hashes) if tags is None else (tags, starts, ids, hashes))
-    ids, starts, hashes = ids[order], starts[order], hashes[order]
-    first, count = by_group(hashes)
-    later = (ids != np.repeat(ids[first], count)) | (starts != np.repeat(starts[first], count))
-    if tags is None:
-        return ids, starts, hashes, None, later, first
-    tags = tags[order]
-    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (tags[1:] != tags[:-1])))
-    return ids, starts, hashes, tags, later, np.flatnonzero(~later & new)
+def _sorted_windows(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order of windows by value (two hashes), document and start; which stand later than the first of their value; those firsts."""
+    order = np.lexsort((starts, texts, ids, two, one))
+    ids, texts, starts, one, two = ids[order], texts[order], starts[order], one[order], two[order]
+    head = np.ones(len(one), bool)
+    head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    first = np.flatnonzero(head)
+    lead = np.repeat(first, np.diff(np.append(first, len(one))))
+    later = (ids != ids[lead]) | (texts != texts[lead]) | (starts != starts[lead])
+    return order, later, first
 
 
 def _deal_anchors(width: int):
     """Map side: anchors at cover positions. One that stands twice in these texts is shared; one of each value is sent on."""
 
-    def emit(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(names: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(hashes, kind="stable")
-        ids, places, hashes = ids[order], places[order], hashes[order]
+        names, places, hashes = names[order], places[order], hashes[order]
         first, count = by_group(hashes)
         shared = np.repeat(count > 1, count)
-        yield batch_of(_by_doc(_SHARED, ids[shared], places[shared], width))
-        ids, places, hashes, known = ids[first], places[first], hashes[first], (count > 1).astype(np.uint8)
+        yield batch_of(_by_doc(_SHARED, names[shared], None, places[shared], width))
+        names, places, hashes, known = names[first], places[first], hashes[first], (count > 1).astype(np.uint8)
         part = ((hashes >> np.uint64(40)) % np.uint64(width)).astype(np.int64)
-        order = np.lexsort((ids, part))
-        ids, places, hashes, known, part = (x[order] for x in (ids, places, hashes, known, part))
+        order = np.lexsort((names, part))
+        names, places, hashes, known, part = (x[order] for x in (names, places, hashes, known, part))
         rows = []
         for a, c in zip(*(x.tolist() for x in by_group(part))):
-            held, times = by_group(ids[a : a + c])
+            held, times = by_group(names[a : a + c])
             low = hashes[a : a + c] & _LOW
-            rows.append((int(part[a]), _ANCHORS, pack_arrays(ids[a : a + c][held], narrow(times), narrow(places[a : a + c]), (low >> np.uint64(8)).astype(np.uint32), low.astype(np.uint8), known[a : a + c])))
+            rows.append((int(part[a]), _ANCHORS, pack_arrays(names[a : a + c][held], narrow(times), narrow(places[a : a + c]), (low >> np.uint64(8)).astype(np.uint32), low.astype(np.uint8), known[a : a + c])))
             if len(rows) == 64:
                 yield batch_of(rows)
                 rows = []
@@ -126,7 +117,7 @@ def _deal_anchors(width: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         gathered = 0
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            _, _, doc = _doc_columns(batch)
             for first, end, data, bounds in text_groups(batch, 1):
                 words, at = word_hashes(data, bounds, lower=False)
                 n = np.diff(at)
@@ -157,8 +148,8 @@ def _match_anchors(width: int):
                 if kind == _SHARED:
                     rows.append((part, kind, payload))
                     continue
-                ids, times, places, high, low, known = unpack_arrays(payload)
-                got.append([np.repeat(ids, times), places.astype(np.uint32), (high.astype(np.uint64) << np.uint64(8)) | low, known])
+                names, times, places, high, low, known = unpack_arrays(payload)
+                got.append([np.repeat(names, times), places.astype(np.uint32), (high.astype(np.uint64) << np.uint64(8)) | low, known])
             if rows:
                 yield batch_of(rows)
         if not got:
@@ -168,8 +159,8 @@ def _match_anchors(width: int):
         low = low[order]
         again = low[1:] == low[:-1]
         several = order[np.concatenate((again, [False])) | np.concatenate(([False], again))]
-        ids, places, known = (np.concatenate([g[k] for g in got])[several] for k in (0, 1, 3))
-        yield batch_of(_by_doc(_SHARED, ids[known == 0], places[known == 0], width))
+        names, places, known = (np.concatenate([g[k] for g in got])[several] for k in (0, 1, 3))
+        yield batch_of(_by_doc(_SHARED, names[known == 0], None, places[known == 0], width))
 
     return run
 
@@ -180,19 +171,19 @@ def _deal_texts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
 
-        def emit(held: dict[int, list[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
+        def emit(held: dict[int, list[tuple[int, int, bytes]]]) -> Iterator[pa.RecordBatch]:
             for part, docs in held.items():
-                ids = np.array([d for d, _ in docs], np.int64)
-                sizes = np.array([len(t) for _, t in docs], np.int64)
-                body = squeeze.compress(b"".join(t for _, t in docs))
-                yield batch_of([(part, _TEXTS, pack_arrays(ids, sizes, np.frombuffer(body, np.uint8)))])
+                ids, hashes = (np.array([d[k] for d in docs], np.int64) for k in range(2))
+                sizes = np.array([len(t) for _, _, t in docs], np.int64)
+                body = squeeze.compress(b"".join(t for _, _, t in docs))
+                yield batch_of([(part, _TEXTS, pack_arrays(ids, hashes, sizes, np.frombuffer(body, np.uint8)))])
 
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        held: dict[int, list[tuple[int, int, bytes]]] = {}
         gathered = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for doc, part, text in zip(ids.tolist(), doc_part(ids, width).tolist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                held.setdefault(part, []).append((doc, text))
+            ids, hashes, names = _doc_columns(batch)
+            for doc, tag, part, text in zip(ids.tolist(), hashes.tolist(), (names % np.uint64(width)).tolist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                held.setdefault(part, []).append((doc, tag, text))
                 gathered += len(text)
                 if gathered >= FLUSH_BYTES:
                     yield from emit(held)
@@ -202,10 +193,10 @@ def _deal_texts(width: int):
     return run
 
 
-def _texts_of(payload: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    ids, sizes, body = unpack_arrays(payload)
+def _texts_of(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    ids, hashes, sizes, body = unpack_arrays(payload)
     text = zstandard.ZstdDecompressor().decompress(body.tobytes(), max_output_size=int(sizes.sum()))
-    return ids, np.concatenate(([0], np.cumsum(sizes))), text
+    return ids, hashes, np.concatenate(([0], np.cumsum(sizes))), text
 
 
 def _extend(width: int):
@@ -213,47 +204,38 @@ def _extend(width: int):
 
     def one_part(shared: list[bytes], texts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         known, edges, places, _ = _from_doc_rows(shared)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        tags: list[int] = []
-        one_tag: dict[int, int] = {}
-        several: set[int] = set()
+        found: list[tuple[np.ndarray, ...]] = []
         for payload in texts:
-            ids, bounds, body = _texts_of(payload)
-            at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
-            hit = np.flatnonzero(known[at] == ids) if len(known) else []
-            for k in hit:
+            ids, hashes, bounds, body = _texts_of(payload)
+            names = doc_names(ids, hashes)
+            at = np.minimum(np.searchsorted(known, names), max(len(known) - 1, 0))
+            for k in np.flatnonzero(known[at] == names) if len(known) else []:
                 data = np.frombuffer(body, np.uint8, int(bounds[k + 1] - bounds[k]), int(bounds[k]))
-                words, _ = word_hashes(data, np.array([0, len(data)]), lower=False)
+                ends = np.array([0, len(data)])
+                words, _ = word_hashes(data, ends, lower=False)
                 n = len(words) - WINDOW + 1
-                if n <= 0:
-                    continue
-                mark = np.zeros(len(words) + PERIOD + 1, np.int32)
                 told = places[edges[at[k]] : edges[at[k] + 1]]
-                mark[told[told < len(words)]] = 1  # other texts of this id may be longer
+                if n <= 0 or told[-1] >= len(words):
+                    continue  # a shorter text is not the one that was meant, in spite of its name
+                mark = np.zeros(len(words) + PERIOD + 1, np.int32)
+                mark[told] = 1
                 total = np.concatenate(([0], np.cumsum(mark)))
                 starts = np.flatnonzero(total[PERIOD : PERIOD + n] > total[:n])
-                found.append((np.full(len(starts), ids[k]), starts, window_hashes(words, WINDOW)[starts]))
-                tags.append(text_tag(data.tobytes()))
-                if one_tag.setdefault(int(ids[k]), tags[-1]) != tags[-1]:
-                    several.add(int(ids[k]))
+                again, _ = word_hashes(data, ends, lower=False, other=True)
+                found.append((np.full(len(starts), ids[k]), np.full(len(starts), hashes[k]), starts, window_hashes(words, WINDOW)[starts], window_hashes(again, WINDOW)[starts]))
         if not found:
             return
-        tag = None
-        if several:
-            tag = np.concatenate([np.full(len(f[0]), t if len(f[0]) and int(f[0][0]) in several else 0, np.uint64) for f, t in zip(found, tags)])
-        ids, starts, hashes = (np.concatenate(x) for x in zip(*found))
-        ids, starts, hashes, tag, later, on = _sorted_windows(ids, starts, hashes, tag)
-        yield batch_of(_by_doc(_FLAGGED, ids[later], starts[later], width, None if tag is None else tag[later]))
-        ids, starts, hashes, tag = ids[on], starts[on], hashes[on], None if tag is None else tag[on]
-        part = ((hashes >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
-        order = np.lexsort((ids, part))
-        ids, starts, hashes, part = ids[order], starts[order], hashes[order], part[order]
-        tag = None if tag is None else tag[order]
+        ids, tags, starts, one, two = (np.concatenate(x) for x in zip(*found))
+        order, later, first = _sorted_windows(ids, tags.view(np.uint64), starts, one, two)
+        gone, on = order[later], order[first]
+        yield batch_of(_by_doc(_FLAGGED, doc_names(ids[gone], tags[gone]), ids[gone], starts[gone], width))
+        part = ((one[on] >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
+        again = np.lexsort((tags[on], ids[on], part))
+        on, part = on[again], part[again]
         rows = []
         for a, c in zip(*(x.tolist() for x in by_group(part))):
-            held, times = by_group(ids[a : a + c])
-            more = [] if tag is None else _tags(tag[a : a + c])
-            rows.append((int(part[a]), _WINDOWS, pack_arrays(ids[a : a + c][held], narrow(times), narrow(starts[a : a + c]), hashes[a : a + c], *more)))
+            mine = on[a : a + c]
+            rows.append((int(part[a]), _WINDOWS, pack_arrays(ids[mine], tags[mine], narrow(starts[mine]), one[mine], two[mine])))
         yield batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,23 +270,23 @@ def _first_windows(width: int):
     """Reduce side: of each window value the least (document, start) stays, the others are flagged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, tags = [], []
+        got = []
         for batch in batches:
             rows = []
             for part, kind, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if kind == _FLAGGED:
                     rows.append((part, kind, payload))
-                    continue
-                ids, times, starts, hashes, *tag = unpack_arrays(payload)
-                got.append((np.repeat(ids, times), starts.astype(np.int64), hashes))
-                tags.append(tag[0] if tag else None)
+                else:
+                    ids, tags, starts, one, two = unpack_arrays(payload)
+                    got.append((ids, tags, starts.astype(np.int64), one, two))
             if rows:
                 yield batch_of(rows)
         if not got:
             return
-        ids, starts, hashes = (np.concatenate(x) for x in zip(*got))
-        ids, starts, hashes, tag, later, _ = _sorted_windows(ids, starts, hashes, _joined(tags, [g[1] for g in got]))
-        yield batch_of(_by_doc(_FLAGGED, ids[later], starts[later], width, None if tag is None else tag[later]))
+        ids, tags, starts, one, two = (np.concatenate(x) for x in zip(*got))
+        order, later, _ = _sorted_windows(ids, tags.view(np.uint64), starts, one, two)
+        gone = order[later]
+        yield batch_of(_by_doc(_FLAGGED, doc_names(ids[gone], tags[gone]), ids[gone], starts[gone], width))
 
     return run
 
@@ -314,27 +296,25 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept s
 
 def _cut_out(with_text: bool):
     def one_part(flagged: list[bytes], texts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-        known, edges, starts, tags = _from_doc_rows(flagged)
+        known, edges, starts, whose = _from_doc_rows(flagged)
         table = {d: k for k, d in enumerate(known.tolist())}
         out: list[tuple] = []
         size = 0
         for payload in texts:
-            ids, bounds, body = _texts_of(payload)
-            for k, doc in enumerate(ids.tolist()):
+            ids, hashes, bounds, body = _texts_of(payload)
+            for k, (doc, name) in enumerate(zip(ids.tolist(), doc_names(ids, hashes).tolist())):
                 words = body[bounds[k] : bounds[k + 1]].split()
-                n, at = len(words), table.get(doc)
-                if at is not None:
+                n, at = len(words), table.get(name)
+                if at is not None and whose[at] == doc:
                     cover = np.zeros(n + WINDOW + 1, np.int32)
                     mine = starts[edges[at] : edges[at + 1]]
-                    if tags is not None and (meant := tags[edges[at] : edges[at + 1]]).any():
-                        mine = mine[meant == np.uint64(text_tag(body[bounds[k] : bounds[k + 1]]))]
                     mine = mine[mine + WINDOW <= n]
                     np.add.at(cover, mine, 1)
                     np.add.at(cover, mine + WINDOW, -1)
                     keep = np.cumsum(cover)[:n] == 0
                     words = [w for w, ok in zip(words, keep.tolist()) if ok]
                 kept = b" ".join(words)
-                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
+                out.append((None if doc == NO_ID else doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
                 size += len(kept) if with_text else 100
                 if size > 4 << 20:
                     yield _result_batch(out)
@@ -353,37 +333,39 @@ def _result_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, parts: int | None = None) -> DataFrame:
     """Remove each word that lies in a window of 20 words whose sequence also starts earlier in the corpus.
 
     Earlier is a smaller id, or the same id and a smaller start. Returns doc_id, n_words, n_removed, kept_sha256 and, with
     ``with_text``, the kept words as ``kept`` (else null).
 
     Anchors of 8 words are hashed at positions whose residue modulo 13 is in a difference cover, so two equal windows share
-    an anchor at the same shift. Windows that hold an anchor which stands twice are hashed in full; of each value the first
-    stays. Both exchanges send one entry a value and task, so a passage in a large part of all texts costs a task one entry
-    for each task. Texts travel compressed, twice.
-
-    A null text has no words. Rows that share an id are not earlier than one another at the same start; each loses what is
-    repeated in its own text. A null id counts as 0. Texts of fewer than 20 words lose nothing. An empty table gives an empty
-    one. Other columns are not read. Windows are compared by 64-bit hashes.
+    an anchor at the same shift. Windows that hold an anchor which stands twice are compared whole, by two independent 64-bit
+    hashes of their words; of each value the first stays. Both exchanges send one entry a value and task, so a passage in a
+    large part of all texts costs a task one entry for each task. Texts travel compressed, twice.
+
+    A null text has no words. A null id stays null and ranks before every other (the least long, which stands for it inside,
+    comes out as null too). Texts that share an id, or have none, rank by a hash of the text (XXH64, seed 42, unsigned);
+    rows that share id and text lose the same words. Texts of fewer than 20 words lose nothing. An empty table gives an
+    empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    width = shuffle_width(spark, docs)
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), text_of(text_col).alias("text"))
+    width = exchange_width(spark, parts)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     shared = write_once(deal(map_arrow(slim, _deal_anchors(width), SCHEMA), _match_anchors(width), width), "windows-shared")
     release(docs)
     texts = map_arrow(slim, _deal_texts(width), SCHEMA)
     windows = deal(shared.unionByName(texts), _extend(width), width)
     flagged = write_once(deal(windows, _first_windows(width), width), "windows-flagged")
     release(docs)
+    discard(shared)
     return deal(flagged.unionByName(map_arrow(slim, _deal_texts(width), SCHEMA)), _cut_out(with_text), width, _RESULT)
 
 
-def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple[int, int, int, str]]:
+def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, int, int, str]]:
     """The same result by a dictionary of all windows, for tests on small tables."""
-    texts = [(0 if d is None else d, [w for w in (t or "").encode().split()]) for d, t in rows]
-    least: dict[tuple, tuple[int, int]] = {}
+    texts = [((NO_ID if d is None else d, xxhash.xxh64_intdigest((t or "").encode(), 42)), (t or "").encode().split()) for d, t in rows]
+    least: dict[tuple, tuple] = {}
     for doc, words in texts:
         for k in range(len(words) - WINDOW + 1):
             key = tuple(words[k : k + WINDOW])
@@ -395,5 +377,5 @@ def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple[int, in
             if least[tuple(words[k : k + WINDOW])] < (doc, k):
                 gone.update(range(k, k + WINDOW))
         kept = b" ".join(w for k, w in enumerate(words) if k not in gone)
-        out.append((doc, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
+        out.append((None if doc[0] == NO_ID else doc[0], len(words), len(gone), hashlib.sha256(kept).hexdigest()))
     return out

@@ -21,8 +21,6 @@ FIT_ROWS = 10_000
 BROADCAST_SITES = 200_000
 #: Documents whose posterior is under this are rejected.
 THRESHOLD = 0.5
-#: Most that a site can move a document's log odds, so that a site alone cannot reject a clean text.
-SITE_LIMIT = 2.0
 
 # Byte classes, tabulated once: white space, lower case, upper case, digits, marks of prose, other ASCII signs, beyond ASCII.
 _CLASS = np.full(256, 6, np.uint8)
@@ -81,15 +79,18 @@ def _rows_features(batch: pa.RecordBatch, column: int) -> np.ndarray:
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
     """Weights of the document classifier, fitted on a bounded sample whose features alone reach the driver."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    each = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    picked = write_once(each[0].unionByName(each[1]).dropDuplicates(["doc_id"]), "quality-labels")
-    shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    agreed = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    each = [agreed.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    picked = write_once(each[0].unionByName(each[1]), "quality-labels")
+    shares = {r["quality"]: r["n"] for r in agreed.groupBy("quality").agg(F.count("*").alias("n")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(_rows_features(batch, 1)), pa.list_(pa.float64())), batch.column(0)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(_rows_features(batch, 2)), pa.list_(pa.float64())), batch.column(0), batch.column(1)], names=["x", "doc_id", "y"])
 
-    got = map_arrow(docs.join(F.broadcast(picked), "doc_id").select("quality", "text"), run, "x array<double>, y int").collect()
+    seen = map_arrow(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text"), run, "x array<double>, doc_id long, y int")
+    # an id may name many rows: one is taken
+    got = seen.groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
     x, y = np.array([r["x"] for r in got], float).reshape(len(got), FEATURES), np.array([r["y"] for r in got], float)
     weights = logistic.fit(x, y, ridge=0.01)
     if len(y) and 0 < y.mean() < 1 and len(shares) == 2:
@@ -98,16 +99,17 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
     return weights
 
 
-def add_evidence(docs: DataFrame, weights: np.ndarray, text_col: str, name: str) -> DataFrame:
-    """All columns of ``docs`` and the document's own probability of good quality."""
+def add_evidence(docs: DataFrame, weights: np.ndarray, text_col: str, name: str, keep_text: bool) -> DataFrame:
+    """The columns of ``docs``, without the text unless ``keep_text``, and the document's own probability of good quality."""
     at = docs.columns.index(text_col)
+    left = [k for k in range(len(docs.columns)) if keep_text or k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.clip(logistic.predict(weights, _rows_features(batch, at)), 1e-6, 1 - 1e-6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in left), pa.array(p)], names=[*(batch.schema.names[k] for k in left), name])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_arrow(docs, run, T.StructType([*(docs.schema.fields[k] for k in left), T.StructField(name, T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, mean: Column, inner: Column) -> float:
@@ -129,19 +131,39 @@ def _strength(groups: DataFrame, mean: Column, inner: Column) -> float:
     return float(min(max(row["spread"] / row["all"] / between - 1.0, 1.0), 1e6))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """A row a (host, path): posterior means of both, paths shrunk towards their host and hosts towards the corpus."""
+def site_sums(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """A row a (host, path) with the counts and sums of evidence of both, and what holds for all: mean and prior strengths."""
     paths = write_once(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     variance = F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     totals = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(totals["s"] / totals["n"]) if totals["n"] else 0.5
-    k_host = _strength(hosts, F.lit(mean), variance)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.lit(k_host * mean) + F.col("s")) / (F.lit(k_host) + F.col("n"))).alias("p_host"))
-    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k_path = _strength(both, F.col("p_host"), variance)
-    posterior = (F.lit(k_path) * F.col("p_host") + F.col("s")) / (F.lit(k_path) + F.col("n"))
-    return write_once(both.select("host", "path", "p_host", posterior.alias("p_path"), F.lit(mean).alias("p_all")), "quality-sites")
+    fitted = {"mean": mean, "host": _strength(hosts, F.lit(mean), variance)}
+    named = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    both = write_once(paths.join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "quality-sites")
+    p_host = (F.lit(fitted["host"] * mean) + F.col("host_s")) / (F.lit(fitted["host"]) + F.col("host_n"))
+    fitted["path"] = _strength(both, p_host, variance)
+    return both.select("host", "path", "n", "s", "host_n", "host_s"), fitted
+
+
+def posteriors(fitted: dict[str, float], own: Column | float = 0.0, one: int = 0) -> tuple[Column, Column]:
+    """Posterior means of host and path from their sums, without ``own``, the evidence of ``one`` document of theirs.
+
+    A host is shrunk towards the corpus, a path towards its host: a site without other documents says what is above it.
+    """
+    own = own if isinstance(own, Column) else F.lit(own)
+    k_host, k_path = F.lit(fitted["host"]), F.lit(fitted["path"])
+    host = (k_host * fitted["mean"] + F.greatest(F.col("host_s") - own, F.lit(0.0))) / (k_host + F.col("host_n") - one)
+    path = (k_path * host + F.greatest(F.col("s") - own, F.lit(0.0))) / (k_path + F.col("n") - one)
+    clip = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    return clip(host), clip(path)
+
+
+def site_posteriors(scored: DataFrame) -> DataFrame:
+    """A row a (host, path) of ``scored`` (host, path, p): posterior means of both, and the corpus mean."""
+    sites, fitted = site_sums(scored)
+    host, path = posteriors(fitted)
+    return sites.select("host", "path", host.alias("p_host"), path.alias("p_path"), F.lit(fitted["mean"]).alias("p_all"))
 
 
 def _log_odds(p: Column) -> Column:
@@ -157,33 +179,38 @@ def classify_quality(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Posterior probability that each document is of good quality, and whether it stays.
 
     A classifier over byte shares, fitted on at most ``rows`` labels of each class, gives each document its own evidence.
-    Means of that evidence by host and by path, over all documents, are shrunk: a path towards its host, a host towards
-    the corpus, by strengths that the spread of the means determines. The path's posterior then moves the document's log
-    odds from the corpus mean, by at most SITE_LIMIT. ``host`` and ``path`` default to ``source`` and ``lang``.
-
-    Returns all columns of ``docs`` with p_document, p_host, p_path, p_quality and keep (columns of these names are
-    replaced). A null or empty text has the evidence of no text; null hosts and paths are sites of their own. Rows that
-    share an id are judged each. Labels other than 0 and 1 are ignored; without any, everything is kept. An empty table gives an
-    empty one.
+    Means of that evidence by host and by path, over all other documents, are shrunk: a path towards its host, a host towards
+    the corpus, by strengths that the spread of the means determines. What the path's posterior says beyond the corpus mean
+    is added, in log odds, to the document's own: nothing bounds it but the shrinkage, so evidence near the threshold is
+    decided by the site, and a document alone in its site by its host. ``host`` and ``path`` default to ``source`` and ``lang``.
+
+    Each text is read and featurised once: the evidence is written to the shared folder with ``columns`` (default: all of
+    ``docs``) and read back when the sites are known.
+
+    Returns ``columns`` with p_document, p_host, p_path, p_quality and keep (columns of these names are replaced). A null
+    or empty text has the evidence of no text; null hosts and paths are sites of their own. Rows that share an id are judged
+    each. Labels other than 0 and 1 are ignored, as are those of an id whose labels disagree; without any, everything is
+    kept. An empty table gives an empty one.
     """
     own = ["p_document", "p_host", "p_path", "p_quality", "keep"]
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in own]
     host = F.col("source").cast("string") if host is None else host
     path = F.col("lang").cast("string") if path is None else path
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), host.alias("host"), path.alias("path"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     weights = fit_documents(slim, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), rows)
-    scored = add_evidence(slim.select("host", "path", "text"), weights, "text", "p")
-    sites = site_posteriors(scored.drop("text"))
-    whole = add_evidence(docs.select(*kept, host.alias("__host"), path.alias("__path")), weights, text_col, "p_document")
-    named = sites.withColumnsRenamed({"host": "__h", "path": "__p"})
-    on = F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p"))
+    with_text = text_col in kept
+    judged = docs.select(*[F.col(c).alias(f"c_{c}") for c in dict.fromkeys([*kept, text_col])], host.alias("host"), path.alias("path"))
+    scored = write_once(add_evidence(judged, weights, f"c_{text_col}", "p", with_text), "quality-evidence")
+    sites, fitted = site_sums(scored.select("host", "path", "p"))
+    named = sites.withColumnsRenamed({"host": "h", "path": "pa"})
     small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    joined = whole.join(F.broadcast(named) if small else named, on, "left")
-    shift = _log_odds(F.col("p_path")) - _log_odds(F.col("p_all"))
-    odds = _log_odds(F.col("p_document")) + F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), F.coalesce(shift, F.lit(0.0))))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-    return joined.select(*kept, "p_document", "p_host", "p_path", p.alias("p_quality"), (p >= threshold).alias("keep"))
+    joined = scored.join(F.broadcast(named) if small else named, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("pa")))
+    p_host, p_path = posteriors(fitted, F.col("p"), 1)
+    shift = _log_odds(p_path) - _log_odds(F.lit(min(max(fitted["mean"], 1e-6), 1 - 1e-6)))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(_log_odds(F.col("p")) + shift)))
+    return joined.select(*[F.col(f"c_{c}").alias(c) for c in kept], F.col("p").alias("p_document"), p_host.alias("p_host"), p_path.alias("p_path"), p.alias("p_quality"), (p >= threshold).alias("keep"))

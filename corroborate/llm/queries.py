@@ -19,8 +19,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "source", "lang", "p_document", "p_host", "p_path", "p_quality", "keep")
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id", "source", "lang"])
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def brute_components(docs):
     sets = []
     for d, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
-        sets.append((0 if d is None else d, set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+        sets.append((d, set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
     parent = list(range(len(sets)))
 
     def find(k):
@@ -224,8 +224,9 @@ def brute_components(docs):
                 parent[find(i)] = find(j)
     least = {}
     for k, (d, _) in enumerate(sets):
-        least[find(k)] = min(least.get(find(k), d), d)
-    return sorted((d, len(s), least[find(k)] if s else d) for k, (d, s) in enumerate(sets))
+        known = [x for x in (least.get(find(k)), d) if x is not None]
+        least[find(k)] = min(known, default=None)
+    return sorted(((d, len(s), least[find(k)] if s else d) for k, (d, s) in enumerate(sets)), key=str)
 
 
 def near_copies(seed, groups=12, size=9):
@@ -362,25 +363,29 @@ def test_queries_in_several_slices_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(6)
     frame = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(400)], "vec_id long, embedding array<double>")
     whole = rows_of(ann.nearest(frame, frame.where("vec_id % 5 = 0")), "query_id", "rank", "vec_id")
-    for name, value in (("QUERY_BLOCK", 8), ("SLICE_BLOCKS", 2), ("SHARD_ROWS", 200)):
+    for name, value in (("QUERY_BLOCK", 8), ("SLICE_BLOCKS", 2)):
         monkeypatch.setattr(ann, name, value)
-    cut = rows_of(ann.nearest(frame, frame.where("vec_id % 5 = 0")), "query_id", "rank", "vec_id")
+    cut = rows_of(ann.nearest(frame, frame.where("vec_id % 5 = 0"), shard_rows=200), "query_id", "rank", "vec_id")
     assert len(cut) == len(whole) == 400
     assert len(set(cut) & set(whole)) >= 390
 
 
-def test_the_width_of_an_exchange_follows_the_files(spark, tmp_path, monkeypatch):
-    path = f"file://{tmp_path}/wide"
-    spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) as text").write.parquet(path)
-    frame = spark.read.parquet(path)
-    assert common.shuffle_width(spark, frame) == common.shuffle_width(spark) == 4
-    monkeypatch.setattr(common, "PART_BYTES", 100_000)
-    wide = common.shuffle_width(spark, frame)
-    assert wide > 4
-    assert common.shuffle_width(spark, frame.select("id").where("id > 5")) == wide
-    monkeypatch.setattr(common, "MOST_PARTS", 7)
-    assert common.shuffle_width(spark, frame) == 7
-    assert common.shuffle_width(spark, spark.createDataFrame([(1,)], "x long").rdd.toDF()) == 4
+def test_the_width_of_an_exchange_is_the_sessions_or_given(spark):
+    assert common.exchange_width(spark) == 4 and common.exchange_width(spark, 9) == 9
+
+
+def test_cosines_of_any_magnitude(spark):
+    rows = [(0, [1e-200, 2e-200, 0.0]), (50, [1e200, 2e200, 1e190]), (1, [1.0, 2.0, 0.0]), (2, [2.0, 1.0, 0.0]), (3, [-1e300, 1e300, 1e300]), (4, [5e-324, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = ann.nearest_exactly(rows, {0, 50}, 5)
+    assert set(got) == {0, 50}
+    for q, found in got.items():
+        assert [i for _, i, _ in sorted(found)] == [i for i, _ in want[q]]
+        assert [s for _, _, s in sorted(found)] == pytest.approx([s for _, s in want[q]], abs=1e-15)
+    assert got[0][0][2] == pytest.approx(1.0, abs=1e-12)
 
 
 # toxicity

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +74,20 @@ def base_spans(text: str) -> list[Span]:
 
 # The field's labels: outside, and beginning and inside of each kind.
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Words on each side of a trigger word that form its sequence.
-CONTEXT = 4
-#: Sequences decoded at once.
-BATCH = 512
+#: Words whose scores are held at once; a longer text takes several turns and carries its state from one to the next.
+GROUP_WORDS = 1 << 18
+#: Words whose class a task remembers.
+MOST_WORDS = 400_000
+STEPS = (-2, -1, 1, 2)
 
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<=\s)dot(?=\s)")
 _WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'<>{}|#$%&*"
 _CUES = frozenset("at (at) [at] dot (dot) [dot] mail email e-mail phone tel tel. telephone mobile fax call card visa ip address host server version license token key no number".split())
+_NUMERIC = re.compile(r"[+(]?[0-9().+-]*[0-9][0-9().+-]*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT_RUN = re.compile(r"\d+")
+#: Digits that a run of number-like words has in all: few, as a short phone number, as a long one, as a card (valid or not), more.
+RUNS = ("none", "few", "short", "long", "card", "no card", "many")
 
 # The small labelled table: words with marks <kind:...> around personal data, in forms that the rules read and forms that they miss.
 LABELLED = (
@@ -113,6 +120,9 @@ LABELLED = (
     "pay with card <card:4111 1111 1111 1111> before noon",
     "pay with card <card:4111-1111-1111-1111> before noon",
     "card <card:5500000000000004> was charged",
+    "call <phone:+1 (212) 555-0134> <card:4111111111111111> now",
+    "from <phone:+1 (303) 555-0188> <card:5500000000000004> or",
+    "and <phone:+1 (646) 555-0101> <card:4012888888881881> it is",
     "visa <card:4012 8888 8888 1881> expired",
     "card <card:4111.1111.1111.1111> was refused",
     "Licensed under the Apache License, Version 2.0.",
@@ -134,6 +144,19 @@ LABELLED = (
     "number 123456789012 is an id",
     "at 5 pm and at 6 pm",
     "chapter 3.2.1 in volume 12",
+    "it ended here.then came and here.then went on",
+    "er.hod er.hod er.hod er.hod er.hod er.hod",
+    "a.b a.b a.b at an.end of it",
+    "Ed.Lek Ed.Lek Ed.Lek and on",
+    "word.word word.word dot word.word at last",
+    "4111 1111 1111 1113 is no card",
+    "the number 5500 0000 0000 0005 is no card",
+    "a total of 4012 8888 8888 1882 in all",
+    "card number <card:5105.1051.0510.5100> please",
+    "number <card:4222 2222 2222 2220> of the card",
+    "in all 415 555 units were made",
+    "we counted 212 555 and 303 555 of them",
+    "in 2020 or 2021 or 2022",
 )
 
 _MARK = re.compile(r"<(email|ip|card|phone):([^<>]*)>")
@@ -156,29 +179,88 @@ def labelled_words(line: str) -> tuple[list[str], list[str]]:
 
 def shape(word: str) -> str:
     """Letters become x, capitals X, digits 9; runs of letters are shortened, runs of digits keep their length up to 6."""
-    kinds = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() else "x", word)
-    return re.sub(r"\d+", lambda m: "9" * min(len(m[0]), 6), kinds)[:24]
+    kinds = _LETTERS.sub(lambda m: "X" if m[0].isupper() else "x", word)
+    return _DIGIT_RUN.sub(lambda m: "9" * min(len(m[0]), 6), kinds)[:24]
+
+
+def kind_of(word: str) -> tuple[str, str, int, str, bool]:
+    """What the field sees of a word: its shape, its short shape, how many digits it has, its cue, and whether it is like a number."""
+    bare = word.strip(_EDGE) or word
+    low = word.lower()
+    cue = low if low in _CUES else ""
+    if bare.isalpha():
+        s = "X" if bare.isupper() else "x"
+        return s, s, 0, cue, False
+    s = shape(bare)
+    return s, re.sub("9+", "9", s), min(len(_DIGITS.findall(bare)), 20), cue, bool(_NUMERIC.fullmatch(bare))
+
+
+def run_sizes(words: list[str], numeric: np.ndarray) -> np.ndarray:
+    """For each word, the index in RUNS of the run of number-like words that it stands in."""
+    out = np.zeros(len(words), np.int8)
+    at = np.flatnonzero(numeric)
+    if len(at):
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            digits = "".join(c for k in run.tolist() for c in words[k] if "0" <= c <= "9")
+            n = len(digits)
+            out[run] = 1 if n < 7 else 2 if n < 10 else 3 if n < 14 else 6 if n > 19 else 4 if luhn(digits) else 5
+    return out
+
+
+def own_features(kind: tuple[str, str, int, str, bool]) -> list[str]:
+    s, f, digits, cue, _ = kind
+    return ["bias", f"s={s}", f"f={f}", f"d={digits}", *([f"c={cue}"] if cue else [])]
+
+
+def side_features(kind: tuple[str, str, int, str, bool] | None, step: int) -> list[str]:
+    """What a word at this distance adds; None stands for the end of the text."""
+    if kind is None:
+        return [f"{step}edge"]
+    return [f"{step}f={kind[1]}", *([f"{step}c={kind[3]}"] if kind[3] else [])]
 
 
 def word_features(words: list[str]) -> list[list[str]]:
-    """Of each word: its shape, its cue, their short forms, and the same of its neighbours."""
-    bare = [w.strip(_EDGE) or w for w in words]
-    shapes = [shape(w) for w in bare]
-    cues = [w.lower() if w.lower() in _CUES else "" for w in bare]
-    out = []
-    for k, s in enumerate(shapes):
-        one = ["bias", f"s={s}", f"f={re.sub('9+', '9', s)}", f"d={min(sum(c.isdigit() for c in bare[k]), 20)}"]
-        if cues[k]:
-            one.append(f"c={cues[k]}")
-        for step in (-2, -1, 1, 2):
-            if 0 <= k + step < len(words):
-                one.append(f"{step}f={re.sub('9+', '9', shapes[k + step])}")
-                if cues[k + step]:
-                    one.append(f"{step}c={cues[k + step]}")
-            else:
-                one.append(f"{step}edge")
-        out.append(one)
-    return out
+    """All features of each word, spelled out."""
+    kinds = [kind_of(w) for w in words]
+    runs = run_sizes(words, np.array([k[4] for k in kinds], bool))
+    at = lambda k: kinds[k] if 0 <= k < len(words) else None
+    return [[*own_features(kinds[k]), f"r={RUNS[runs[k]]}", *(f for step in STEPS for f in side_features(at(k + step), step))] for k in range(len(words))]
+
+
+class Classes(dict):
+    """Word to class. Words of one class look the same to the field; a class has one row of scores for itself and one for each distance."""
+
+    def __init__(self, field: Field) -> None:
+        super().__init__()
+        self.field, self.known = field, {}
+        self.numeric: list[bool] = []
+        self.rows: list[np.ndarray] = []
+        self._add(None)  # the end of a text
+
+    def _sum(self, features: list[str]) -> np.ndarray:
+        index, state = self.field.index, self.field.state
+        return state[[index[f] for f in features if f in index]].sum(0)
+
+    def _add(self, kind: tuple | None) -> int:
+        self.numeric.append(kind is not None and kind[4])
+        own = self._sum(own_features(kind)) if kind else np.zeros(len(LABELS))
+        self.rows.append(np.array([own, *(self._sum(side_features(kind, step)) for step in STEPS)]))
+        return len(self.rows) - 1
+
+    def __missing__(self, word: str) -> int:
+        s, f, digits, cue, numeric = kind_of(word)
+        index = self.field.index
+        # shapes that training has not seen score nothing, so they are one
+        seen = f"f={f}" in index or any(f"{step}f={f}" in index for step in STEPS)
+        kind = (s if f"s={s}" in index else "", f if seen else "", digits, cue, numeric)
+        found = self.known.get(kind)
+        if found is None:
+            found = self.known[kind] = self._add(kind)
+        self[word] = found
+        return found
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.rows), np.array(self.numeric)
 
 
 class Field:
@@ -187,29 +269,66 @@ class Field:
     def __init__(self, index: dict[str, int], state: np.ndarray, step: np.ndarray) -> None:
         self.index, self.state, self.step = index, state, step
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        return np.array([self.state[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in word_features(words)])
-
-    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
-        """Viterbi over a padded batch."""
-        sizes = np.array([len(s) for s in sequences])
-        score = np.zeros((len(sequences), int(sizes.max()), len(LABELS)))
-        for k, words in enumerate(sequences):
-            score[k, : len(words)] = self.emissions(words)
-        best = score[:, 0] + _START
-        back = np.zeros(score.shape, np.int8)
-        rows = np.arange(len(sequences))
-        for t in range(1, score.shape[1]):
-            through = best[:, :, None] + self.step[None] + _ALLOWED[None]
-            back[:, t] = through.argmax(1)
-            new = through.max(1) + score[:, t]
-            best = np.where((t < sizes)[:, None], new, best)
+    def decode(self, sequences: list[list[str]], classes: Classes | None = None) -> list[np.ndarray]:
+        """The best labels of each whole sequence, by Viterbi. Longest first, those that still run step together, without padding."""
+        classes = Classes(self) if classes is None else classes
+        read = [np.array(list(map(classes.__getitem__, words)), np.int32) for words in sequences]
+        scores, numeric = classes.tables()
+        runs = [run_sizes(words, numeric[c]) if numeric[c].any() else np.zeros(len(c), np.int8) for words, c in zip(sequences, read)]
+        by_run = np.array([self.state[self.index[f"r={r}"]] if f"r={r}" in self.index else np.zeros(len(LABELS)) for r in RUNS])
+        return self.best_labels(read, runs, scores, by_run)
+
+    def best_labels(self, read: list[np.ndarray], runs: list[np.ndarray], scores: np.ndarray, by_run: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(read)
+        order = [k for k in sorted(range(len(read)), key=lambda k: -len(read[k])) if len(read[k])]
+        at = 0
+        while at < len(order):
+            end, words = at, 0
+            while end < len(order) and (end == at or words + len(read[order[end]]) <= GROUP_WORDS):
+                words += len(read[order[end]])
+                end += 1
+            for k, labels in zip(order[at:end], self._group([read[k] for k in order[at:end]], [runs[k] for k in order[at:end]], scores, by_run)):
+                out[k] = labels
+            at = end
+        return out
+
+    def _group(self, read: list[np.ndarray], runs: list[np.ndarray], scores: np.ndarray, by_run: np.ndarray) -> list[np.ndarray]:
+        """Viterbi over sequences that are sorted by length, longest first."""
+        sizes = np.array([len(r) for r in read])
+        gap = np.zeros(2, np.int32)  # two ends of a text between neighbours
+        flat = np.concatenate([x for r in read for x in (gap, r)] + [gap])
+        run = np.concatenate([x for r in runs for x in (gap.astype(np.int8), r)] + [gap.astype(np.int8)])
+        starts = 2 + np.concatenate(([0], np.cumsum(sizes + 2)[:-1]))
+        back = np.zeros((len(flat), len(LABELS)), np.int8)
+        best = np.zeros((len(read), len(LABELS)))
+        move = self.step + _ALLOWED
+        turn = max(1, GROUP_WORDS // len(read))
+        for begin in range(0, int(sizes[0]), turn):
+            # the scores of this turn's words, row by row
+            n = int(np.searchsorted(-sizes, -begin, "left"))
+            lengths = np.minimum(sizes[:n] - begin, turn)
+            edges = np.concatenate(([0], np.cumsum(lengths)))
+            at = np.arange(edges[-1]) - np.repeat(edges[:-1], lengths) + np.repeat(starts[:n] + begin, lengths)
+            score = scores[flat[at], 0] + by_run[run[at]]
+            for k, step in enumerate(STEPS):
+                score += scores[flat[at + step], k + 1]
+            for t in range(begin, begin + int(lengths[0])):
+                n = int(np.searchsorted(-sizes, -t, "left"))
+                here = score[edges[:n] + (t - begin)]
+                if t == 0:
+                    best[:n] = here + _START
+                    continue
+                through = best[:n, :, None] + move
+                back[starts[:n] + t] = through.argmax(1)
+                best[:n] = through.max(1) + here
         label = best.argmax(1)
-        out = np.zeros(score.shape[:2], np.int64)
-        for t in range(score.shape[1] - 1, -1, -1):
-            out[:, t] = label
-            label = np.where((t < sizes) & (t > 0), back[rows, t, label], label)
-        return [out[k, :n].tolist() for k, n in enumerate(sizes.tolist())]
+        out = np.zeros(len(flat), np.int8)
+        for t in range(int(sizes[0]) - 1, -1, -1):
+            n = int(np.searchsorted(-sizes, -t, "left"))
+            at = starts[:n] + t
+            out[at] = label[:n]
+            label[:n] = back[at, label[:n]]
+        return [out[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
 # An inside label follows only the beginning or inside of its own kind.
@@ -261,85 +380,36 @@ def train(table: tuple[str, ...] = LABELLED, steps: int = 120, rate: float = 0.1
     return Field(index, theta[0], theta[1])
 
 
-def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Word spans around the words that can carry personal data: those with a digit, an at sign or a spelled-out one."""
-    if not (_ANY.search(text) or "(at)" in text or "[at]" in text or " dot " in text):
-        return []
-    windows: list[list[int]] = []
-    done = 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < done:
-            continue
-        begin = _back(text, m.end(), CONTEXT + 1)
-        done = end = _ahead(text, m.start(), 1)
-        end = _ahead(text, end, CONTEXT)
-        if windows and begin <= windows[-1][1]:
-            windows[-1][1] = max(end, windows[-1][1])
-        else:
-            windows.append([begin, end])
-    return [[m.span() for m in _WORD.finditer(text, a, b)] for a, b in windows]
-
-
-def _back(text: str, at: int, words: int) -> int:
-    """Start of the word that begins ``words`` words before ``at``."""
-    start = at
-    for _ in range(words):
-        while at and text[at - 1].isspace():
-            at -= 1
-        if not at:
-            break
-        while at and not text[at - 1].isspace():
-            at -= 1
-        start = at
-    return start
-
-
-def _ahead(text: str, at: int, words: int) -> int:
-    """End of the word that ends ``words`` words after ``at``."""
-    for _ in range(words):
-        word = _WORD.search(text, at)
-        if word is None:
-            return len(text)
-        at = word.end()
-    return at
-
-
-def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
-    """Spans that the field finds in each text, trimmed of marks around them."""
+def field_spans(texts: list[str], field: Field, classes: Classes | None = None) -> list[list[Span]]:
+    """Spans that the field finds in each whole text, trimmed of marks around them."""
+    classes = Classes(field) if classes is None else classes
+    if len(classes) > MOST_WORDS:
+        classes.clear()
     found: list[list[Span]] = [[] for _ in texts]
-    todo = [(k, words) for k, text in enumerate(texts) for words in sequences(text)]
-    todo.sort(key=lambda x: len(x[1]))
-    for at in range(0, len(todo), BATCH):
-        some = todo[at : at + BATCH]
-        for (k, spans), labels in zip(some, field.decode([[texts[k][a:b] for a, b in words] for k, words in some])):
-            t = 0
-            while t < len(labels):
-                name = LABELS[labels[t]]
-                end = t + 1
-                if name != "O":
-                    while end < len(labels) and LABELS[labels[end]] == f"I-{name[2:]}":
-                        end += 1
-                    a, b = spans[t][0], spans[end - 1][1]
-                    while a < b and texts[k][a] in _EDGE:
-                        a += 1
-                    while b > a and texts[k][b - 1] in _EDGE:
-                        b -= 1
-                    if _plausible(texts[k][a:b], name[2:]):
-                        found[k].append((a, b, name[2:]))
-                t = end
+    for k, labels in enumerate(field.decode([t.split() for t in texts], classes)):
+        if not labels.any():
+            continue
+        words = [m.span() for m in _WORD.finditer(texts[k])]
+        begins = np.flatnonzero(labels % 2 == 1).tolist()  # B- labels are odd, I- labels even
+        for t in begins:
+            end = t + 1
+            while end < len(labels) and labels[end] == labels[t] + 1:
+                end += 1
+            a, b = words[t][0], words[end - 1][1]
+            while a < b and texts[k][a] in _EDGE:
+                a += 1
+            while b > a and texts[k][b - 1] in _EDGE:
+                b -= 1
+            if a < b:
+                found[k].append((a, b, LABELS[labels[t]][2:]))
     return found
 
 
-def _plausible(text: str, kind: str) -> bool:
-    """A phone or card has as many digits as one, an address four numbers, a mail address two parts."""
-    digits = len(_DIGITS.findall(text))
-    if kind == "phone":
-        return 7 <= digits <= 15
-    if kind == "card":
-        return 14 <= digits <= 19 and luhn("".join(_DIGITS.findall(text)))
-    if kind == "ip":
-        return len(re.findall(r"[0-9]+", text)) == 4
-    return "@" in text or len(text.split()) >= 3 or "(at)" in text or "[at]" in text
+def apart(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``spans`` that overlap none of ``base``, which is sorted by its starts."""
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
+    return [s for s in spans if not (n := bisect_left(starts, s[1])) or reach[n - 1] <= s[0]]
 
 
 @lru_cache(maxsize=1)
@@ -360,18 +430,20 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str
     The rules' spans are the base; the field adds spans that overlap none of them. Returns doc_id, counts of the base by
     kind, base_sha256, spans (all spans as kind:start:end in code points, end exclusive) and n_added.
 
-    The field is trained from the small labelled table on the driver and decodes, in numpy batches, the words around those
-    that hold a digit, an at sign or a spelled-out one; no other word can be part of such data. A null text is empty and
-    has none. Rows that share an id are read each. An empty table gives an empty one. Other columns are not read.
+    The field is trained from the small labelled table on the driver. It labels every word of every text by Viterbi, in numpy
+    batches: words of one class (shape, digits, cue) share their scores, sequences of a batch step together without padding,
+    and a long text carries its state over turns of bounded size. A null text is empty and has none. Rows that share an id
+    are read each. An empty table gives an empty one. Other columns are not read.
     """
     model = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = []
-            for base, more in zip([base_spans(t) for t in texts], field_spans(texts, model)):
-                added = [s for s in more if not any(s[0] < b and a < s[1] for a, b, _ in base)]
+            for base, more in zip([base_spans(t) for t in texts], field_spans(texts, model, classes)):
+                added = apart(more, base)
                 counts = [sum(k == kind for _, _, k in base) for kind in KINDS]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added)))
             columns = list(zip(*rows)) or [()] * 7

@@ -107,16 +107,31 @@ def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return ranked.groupBy(group).agg(F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), F.corr("rx", "ry")).alias("spearman"))
 
 
-def concordance(df: DataFrame, group: str, y: str, predicted: str, cap: int = 2000) -> DataFrame:
-    """Share of comparable pairs in the right order, ties of the prediction half. Groups over ``cap`` rows have none, so no group is squared beyond it."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    small = df.join(sizes.where(F.col("n") <= cap).select(group), group, "left_semi")
-    a, b = small.select(group, F.col(y).alias("y1"), F.col(predicted).alias("s1")), small.select(group, F.col(y).alias("y2"), F.col(predicted).alias("s2"))
-    right = F.when(F.col("s1") > F.col("s2"), 1.0).when(F.col("s1") == F.col("s2"), 0.5).otherwise(0.0)
-    return sizes.join(a.join(b, group).where("y1 > y2").groupBy(group).agg(F.avg(right).alias("concordance")), group, "left")
-
+def concordance(df: DataFrame, group: str, y: str, predicted: str, cap: int | None = None) -> DataFrame:
+    """Share of comparable pairs in the right order, ties of the prediction half. With ``cap``, groups of more rows have none.
 
-def regression_bundle(df: DataFrame, group: str = "g", y: str = "y", predicted: str = "score", least: int = 10, cap: int = 2000) -> DataFrame:
+    Two different ranks of ``y`` differ first at one binary digit. At each digit, the rows that agree above it meet in the
+    order of the prediction, and those with a one count those with a zero before them: n log n rows, and no pair is made.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    if cap is not None:
+        df = df.join(sizes.where(F.col("n") <= cap).select(group), group, "left_semi")
+    cells = df.groupBy(group, F.col(y).alias("y"), F.col(predicted).alias("s")).agg(F.count("*").cast("double").alias("c"))
+    ranked = cells.withColumn("r", F.dense_rank().over(Window.partitionBy(group).orderBy("y")) - 1)
+    # a group has so many digits as its largest rank
+    digits = F.length(F.bin(F.max("r").over(Window.partitionBy(group))))
+    levels = ranked.withColumn("digits", digits).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
+    levels = levels.withColumn("above", F.expr("shiftright(r, b + 1)")).withColumn("one", F.expr("shiftright(r, b) & 1"))
+    keys = [group, "b", "above"]
+    met = levels.groupBy(*keys, "s").agg(F.sum(F.when(F.col("one") == 0, F.col("c")).otherwise(0.0)).alias("z"), F.sum(F.when(F.col("one") == 1, F.col("c")).otherwise(0.0)).alias("o"))
+    upto = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("zeros", F.sum("z").over(upto))
+    right = F.sum(F.col("o") * (F.col("zeros") - F.col("z") / 2))
+    found = met.groupBy(*keys).agg(right.alias("right"), (F.sum("o") * F.sum("z")).alias("pairs")).groupBy(group).agg(F.sum("right").alias("right"), F.sum("pairs").alias("pairs"))
+    return sizes.join(found.select(group, safe(F.col("right"), F.col("pairs")).alias("concordance")), group, "left")
+
+
+def regression_bundle(df: DataFrame, group: str = "g", y: str = "y", predicted: str = "score", least: int = 10, cap: int | None = None) -> DataFrame:
     """Mean absolute and root mean square error; rank metrics where a group has at least ``least`` rows."""
     d = F.col(predicted) - F.col(y)
     base = df.groupBy(group).agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))

@@ -127,29 +127,61 @@ def excluded_locators(found: DataFrame) -> DataFrame:
 
 
 def pair_up(rows: DataFrame) -> DataFrame:
-    """Within each ambiguous group of one value, removals take additions of another slot in order, each once.
+    """Ambiguous groups of one value: their removals and additions paired by place, and how often identifiers agree in pairs.
 
-    Order decides the result, so a group is one task's work; groups hold the repeats of one value of one pair.
+    A group is ambiguous if the value left or entered more than one record; records that agree in slot and identifiers are
+    one, with a count. In the order of slot and identifiers, the first open removal takes the first open addition of another
+    slot, as many occurrences as both have; where both stand in one slot, the side with fewer left moves on. Each record is
+    used up to its count. Returns, a group with removals and additions: its shape and totals, the bound of what could be
+    paired, what was, and on how many paired occurrences either identifier stands on both sides and agrees.
+
+    Records are counted before a group meets in a task, which then takes steps in number of records.
     """
-    ambiguous = moved(rows).where("not unambiguous").select(*PAIR, *VALUE)
-    members = rows.where(F.col("surplus") & ~linked()).join(ambiguous, [*PAIR, *VALUE])
-    slim = members.select(*PAIR, *VALUE, "kind", "rsid", F.concat_ws("|", "pub", "ph", "temp", "src").alias("slot"))
+    open_rows = rows.where(F.col("surplus") & ~linked() & F.col("kind").isin("removal", "addition"))
+    slot = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pub", "ph", "temp", "src")])
+    records = open_rows.groupBy(*PAIR, *VALUE, slot.alias("slot"), F.coalesce("doi", F.lit(-1)).alias("doi"), F.coalesce("rsid", F.lit("")).alias("rsid"), "kind").agg(F.count("*").alias("n"))
+    groups = records.groupBy(*PAIR, *VALUE).agg(F.count_if(F.col("kind") == "removal").alias("r"), F.count_if(F.col("kind") == "addition").alias("a"))
+    ambiguous = groups.where("r > 0 and a > 0 and r + a > 2").select(*PAIR, *VALUE)
+    keys = [*PAIR, *VALUE]
+    slim = records.join(ambiguous, keys)
+
+    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["slot", "doi", "rsid"])
+        gone, new = ([list(r) for r in group[group["kind"] == k][["slot", "doi", "rsid", "n"]].itertuples(index=False)] for k in ("removal", "addition"))
+        total_gone, total_new = (sum(r[3] for r in side) for side in (gone, new))
+        counts = dict.fromkeys(("paired", "doi_both", "doi_same", "rsid_both", "rsid_same"), 0)
+        shape, g, a = f"{len(gone)}x{len(new)}", 0, 0
+        while g < len(gone) and a < len(new):
+            before, after = gone[g], new[a]
+            if before[0] == after[0]:
+                g, a = (g + 1, a) if before[3] <= after[3] else (g, a + 1)
+                continue
+            taken = min(before[3], after[3])
+            counts["paired"] += taken
+            for name, at, none in (("doi", 1, -1), ("rsid", 2, "")):
+                if before[at] != none and after[at] != none:
+                    counts[f"{name}_both"] += taken
+                    counts[f"{name}_same"] += taken * int(before[at] == after[at])
+            before[3] -= taken
+            after[3] -= taken
+            g, a = g + int(not before[3]), a + int(not after[3])
+        ids = group[["doi", "rsid"]].drop_duplicates()
+        return pd.DataFrame([(*key, shape, total_gone, total_new, min(total_gone, total_new), len(ids) > 1, *counts.values())])
+
+    schema = "item long, grp int, mtype string, rel string, v double, shape string, n_gone long, n_new long, most long, identifiers_differ boolean, paired long, doi_both long, doi_same long, rsid_both long, rsid_same long"
+    return slim.groupBy(*keys).applyInPandas(work, schema)
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rsid", "slot"])
-        free = list(group[group["kind"] == "addition"][["rsid", "slot"]].itertuples(index=False))
-        out = []
-        for gone in group[group["kind"] == "removal"].itertuples(index=False):
-            at = next((k for k, new in enumerate(free) if new.slot != gone.slot), None)
-            if at is not None:
-                out.append((gone.item, gone.grp, gone.rsid, free.pop(at).rsid))
-        return pd.DataFrame(out, columns=["item", "grp", "rsid_before", "rsid_after"])
 
-    return slim.groupBy(*PAIR, *VALUE).applyInPandas(greedy, "item long, grp int, rsid_before string, rsid_after string")
+def set_digest(df: DataFrame, row: Column) -> DataFrame:
+    """A digest of all rows that does not depend on their order: of rows by six hex digits of their hash, of these by three, of all.
 
+    The levels are the same at every size: of 10^11 rows, some thousands meet in a bucket, then 4,096 digests at most.
+    """
 
-def set_digest(df: DataFrame, row: Column) -> DataFrame:
-    """A digest of all rows that does not depend on their order: of 256 buckets first, then of the buckets' digests."""
-    hashed = df.select(F.sha2(row, 256).alias("h")).withColumn("bucket", F.substring("h", 1, 2))
-    inner = hashed.groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("d"), F.count("*").alias("n"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x.d), ","), 256).alias("digest"), F.sum("n").alias("n"))
+    def folded(key: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "d"))), lambda x: x.d), ","), 256).alias("d")
+
+    rows = df.select(F.sha2(row, 256).alias("d")).withColumn("h", F.col("d"))
+    six = rows.groupBy(F.substring("h", 1, 6).alias("six")).agg(folded("h"), F.count("*").alias("n"))
+    three = six.groupBy(F.substring("six", 1, 3).alias("three")).agg(folded("six"), F.sum("n").alias("n"))
+    return three.agg(folded("three").alias("digest"), F.sum("n").alias("n"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 PARTS = ("train", "validation", "test")
 PAIR = ["item", "grp"]
 
@@ -44,31 +49,30 @@ def random_pairs(pairs: DataFrame, seed: str, fractions: tuple[float, float] = (
     return ranked.select(*PAIR, part.alias("part")).unionByName(excluded)
 
 
-def greedy_groups(pairs: DataFrame, group: str, seed: str, fractions: tuple[float, ...] = (0.7, 0.1, 0.2), most_blocks: int = 4096) -> DataFrame:
+def greedy_groups(pairs: DataFrame, group: str, seed: str, fractions: tuple[float, ...] = (0.7, 0.1, 0.2)) -> DataFrame:
     """Whole groups, largest first, each to the part furthest below its quota; ties by hash.
 
-    Only sizes meet in one task: one row a group, or one a block of groups where there are more than ``most_blocks``.
+    Each choice depends on all before it, so one task sees one row a group: sorted on disk and streamed, it holds three sums
+    whatever the number of groups.
     """
     sizes = pairs.groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n"))
-    blocks = sizes.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(most_blocks))) if sizes.limit(most_blocks + 1).count() > most_blocks else sizes.withColumn("block", F.col("g"))
-    summed = blocks.groupBy("block").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)).withColumn("block", F.col("block").cast("string"))
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        rows = rows.sort_values(["n", "block"], ascending=[False, True])
-        quota = [f * rows["n"].sum() for f in fractions]
-        filled, out = [0, 0, 0], []
-        for block, n in zip(rows["block"], rows["n"]):
-            tie = [hashlib.sha256(f"{block}|{p}|{seed}".encode()).hexdigest() for p in PARTS]
-            k = max(range(3), key=lambda i: (quota[i] - filled[i], tie[i]))
-            filled[k] += n
-            out.append((block, PARTS[k]))
-        return pd.DataFrame(out, columns=["block", "part"])
-
-    placed = summed.groupBy("one").applyInPandas(assign, "block string, part string")
-    by_group = blocks.select("g", F.col("block").cast("string").alias("block")).join(placed, "block").select("g", "part")
-    return pairs.withColumn("g", F.col(group).cast("string")).join(by_group, "g").drop("g")
+    total = pairs.count()
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = [f * total for f in fractions]
+        for frame in frames:
+            chosen = []
+            for g, n in zip(frame["g"].tolist(), frame["n"].tolist()):
+                most = max(left)
+                level = [k for k in range(len(PARTS)) if left[k] == most]
+                k = level[0] if len(level) == 1 else max(level, key=lambda k: hashlib.sha256(f"{g}|{PARTS[k]}|{seed}".encode()).digest())
+                left[k] -= n
+                chosen.append(PARTS[k])
+            yield pd.DataFrame({"g": frame["g"], "part": chosen})
+
+    ship_package(pairs.sparkSession)
+    placed = sizes.where("g is not null").repartition(1).sortWithinPartitions(F.desc("n"), "g").mapInPandas(assign, "g string, part string")
+    return pairs.withColumn("g", F.col(group).cast("string")).join(placed, "g").drop("g")
 
 
 def cold_groups(pairs: DataFrame, clusters: DataFrame, key: str, seed: str) -> DataFrame:

@@ -62,17 +62,35 @@ def normal_tail(z: Column) -> Column:
 
 
 def signed_rank(df: DataFrame, delta: str) -> DataFrame:
-    """Wilcoxon signed-rank over the rows: positive rank sum, z with tie correction, sign counts, median and quartiles."""
+    """Wilcoxon signed-rank and sign test over the rows: rank sum and counts of positives, z with tie correction, both two-sided
+    p-values (the sign test's exact), and quartiles of all deltas.
+
+    Ranks come from the counts of distinct sizes: within ranges of size first, then over the ranges' totals.
+    """
     rows = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(F.col(delta).alias("d"), F.abs(delta).alias("a"))
-    tied = rows.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    ranked = tied.withColumn("r", F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2)
+    tied = rows.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up")).withColumn("band", F.floor(F.log2("a") * 64))
+    bands = tied.groupBy("band").agg(F.sum("n").alias("m"))
+    before = bands.select("band", (F.sum("m").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("under"))
+    within = F.sum("n").over(Window.partitionBy("band").orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = tied.withColumn("upto", within).join(F.broadcast(before), "band").withColumn("r", F.col("under") + F.col("upto") - (F.col("n") - 1) / 2)
     n = F.sum("n")
     found = ranked.agg(
         n.alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum("up").alias("n_up"),
         (n * (n + 1) * (2 * n + 1) / 24 - F.sum(F.pow("n", F.lit(3)) - F.col("n")) / 48).alias("variance"),
     )
     z = (F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt("variance")
-    return found.withColumn("z", z).withColumn("p_value", normal_tail(z))
+    middle = [F.percentile(F.col(delta), F.lit(q)).alias(name) for q, name in ((0.25, "lower_quartile"), (0.5, "median"), (0.75, "upper_quartile"))]
+    spread = df.where(F.col(delta).isNotNull()).agg(F.count("*").alias("n_groups"), *middle)
+    return found.withColumn("z", z).withColumn("p_value", normal_tail(z)).withColumn("sign_p", sign_test(F.col("n_up"), F.col("n"))).crossJoin(spread)
+
+
+def sign_test(up: Column, n: Column) -> Column:
+    """Two-sided exact binomial tail of ``up`` positives in ``n``: each term is the one before by a ratio, in logarithms, so none vanishes."""
+    few = F.least(up, n - up)
+    step = lambda acc, k: F.struct((acc.t + F.log(n - k + 1) - F.log(k.cast("double"))).alias("t"), (acc.s + F.exp(acc.t + F.log(n - k + 1) - F.log(k.cast("double")))).alias("s"))
+    first = -n * F.log(F.lit(2.0))
+    terms = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(few, F.lit(1))), F.struct(first.alias("t"), F.exp(first).alias("s")), step, lambda acc: acc.s)
+    return F.least(F.lit(1.0), 2 * F.when(few < 1, F.exp(first)).otherwise(terms))
 
 
 def mann_whitney(df: DataFrame, group: str) -> DataFrame:

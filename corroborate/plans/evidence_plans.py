@@ -10,11 +10,12 @@ from ..operators import curation, evidence
 from ..sources.tables import OBS, OBS_TEXT, observation_texts, observations, table
 from .registry import query
 
-NUM = r"'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
-PARSED = OBS_TEXT + rf""", parsed0 as (select *, trim(value_text) as body from obs_text),
-parsed1 as (select *, regexp_extract(body, '^\s*(<=|>=|≤|≥|≈|<|>|~|=)?\s*(.*)$', 1) as sign, replace(trim(regexp_extract(body, '^\s*(<=|>=|≤|≥|≈|<|>|~|=)?\s*(.*)$', 2)), ',', '') as digits from parsed0),
-parsed as (select *, case when regexp_matches(digits, {NUM}) then try_cast(digits as double) end as number,
-  case when sign = '≤' then '<=' when sign = '≥' then '>=' when sign = '≈' then '~' when sign <> '' then sign when regexp_matches(digits, {NUM}) then '=' else '?' end as relation from parsed1 where body <> '')"""
+_SIGN = "case " + " ".join(f"when starts_with(body, '{mark}') then '{mark}'" for mark in ("<=", ">=", "≤", "≥", "≈", "<", ">", "~", "=")) + " else '' end"
+PARSED = OBS_TEXT + f""", bodies as (select *, trim(value_text) as body from obs_text), signed as (select *, {_SIGN} as sign from bodies where body <> ''),
+amounts as (select *, replace(trim(substr(body, length(sign) + 1)), ',', '') as digits from signed),
+parsed as (select *, case when trim(digits, '0123456789+-.eE') = '' then try_cast(nullif(digits, '') as double) end as number,
+  case sign when '≤' then '<=' when '≥' then '>=' when '≈' then '~' when '' then case when number is null then '?' else '=' end else sign end as relation from amounts)"""
+
 
 def roles_sql(source: str) -> str:
     return f"""r as (select *, case when not v > 0 then 'unusable' when rel = '=' then 'exact' when rel in ('<', '<=', '>', '>=') then 'censored' else 'no_constraint' end as role,
@@ -84,12 +85,11 @@ def prj02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "PRJ03",
-    f"""with {OBS} select item, grp, okey, line, rel, case when v is null then 'ambiguous' when rel = '=' then case when v <= 1000 then 'active' else 'inactive' end
-  when rel in ('<', '<=') then case when v <= 1000 then 'active' else 'ambiguous' end when rel = '>' then case when v >= 1000 then 'inactive' else 'ambiguous' end
-  when rel = '>=' then case when v > 1000 then 'inactive' else 'ambiguous' end else 'ambiguous' end as reading from obs""",
+    f"""with {OBS}, ends as (select *, case when rel like '<%' then '-infinity'::double when rel in ('=', '>', '>=') then v end as bottom, case when rel like '>%' then 'infinity'::double when rel in ('=', '<', '<=') then v end as top from obs)
+  select item, grp, okey, line, rel, case when v is not null and top <= 1000 then 'active' when v is not null and (bottom > 1000 or bottom = 1000 and rel = '>') then 'inactive' else 'ambiguous' end as reading from ends""",
 )
 def prj03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).select("item", "grp", "okey", "line", "rel", fn.label_at_threshold(F.col("rel"), F.col("v")).alias("reading"))
+    return observations(spark, sf_dir).select("item", "grp", "okey", "line", "rel", fn.decided_at(F.col("rel"), F.col("v")).alias("reading"))
 
 
 @query("PRJ04", f"with {OBS} select mtype, v > 0 as usable, count(*) as n from obs group by all")

@@ -169,7 +169,11 @@ def jon16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JON17")
 def jon17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.pair_up(rows_of(spark, sf_dir))
+    """Coarse values and few pairs, so that values stand in many slots and their moves are ambiguous."""
+    coarse = [
+        snapshot(spark, sf_dir, later).withColumns({"item": F.col("item") % 40, "v": F.floor(F.col("v") / 500) * 500.0, "pub": F.substring("pub", 1, 4)}) for later in (False, True)
+    ]
+    return s.pair_up(s.classify_rows(*coarse))
 
 
 @query("JON18", f"with {MOVED} select item, grp, unnest(locators[1:matched]) as rsid from moved")
@@ -218,10 +222,11 @@ def dif10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest_sql(rows: str, source: str, nested: bool = False) -> str:
-    """The two-level digest of ``rows`` of ``source``: as the end of a query's list of tables, or as one table."""
+    """The three-level digest of ``rows`` of ``source``: as the end of a query's list of tables, or as one table."""
     lead = "with " if nested else ""
-    return f"""{lead}hs as (select sha256({rows}) as h from {source}), hb as (select substr(h, 1, 2) as bucket, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from hs group by 1)
-  select sha256(string_agg(d, ',' order by bucket)) as digest, sum(n)::bigint as n from hb"""
+    return f"""{lead}hs as (select sha256({rows}) as h from {source}), h6 as (select substr(h, 1, 6) as six, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from hs group by 1),
+  h3 as (select substr(six, 1, 3) as three, sha256(string_agg(d, ',' order by six)) as d, sum(n) as n from h6 group by 1)
+  select sha256(string_agg(d, ',' order by three)) as digest, sum(n)::bigint as n from h3"""
 
 
 TRAINING_ROWS = "item || '|' || grp || '|' || status || '|' || label"
@@ -335,7 +340,7 @@ def sca03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SCA04",
-    f"""with {OBS_TEXT}, b as (select okey, line, item, value_text, trim(regexp_replace(value_text, '^[\\s<>~=]+', '')) as body from obs_text), n as (select *, case when regexp_matches(body, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') then try_cast(body as decimal(38, 18)) end as x from b)
+    f"""with {OBS_TEXT}, b as (select okey, line, item, value_text, trim(regexp_replace(value_text, '^[\\s<>~=]+', '')) as body from obs_text), n as (select *, case when trim(body, '0123456789+-.eE') = '' then try_cast(nullif(body, '') as decimal(38, 18)) end as x from b)
   select okey, line, item, coalesce(case when x = 0 then '0' else regexp_replace(x::varchar, '\\.?0+$', '') end, 'raw:' || trim(value_text)) as decimal_key from n where okey % 11 not in (3)""",
 )
 def sca04(spark: SparkSession, sf_dir: str) -> DataFrame:

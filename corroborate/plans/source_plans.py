@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.evidence import ascii_upper, sequence_digest
@@ -10,7 +10,7 @@ from ..operators.snapshots import set_digest
 from ..sources import releases as rel
 from ..sources.tables import OBS, observations, table
 from .registry import query
-from .snapshot_plans import digest_sql
+from .snapshot_plans import DIFF, SLOT, digest_sql, rows_of
 
 HEADER = ["item", "grp", "assay", "relation", "value", "note"]
 GOOD = OBS + """, ordered as (select okey, line, item, grp, assay, rel, v, src, pub, row_number() over (order by okey, line, item, assay, v) + 1 as line_no from obs),
@@ -35,20 +35,29 @@ def loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return lines, rel.to_payload(good, HEADER), bad
 
 
-@query("SRC01", f"with {GOOD} select count(*) as n_lines, min(line_no) as first_line, max(line_no) as last_line from fields")
-def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines are written as text and read again, split at line feeds only."""
+def written_release(spark: SparkSession, sf_dir: str) -> str:
     path = rel.scratch(spark, "release")
-    release_lines(spark, sf_dir).select(F.col("raw").cast("string").alias("value")).write.text(path)
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.agg(F.count("*").alias("n_lines")).crossJoin(release_lines(spark, sf_dir).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
+    rel.write_release(release_lines(spark, sf_dir), HEADER, path)
+    return path
+
+
+@query("SRC01", f"with {GOOD} select count(*) as n_lines, sum(length(f1 || f2 || f3 || f4 || f5 || f6) + 5 + case when okey % 101 = 0 then 6 else 0 end + case when okey % 103 = 0 then 2 else 0 end)::bigint as n_bytes, count(*) filter (where okey % 103 = 0) as n_not_utf8 from fields join (select line_no, okey from ordered) using (line_no)")
+def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release is written as text and read again as bytes, split at line feeds only."""
+    lines = rel.read_lines(spark, written_release(spark, sf_dir))
+    broken = F.try_validate_utf8(F.col("raw").cast("string")).isNull()
+    return lines.agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("raw")).alias("n_bytes"), F.count_if(broken).alias("n_not_utf8"))
 
 
-@query("SRC02", "select unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as column_name, unnest(range(0, 6))::int as position")
+@query("SRC02", f"with {GOOD}, p as (select unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as column_name, unnest(range(0, 6))::int as position, unnest([f1, f2, f3, f4, f5, f6]) as value from fields where not bad) select column_name, position, count(*) filter (where value <> '') as n_present from p group by all")
 def src02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "region").limit(1).select(F.lit("\t".join(HEADER)).alias("header")).first()
-    header = rel.validate_header(first["header"].split("\t"), ["item", "grp", "value"])
-    return table(spark, sf_dir, "region").limit(1).select(F.posexplode(F.array(*map(F.lit, header))).alias("position", "column_name"))
+    """The header is read from the release, decoded and checked; its columns are then counted over the lines that have its width."""
+    path = written_release(spark, sf_dir)
+    header = rel.read_header(spark, path, ["item", "grp", "value"])
+    good, _ = rel.split_lines(rel.read_lines(spark, path).withColumn("line_no", F.lit(0)), len(header))
+    counts = good.select(F.split("text", "\t", -1).alias("f")).agg(F.array(*[F.count_if(F.col("f")[k] != "") for k in range(len(header))]).alias("n"))
+    named = F.arrays_zip(F.array(*map(F.lit, header)).alias("c"), F.col("n").alias("n"))
+    return counts.select(F.posexplode(named).alias("position", "x")).select(F.col("x.c").alias("column_name"), "position", F.col("x.n").alias("n_present"))
 
 
 @query("SRC03", f"with {GOOD} select line_no, (f1 <> '')::int + (f2 <> '')::int + (f3 <> '')::int + (f4 <> '')::int + (f5 <> '')::int + (f6 <> '')::int as n_fields, nullif(f3, '') as assay, nullif(f6, '') as note from fields where not bad")
@@ -79,13 +88,17 @@ def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_no", rel.reconstruct(F.col("payload"), HEADER).alias("text"))
 
 
-@query("SRC08", "select n_name as release, md5(n_name) as digest, case when n_nationkey % 4 = 0 then 'absent' when n_nationkey % 4 = 1 then 'conflict' when n_nationkey % 4 = 2 then 'ingested' else 'unparsed' end as state from nation")
+@query(
+    "SRC08",
+    """with r as (select strftime(o_orderdate, '%Y-%m') as release, md5(strftime(o_orderdate, '%Y-%m') || ':' || count(*) || ':' || sum(o_orderkey)::bigint) as digest, count(*) % 4 as k from orders group by strftime(o_orderdate, '%Y-%m'))
+  select release, digest, case k when 0 then 'absent' when 1 then 'conflict' when 2 then 'ingested' else 'unparsed' end as state from r""",
+)
 def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    incoming = nation.select(F.col("n_name").alias("release"), F.md5("n_name").alias("digest"))
-    k = F.col("n_nationkey") % 4
-    registry = nation.where(k != 0).select(F.col("n_name").alias("release"), F.when(k == 1, "other").otherwise(F.md5("n_name")).alias("digest"), (k == 2).alias("finished"))
-    return rel.release_state(incoming, registry)
+    """A release a month of orders, against a registry that lacks some, has others unfinished or with another digest."""
+    content = F.concat_ws(":", F.col("release"), F.count("*").cast("string"), F.sum("o_orderkey").cast("string"))
+    incoming = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("release")).agg(F.md5(content).alias("digest"), (F.count("*") % 4).alias("k"))
+    registry = incoming.where("k <> 0").select("release", F.when(F.col("k") == 1, "other").otherwise(F.col("digest")).alias("digest"), (F.col("k") == 2).alias("finished"))
+    return rel.release_state(incoming.select("release", "digest"), registry)
 
 
 @query("SRC09", "select s_suppkey as line_no0, s_name as name, s_nationkey::varchar as nation from supplier")
@@ -99,18 +112,19 @@ def src09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.to_payload(good, ["key", "name", "nation"]).select(payload["key"].cast("long").alias("line_no0"), payload["name"].alias("name"), payload["nation"].alias("nation"))
 
 
-RECORD_LINES = """rl as (select conv_id as file, turn * 3 as line_no, '>' || role || ' ' || turn as text from conversations union all select conv_id, turn * 3 + 1, case when turn % 7 = 3 then '' else translate(substr(coalesce(text, ''), 1, 20), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end from conversations
-  union all select conv_id, turn * 3 + 2, case when turn % 7 = 3 then '' else translate(substr(coalesce(text, ''), 21, 20), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end from conversations)"""
+RECORD_LINES = """bl as (select conv_id, role, turn, case when turn % 7 = 3 then '' else translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz>', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ-') end as body from conversations),
+rl as (select conv_id as file, turn::bigint * 1000000 as line_no, '>' || role || ' ' || turn as text from bl
+  union all select conv_id, turn::bigint * 1000000 + 1 + k, substr(body, 60 * k + 1, 60) from (select *, unnest(range(0, greatest(1, (length(body) + 59) // 60))) as k from bl))"""
 
 
 def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    body = F.coalesce("text", F.lit(""))
-    parts = F.array(
-        F.struct((F.col("turn") * 3).alias("line_no"), F.concat(F.lit(">"), "role", F.lit(" "), F.col("turn").cast("string")).alias("text")),
-        *[F.struct((F.col("turn") * 3 + k).alias("line_no"), F.when(F.col("turn") % 7 == 3, "").otherwise(ascii_upper(F.substring(body, 20 * k - 19, 20))).alias("text")) for k in (1, 2)],
-    )
-    return c.select(F.col("conv_id").alias("file"), F.explode(parts).alias("l")).select("file", "l.line_no", "l.text")
+    """Each turn as a record: a header line, and its whole text in lines of 60 characters."""
+    text = F.replace(ascii_upper(F.coalesce("text", F.lit(""))), F.lit(">"), F.lit("-"))
+    c = table(spark, sf_dir, "conversations").withColumn("body", F.when(F.col("turn") % 7 == 3, "").otherwise(text))
+    base = F.col("turn").cast("long") * 1_000_000
+    head = c.select(F.col("conv_id").alias("file"), base.alias("line_no"), F.concat(F.lit(">"), "role", F.lit(" "), F.col("turn").cast("string")).alias("text"))
+    lines = c.select("conv_id", "turn", "body", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("body") - 1) / 60).cast("int")))).alias("k"))
+    return head.unionByName(lines.select(F.col("conv_id").alias("file"), (base + 1 + F.col("k")).alias("line_no"), F.substr("body", 60 * F.col("k") + 1, F.lit(60)).alias("text")))
 
 
 @query(
@@ -123,56 +137,138 @@ def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("file", "ordinal", "description", "sequence")
 
 
-@query("SRC12", f"with {RECORD_LINES} select count(*) as n_lines, count(*) filter (where text like '>%') as n_records, min(text) filter (where text like '>%') as first_header from rl")
+@query(
+    "SRC12",
+    f"""with {RECORD_LINES}, f as (select file, count(*) as n_lines, count(*) filter (where text like '>%') as n_records, list(text order by line_no) as content from rl group by file), h as (select *, list_filter(content, lambda x: x like '>%') as heads from f)
+  select file, n_lines, n_records, heads[1] as first_header, array_to_string(heads[1:3], '|') as sample, sha256(array_to_string(content, chr(10))) as digest, file % 3 = 0 as pin_matches from h""",
+)
 def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.col("text").startswith(">")
-    return record_lines(spark, sf_dir).agg(F.count("*").alias("n_lines"), F.count_if(head).alias("n_records"), F.min(F.when(head, F.col("text"))).alias("first_header"))
+    """Files inspected against pins: a third are pinned as they are, a third otherwise, a third not."""
+    lines = record_lines(spark, sf_dir)
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), "\n")
+    pins = lines.where("file % 3 <> 2").groupBy("file").agg(F.when(F.col("file") % 3 == 0, F.sha2(content, 256)).otherwise("other").alias("pin"))
+    return rel.inspect_files(lines, pins)
 
 
-@query("SRC13", f"with {OBS} select mtype, count(*) as n, count(*) filter (where rel = '=') as n_exact from obs group by mtype")
+@query(
+    "SRC13",
+    f"""with {OBS} select count(*) as n_rows, count(*) filter (where rel = '=') as n_exact, count(pub) as n_with_pub, count(distinct pub) as n_pubs, count(*) as n_with_locator, sum(okey)::bigint as sum_keys, true as in_order from obs""",
+)
 def src13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations exported as compressed JSON lines and read again."""
+    """Observations exported with their provenance as compressed JSON lines in a stable order, counted while they are written, and read again."""
+    order = ["okey", "line", "item", "assay", "v"]
     path = rel.scratch(spark, "export")
-    observations(spark, sf_dir).select("item", "grp", "mtype", "rel", "v").write.json(path, compression="gzip")
-    back = spark.read.schema("item long, grp int, mtype string, rel string, v double").json(path)
-    return back.groupBy("mtype").agg(F.count("*").alias("n"), F.count_if(F.col("rel") == "=").alias("n_exact"))
+    seen = Observation("export")
+    counters = [F.count("*").alias("n_rows"), F.count_if(F.col("rel") == "=").alias("n_exact"), F.count("pub").alias("n_with_pub"), F.count_if(F.col("okey").isNotNull() & F.col("line").isNotNull()).alias("n_with_locator")]
+    ordered = observations(spark, sf_dir).select(*order, "grp", "mtype", "rel", "pub", "src").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.observe(seen, *counters).write.json(path, compression="gzip")
+    counts = seen.get
+    back = spark.read.schema("okey long, line int, pub string").json(path).select("okey", "line", "pub", F.input_file_name().alias("file"))
+    files = back.groupBy("file").agg(F.min(F.struct("okey", "line")).alias("least"), F.max(F.struct("okey", "line")).alias("most"))
+    turns = files.withColumn("before", F.lag("most").over(Window.orderBy("file"))).agg(F.bool_and(F.coalesce(F.col("before") <= F.col("least"), F.lit(True))).alias("in_order"))
+    read = back.agg(F.sum("okey").alias("sum_keys"), F.count_distinct("pub").alias("n_pubs")).crossJoin(turns)
+    return read.select(*[F.lit(counts[c]).cast("long").alias(c) for c in ("n_rows", "n_exact", "n_with_pub", "n_with_locator")], "n_pubs", "sum_keys", "in_order")
+
 
+MICRO = "array_to_string(list_transform(embedding, lambda x: round(x::double * 1000000)::bigint::varchar), ',')"
 
-@query("SRC15", "with k as (select vec_id || ':' || len(embedding) as row from embeddings), hd as (" + digest_sql("row", "k", nested=True) + ") select digest, n, true as verified from hd")
+
+@query(
+    "SRC15",
+    f"with k as (select vec_id || ':' || {MICRO} as row from embeddings), hd as (" + digest_sql("row", "k", nested=True) + """)
+  select version, case when version in ('v1', 'v2') then digest end as digest, n, state from hd, (values ('v1', 'superseded'), ('v1 on demand', 'loaded'), ('v2', 'loaded'), ('v3', 'changed')) t(version, state)""",
+)
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature table written under a version's name, registered with its digest, and checked when read."""
-    row = F.concat_ws(":", "vec_id", F.size("embedding"))
-    source = table(spark, sf_dir, "embeddings")
-    path = rel.scratch(spark, "features-v1")
-    rel.write_version(source, path)
-    registered = set_digest(source, row)
-    read = set_digest(spark.read.parquet(path), row).select(F.col("digest").alias("read_digest"))
-    return registered.crossJoin(read).select("digest", "n", (F.col("digest") == F.col("read_digest")).alias("verified"))
+    """Feature tables registered with a digest of their ids and vectors: one superseded, one current, one changed after it was registered."""
+    source = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    micro = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))
+    content = lambda df: set_digest(df, F.concat(F.col("vec_id").cast("string"), F.lit(":"), F.array_join(micro, ",")))
+    base = rel.scratch(spark, "features")
+    moved = F.when(F.col("vec_id") == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    rel.write_version(source, f"{base}/v1")
+    rel.write_version(source, f"{base}/v2")
+    rel.write_version(source.withColumn("embedding", moved), f"{base}/v3")
+    digest = content(source).first()
+    registry = spark.createDataFrame([(name, f"{base}/{name}", digest["digest"], "v2" if name == "v1" else None) for name in ("v1", "v2", "v3")], "name string, path string, digest string, superseded_by string")
+    states = []
+    for name, allow in (("v1", False), ("v1", True), ("v2", False), ("v3", False)):
+        try:
+            rel.load_version(registry, name, content, allow)
+            state = "loaded"
+        except rel.VersionError as refused:
+            state = "superseded" if "superseded" in str(refused) else "changed"
+        states.append((f"{name} on demand" if allow else name, state))
+    found = spark.createDataFrame(states, "version string, state string")
+    return found.select("version", F.when(F.col("version").isin("v1", "v2"), F.lit(digest["digest"])).alias("digest"), F.lit(digest["n"]).cast("long").alias("n"), "state")
+
+
+STREAMS = {
+    "additions": "surplus and side = 'b'",
+    "removals": "surplus and side = 'a'",
+    "unresolved_additions": "surplus and side = 'b' and link = 'ambiguous'",
+    "unresolved_removals": "surplus and side = 'a' and link = 'ambiguous'",
+    "correction_candidates": "surplus and side = 'a' and link in ('entry_doi', 'reactant_set_id')",
+    "identifier_conflicts": "surplus and side = 'a' and link = 'identifier_conflict'",
+    "new_slots": "not in_a",
+    "removed_slots": "not in_b",
+    "ambiguous_slots": "link = 'ambiguous'",
+}
 
 
-@query("SRC16", f"with {OBS} select mtype as stream, count(*) as n from obs group by mtype")
+@query(
+    "SRC16",
+    f"with {DIFF}, st as (" + " union all ".join(f"select '{name}' as stream, case when '{name}' like '%slots' then null else mtype end as mtype, ({SLOT}) as slot from d where {rule}" for name, rule in STREAMS.items()) + ") select stream, mtype, count(*) as n, count(distinct slot) as n_slots from (select * from st where stream not like '%slots' union all select distinct * from st where stream like '%slots') group by all",
+)
 def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail of a comparison as nine named streams of JSON lines, in one pass: a row goes to each stream whose rule it meets, a slot once."""
     path = rel.scratch(spark, "detail")
-    observations(spark, sf_dir).select(F.col("mtype").alias("stream"), "item", "grp", "rel").write.partitionBy("stream").json(path)
-    return spark.read.schema("item long, grp int, rel string, stream string").json(path).groupBy("stream").agg(F.count("*").alias("n"))
+    rows = rows_of(spark, sf_dir)
+    names = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in STREAMS.items() if not name.endswith("slots")]))
+    slots = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in STREAMS.items() if name.endswith("slots")]))
+    slot = F.concat_ws("|", *SLOT.split(", "))
+    records = rows.select(F.explode(names).alias("stream"), "mtype", slot.alias("slot"), "rel", "v", "doi", "rsid")
+    named = rows.select(F.explode(slots).alias("stream"), F.lit(None).cast("string").alias("mtype"), slot.alias("slot")).distinct()
+    records.unionByName(named, allowMissingColumns=True).write.partitionBy("stream").json(path)
+    back = spark.read.schema("mtype string, slot string, stream string").json(path)
+    return back.groupBy("stream", "mtype").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("n_slots"))
 
 
-@query("SRC17", "select p_partkey as item, p_size as rank, p_size <= 10 as shortlisted from part where p_size <= 20")
+RANKING = ["rank", "item", "score", "shortlisted"]
+
+
+@query("SRC17", "with r as (select p_partkey as item, p_size, row_number() over (order by p_size, p_partkey) as rank from part where p_size <= 20) select rank, item, p_size::varchar as score, p_size <= 10 as shortlisted, 3 as n_preamble, true as in_order from r")
 def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ranking as CSV with a header; its preamble is a table of its own."""
+    """A ranking as CSV in rank order behind a preamble of comments and a header."""
     path = rel.scratch(spark, "ranking")
-    ranking = table(spark, sf_dir, "part").where("p_size <= 20").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("rank"), (F.col("p_size") <= 10).alias("shortlisted"))
-    ranking.write.option("header", True).csv(path)
-    return spark.read.option("header", True).schema("item long, rank int, shortlisted boolean").csv(path)
+    kept = table(spark, sf_dir, "part").where("p_size <= 20").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("score"), (F.col("p_size") <= 10).alias("shortlisted"))
+    ranking = rel.numbered_lines(kept, ["score", "item"], first=1).withColumnRenamed("line_no", "rank")
+    rel.write_ranking(ranking, path, ["ranking of parts by size", "ties: smaller key first", "shortlist: size of 10 at most"], RANKING)
+    back = rel.read_ranking(spark, path, RANKING)
+    files = back.select(F.col("rank").cast("long").alias("rank"), F.input_file_name().alias("file")).groupBy("file").agg(F.min("rank").alias("least"), F.max("rank").alias("most"))
+    turns = files.withColumn("before", F.lag("most").over(Window.orderBy("file"))).agg(F.bool_and(F.coalesce(F.col("before") < F.col("least"), F.lit(True))).alias("in_order"))
+    comments = spark.read.text(path).agg(F.count_if(F.col("value").startswith("#")).cast("int").alias("n_preamble"))
+    return back.select(F.col("rank").cast("long").alias("rank"), F.col("item").cast("long").alias("item"), "score", F.col("shortlisted").cast("boolean").alias("shortlisted")).crossJoin(comments).crossJoin(turns)
 
 
-@query("SRC18", f"with {OBS} select count(*) as n_written, count(distinct item) as n_keys, true as one_shard_each from obs")
+@query(
+    "SRC18",
+    f"""with {OBS}, s as (select *, (('0x' || substr(md5(item::varchar), 1, 8))::bigint % 8)::int as shard from obs) select shard, count(*) as n_lines, count(distinct item) as n_keys, sum(okey)::bigint as sum_keys, true as verbatim, true as reconciles from s group by shard""",
+)
 def src18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dealt over shards by a key, each as it stood: read, written and the sum over shards agree, and so do the lines' digests."""
     path = rel.scratch(spark, "shards")
-    rel.write_sharded(observations(spark, sf_dir).select("item", "grp", "okey"), path, "item", 8)
-    back = spark.read.parquet(path)
-    per_key = back.groupBy("item").agg(F.count("*").alias("n"), F.min("shard").alias("lo"), F.max("shard").alias("hi"))
-    return per_key.agg(F.sum("n").alias("n_written"), F.count("*").alias("n_keys"), F.bool_and(F.col("lo") == F.col("hi")).alias("one_shard_each"))
+    source = rel.scratch(spark, "lines")
+    observations(spark, sf_dir).select(F.to_json(F.struct("okey", "line", "item", "grp", "rel", "v")).alias("value")).write.text(source)
+    lines = spark.read.text(source)
+    item = F.get_json_object("value", "$.item")
+    rel.write_sharded(lines, path, item, 8)
+    back = spark.read.schema("value string, shard int").text(path)
+    content = F.sum(F.xxhash64("value").cast("decimal(38,0)"))
+    per_shard = lambda df, shard: df.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), content.alias("c"), F.count_distinct(item).alias("n_keys"), F.sum(F.get_json_object("value", "$.okey").cast("long")).alias("sum_keys"))
+    sent = per_shard(lines, rel.shard_of(item, 8)).select("shard", F.col("n").alias("n_sent"), F.col("c").alias("c_sent"))
+    both = per_shard(back, F.col("shard")).join(sent, "shard", "full_outer")
+    total = F.sum("n").over(Window.partitionBy()) == F.sum("n_sent").over(Window.partitionBy())
+    return both.select("shard", F.col("n").alias("n_lines"), "n_keys", "sum_keys", (F.col("c") == F.col("c_sent")).alias("verbatim"), ((F.col("n") == F.col("n_sent")) & total).alias("reconciles"))
 
 
 @query("SRC19", f"with {OBS} select count(*) * 2 as n from obs")
@@ -199,7 +295,7 @@ def udf05(spark: SparkSession, sf_dir: str) -> DataFrame:
 # scalar functions on texts
 
 
-@query("SCA01", "select doc_id, sha256(translate(regexp_replace(trim(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) as digest from documents")
+@query("SCA01", "select doc_id, sha256(regexp_replace(upper(replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), 'ß', 'SS')), '[^\\x00-\\x7F]', '', 'g')) as digest from documents")
 def sca01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sequence_digest(F.col("text")).alias("digest"))
 
@@ -272,8 +368,6 @@ def prj19(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AGG36", f"with {SEQ}, n as (select length(s) as n, row_number() over (order by length(s)) - 1 as r, count(*) over () as k from sq where s <> '') select min(n) as least, max(n) filter (where r = k // 2) as upper_median, max(n) as most, count(*) filter (where n > 1022) as n_over from n")
 def agg36(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length statistics; the median comes from counts by length, so no window spans all rows."""
-    from pyspark.sql import Window
-
     s = F.length(ascii_upper(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")))
     counts = table(spark, sf_dir, "documents").select(s.cast("long").alias("n")).where("n > 0").groupBy("n").agg(F.count("*").alias("c"))
     running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.sum("c").over(Window.partitionBy()))

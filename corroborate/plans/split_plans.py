@@ -185,7 +185,7 @@ def spl12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SPL13",
-    """with c as (select vec_id as id, embedding from embeddings), e as (select p_partkey as id from part where p_partkey < 600)
+    """with c as (select vec_id as id, embedding from embeddings), e as (select p_partkey as id from part)
   select 'duplicates' as check_name, count(*) - count(distinct id) as observed from c union all select 'missing', count(*) from e where id not in (select id from c) union all select 'extra', count(*) from c where id not in (select id from e)
   union all select 'wrong_width', count(*) from c where len(embedding) <> 64 union all select 'not_finite', count(*) from c where len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0""",
 )
@@ -193,7 +193,7 @@ def spl13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.vectors import cache_checks
 
     cache = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return cache_checks(cache, table(spark, sf_dir, "part").where("p_partkey < 600").select(F.col("p_partkey").alias("id")), 64)
+    return cache_checks(cache, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), 64)
 
 
 @query("SPL14", f"with {OBS}, m as (select distinct item from obs where src = 'N'), hd as ({digest_sql('item::varchar', 'm', nested=True)}) select 'release:N' as population, digest, n from hd")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,13 +99,16 @@ DELTAS = COHORT + ", two as (select grp, item, pos, score as s1, ((item * 31 + g
     "STA05",
     f"""with {DELTAS}, nz as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2 as r, count(*) over (partition by abs(d)) as t from de where d <> 0),
   ag as (select count(*) as n, sum(r) filter (where d > 0) as w_plus, count(*) filter (where d > 0) as n_up, count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24 - sum(t * t - 1) / 48 as variance from nz)
-  select n, w_plus, n_up, round((w_plus - n * (n + 1) / 4) / sqrt(variance), 6) as z from ag""",
+  , qs as (select count(*) as n_groups, round(quantile_cont(d, 0.25), 6) as lower_quartile, round(median(d), 6) as median, round(quantile_cont(d, 0.75), 6) as upper_quartile from de where d is not null),
+  z as (select n, w_plus, n_up, (w_plus - n * (n + 1) / 4) / sqrt(variance) as z from ag),
+  sg as (select least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))) as sign_p from (select n, unnest(range(0, least(n_up, n - n_up) + 1)) as k from z))
+  select n_groups, n, w_plus, n_up, round(z, 6) as z, round(sign_p, 6) as sign_p, median, lower_quartile, upper_quartile from z, qs, sg""",
 )
 def sta05(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones = _two_scores(spark, sf_dir).withColumn("w", F.lit(1))
     one, two = (st.weighted_auroc(ones, ["grp"], s).select("grp", F.col("auroc").alias(s)) for s in ("s1", "s2"))
     deltas = one.join(two, "grp").withColumn("d", F.round(F.col("s1") - F.col("s2"), 3))
-    return st.signed_rank(deltas, "d").select("n", "w_plus", "n_up", *r6("z"))
+    return st.signed_rank(deltas, "d").select("n_groups", "n", "w_plus", "n_up", *r6("z", "sign_p", "median", "lower_quartile", "upper_quartile"))
 
 
 @query(
@@ -175,13 +179,18 @@ def jon24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.crossJoin(b).crossJoin(predicted.join(keys, ["item", "grp"]).agg(F.count("*").alias("n_aligned")))
 
 
-@query("JON25", "with e as (select n_name as f from nation where n_nationkey % 5 <> 1), p as (select n_name as f from nation where n_nationkey % 5 <> 2) select coalesce(e.f, p.f) as file, case when p.f is null then 'missing' when e.f is null then 'unexpected' else 'present' end as state from e full join p on e.f = p.f")
+@query(
+    "JON25",
+    """with f as (select strftime(l_shipdate, '%Y-%m-%d') as file, count(*) as n, sum(l_orderkey)::bigint as k from lineitem group by 1), e as (select * from f where k % 5 <> 1), p as (select * from f where k % 5 <> 2)
+  select coalesce(e.file, p.file) as file, e.n as expected_rows, p.n as present_rows, case when p.file is null then 'missing' when e.file is null then 'unexpected' else 'present' end as state from e full join p on e.file = p.file""",
+)
 def jon25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), F.col("n_nationkey").alias("k"))
-    expected = nation.where("k % 5 <> 1").select("file", F.lit(True).alias("e"))
-    present = nation.where("k % 5 <> 2").select("file", F.lit(True).alias("p"))
-    state = F.when(F.col("p").isNull(), "missing").when(F.col("e").isNull(), "unexpected").otherwise("present")
-    return expected.join(present, "file", "full_outer").select("file", state.alias("state"))
+    """A file a day of shipments, as a manifest expects them and as they are found."""
+    files = table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("file")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("k"))
+    expected = files.where("k % 5 <> 1").select("file", F.col("n").alias("expected_rows"))
+    present = files.where("k % 5 <> 2").select("file", F.col("n").alias("present_rows"))
+    state = F.when(F.col("present_rows").isNull(), "missing").when(F.col("expected_rows").isNull(), "unexpected").otherwise("present")
+    return expected.join(present, "file", "full_outer").select("file", "expected_rows", "present_rows", state.alias("state"))
 
 
 @query("JON19", f"with acc as (select p_partkey as item, p_size as x from part where p_partkey % 3 = 0), ext as (select p_partkey as item, p_size as x from part where p_partkey % 3 = 1), al as (select item, x, 'accepted' as provenance from acc union all select item, x, 'extension' from ext), {OBS}, need as (select distinct item from obs) select coalesce(provenance, 'missing') as provenance, count(*) as n, count(*) filter (where x > 45) as n_unusable from need left join al using (item) group by 1")
@@ -261,21 +270,23 @@ def udf01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.map_entities(observations(spark, sf_dir).select("okey", "line", "item"), "item", lambda k: k[::-1].upper(), "made")
 
 
-@query("UDF02", "select doc_id, length(coalesce(text, '')) as n from documents")
+@query("UDF02")
 def udf02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("long")
-    def size(values: pd.Series) -> pd.Series:
-        return values.fillna("").str.len()
+    """A vectorised scalar hook with a library function that no built-in replaces: entities of whole pages decoded, then hashed."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.sha2(F.coalesce(hooks.decode_entities(F.col("html")), F.lit("")), 256).alias("decoded_sha256"))
 
-    return table(spark, sf_dir, "documents").select("doc_id", size("text").alias("n"))
 
-
-@query("UDF03", f"with {OBS} select grp, count(*) as n, max(v) as most from obs where v > 3300 group by grp")
+@query("UDF03", f"with {OBS}, top as (select grp, v, row_number() over (partition by grp order by v desc, okey, line) as place from obs where v > 0) select grp, count(*) as n, round(exp(avg(ln(v))), 6) as geometric_mean from top where place <= 50 group by grp")
 def udf03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped hook on what earlier steps made small: the fifty largest values of each group, found without gathering it."""
+
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"grp": [group["grp"].iloc[0]], "n": [len(group)], "most": [group["v"].max()]})
+        return pd.DataFrame({"grp": [group["grp"].iloc[0]], "n": [len(group)], "geometric_mean": [round(float(np.exp(np.log(group["v"]).mean())), 6)]})
 
-    return hooks.grouped(observations(spark, sf_dir).where("v > 3300").select("grp", "v"), ["grp"], work, "grp int, n long, most double")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("v"), "okey", "line"))
+    top = observations(spark, sf_dir).where("v > 0").select("grp", "v", "okey", "line").withColumn("place", place).where("place <= 50")
+    return hooks.grouped(top.select("grp", "v"), ["grp"], work, "grp int, n long, geometric_mean double")
 
 
 @query("UDF04", f"with {OBS} select grp, round(max(9 - log10(v)) filter (where rel in ('<', '<=') and v > 0), 6) as lo, round(min(9 - log10(v)) filter (where rel in ('>', '>=') and v > 0), 6) as hi from obs where rel in ('<', '<=', '>', '>=') and v > 0 group by grp")

@@ -30,13 +30,31 @@ def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@query("STR02", "select n_name as release, md5(n_name) as digest from nation")
+RELEASES = "rl as (select strftime(o_orderdate, '%Y-%m') as release, md5(strftime(o_orderdate, '%Y-%m') || ':' || count(*) || ':' || sum(o_orderkey)::bigint) as digest from orders group by strftime(o_orderdate, '%Y-%m'))"
+
+
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One release a month of orders, with a digest of its content."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    content = F.concat_ws(":", F.col("release"), F.count("*").cast("string"), F.sum("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").withColumn("release", month).groupBy("release").agg(F.md5(content).alias("digest"))
+
+
+@query(
+    "STR02",
+    f"with {RELEASES} select release, digest, 'absent' as state, 1::bigint as n from rl union all select release, digest, 'ingested', 1::bigint from rl union all select release, md5(digest), 'conflict', 1::bigint from rl where release like '%-03'",
+)
 def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("release"), F.md5("n_name").alias("digest"))
+    """All releases arrive, then all again and some with another digest."""
+    source = releases(spark, sf_dir)
     out, checkpoint = a.paths(spark, "str02")
-    stream = arrived(spark, sf_dir, nation.unionByName(nation), "releases")
-    a.run_available(stream, "append", out, checkpoint, a.arrive_once(spark, f"{out}-registry", out))
-    return spark.read.option("basePath", out).parquet(out).select("release", "digest")
+    folder = scratch(spark, "releases")
+    handler = a.arrive_once(spark, f"{out}-registry", out)
+    changed = source.where(F.col("release").endswith("-03")).withColumn("digest", F.md5("digest"))
+    for arrival in (source, source.unionByName(changed)):
+        arrival.write.mode("append").parquet(folder)
+        a.run_available(a.read_arrivals(spark, folder, source.schema, files_a_batch=100_000), "append", out, checkpoint, handler)
+    return spark.read.option("basePath", out).parquet(out).groupBy("release", "digest", "state").agg(F.count("*").alias("n"))
 
 
 @query("STR03", "select distinct user_id from events")

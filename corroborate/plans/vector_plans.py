@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import vectors as v
@@ -127,12 +127,14 @@ def jon10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "id").agg(F.count("*").alias("n_both"), F.count_if(F.col("x") != F.col("y")).alias("n_different"))
 
 
-@query("JON09", "with e as (select vec_id as id, label from embeddings), p as (select a.id as a, b.id as b, a.label from e a join e b on a.label = b.label and b.id > a.id) select a, b, label from p order by md5(a || '-' || b || '-7'), a, b limit 500")
+@query("JON09", "with e as (select vec_id as id, label, row_number() over (partition by label order by md5(vec_id || '-7'), vec_id) as place from embeddings), p as (select least(a.id, b.id) as a, greatest(a.id, b.id) as b, a.label from e a join e b on a.label = b.label and b.place - a.place between 1 and 8) select a, b, label from p order by md5(a || '-' || b || '-7'), a, b limit 500")
 def jon09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one label by hash: each member with the next eight in hash order, so a label makes eight pairs a member and not its square."""
+    order = Window.partitionBy("label").orderBy(F.md5(F.concat_ws("-", "id", F.lit("7"))), "id")
     rows = library(spark, sf_dir).select("id", "label")
-    a, b = rows.select(F.col("id").alias("a"), "label"), rows.select(F.col("id").alias("b"), "label")
-    pairs = a.join(b, "label").where("b > a")
-    return pairs.orderBy(F.md5(F.concat_ws("-", "a", "b", F.lit("7"))), "a", "b").limit(500).select("a", "b", "label")
+    near = rows.withColumn("next", F.array(*[F.lead("id", k).over(order) for k in range(1, 9)])).select("id", "label", F.explode(F.array_compact("next")).alias("other"))
+    pairs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "label")
+    return pairs.orderBy(F.md5(F.concat_ws("-", "a", "b", F.lit("7"))), "a", "b").limit(500)
 
 
 @query("AGG44", "with g as (select embedding, count(*) as n from embeddings group by embedding) select count(*) as n_distinct, coalesce(sum(n) filter (where n > 1), 0)::bigint as n_sharing from g")

@@ -40,6 +40,28 @@ def validate_header(header: list[str], required: list[str]) -> list[str]:
     return header
 
 
+def write_release(lines: DataFrame, header: list[str], path: str, order: str = "line_no", raw: str = "raw") -> None:
+    """A release as files whose names give the order of their lines: the header line alone, then the lines in ranges of ``order``."""
+    spark = lines.sparkSession
+    spark.createDataFrame([("\t".join(header),)], "value string").coalesce(1).write.text(f"{path}/0-header")
+    lines.repartitionByRange(order).sortWithinPartitions(order).select(F.col(raw).cast("string").alias("value")).write.text(f"{path}/1-lines")
+
+
+def read_header(spark: SparkSession, path: str, required: list[str]) -> list[str]:
+    """The first line of a release, decoded and checked."""
+    first = spark.read.option("lineSep", "\n").text(f"{path}/0-header").select(F.encode("value", "UTF-8").alias("raw"), F.try_validate_utf8("value").alias("text")).first()
+    if first is None or not first["raw"]:
+        raise ValueError("the release has no header line")
+    if first["text"] is None:
+        raise ValueError("the header line is not valid UTF-8")
+    return validate_header(first["text"].split("\t"), required)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a release as bytes, split at line feeds only."""
+    return spark.read.option("lineSep", "\n").text(f"{path}/1-lines").select(F.col("value").cast("binary").alias("raw"))
+
+
 def split_lines(lines: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Lines with as many fields as the header, and those in quarantine with their bytes and the rule they broke.
 
@@ -94,11 +116,65 @@ def fasta_records(lines: DataFrame, file: str = "file", line: str = "line_no", t
     return records.where("sequence <> ''").withColumn("length", F.length("sequence")), records.where("sequence = ''").select(file, "ordinal", "description")
 
 
+class VersionError(ValueError):
+    """A version that must not be used: unknown, superseded, or no longer what was registered."""
+
+
 def write_version(df: DataFrame, path: str) -> None:
     """Write a named version once; a second write of the same name fails."""
     df.write.mode("errorifexists").parquet(path)
 
 
-def write_sharded(df: DataFrame, path: str, key: str, shards: int) -> None:
-    """One folder a hash shard of the key."""
-    df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards))).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+def load_version(registry: DataFrame, name: str, digest, allow_superseded: bool = False) -> DataFrame:
+    """The rows of a registered version (name, path, digest, superseded_by), after their content has been checked.
+
+    ``digest`` gives a one-row table with a column ``digest`` of the whole content of a table. A superseded version is
+    refused unless it is asked for, and so is one whose rows are not those that were registered.
+    """
+    known = registry.where(F.col("name") == name).select("path", "digest", "superseded_by").first()
+    if known is None:
+        raise VersionError(f"no version {name} is registered")
+    if known["superseded_by"] is not None and not allow_superseded:
+        raise VersionError(f"version {name} was superseded by {known['superseded_by']}")
+    rows = registry.sparkSession.read.parquet(known["path"])
+    if digest(rows).first()["digest"] != known["digest"]:
+        raise VersionError(f"the rows of version {name} are not those that were registered")
+    return rows
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    """A shard by the first 32 bits of the key's MD5, which any engine can repeat."""
+    return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % shards).cast("int")
+
+
+def write_sharded(lines: DataFrame, path: str, key: Column, shards: int) -> None:
+    """One folder a shard of the key; each line goes through as it is. A shard is dealt over several tasks, so none is bound to one."""
+    dealt = lines.select(F.col("value"), shard_of(key, shards).alias("shard"))
+    dealt.repartition("shard", F.pmod(F.xxhash64("value"), F.lit(8))).write.partitionBy("shard").text(path)
+
+
+def inspect_files(lines: DataFrame, pins: DataFrame, sample: int = 3, file: str = "file", line: str = "line_no", text: str = "text") -> DataFrame:
+    """What stands in each file, without loading it: lines, records, the first header, some headers, and whether its content is as pinned.
+
+    ``pins`` holds (file, pin), a SHA-256 of the lines joined by line feeds; a file without a pin matches nothing.
+    """
+    head = F.col(text).startswith(">")
+    in_order = F.array_sort(F.collect_list(F.struct(line, text)))
+    found = lines.groupBy(file).agg(F.count("*").alias("n_lines"), F.count_if(head).alias("n_records"), F.transform(in_order, lambda x: x[text]).alias("content"))
+    heads = F.filter("content", lambda x: x.startswith(">"))
+    shown = found.select(file, "n_lines", "n_records", F.get(heads, F.lit(0)).alias("first_header"), F.array_join(F.slice(heads, 1, sample), "|").alias("sample"), F.sha2(F.array_join("content", "\n"), 256).alias("digest"))
+    return shown.join(pins, file, "left").withColumn("pin_matches", F.coalesce(F.col("pin") == F.col("digest"), F.lit(False))).drop("pin")
+
+
+def write_ranking(ranking: DataFrame, path: str, preamble: list[str], columns: list[str], order: str = "rank") -> None:
+    """A ranking as CSV in rank order: comment lines, the header, then rows. File names give the order of the lines."""
+    spark = ranking.sparkSession
+    lead = spark.createDataFrame([(k - len(preamble) - 1, f"# {line}") for k, line in enumerate(preamble)] + [(-1, ",".join(columns))], "place long, value string")
+    rows = ranking.select(F.col(order).cast("long").alias("place"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    lead.unionByName(rows).repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(path)
+
+
+def read_ranking(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The rows of a written ranking as strings; comments and the header are left out."""
+    schema = ", ".join(f"{c} string" for c in columns)
+    return spark.read.schema(schema).option("comment", "#").csv(path).where(F.col(columns[0]) != columns[0])

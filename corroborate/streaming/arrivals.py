@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evidence import tightest, with_roles
@@ -65,21 +65,26 @@ def running_intervals(obs: DataFrame) -> DataFrame:
 
 
 def arrive_once(spark: SparkSession, registry: str, target: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler that appends releases that are not registered yet; the same digest again is no work."""
+    """A batch handler that takes each release once: it writes what each arrival is, and registers what is new.
+
+    A release that is not known is absent, and loaded; one that is known by the same digest is no work; another digest of a
+    known release is a conflict, and refused. Of several new digests in one batch the least is the release.
+
+    Both folders hold one part a batch, and a batch reads the registry of the batches before it only. So a batch that runs
+    again, because the query ended after the handler wrote and before the stream committed, finds what it found before.
+    """
 
     def handle(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(registry).select("release", "digest")
-        except Exception as error:  # no release has been registered yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = batch.select("release", "digest").limit(0)
-        stamped = batch.dropDuplicates(["release", "digest"])
-        fresh = stamped.join(known, ["release", "digest"], "left_anti").persist()
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={k}")
-        fresh.select("release", "digest").write.mode("append").parquet(registry)
-        fresh.unpersist()
+        spark.createDataFrame([], "release string, digest string").write.mode("overwrite").parquet(f"{registry}/batch=-1")
+        earlier = spark.read.schema("release string, digest string, batch long").parquet(registry).where(F.col("batch") < k)
+        known = earlier.groupBy("release").agg(F.min("digest").alias("known"))
+        least = F.min("digest").over(Window.partitionBy("release"))
+        came = batch.groupBy("release", "digest").agg(F.count("*").alias("times")).withColumn("least", least).join(known, "release", "left")
+        state = F.when(F.coalesce("known", "least") != F.col("digest"), "conflict").when(F.col("known").isNotNull(), "ingested").otherwise("absent")
+        came.select("release", "digest", state.alias("state")).write.mode("overwrite").parquet(f"{target}/batch={k}")
+        written = spark.read.parquet(f"{target}/batch={k}")
+        written.where("state = 'absent'").select("release", "digest").write.mode("overwrite").parquet(f"{registry}/batch={k}")
 
     return handle
 

@@ -24,6 +24,11 @@ from corroborate.sources import releases
         ("n.d.", ("?", "", None, None)),
         (">100 nM", (">", ">", False, None)),
         ("1.2e1", ("=", "", None, 12.0)),
+        ("Infinity", ("?", "", None, None)),
+        ("5d", ("?", "", None, None)),
+        ("= +.5e-1", ("=", "=", None, 0.05)),
+        ("<-", ("<", "<", False, None)),
+        ("\u00a0~ 1,0,0\t", ("~", "~", None, 100.0)),
     ],
 )
 def test_parse_value(spark, text, want):
@@ -37,7 +42,7 @@ def test_blank_fields_are_no_measurement(spark):
 
 @pytest.mark.parametrize(("rel", "want"), [("=", "active"), ("<", "active"), ("<=", "active"), (">", "inactive"), (">=", "ambiguous"), ("~", "ambiguous")])
 def test_reading_at_the_threshold(spark, rel, want):
-    assert spark.range(1).select(fn.label_at_threshold(F.lit(rel), F.lit(1000.0))).first()[0] == want
+    assert spark.range(1).select(fn.decided_at(F.lit(rel), F.lit(1000.0))).first()[0] == want
 
 
 @pytest.mark.parametrize(("text", "key"), [("12", "12"), ("12.0", "12"), ("1.2e1", "12"), (".50", "0.5"), ("-0", "0"), ("> 7.40", "7.4"), ("12 nM", "raw:12 nM"), ("", "raw:"), ("120", "120")])

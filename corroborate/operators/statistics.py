@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,34 @@ def poisson_one(u: Column) -> Column:
     return sum(F.when(u >= F.lit(c), 1).otherwise(0) for c in cdf)
 
 
+#: Rounds that share one MD5: each takes eight of its hex digits.
+DRAWS = 4
+
+
+def poisson_limits(steps: int = 9) -> list[str]:
+    """The distribution of a Poisson count of mean one as eight hex digits a step: a draw of as many digits compares as text."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(steps):
+        total += term
+        out.append(f"{min(math.ceil(total * (1 << 32)), (1 << 32) - 1):08x}")
+        term /= k + 1
+    return out
+
+
+def poisson_text(draw: Column) -> Column:
+    """The Poisson count of mean one for a draw of eight hex digits; most draws end after one or two comparisons."""
+    found = F.lit(9)
+    for k, limit in reversed(list(enumerate(poisson_limits()))):
+        found = F.when(draw < limit, k).otherwise(found)
+    return found
+
+
 def replicate(df: DataFrame, rounds: int, seed: str, *keys: str) -> DataFrame:
-    """Each row in each bootstrap round with its hashed Poisson weight; rows of weight 0 are left out."""
-    each = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    drawn = each.withColumn("__u", uniform(F.lit(seed), F.col("b"), *map(F.col, keys)))  # hashed once, compared nine times
-    return drawn.withColumn("w", poisson_one(F.col("__u"))).where("w > 0").drop("__u")
+    """Each row in each bootstrap round (``b``) with its hashed Poisson weight (``w``); rows of weight 0 are left out."""
+    each = df.withColumn("__k", F.explode(F.array(*map(F.lit, range(-(-rounds // DRAWS))))))
+    hashed = each.withColumn("__d", F.md5(F.concat_ws("|", F.lit(seed), F.col("__k").cast("string"), *[F.col(c).cast("string") for c in keys])))
+    drawn = [F.struct((F.col("__k") * DRAWS + j + 1).alias("b"), poisson_text(F.substring("__d", 8 * j + 1, 8)).alias("w")) for j in range(DRAWS)]
+    return hashed.select(*df.columns, F.inline(F.array(*drawn))).where((F.col("w") > 0) & (F.col("b") <= rounds))
 
 
 def weighted_auroc(df: DataFrame, group: list[str], score: str = "score") -> DataFrame:

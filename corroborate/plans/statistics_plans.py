@@ -30,8 +30,10 @@ def poisson_sql(u: str) -> str:
 
 
 def resampled_sql(source: str, keys: list[str], rounds: int, seed: str, keep: str) -> str:
-    u = uniform_sql(f"'{seed}'", "b", *keys)
-    return f"u0 as (select *, {u} as u from {source}, (select unnest(range(1, {rounds} + 1)) as b)), rw as (select {keep}, b, {poisson_sql('u')} as w from u0 where {poisson_sql('u')} > 0)"
+    named = " || '|' || ".join([f"'{seed}'", "(b - 1) // 4", *keys])
+    weight = " + ".join(f"(draw >= '{limit}')::int" for limit in st.poisson_limits())
+    return f"""u0 as (select *, substr(md5({named}), 8 * ((b - 1) % 4)::int + 1, 8) as draw from {source}, (select unnest(range(1, {rounds} + 1)) as b)),
+rw as (select * from (select {keep}, b, {weight} as w from u0) where w > 0)"""
 
 
 def auroc_sql(group: str, score: str, name: str) -> str:

@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run``
 writes each stage's result to the shared folder and reads it again as the next one's input.
+
+A null text counts as an empty one in every stage. A row without an id is a document of its own text; rows that share an id
+are told apart by their texts. Columns beside those of documents are left behind. An empty table passes through as one.
 """
 
 from __future__ import annotations
@@ -9,15 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import exact, mixing, packing, quality
-from corroborate.similarity import ngram_join
+from corroborate.llm import exact, mixing, ngram_join, packing, quality
 from corroborate.similarity.common import text_of, write_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject: each row by its own text and site, repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify_quality(docs.select(*COLUMNS), labels).where("keep").select(*COLUMNS)
 
@@ -48,12 +50,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target weights; a repeated document is several equal rows."""
+    """Sources brought to their target weights; a repeated document is several equal rows, which its columns do not tell apart."""
     return mixing.mix_to_weights(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and place."""
+    """Token pieces of all documents with their sequence and place; each copy of a document is packed whole, by its rows."""
     return packing.pack_documents(docs)
 
 

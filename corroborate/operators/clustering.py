@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..similarity.ngram_join import ngram_join
+from ..similarity.set_join import linked_classes, named_components
 
 
 def cluster_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -18,5 +18,5 @@ def cluster_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if abs(percent - 100 * threshold) > 1e-9:
         raise ValueError(f"threshold {threshold} is not a whole percentage")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
-    linked = ngram_join(rows.where("doc_id is not null"), words, percent).select(F.col("doc_id").alias("id"), F.col("component_id").alias("cluster"))
+    linked = named_components(*linked_classes(rows.where("doc_id is not null"), words, percent)).select(F.col("doc_id").alias("id"), F.col("component").alias("cluster"))
     return linked.unionByName(rows.where("doc_id is null").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cluster")))

@@ -1,5 +1 @@
 """Operators for preparing training data."""
-
-from ..similarity import common, graph, ngram_join, packed, words
-
-__all__ = ["common", "graph", "ngram_join", "packed", "words"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from ..similarity.common import text_of, write_once
-from ..similarity.ngram_join import shingle_sets
+from ..similarity.set_join import shingle_sets
 from ..similarity.words import text_groups
 from . import logistic
 

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import os
+import random
+import zlib
 
+import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as p
+from corroborate.llm import mixing, packing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,5 +60,61 @@ def test_near_copies_of_one_id_on_two_texts(spark):
     assert kept == sorted([(3, near), (2, far + " least id"), (6, "six"), (6, "half a dozen"), (6, "")])
 
 
+def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(30, 90))]
+        texts += [base, *([[*base[:-1], word()] for _ in range(rng.randrange(3))]), *([base] * rng.randrange(3))]
+    rows = [(k, " ".join(t), "en", f"s{k % 3}", 1) for k, t in enumerate(texts)]
+    rows += [(1000 + k, " ".join(word().upper() + "!!" for _ in range(60)), "en", "s0", 1) for k in range(40)]
+    rows += [(None, rows[0][1], "en", "s1", 1), (None, "no id " * 20, "en", "s1", 1), (None, "none either " * 20, None, None, 1), (3, "a second text of an id " * 9, "en", "s2", 1)]
+    docs = spark.createDataFrame(rows, p_docs())
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in rows if r[0] is not None and r[0] != 3], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = p.run(spark, f"file://{tmp_path}").collect()
+
+    kept = [r for r in rows if r[0] is None or r[0] < 1000]
+    judged = quality.classify_quality(docs, labels).where("keep").select(*p.COLUMNS).collect()
+    assert sorted(map(str, map(tuple, judged))) == sorted(map(str, kept))
+    owner = {}
+    for r in kept:
+        best = owner.get(r[1])
+        owner[r[1]] = r if best is None or (r[0] is not None and (best[0] is None or r[0] > best[0])) else best
+    unique = list(owner.values())
+    named = [r for r in unique if r[0] is not None]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in named)]
+    group = list(range(len(named)))
+    for i in range(len(named)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    apart = [min((named[k] for k in range(len(named)) if group[k] == g), key=lambda r: r[0]) for g in set(group)] + [r for r in unique if r[0] is None]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", apart)
+    mixed = con.execute(mixing.SQL).fetchall()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for doc_id, text, *_ in mixed:
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        want += [(doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(packing.cut(len(ids), packing.CAPACITY))]
+    assert sorted(map(str, [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got])) == sorted(map(str, want))
+    assert len(mixed) > 40 and len(unique) > len(apart) > 50
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in map(sorted, bins.values()):
+        assert all(a + n == (places[k + 1][0] if k + 1 < len(places) else a + n) for k, (a, n) in enumerate(places)) and sum(n for _, n in places) <= packing.CAPACITY
+
+
+def test_an_empty_table_passes_through(spark, tmp_path):
+    spark.createDataFrame([], p_docs()).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert p.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def p_docs():
     return "doc_id long, text string, lang string, source string, n_chars long"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: A side of so many rows or fewer is broadcast to the other; beyond it both sides are dealt in blocks.
 BROADCAST_ROWS = 20_000
-BLOCKS = 16
+LIBRARY_ROWS = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,13 +28,15 @@ def unit(df: DataFrame, vector: str) -> DataFrame:
 def against_all(queries: DataFrame, library: DataFrame) -> DataFrame:
     """Each query beside each library row. The queries are a stated set; the smaller side is broadcast after its size is checked.
 
-    Beyond that size queries are dealt into blocks, each block meets a copy of the library, and neither side is broadcast.
+    Beyond that size both sides are cut into blocks, and each block of queries meets each block of the library in a task's
+    work of its own: as many cells as the sizes ask for, and neither side is broadcast.
     """
     if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return library.crossJoin(F.broadcast(queries))
-    one = queries.withColumn("__block", F.pmod(F.monotonically_increasing_id(), F.lit(BLOCKS)).cast("int"))
-    two = library.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    return two.join(one, "__block").drop("__block")
+    rows, columns = -(-library.count() // LIBRARY_ROWS), -(-queries.count() // BROADCAST_ROWS)
+    one = queries.withColumn("__column", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(columns)).cast("int")).withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    two = library.withColumn("__row", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rows)).cast("int")).withColumn("__column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    return two.join(one, ["__row", "__column"]).drop("__row", "__column")
 
 
 def scored(queries: DataFrame, library: DataFrame, scale: float = 1.0, offset: float = 0.0) -> DataFrame:

@@ -11,10 +11,19 @@ from ..streaming import arrivals as a
 from .registry import query
 
 
-def arrived(spark: SparkSession, sf_dir: str, source: DataFrame, label: str, files: int = 3) -> DataFrame:
-    """A stream of the rows of ``source``, which arrive in a few files."""
+def arrived(spark: SparkSession, sf_dir: str, source: DataFrame, label: str, arrivals: int = 3, by: str | None = None) -> DataFrame:
+    """A stream of the rows of ``source``, which arrive one part after the other: by hash, or in ranges of a time column ``by``."""
     path = scratch(spark, label)
-    source.repartition(files).write.parquet(path)
+    if by is None:
+        part = F.pmod(F.xxhash64(*source.columns), F.lit(arrivals))
+    else:
+        least, most = source.agg(F.min(by), F.max(by)).first()
+        width = F.nullif(F.lit(most).cast("double") - F.lit(least).cast("double"), F.lit(0.0))
+        step = (F.col(by).cast("double") - F.lit(least).cast("double")) / width
+        part = F.least(F.floor(step * arrivals), F.lit(arrivals - 1))
+    parted = source.withColumn("__part", part)
+    for k in range(arrivals):
+        parted.where(F.coalesce("__part", F.lit(0)) == k).drop("__part").write.mode("append").parquet(path)
     return a.read_arrivals(spark, path, source.schema)
 
 
@@ -86,5 +95,5 @@ def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = a.paths(spark, "str06")
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    a.run_available(a.period_counts(arrived(spark, sf_dir, events, "arrivals")), "update", out, checkpoint)
+    a.run_available(a.period_counts(arrived(spark, sf_dir, events, "arrivals", by="ts")), "update", out, checkpoint)
     return a.latest(spark, out, ["period"]).select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")

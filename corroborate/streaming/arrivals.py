@@ -47,13 +47,19 @@ def running_counts(events: DataFrame) -> DataFrame:
     return curate_stream(events).groupBy(F.coalesce("rule", F.lit("kept")).alias("rule"), "event_type").agg(F.count("*").alias("n"))
 
 
-def distinct_keys(events: DataFrame, key: str, delay: str = "36500 days") -> DataFrame:
-    """First sightings of each key; state is kept for as long as the watermark allows repeats to come."""
+def distinct_keys(events: DataFrame, key: str, delay: str | None = None) -> DataFrame:
+    """First sightings of each key. Without ``delay`` a key never comes twice, so the state holds every key: give the session the
+    RocksDB store, which keeps it on disk. With ``delay``, keys are forgotten once repeats can no longer come.
+    """
+    if delay is None:
+        return events.dropDuplicates([key]).select(key)
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key]).select(key)
 
 
-def period_counts(events: DataFrame, width: str = "1 day", delay: str = "36500 days") -> DataFrame:
-    """Observations by the period of their own date, late ones included as long as the watermark allows."""
+def period_counts(events: DataFrame, width: str = "1 day", delay: str = "3 days") -> DataFrame:
+    """Observations by the period of their own date; those that come more than ``delay`` after the newest are left out, and the
+    state of a period ends then.
+    """
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("period"), "n")
 
 

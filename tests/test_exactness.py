@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import evidence as fn
-from corroborate.operators import hooks, metrics, snapshots, splits, statistics
+from corroborate.operators import hooks, metrics, snapshots, splits, statistics, vectors
 from corroborate.sources import releases as rel
 from corroborate.streaming import arrivals
 
@@ -150,3 +150,22 @@ def test_headers_are_checked_when_they_are_read(spark, tmp_path, header):
     spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"file://{tmp_path}/r/0-header")
     with pytest.raises(ValueError):
         rel.read_header(spark, f"file://{tmp_path}/r", ["a", "b"])
+
+
+def test_queries_beyond_a_broadcast_meet_every_row_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 7 - 3), float(k % 5 - 2), 1.0]) for k in range(60)], "id long, vector array<double>")
+    plain = sorted(map(tuple, vectors.scored(rows.where("id % 2 = 0"), rows).collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 7)
+    monkeypatch.setattr(vectors, "LIBRARY_ROWS", 11)
+    assert sorted(map(tuple, vectors.scored(rows.where("id % 2 = 0"), rows).collect())) == plain and len(plain) == 30 * 59
+
+
+def test_late_rows_are_counted_within_the_delay_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/in"
+    for days in ((1, 2, 2), (9, 8), (1, 7, 9)):
+        spark.createDataFrame([(f"2024-01-{d:02d} 12:00:00",) for d in days], "t string").selectExpr("cast(t as timestamp) as ts").coalesce(1).write.mode("append").parquet(path)
+    stream = arrivals.period_counts(arrivals.read_arrivals(spark, path, "ts timestamp"))
+    out, checkpoint = f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint"
+    arrivals.run_available(stream, "update", out, checkpoint)
+    got = {r.period.day: r.n for r in arrivals.latest(spark, out, ["period"]).collect()}
+    assert got == {1: 1, 2: 2, 8: 1, 9: 2, 7: 1}  # the second row of the first day came too late

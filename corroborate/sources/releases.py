@@ -105,10 +105,19 @@ def release_state(incoming: DataFrame, registry: DataFrame) -> DataFrame:
 def fasta_records(lines: DataFrame, file: str = "file", line: str = "line_no", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Records of a header line and the residue lines after it, within each file; records without residues are apart.
 
-    A record's lines are put together in order; a record is small, a file may be large.
+    Lines are dealt by ranges of file and line, so a large file is the work of many tasks: each counts the headers in its
+    range, and the counts of the ranges before it, one row a file and range, give the record's number. A record's lines are
+    put together in order; a record is small.
     """
-    w = Window.partitionBy(file).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("ordinal", F.sum(F.col(text).startswith(">").cast("int")).over(w)).where("ordinal > 0")
+    head = F.col(text).startswith(">").cast("int")
+    path = scratch(lines.sparkSession, "records")
+    lines.select(file, line, text).repartitionByRange(file, line).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    placed = lines.sparkSession.read.parquet(path)
+    ranges = placed.groupBy(file, "__p").agg(F.sum(head).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(file).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    own = F.sum(head).over(Window.partitionBy(file, "__p").orderBy(line).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = placed.withColumn("__own", own).join(ranges.select(file, "__p", earlier.alias("__before")), [file, "__p"])
+    tagged = numbered.withColumn("ordinal", F.col("__before") + F.col("__own")).where("ordinal > 0")
     records = tagged.groupBy(file, "ordinal").agg(
         F.max(F.when(F.col(text).startswith(">"), F.substr(F.col(text), F.lit(2)))).alias("description"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col(text).startswith(">"), F.struct(line, text)))), lambda x: x[text]), "").alias("sequence"),

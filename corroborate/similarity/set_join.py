@@ -445,11 +445,12 @@ def linked_classes(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
 def named_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, n, component) of every row of ``linked_classes``: component is the least id that links reach; null ids name none.
 
-    A row without shingles is its own component. A class of very many rows meets its name in several tasks.
+    A row without shingles is its own component. A class of very many rows, and a component of very many classes, meets its
+    name in several tasks.
     """
     owners = write_once(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "ngram-owners")
-    rooted = owners.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
+    rooted = write_once(owners.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least"), "ngram-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = rooted.select("cls", "root").join(named, "root").select("cls", "component")
+    by_class = salted_join(rooted.select("cls", "root"), named, "root", "cls").select("cls", "component")
     full = salted_join(rows.where("n > 0"), by_class, "cls", "doc_id", counts=owners).select("doc_id", "n", "component")
     return full.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))

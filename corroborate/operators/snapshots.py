@@ -6,6 +6,8 @@ exchange on the pair serves them all.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,27 +148,27 @@ def pair_up(rows: DataFrame) -> DataFrame:
     slim = records.join(ambiguous, keys)
 
     def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["slot", "doi", "rsid"])
-        gone, new = ([list(r) for r in group[group["kind"] == k][["slot", "doi", "rsid", "n"]].itertuples(index=False)] for k in ("removal", "addition"))
-        total_gone, total_new = (sum(r[3] for r in side) for side in (gone, new))
-        counts = dict.fromkeys(("paired", "doi_both", "doi_same", "rsid_both", "rsid_same"), 0)
-        shape, g, a = f"{len(gone)}x{len(new)}", 0, 0
-        while g < len(gone) and a < len(new):
-            before, after = gone[g], new[a]
-            if before[0] == after[0]:
-                g, a = (g + 1, a) if before[3] <= after[3] else (g, a + 1)
-                continue
-            taken = min(before[3], after[3])
-            counts["paired"] += taken
-            for name, at, none in (("doi", 1, -1), ("rsid", 2, "")):
-                if before[at] != none and after[at] != none:
-                    counts[f"{name}_both"] += taken
-                    counts[f"{name}_same"] += taken * int(before[at] == after[at])
-            before[3] -= taken
-            after[3] -= taken
-            g, a = g + int(not before[3]), a + int(not after[3])
-        ids = group[["doi", "rsid"]].drop_duplicates()
-        return pd.DataFrame([(*key, shape, total_gone, total_new, min(total_gone, total_new), len(ids) > 1, *counts.values())])
+        ordered = group.sort_values(["slot", "doi", "rsid"])
+        sides = [deque(zip(part["slot"], zip(part["doi"], part["rsid"]), part["n"])) for part in (ordered[ordered["kind"] == k] for k in ("removal", "addition"))]
+        shape, totals = "x".join(str(len(s)) for s in sides), [sum(n for *_, n in s) for s in sides]
+        pairs = []
+        while all(sides):
+            heads = [s.popleft() for s in sides]
+            (slot, before, n), (other, after, m) = heads
+            if slot != other:
+                pairs.append((before, after, min(n, m)))
+                rests = [n - min(n, m), m - min(n, m)]
+            else:  # the side with fewer left gives up its record
+                rests = [0, m] if n <= m else [n, 0]
+            for side, (at, ids, _), rest in zip(sides, heads, rests):
+                if rest:
+                    side.appendleft((at, ids, rest))
+        agreed = []
+        for k, missing in ((0, -1), (1, "")):
+            known = [(b[k] == a[k], t) for b, a, t in pairs if missing not in (b[k], a[k])]
+            agreed += [sum(t for _, t in known), sum(t for same, t in known if same)]
+        differ = len(ordered[["doi", "rsid"]].drop_duplicates()) > 1
+        return pd.DataFrame([(*key, shape, *totals, min(totals), differ, sum(t for *_, t in pairs), *agreed)])
 
     schema = "item long, grp int, mtype string, rel string, v double, shape string, n_gone long, n_new long, most long, identifiers_differ boolean, paired long, doi_both long, doi_same long, rsid_both long, rsid_same long"
     return slim.groupBy(*keys).applyInPandas(work, schema)

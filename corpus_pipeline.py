@@ -3,27 +3,56 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run``
 writes each stage's result to the shared folder and reads it again as the next one's input.
 
+A stage's result is to be written before the next stage is called: what the stage wrote on its way is removed then.
+
 A null text counts as an empty one in every stage. A row without an id is a document of its own text; rows that share an id
 are told apart by their texts. Columns beside those of documents are left behind. An empty table passes through as one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import exact, mixing, ngram_join, packing, quality
-from corroborate.similarity.common import text_of, write_once
+from corroborate.similarity.common import discard, recorded, text_of, write_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+_left_behind: list[str] = []
+
+
+def _clear_away() -> None:
+    """Remove what the stage before left in the shared folder: its result has been written."""
+    discard(*_left_behind)
+    _left_behind.clear()
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that another follows: what it writes on its way is noted, to be removed when its result has been written."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _clear_away()
+        with recorded() as paths:
+            result = work(spark, docs, sf_dir)
+        _left_behind.extend(paths)
+        return result
+
+    return run_stage
+
 
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject: each row by its own text and site, repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify_quality(docs.select(*COLUMNS), labels).where("keep").select(*COLUMNS)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id stays; of equal texts without any id, one. One id may name several texts: each stays.
 
@@ -36,6 +65,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays. Documents without an id cannot be named and stay.
 
@@ -49,6 +79,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights; a repeated document is several equal rows, which its columns do not tell apart."""
     return mixing.mix_to_weights(docs.select(*COLUMNS)).select(*COLUMNS)
@@ -56,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their sequence and place; each copy of a document is packed whole, by its rows."""
+    _clear_away()
     return packing.pack_documents(docs)
 
 

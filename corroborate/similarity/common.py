@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: str | None = None
+_recorders: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,14 +39,28 @@ def write_once(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for paths in _recorders:
+        paths.append(path)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that ``write_once`` writes within, for a caller who knows when nothing reads them any more."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [kept for kept in _recorders if kept is not paths]
+
+
+def discard(*tables: DataFrame | str) -> None:
     """Remove tables of ``write_once`` that no later step reads. What they led to must have been written before."""
     for table in tables:
-        store, path = fs.FileSystem.from_uri(table.written_to)
-        store.delete_dir(path)
+        store, path = fs.FileSystem.from_uri(table if isinstance(table, str) else table.written_to)
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_dir(path)
 
 
 def exchange_width(spark: SparkSession, parts: int | None = None) -> int:

@@ -119,10 +119,12 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     each = [agreed.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     picked = write_once(each[0].unionByName(each[1]), "toxicity-labels")
     signed = map_arrow(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic"), _sign, "text string, toxic int, least long")
-    # an id may name many rows: they are bounded again by class
-    apart = write_once(signed.groupBy("least", "toxic").agg(F.min("text").alias("text")), "toxicity-apart")
-    each = [apart.where(F.col("toxic") == k).orderBy(F.xxhash64("least"), "least").limit(rows).select("text", "toxic") for k in (0, 1)]
-    return write_once(each[0].unionByName(each[1]), "toxicity-sample")
+    signed = write_once(signed.withColumn("row", F.monotonically_increasing_id()), "toxicity-signed")
+    # an id may name many rows: they are bounded again by class; until the rows are chosen, no text moves
+    apart = signed.groupBy("least", "toxic").agg(F.min("row").alias("row"))
+    each = [apart.where(F.col("toxic") == k).orderBy(F.xxhash64("least"), "least").limit(rows).select("row") for k in (0, 1)]
+    kept = write_once(each[0].unionByName(each[1]), "toxicity-apart")
+    return write_once(signed.join(F.broadcast(kept), "row").select("text", "toxic"), "toxicity-sample")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

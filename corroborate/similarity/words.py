@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are worked on in groups of about so many bytes; a longer text is a group of its own.
 GROUP_BYTES = 2 << 20
-_SEGMENT = 1 << 19
-_LONG_WORD = 1 << 16
-_BASE, _OTHER_BASE = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+_SEED, _OTHER_SEED = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: The low bytes of an 8-byte piece that belong to a word with so many bytes left.
+_LEFT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+LETTERS = ~_SPACE
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 
@@ -32,15 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    n = _SEGMENT + _LONG_WORD + 2
-    up = np.full(n, np.uint64(base))
-    down = np.full(n, np.uint64(pow(base, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of groups of rows; nulls count as empty."""
     texts = batch.column(column).cast(pa.large_binary())
@@ -58,48 +51,45 @@ def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int,
         first = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, in order, and the bounds of each text in that array. Words are runs without ASCII white space.
+def word_bounds(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that ``letters`` (a flag for each byte value) marks; no run crosses a text's end."""
+    letter = np.frombuffer(data.tobytes().translate(letters.tobytes()), bool)
+    n = len(letter)
+    edge = np.ones(n + 1, bool)
+    edge[0], edge[n] = letter[0], letter[-1]
+    np.not_equal(letter[1:], letter[:-1], out=edge[1:n])
+    edges = np.flatnonzero(edge)
+    inner = np.unique(bounds[(bounds > 0) & (bounds < n)])
+    inner = inner[letter[inner - 1] & letter[inner]]
+    if not len(inner):
+        return edges[::2], edges[1::2]
+    return np.sort(np.concatenate((edges[::2], inner))), np.sort(np.concatenate((edges[1::2], inner)))
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool, other: bool = False, letters: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, in order, and the bounds of each text in that array. Words are runs without ASCII white space, or of ``letters``.
 
-    ``other`` gives a second hash that is independent of the first.
+    A word's bytes are taken eight at a time; each piece is scrambled together with what came before it, its size first.
+    ``lower`` takes A-Z for a-z. ``other`` starts from another seed, which gives a second, independent hash.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    letter = ~_SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[bounds] = True
-    before = np.empty(len(data), bool)
-    before[0], before[1:] = False, letter[:-1]
-    starts = np.flatnonzero(letter & (cut[:-1] | ~before))
-    after = np.empty(len(data), bool)
-    after[-1], after[:-1] = False, letter[1:]
-    ends = np.flatnonzero(letter & (cut[1:] | ~after)) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    up, down = _powers(_OTHER_BASE if other else _BASE)
-    k = 0
-    while k < len(starts):
-        begin = starts[k]
-        if ends[k] - begin > _LONG_WORD:
-            word = data[begin : ends[k]]
-            word = _ASCII_LOWER[word] if lower else word
-            hashes[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, salt=b"other" if other else b"").digest(), "little")
-            k += 1
-            continue
-        stop = int(np.searchsorted(ends, begin + _SEGMENT, "right"))
-        stop = max(stop, k + 1)
-        sizes = ends[k:stop] - starts[k:stop]
-        if (sizes > _LONG_WORD).any():
-            stop = k + int(np.argmax(sizes > _LONG_WORD))
-            sizes = sizes[: stop - k]
-        piece = data[begin : ends[stop - 1]]
-        value = (_ASCII_LOWER[piece] if lower else piece).astype(np.uint64)
-        value += np.uint64(1)
-        value *= up[: len(piece)]
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(value, out=total[1:])
-        raw = (total[ends[k:stop] - begin] - total[starts[k:stop] - begin]) * down[starts[k:stop] - begin]
-        hashes[k:stop] = mix(raw + sizes.astype(np.uint64) * _STEP)
-        k = stop
+    data = np.frombuffer(data.tobytes().translate(_ASCII_LOWER.tobytes()), np.uint8) if lower else data
+    starts, ends = word_bounds(data, bounds, letters)
+    sizes = ends - starts
+    seed = _OTHER_SEED if other else _SEED
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    pieces = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    first = mix(np.arange(1, _LONG_WORD + 2, dtype=np.uint64) * _STEP + np.uint64(seed))
+    hashes = mix(first[np.minimum(sizes, _LONG_WORD + 1) - 1] ^ (pieces[starts] & _LEFT[np.minimum(sizes, 8)]))
+    at = np.flatnonzero((sizes > 8) & (sizes <= _LONG_WORD))
+    done = 8
+    while len(at):
+        hashes[at] = mix(hashes[at] ^ (pieces[starts[at] + done] & _LEFT[np.minimum(sizes[at] - done, 8)]))
+        done += 8
+        at = at[sizes[at] > done]
+    for k in np.flatnonzero(sizes > _LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
     return hashes, np.searchsorted(starts, bounds)
 
 

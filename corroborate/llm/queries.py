@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact, mixing, ngram_join, packing, pii, quality, substring, toxicity, warc
+from . import ann, decontaminate, exact, merkle, mixing, ngram_join, packing, pii, quality, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_personal_data, op4_packing, op5_ngram_join, op6_substring, op7_nearest, op8_toxicity, op9_exact_dedup, op10_warc, op12_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_personal_data, op4_packing, op5_ngram_join, op6_substring, op7_nearest, op8_toxicity, op9_exact_dedup, op10_warc, op11_merkle, op12_decontaminate)}
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact.SQL, "op12_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact.SQL, "op11_merkle": merkle.SQL, "op12_decontaminate": decontaminate.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact, merkle, mixing, ngram_join, packing, pii, quality, substring, toxicity, warc
+from . import ann, decontaminate, exact, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_personal_data, op4_packing, op5_ngram_join, op6_substring, op7_nearest, op8_toxicity, op9_exact_dedup, op10_warc, op11_merkle, op12_decontaminate)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact.SQL, "op11_merkle": merkle.SQL, "op12_decontaminate": decontaminate.SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_personal_data, op4_packing, op5_ngram_join, op6_substring, op7_nearest, op8_toxicity, op9_exact_dedup, op10_warc, op11_merkle, op12_decontaminate, op13_prefix_trie)}
+
+ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact.SQL, "op11_merkle": merkle.SQL, "op12_decontaminate": decontaminate.SQL, "op13_prefix_trie": prefix_trie.SQL}

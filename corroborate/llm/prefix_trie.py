@@ -16,7 +16,7 @@ from ..similarity.common import exchange_width, salted_join, text_of, write_once
 #: Bytes of a turn in a path: a digest of its role and text, and the code points of the text.
 TURN = 20
 #: Nodes of one shard's trie, and parentheses of one block of excess.
-SHARD_NODES, EXCESS_BLOCK = 200_000, 64
+SHARD_NODES, EXCESS_BLOCK = 20_000, 64
 #: Text of member ids that is hashed or moved at once.
 CHUNK_BYTES = 1 << 16
 SHARED_TURNS, DONOR_STEP, SHARE_MOD = 5, 100, 6
@@ -133,11 +133,12 @@ def _path_names(key: bytes) -> list[bytes]:
     return out
 
 
-def _shard(keys: list[bytes], starts: list[int], vals: list[bytes], final: bool) -> Iterator[pa.RecordBatch]:
+def _shard(keys: list[bytes], starts: list[int], vals: list[bytes], later: bool, final: bool) -> Iterator[pa.RecordBatch]:
     """One trie over sorted paths. A path tells of its nodes from depth ``start`` on what is known of them apart from the trie.
 
     Nodes on the first and the last path may stand in other shards too; unless this is the last tier they go on as paths, less
-    what their own open child carries. All others are finished.
+    what their own open child carries. All others are finished. Finished nodes of a ``later`` tier were such spines before: nodes
+    of earlier tiers know them by the digest of their path.
     """
     sizes = np.array([len(k) // TURN for k in keys], np.int64)
     first = np.cumsum(sizes) - sizes
@@ -155,10 +156,13 @@ def _shard(keys: list[bytes], starts: list[int], vals: list[bytes], final: bool)
     own["least"] = _MOST
     path = np.zeros(int(sizes.max(initial=0)) + 1, np.int64)
     left = right = None
+    names: dict[int, bytes] = {0: _path_names(b"")[0]} if later else {}
     for j, (a, size, k) in enumerate(zip(shared.tolist(), sizes.tolist(), base.tolist())):
         if size > a:
             parent[k] = path[a]
             path[a + 1 : size + 1] = np.arange(k, k + size - a)
+            if later:
+                names |= zip(range(k, k + size - a), _path_names(keys[j])[a + 1 :])
         at, told = path[starts[j] : size + 1], np.frombuffer(vals[j], _NODE)
         for c in ("n", "saved", "leaves", "children"):
             own[c][at] += told[c]
@@ -191,12 +195,11 @@ def _shard(keys: list[bytes], starts: list[int], vals: list[bytes], final: bool)
     open_ = np.zeros(n, bool)
     if not final:
         open_[left] = open_[right] = True
-    names = {int(v): x for row, spine in ((0, left), (-1, right)) for v, x in zip(spine, _path_names(keys[row]))}
+    spines = {int(v): x for row, spine in ((0, left), (-1, right)) for v, x in zip(spine, _path_names(keys[row]))} if not final else {}
     done = np.flatnonzero(~open_)
     up = parent[done]
     known = (up >= 0) & ~open_[np.maximum(up, 0)]
     ends = own["ends"][done].tobytes()
-    spine = set(np.flatnonzero(open_).tolist()) if not final else set()
     columns = [
         least[done].tolist(),
         depth[done].tolist(),
@@ -207,7 +210,7 @@ def _shard(keys: list[bytes], starts: list[int], vals: list[bytes], final: bool)
         saved[done].tolist(),
         [ends[32 * k : 32 * k + 32] for k in range(len(done))],
         [names.get(v) for v in done.tolist()],
-        [names[u] if u in spine else None for u in up.tolist()],
+        [spines.get(u) for u in up.tolist()],
     ]
     for a in range(0, len(done), 20_000):
         part = [pa.array(c[a : a + 20_000], t) for c, t in zip(columns, _KINDS)]
@@ -230,7 +233,7 @@ def _shard(keys: list[bytes], starts: list[int], vals: list[bytes], final: bool)
     yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in _KINDS[:10]] + [pa.array(c, t) for c, t in zip(zip(*rows), _KINDS[10:])], names=_NAMES)
 
 
-def _shards(final: bool, most: int):
+def _shards(later: bool, final: bool, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
         starts: list[int] = []
@@ -239,14 +242,14 @@ def _shards(final: bool, most: int):
         for batch in batches:
             for key, start, told in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if not final and size > most and len(keys) >= 16:
-                    yield from _shard(keys, starts, vals, final)
+                    yield from _shard(keys, starts, vals, later, final)
                     keys, starts, vals, size = [], [], [], 0
                 keys.append(key)
                 starts.append(start)
                 vals.append(told)
                 size += len(key) // TURN
         if keys:
-            yield from _shard(keys, starts, vals, final)
+            yield from _shard(keys, starts, vals, later, final)
 
     return run
 
@@ -354,7 +357,7 @@ def prefix_trie(conversations: DataFrame, parts: int | None = None, shard_nodes:
         final = total["turns"] <= shard_nodes or total["rows"] <= 32
         shards = 1 if final else max(2, min(width, int(total["turns"] // shard_nodes) + 1, total["rows"] // 16)) if finished is not None else min(width, max(2, total["rows"] // 16))
         dealt = (paths.repartition(1) if final else paths.repartitionByRange(shards, "key")).sortWithinPartitions("key", "start")
-        found = write_once(map_arrow(dealt, _shards(final, shard_nodes), _OUT), "trie-nodes")
+        found = write_once(map_arrow(dealt, _shards(finished is not None, final, shard_nodes), _OUT), "trie-nodes")
         nodes = found.where("vals is null")
         finished = nodes if finished is None else finished.unionByName(nodes)
         if final:

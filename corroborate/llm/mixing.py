@@ -26,10 +26,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
     if weights is None:
         sized = sized.withColumn("target", F.pow("units", F.lit(float(temperature))))
     else:
-        named = F.lit(0.0)
-        for name, value in weights.items():
-            named = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(named)
-        sized = sized.withColumn("target", named)
+        named = docs.sparkSession.createDataFrame([(name, float(value)) for name, value in weights.items()], "__name string, __weight double")
+        joined = sized.join(F.broadcast(named), F.col("__source").cast("string").eqNullSafe(F.col("__name")), "left")
+        sized = joined.select("__source", "units", F.coalesce("__weight", F.lit(0.0)).alias("target"))
     sized = write_once(sized, "mix-sources")
     totals = sized.agg(F.sum("units").alias("units"), F.sum("target").alias("target")).first()
     # two numbers reach the driver; without any target no document is repeated

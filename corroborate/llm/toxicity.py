@@ -30,8 +30,6 @@ STEMS = (4, 5, 6)
 #: Words counted as the least length of a text, so that a few words cannot make a density.
 LEAST_WORDS = 10
 THRESHOLD = 0.7
-#: Most words of a lexicon, strongest first, and most exception phrases, most frequent first, that a fit takes.
-MOST_WORDS, MOST_PHRASES = 2_000, 1_000
 
 # Letters of other scripts that look like Latin ones, in the order of the Latin alphabet.
 HOMOGLYPHS = {
@@ -164,10 +162,11 @@ def _phrases(words: frozenset[str]):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = (), most_words: int = MOST_WORDS, most_phrases: int = MOST_PHRASES) -> tuple[Lexicon, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = ()) -> tuple[Lexicon, np.ndarray]:
     """The lexicon with its weights (log ratio of smoothed document shares), and the curve from density to score.
 
-    The driver gets at most ``most_words`` words, ``most_phrases`` phrases and one number for each row of the sample.
+    The sample bounds what the driver gets: the words that stand in a hundredth of its toxic texts and beat chance, the phrases of those
+    words that several of its clean texts hold, and one number a row.
     """
     sample = _sample(docs, labels, rows)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -179,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
     chance = np.log(tried) / np.log((bad + good) / bad) if bad and good else np.inf
     ratio = ((F.col("toxic") + 0.5) / F.lit(bad + 1.0)) / ((F.col("clean") + 0.5) / F.lit(good + 1.0))
     chosen = counted.where((F.length("word") >= 3) & (F.col("toxic") >= F.lit(float(max(3, LEAST_SHARE * bad, min(chance, 1e9))))) & (ratio >= LEAST_RATIO))
-    got = {r["word"]: float(r["w"]) for r in chosen.select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(most_words).collect()}
+    got = {r["word"]: float(r["w"]) for r in chosen.select("word", F.log(ratio).alias("w")).collect()}
     weights: dict[str, float] = {}
     # strongest first, of about equal ones the shortest; what another entry matches, or what matches more than one, is left out
     for word in sorted(got, key=lambda w: (-round(got[w]), len(w), w)):
@@ -189,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
     found: list[str] = []
     if weights:
         spared = map_arrow(sample, _phrases(frozenset(weights)), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        found = [r["phrase"] for r in spared.where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(most_phrases).collect()]
+        found = [r["phrase"] for r in spared.where((F.col("clean") >= 3) & (F.col("toxic") == 0)).collect()]
     lexicon = Lexicon(weights, sorted({*(fold(p) for p in exceptions), *found}))
     seen = _densities(sample.select("toxic", "text"), lexicon.weights, lexicon.exceptions, "toxic int").collect()
     x = np.log1p(np.array([r["density"] for r in seen], float))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
-from ..similarity.common import text_of, write_once
+from ..similarity.common import salted_join, text_of, write_once
 from ..similarity.words import text_groups, word_hashes
 from . import logistic
 
@@ -208,8 +208,12 @@ def classify_quality(
     scored = write_once(add_evidence(judged, weights, f"c_{text_col}", "p", with_text), "quality-evidence")
     sites, fitted = site_sums(scored.select("host", "path", "p"))
     named = sites.withColumnsRenamed({"host": "h", "path": "pa"})
-    small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    joined = scored.join(F.broadcast(named) if small else named, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("pa")))
+    if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+        joined = scored.join(F.broadcast(named), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("pa")))
+    else:  # a site with a large part of all rows is dealt over several tasks
+        site = lambda h, pa: F.concat(F.coalesce(F.concat(F.octet_length(h).cast("string"), F.lit(":"), h), F.lit("-")), F.coalesce(F.concat(F.lit("/"), pa), F.lit("-"))).alias("site")
+        facts = scored.select("*", site("host", "path"), F.monotonically_increasing_id().alias("spread"))
+        joined = salted_join(facts, named.select("*", site("h", "pa")), "site", "spread", counts=named.select(site("h", "pa"), F.col("n").cast("long").alias("rows")))
     p_host, p_path = posteriors(fitted, F.col("p"), 1)
     shift = _log_odds(p_path) - _log_odds(F.lit(min(max(fitted["mean"], 1e-6), 1 - 1e-6)))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(_log_odds(F.col("p")) + shift)))

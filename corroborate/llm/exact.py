@@ -13,12 +13,12 @@ from ..shipping import map_arrow
 from ..similarity.common import exchange_width, text_of, write_once
 from .trie import OwnerTrie
 
-_MEMBERS = "doc_id long, local_id long, local_rows long, n_bytes long, digest binary, body binary"
-_OWNERS = "local_id long, digest binary, keep_id long, group_size long"
+_MEMBERS = "doc_id long, place int, local_id long, local_rows long, n_bytes long, digest binary, body binary"
+_OWNERS = "name long, digest binary, keep_id long, group_size long"
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each batch, one row of every group of equal texts carries the text; the others name that row's id."""
+    """Within each batch, one row of every group of equal texts carries the text and its best id; the others point to that row's place."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         bodies = batch.column(1).to_pylist()
@@ -28,20 +28,21 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = trie.owner(body)
             if owner.rows == 0:
                 owner.key = hashlib.sha256(body).digest()
-            owner.add(identifier, 1, True)
+            owner.add(identifier, 1, True, len(owners))
             owners.append(owner)
-        seen: set[int] = set()
-        first = [not (id(o) in seen or seen.add(id(o))) for o in owners]
+        lead = [next(iter(o.askers)) for o in owners]
+        first = [k == a for k, a in enumerate(lead)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                pa.array([a - k for k, a in enumerate(lead)], pa.int32()),
                 pa.array([o.best for o in owners], pa.int64()),
                 pa.array([o.rows if f else None for o, f in zip(owners, first)], pa.int64()),
                 pa.array([len(b) for b in bodies], pa.int64()),
                 pa.array([o.key for o in owners], pa.binary()),
                 pa.array([b if f else None for b, f in zip(bodies, first)], pa.binary()),
             ],
-            names=["doc_id", "local_id", "local_rows", "n_bytes", "digest", "body"],
+            names=["doc_id", "place", "local_id", "local_rows", "n_bytes", "digest", "body"],
         )
 
 
@@ -49,14 +50,14 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One trie over the partition; every local group learns its owner."""
     trie = OwnerTrie()
     for batch in batches:
-        for local_id, rows, digest, body in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            trie.insert(body, local_id, rows, digest)
+        for name, local_id, rows, digest, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            trie.insert(body, local_id, rows, digest, name)
     rows: list[tuple] = []
 
     def out() -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * 4
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["local_id", "digest", "keep_id", "group_size"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "digest", "keep_id", "group_size"])
 
     for owner in trie.owners():
         rows.extend((asker, owner.key, owner.best, owner.rows) for asker in owner.askers)
@@ -72,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Each input batch first collapses its own copies in a trie, so a group that holds a large part of all rows sends one
     row a batch. Those rows are dealt by length and content hash; each partition inserts the full byte strings into a
     radix trie whose terminal nodes keep the owner, spilling subtrees to the task's own disk. Members then learn their
-    owner by a join on (local owner, digest), of which no key has more rows than a batch.
+    owner by a join on the row that carried their batch's text: no key has more rows than a batch, with or without ids.
 
     Returns, for each input row: doc_id, keep_id, group_size, kept, text_sha256. A null text equals an empty one. Rows
     that share both id and text count in ``group_size`` each and are all ``kept``, if theirs is the largest id. A null id
@@ -80,11 +81,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("body"))
-    members = write_once(map_arrow(slim, _collapse, _MEMBERS), "exact-members")
+    members = write_once(map_arrow(slim, _collapse, _MEMBERS).withColumn("row", F.monotonically_increasing_id()), "exact-members")
+    members = members.withColumn("name", F.col("row") + F.col("place"))  # a batch stands together: the row that carries the text
     dealt = members.where(F.col("local_rows").isNotNull()).repartition(exchange_width(spark, parts), "n_bytes", "digest")
-    owners = map_arrow(dealt.select("local_id", "local_rows", "digest", "body"), _owners, _OWNERS)
-    named = owners.select(F.col("local_id").alias("o_id"), F.col("digest").alias("o_digest"), "keep_id", "group_size")
-    joined = members.select("doc_id", "local_id", "digest").join(named, F.col("local_id").eqNullSafe(F.col("o_id")) & (F.col("digest") == F.col("o_digest")))
+    owners = map_arrow(dealt.select("name", "local_id", "local_rows", "digest", "body"), _owners, _OWNERS)
+    joined = members.select("doc_id", "name", "digest").join(owners.select("name", "keep_id", "group_size"), "name")
     return joined.select(
         "doc_id",
         "keep_id",

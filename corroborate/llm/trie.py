@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Iterator
 from typing import BinaryIO
 
-_HEAD = struct.Struct("<q?qII")
+_HEAD = struct.Struct("<q?qqII")
 #: Bytes that a node with its owner, and each row that asks an owner, are taken to need besides the label.
 NODE_BYTES, ASKER_BYTES = 400, 100
 
@@ -28,18 +28,19 @@ def common_prefix(a: bytes, b: bytes, at: int) -> int:
 
 
 class Owner:
-    """What a terminal node stores: the identifier that stays, how many rows ended here, and who asked."""
+    """What a terminal node stores: the identifier that stays, how many rows ended here, and who asked, each with its identifier."""
 
     __slots__ = ("key", "best", "rows", "askers")
 
     def __init__(self, key: bytes) -> None:
-        self.key, self.best, self.rows, self.askers = key, None, 0, set()
+        self.key, self.best, self.rows, self.askers = key, None, 0, {}
 
-    def add(self, identifier: int | None, rows: int, largest: bool) -> bool:
-        """Whether this identifier asks for the first time."""
+    def add(self, identifier: int | None, rows: int, largest: bool, asker: int) -> bool:
+        """Whether this asker asks for the first time; ``identifier`` is the best that it knows."""
         self.rows += rows
-        new = identifier not in self.askers
-        self.askers.add(identifier)
+        new = asker not in self.askers
+        known = self.askers.get(asker)
+        self.askers[asker] = identifier if known is None or (identifier is not None and (identifier > known) == largest) else known
         if identifier is not None and (self.best is None or (identifier > self.best if largest else identifier < self.best)):
             self.best = identifier
         return new
@@ -70,14 +71,14 @@ class OwnerTrie:
         self.peak = 0
         self.files: list[BinaryIO] = []
 
-    def insert(self, key: bytes, identifier: int | None, rows: int = 1, tag: bytes = b"") -> None:
+    def insert(self, key: bytes, identifier: int | None, rows: int = 1, tag: bytes = b"", asker: int = 0) -> None:
         node, at = self.locate(key)
         if node.file is not None:
-            _append(node.file, key[at:], identifier, rows, tag)
+            _append(node.file, key[at:], identifier, rows, tag, asker)
             return
         if node.owner is None:
             node.owner = Owner(tag)
-        if node.owner.add(identifier, rows, self.largest):
+        if node.owner.add(identifier, rows, self.largest, asker):
             self.total += ASKER_BYTES
         self.peak = max(self.peak, self.total)
         while self.total > self.budget and self.root.below and self._spill():
@@ -130,8 +131,8 @@ class OwnerTrie:
         while stack or ended:
             for key, owner in ended:
                 share = owner.rows - (len(owner.askers) - 1)
-                for k, identifier in enumerate(sorted(owner.askers, key=lambda x: (x is None, x or 0))):
-                    _append(out, key, identifier, share if k == 0 else 1, owner.key)
+                for k, (asker, identifier) in enumerate(owner.askers.items()):
+                    _append(out, key, identifier, share if k == 0 else 1, owner.key, asker)
             ended = []
             if stack:
                 below, key = stack.pop()
@@ -141,8 +142,8 @@ class OwnerTrie:
                     ended.append((key, below.owner))
                 stack.extend((child, key + child.label) for child in below.below.values())
         for key, file in nested:  # subtrees that went earlier join this one's file
-            for suffix, identifier, rows, tag in _records(file):
-                _append(out, key + suffix, identifier, rows, tag)
+            for suffix, *told in _records(file):
+                _append(out, key + suffix, *told)
             self.files.remove(file)
             file.close()
         self.total -= sizes[id(node)] - node.size()
@@ -165,8 +166,8 @@ class OwnerTrie:
         while todo:
             file = todo.pop()
             inner = OwnerTrie(self.largest, self.budget)
-            for suffix, identifier, rows, tag in _records(file):
-                inner.insert(suffix, identifier, rows, tag)
+            for suffix, *told in _records(file):
+                inner.insert(suffix, *told)
             file.close()
             later, inner.files = inner.files, []
             yield from inner.owners()
@@ -185,13 +186,13 @@ def _both_ways(root: _Node) -> Iterator[tuple[_Node, bool]]:
             stack.extend((child, False) for child in node.below.values())
 
 
-def _append(out: BinaryIO, key: bytes, identifier: int | None, rows: int, tag: bytes) -> None:
-    out.write(_HEAD.pack(identifier or 0, identifier is not None, rows, len(tag), len(key)) + tag + key)
+def _append(out: BinaryIO, key: bytes, identifier: int | None, rows: int, tag: bytes, asker: int) -> None:
+    out.write(_HEAD.pack(identifier or 0, identifier is not None, rows, asker, len(tag), len(key)) + tag + key)
 
 
-def _records(file: BinaryIO) -> Iterator[tuple[bytes, int | None, int, bytes]]:
+def _records(file: BinaryIO) -> Iterator[tuple[bytes, int | None, int, bytes, int]]:
     file.seek(0)
     while head := file.read(_HEAD.size):
-        identifier, known, rows, n_tag, n_key = _HEAD.unpack(head)
+        identifier, known, rows, asker, n_tag, n_key = _HEAD.unpack(head)
         tag = file.read(n_tag)
-        yield file.read(n_key), identifier if known else None, rows, tag
+        yield file.read(n_key), identifier if known else None, rows, tag, asker

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +27,32 @@ def map_entities(df: DataFrame, key: str, make: Callable[[str], str | None], nam
     return df.join(made, F.col(key).cast("string") == F.col("k"), "left").drop("k")
 
 
-def decode_entities(text: Column) -> Column:
-    """HTML entities decoded, by batches of strings."""
+def vectorised(column: Column, work: Callable[[pa.Array], pa.Array], kind: str) -> Column:
+    """A caller's function of whole Arrow arrays, as a column: what it computes it computes for a batch at a time."""
 
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        import html
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        return work(values)
 
-        return values.map(html.unescape, na_action="ignore")
-
-    return decode(text)
+    return run(column)
 
 
 def grouped(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A function of one group's rows at a time; for groups that earlier steps made small."""
     ship_package(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(work, schema)
+
+
+def payload_entries():
+    """A table function of (payload, header): a row for each field of a sparse map, with its place in the header from 0.
+
+    Fields that the header does not name come last, in the order of their names, with a null place.
+    """
+
+    class Entries:
+        def eval(self, payload: dict[str, str] | None, header: list[str]):
+            place = {name: k for k, name in enumerate(header)}
+            for name in sorted(payload or {}, key=lambda n: (place.get(n, len(place)), n)):
+                yield name, payload[name], place.get(name)
+
+    return F.udtf(Entries, returnType="key string, value string, ordinal int")

@@ -37,13 +37,22 @@ def average_precision() -> Column:
     return F.when(F.first("tp") > 0, F.sum(F.col("p") / F.greatest(F.col("tp"), F.lit(1)) * F.col("cp") / F.col("cn")))
 
 
+def harmonic(x: Column) -> Column:
+    """1 + 1/2 + ... + 1/x: added up below 32, by its asymptotic series beyond, exact to 1e-14 there."""
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0.0), lambda acc, k: acc + F.when(k <= x, 1.0 / k).otherwise(0.0))
+    y = F.greatest(x.cast("double"), F.lit(1.0))
+    series = F.log(y) + 0.5772156649015329 + 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * F.pow(y, F.lit(4))) - 1 / (252 * F.pow(y, F.lit(6)))
+    return F.when(x < 32, small).otherwise(series)
+
+
 def average_precision_superseded() -> Column:
-    """Aggregate over blocks: precision averaged over the places within a block; kept to explain earlier numbers."""
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.col("n").cast("int")),
-        F.lit(0.0),
-        lambda acc, s: acc + (F.col("cp") - F.col("p") + F.col("p") * s / F.col("n")) / (F.col("cn") - F.col("n") + s),
-    )
+    """Aggregate over blocks: precision averaged over the places within a block; kept to explain earlier numbers.
+
+    At place s of a block of n rows behind b others, of which a are positive, precision is (a + p s / n) / (b + s): that is p / n and
+    (a - b p / n) / (b + s), so a block adds up to p + (a - b p / n) (H(b + n) - H(b)), whatever its size.
+    """
+    b = F.col("cn") - F.col("n")
+    steps = F.col("p") + (F.col("cp") - F.col("p") - b * F.col("p") / F.col("n")) * (harmonic(F.col("cn")) - harmonic(b))
     return F.when(F.first("tp") > 0, F.sum(steps * F.col("p") / F.col("n") / F.greatest(F.col("tp"), F.lit(1))))
 
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from ..similarity.common import write_once
+from ..sources.releases import numbered_lines
 
 PARTS = ("train", "validation", "test")
 PAIR = ["item", "grp"]
@@ -49,30 +53,108 @@ def random_pairs(pairs: DataFrame, seed: str, fractions: tuple[float, float] = (
     return ranked.select(*PAIR, part.alias("part")).unionByName(excluded)
 
 
+def _shares(fractions: tuple[float, ...]) -> tuple[int, list[int]]:
+    """Fractions as whole shares of a common whole, so that quotas compare exactly."""
+    exact = [Fraction(str(f)) for f in fractions]
+    whole = math.lcm(*[f.denominator for f in exact])
+    return whole, [int(f * whole) for f in exact]
+
+
+def _prefer(group: str, parts: list[int], seed: str) -> int:
+    """Which of equally needy parts a group goes to."""
+    return max(parts, key=lambda k: hashlib.sha256(f"{group}|{PARTS[k]}|{seed}".encode()).digest())
+
+
+def _taken(left: list[int], step: int, count: int) -> tuple[list[int], int]:
+    """How many of the ``count`` greatest values of the sequences left[k], left[k] - step, ... each surely has, and the value where they end.
+
+    Values above that one are taken; sequences that reach it tie for the rest.
+    """
+    above = lambda v: [max(0, -(-(x - v) // step)) for x in left]
+    low, high = min(left) - step * count, max(left)
+    while low < high:  # the greatest value with at least ``count`` at or above it
+        mid = (low + high + 1) // 2
+        if sum(above(mid - 1)) >= count:
+            low = mid
+        else:
+            high = mid - 1
+    return above(low), low
+
+
+def _run_starts(whole: int, seed: str, shares: list[int], total: int):
+    """Runs of equal groups, largest first, to what each part lacks when the run begins."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = [s * total for s in shares]
+        for frame in frames:
+            rows = []
+            for n, count, first, last in zip(frame["n"].tolist(), frame["count"].tolist(), frame["first"].tolist(), frame["last"].tolist()):
+                rows.append((n, first, [str(x) for x in left]))
+                step = n * whole
+                taken, level = _taken(left, step, count)
+                tied = [k for k in range(len(left)) if left[k] - step * taken[k] == level]
+                open_ = count - sum(taken)
+                if open_ == len(tied):
+                    taken = [t + (k in tied) for k, t in enumerate(taken)]
+                else:  # the groups that end the run choose among the parts that tie
+                    for group in last[len(last) - open_ :]:
+                        k = _prefer(group, tied, seed)
+                        tied.remove(k)
+                        taken[k] += 1
+                left = [x - step * t for x, t in zip(left, taken)]
+            yield pd.DataFrame(rows, columns=["n", "first", "left"])
+
+    return run
+
+
 def greedy_groups(pairs: DataFrame, group: str, seed: str, fractions: tuple[float, ...] = (0.7, 0.1, 0.2)) -> DataFrame:
-    """Whole groups, largest first, each to the part furthest below its quota; ties by hash.
+    """Whole groups, largest first and by name, each to the part furthest below its quota; ties by hash. Rows without a group are left out.
 
-    Each choice depends on all before it, so one task sees one row a group: sorted on disk and streamed, it holds three sums
-    whatever the number of groups.
+    Groups of one size form a run. Within a run a part's lack falls by equal steps, so the run's t-th group takes the t-th greatest of a
+    few arithmetic sequences, which each group finds for itself. One task sees a row a run: sizes that differ add up to the rows, so N rows
+    make at most the root of 2 N runs. Groups are numbered by ranges. Parts that tie for a few neighbouring groups of a run are dealt
+    among just those, by the groups' hashes.
     """
-    sizes = pairs.groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n"))
+    spark = pairs.sparkSession
+    whole, shares = _shares(fractions)
+    sizes = write_once(pairs.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n")), "groups")
     total = pairs.count()
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = [f * total for f in fractions]
-        for frame in frames:
-            chosen = []
-            for g, n in zip(frame["g"].tolist(), frame["n"].tolist()):
-                most = max(left)
-                level = [k for k in range(len(PARTS)) if left[k] == most]
-                k = level[0] if len(level) == 1 else max(level, key=lambda k: hashlib.sha256(f"{g}|{PARTS[k]}|{seed}".encode()).digest())
-                left[k] -= n
-                chosen.append(PARTS[k])
-            yield pd.DataFrame({"g": frame["g"], "part": chosen})
-
-    ship_package(pairs.sparkSession)
-    placed = sizes.where("g is not null").repartition(1).sortWithinPartitions(F.desc("n"), "g").mapInPandas(assign, "g string, part string")
-    return pairs.withColumn("g", F.col(group).cast("string")).join(placed, "g").drop("g")
+    placed = numbered_lines(sizes.withColumn("less", -F.col("n")), ["less", "g"], first=0).select("g", "n", F.col("line_no").alias("at"))
+    runs = placed.groupBy("n").agg(F.count("*").alias("count"), F.min("at").alias("first"))
+    ends = placed.join(F.broadcast(runs), "n").where(F.col("at") >= F.col("first") + F.col("count") - (len(PARTS) - 1)).groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "g"))), lambda x: x["g"]).alias("last"))
+    ship_package(spark)
+    ordered = runs.join(ends, "n").select("n", "count", "first", "last").repartition(1).sortWithinPartitions(F.desc("n"))
+    starts = write_once(ordered.mapInPandas(_run_starts(whole, seed, shares, total), "n long, first long, left array<string>"), "runs")
+
+    @F.pandas_udf("struct<at:long,level:string,parts:array<int>>")
+    def turn(n: pd.Series, place: pd.Series, left: pd.Series) -> pd.DataFrame:
+        """Place in the run of the first group that shares this one's turn, and the parts that tie for it."""
+        out = []
+        for size, t, lack in zip(n.tolist(), place.tolist(), left.tolist()):
+            have, step = [int(x) for x in lack], size * whole
+            taken, level = _taken(have, step, t + 1)
+            tied = [k for k in range(len(have)) if have[k] - step * taken[k] == level]
+            out.append((sum(taken), str(level), tied))
+        return pd.DataFrame(out, columns=["at", "level", "parts"])
+
+    @F.pandas_udf("array<int>")
+    def choose(groups: pd.Series, parts: pd.Series) -> pd.Series:
+        out = []
+        for names, tied in zip(groups.tolist(), parts.tolist()):
+            free, chosen = list(tied), []
+            for name in names:
+                chosen.append(_prefer(name, free, seed))
+                free.remove(chosen[-1])
+            out.append(chosen)
+        return pd.Series(out)
+
+    turned = placed.join(F.broadcast(starts), "n").withColumn("turn", turn("n", F.col("at") - F.col("first"), "left"))
+    turned = write_once(turned.select("g", "n", "at", F.col("turn.at").alias("turn"), F.col("turn.parts").alias("parts")), "turns")
+    sure = turned.where(F.size("parts") == 1).select("g", F.col("parts")[0].alias("k"))
+    shared = turned.where(F.size("parts") > 1).groupBy("n", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "g"))), lambda x: x["g"]).alias("groups"), F.first("parts").alias("parts"))
+    dealt = shared.select(F.explode(F.arrays_zip("groups", choose("groups", "parts").alias("k"))).alias("x")).select(F.col("x.groups").alias("g"), F.col("x.k").alias("k"))
+    named = sure.unionByName(dealt).select("g", F.get(F.array(*map(F.lit, PARTS)), F.col("k")).alias("part"))
+    return pairs.withColumn("g", F.col(group).cast("string")).join(named, "g").drop("g")
 
 
 def cold_groups(pairs: DataFrame, clusters: DataFrame, key: str, seed: str) -> DataFrame:

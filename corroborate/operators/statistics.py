@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..similarity.common import write_once
+from .ranks import quantiles
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) hashed from the parts: the same in any engine that has MD5."""
@@ -92,6 +95,7 @@ def signed_rank(df: DataFrame, delta: str) -> DataFrame:
 
     Ranks come from the counts of distinct sizes: within ranges of size first, then over the ranges' totals.
     """
+    df = write_once(df.select(delta), "deltas")  # one number a group, read several times
     rows = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(F.col(delta).alias("d"), F.abs(delta).alias("a"))
     tied = rows.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up")).withColumn("band", F.floor(F.log2("a") * 64))
     bands = tied.groupBy("band").agg(F.sum("n").alias("m"))
@@ -104,22 +108,46 @@ def signed_rank(df: DataFrame, delta: str) -> DataFrame:
         (n * (n + 1) * (2 * n + 1) / 24 - F.sum(F.pow("n", F.lit(3)) - F.col("n")) / 48).alias("variance"),
     )
     z = (F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt("variance")
-    middle = [F.percentile(F.col(delta), F.lit(q)).alias(name) for q, name in ((0.25, "lower_quartile"), (0.5, "median"), (0.75, "upper_quartile"))]
-    spread = df.where(F.col(delta).isNotNull()).agg(F.count("*").alias("n_groups"), *middle)
+    spread = quantiles(df, [], delta, {"lower_quartile": 0.25, "median": 0.5, "upper_quartile": 0.75}).withColumnRenamed("n", "n_groups")
     return found.withColumn("z", z).withColumn("p_value", normal_tail(z)).withColumn("sign_p", sign_test(F.col("n_up"), F.col("n"))).crossJoin(spread)
 
 
+#: Terms of a binomial tail that are added. Further ones add less than one part in 10**16 of the sum.
+TAIL_TERMS = 4_000
+
+
 def sign_test(up: Column, n: Column) -> Column:
-    """Two-sided exact binomial tail of ``up`` positives in ``n``: each term is the one before by a ratio, in logarithms, so none vanishes."""
-    few = F.least(up, n - up)
-    step = lambda acc, k: F.struct((acc.t + F.log(n - k + 1) - F.log(k.cast("double"))).alias("t"), (acc.s + F.exp(acc.t + F.log(n - k + 1) - F.log(k.cast("double")))).alias("s"))
-    first = -n * F.log(F.lit(2.0))
-    terms = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(few, F.lit(1))), F.struct(first.alias("t"), F.exp(first).alias("s")), step, lambda acc: acc.s)
-    return F.least(F.lit(1.0), 2 * F.when(few < 1, F.exp(first)).otherwise(terms))
+    """Two-sided binomial tail of ``up`` positives in ``n``.
+
+    The greatest term of the tail is at its end, P(few). Going down from there each term is the one before times
+    k / (n - k + 1), a ratio under 1 that only falls. ``TAIL_TERMS`` terms give the sum to double precision unless ``few`` is so near n / 2
+    that the ratios stay close to 1; there n is large, and the normal distribution with a half-step correction takes over, whose
+    error is below 1e-6. Work and memory do not grow with ``n``.
+    """
+    few = F.least(up, n - up).cast("double")
+    m = n.cast("double")
+    last = _log_factorial(m) - _log_factorial(few) - _log_factorial(m - few) - m * F.log(F.lit(2.0))
+    step = lambda acc, k: F.struct((acc.t * (few - k) / (m - few + k + 1)).alias("t"), (acc.s + acc.t * (few - k) / (m - few + k + 1)).alias("s"))
+    terms = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(few, F.lit(float(TAIL_TERMS))).cast("int") - 1))
+    ratio = F.aggregate(terms, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step, lambda acc: acc.s)
+    exact = F.exp(last) * F.when(few < 1, 1.0).otherwise(ratio)
+    z = (few + 0.5 - m / 2) / F.sqrt(m / 4)
+    # what was left out is less than a geometric series at the ratio of the last term
+    held = (few - TAIL_TERMS) / (m - few + TAIL_TERMS + 1)
+    enough = (few <= TAIL_TERMS) | (held < 0.99)
+    return F.least(F.lit(1.0), F.when(enough, 2 * exact).otherwise(normal_tail(F.least(z, F.lit(0.0)))))
+
+
+def _log_factorial(x: Column) -> Column:
+    """Logarithm of x!: the sum of logarithms below 16, Stirling's series beyond, exact to 1e-13 there."""
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0.0), lambda acc, k: acc + F.when(k <= x, F.log(k.cast("double"))).otherwise(0.0))
+    y = F.greatest(x, F.lit(1.0))
+    series = y * F.log(y) - y + F.log(2 * math.pi * y) / 2 + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return F.when(x < 16, small).otherwise(series)
 
 
 def mann_whitney(df: DataFrame, group: str) -> DataFrame:
-    """U of the positives in each group with its normal approximation, tie-corrected."""
+    """U of the positives in each group with its normal approximation, tie-corrected, and the two-sided p-value; 1 where all scores are tied."""
     from .metrics import blocks
 
     b = blocks(df, group)
@@ -130,7 +158,7 @@ def mann_whitney(df: DataFrame, group: str) -> DataFrame:
     total = F.col("n1") + F.col("n2")
     variance = F.col("n1") * F.col("n2") / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
     z = (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(variance)
-    return found.where("n1 > 0 and n2 > 0").withColumn("z", z)
+    return found.where("n1 > 0 and n2 > 0").withColumn("z", z).withColumn("p_value", F.when(variance > 0, normal_tail(z)).otherwise(1.0))
 
 
 def prediction_checks(predictions: DataFrame, expected: DataFrame) -> DataFrame:

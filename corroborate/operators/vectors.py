@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+from ..similarity.common import salted_join, write_once
+
 #: A side of so many rows or fewer is broadcast to the other; beyond it both sides are dealt in blocks.
 BROADCAST_ROWS = 20_000
 LIBRARY_ROWS = 100_000
@@ -28,14 +34,14 @@ def unit(df: DataFrame, vector: str) -> DataFrame:
 def against_all(queries: DataFrame, library: DataFrame) -> DataFrame:
     """Each query beside each library row. The queries are a stated set; the smaller side is broadcast after its size is checked.
 
-    Beyond that size both sides are cut into blocks, and each block of queries meets each block of the library in a task's
+    Beyond that size both sides are cut into blocks by ``query_id`` and ``id``, and each block of queries meets each block of the library in a task's
     work of its own: as many cells as the sizes ask for, and neither side is broadcast.
     """
     if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return library.crossJoin(F.broadcast(queries))
     rows, columns = -(-library.count() // LIBRARY_ROWS), -(-queries.count() // BROADCAST_ROWS)
-    one = queries.withColumn("__column", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(columns)).cast("int")).withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    two = library.withColumn("__row", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rows)).cast("int")).withColumn("__column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    one = queries.withColumn("__column", F.pmod(F.xxhash64("query_id"), F.lit(columns)).cast("int")).withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    two = library.withColumn("__row", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("__column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     return two.join(one, ["__row", "__column"]).drop("__row", "__column")
 
 
@@ -110,6 +116,16 @@ def cache_checks(cache: DataFrame, expected: DataFrame, width: int) -> DataFrame
     return out
 
 
+def compare_payloads(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two caches (id, x) and (id, y) of vectors where both have an id: rows of each, shared rows, those that differ anywhere, components
+    that differ, and the greatest difference. Vectors of different widths differ in every component that one of them lacks.
+    """
+    pairs = F.zip_with("x", "y", lambda p, q: F.struct((~p.eqNullSafe(q)).alias("other"), F.abs(p - q).alias("by")))
+    both = a.join(b, "id").select(F.size(F.filter(pairs, lambda z: z["other"])).alias("n"), F.array_max(F.transform(pairs, lambda z: z["by"])).alias("most"))
+    found = both.agg(F.count("*").alias("n_both"), F.count_if(F.col("n") > 0).alias("n_different"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_components"), F.round(F.max("most"), 6).alias("most"))
+    return a.agg(F.count("*").alias("n_left")).crossJoin(b.agg(F.count("*").alias("n_right"))).crossJoin(found)
+
+
 def sign_words(vector: Column, words: int = 2) -> Column:
     """The signs of 32 components a word, packed into integers."""
     def word(k: int) -> Column:
@@ -142,3 +158,135 @@ def nearest_in_group(train: DataFrame, asked: DataFrame, group: str, cap: int) -
     overall = train.agg(F.avg("y").alias("overall"))
     found = asked.join(best, "id", "left").crossJoin(F.broadcast(overall))
     return found.select("id", F.coalesce("b.sim", F.lit(0.0)).alias("sim"), F.coalesce("b.y", "overall").alias("predicted"))
+
+
+#: Rows of the library that a query meets before cells are ruled out.
+FIRST_ROWS = 256
+
+
+def best_of_cells(queries: DataFrame, library: DataFrame, bounds: DataFrame, score) -> DataFrame:
+    """The best library row of each query, exactly, without meeting cells that cannot hold it: query_id, id, score, met.
+
+    ``queries`` (query_id, q_cell, q) and ``library`` (cell, id, x) are dealt into cells, and ``bounds`` (q_cell, cell, bound) says what
+    no score of such a pair exceeds. A query first meets the cells of greatest bound, until they hold ``FIRST_ROWS`` rows; what it
+    found there rules out all cells below. Of equal scores the least id is the best. ``met`` counts the rows that a query met.
+    A cell with a large part of the library is met in several tasks.
+    """
+    rows = library.groupBy("cell").agg(F.count("*").alias("rows"))
+    ranked = Window.partitionBy("q_cell").orderBy(F.desc("bound"), "cell")
+    before = F.sum("rows").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    near = write_once(bounds.join(rows, "cell").withColumn("first", before < FIRST_ROWS), "cells")
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """The best of each query over its cells: (query_id, s, t, met); t is the id's negative, so that the greatest pair is the best."""
+        found = salted_join(pairs, library, "cell", "query_id").where("query_id <> id").select("query_id", score(F.col("q"), F.col("x")).alias("s"), (-F.col("id")).alias("t"))
+        return found.groupBy("query_id").agg(F.max(F.struct("s", "t")).alias("b"), F.count("*").alias("met"))
+
+    asked = queries.join(near.where("first").select("q_cell", "cell"), "q_cell")
+    one = write_once(meet(asked.select("query_id", "q", "cell")), "cells-first")
+    reached = queries.join(one.select("query_id", F.col("b.s").alias("best")), "query_id", "left")
+    more = reached.join(near.where("not first").select("q_cell", "cell", "bound"), "q_cell").where("best is null or bound >= best")
+    two = meet(write_once(more.select("query_id", "q", "cell"), "cells-more"))
+    best = one.unionByName(two).groupBy("query_id").agg(F.max("b").alias("b"), F.sum("met").alias("met"))
+    return best.select("query_id", (-F.col("b.t")).alias("id"), F.col("b.s").alias("score"), "met")
+
+
+def nearest_by_overlap(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """For each query (id, bits) the library row (id, bits) of greatest set similarity: query_id, id, score, met. Exact.
+
+    A cell is a pair of bit counts, one a word: two sets share at most the lesser count of each word, which bounds their
+    similarity. Cells are at most 33 by 33, whatever the number of rows.
+    """
+    counts = lambda df: df.withColumn("cell", F.array_join(F.transform("bits", lambda w: F.bit_count(w).cast("string")), ","))
+    asked = counts(queries).select(F.col("id").alias("query_id"), F.col("cell").alias("q_cell"), F.col("bits").alias("q"))
+    cells = counts(library).select("cell", "id", F.col("bits").alias("x"))
+    numbers = lambda c: F.transform(F.split(c, ","), lambda x: x.cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    both = asked.select("q_cell").distinct().crossJoin(cells.select("cell").distinct()).withColumns({"m": numbers(F.col("q_cell")), "n": numbers(F.col("cell"))})
+    least = total(F.zip_with("m", "n", lambda a, b: F.least(a, b)))
+    either = total(F.col("m")) + total(F.col("n")) - least
+    return best_of_cells(asked, cells, both.select("q_cell", "cell", F.when(either > 0, least / either).otherwise(0.0).alias("bound")), tanimoto)
+
+
+#: Rows that centres are chosen from, and the most centres.
+CENTRE_ROWS, MOST_CENTRES = 4_096, 256
+
+
+def centres(library: DataFrame, rounds: int = 5) -> np.ndarray:
+    """Unit vectors that the library gathers around, from ``CENTRE_ROWS`` of its rows in hash order: they decide the cost of a search, not its result."""
+    some = library.select("u").orderBy(F.md5(F.col("id").cast("string")), "id").limit(CENTRE_ROWS).collect()
+    x = np.array([r["u"] for r in some], float)
+    if not len(x):
+        return np.zeros((0, 0))
+    k = min(MOST_CENTRES, max(1, int(len(x) ** 0.5)))
+    held = x[:: max(1, len(x) // k)][:k].copy()
+    for _ in range(rounds):
+        near = (x @ held.T).argmax(axis=1)
+        for c in range(len(held)):
+            if (near == c).any():
+                mean = x[near == c].mean(axis=0)
+                held[c] = mean / max(np.linalg.norm(mean), 1e-9)
+    return held
+
+
+def nearest_by_cosine(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """For each query (id, vector) the library row (id, vector) of greatest cosine: query_id, id, score, met. Exact.
+
+    Library rows lie in the cell of their nearest centre, and a cell knows its widest angle. A query at an angle to the centre is at
+    least the difference away from every row of the cell, so cells beyond the best row found are not met. How much that spares
+    depends on how the rows gather: on rows without any structure every cell is met, as no exact search can spare them.
+    """
+    unit_rows = unit(library, "vector").select("id", "u")
+    held = centres(unit_rows)
+    if not held.size:
+        return queries.limit(0).select(F.col("id").alias("query_id"), F.col("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("met"))
+    around = F.array(*[F.array(*map(F.lit, map(float, c))) for c in held])
+    angle = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+    turned = unit_rows.withColumn("angles", F.transform(around, lambda c: angle(F.col("u"), c)))
+    placed = write_once(turned.select("id", F.col("u").alias("x"), F.array_min("angles").alias("angle"), (F.array_position("angles", F.array_min("angles")) - 1).cast("int").alias("cell")), "cells-library")
+    widest = placed.groupBy("cell").agg(F.max("angle").alias("widest"))
+    asked = write_once(unit(queries, "vector").select(F.col("id").alias("query_id"), F.col("id").alias("q_cell"), F.col("u").alias("q")), "cells-queries")
+    each = asked.select("q_cell", F.posexplode(F.transform(around, lambda c: angle(F.col("q"), c))).alias("cell", "away")).join(F.broadcast(widest), "cell")
+    bound = F.cos(F.greatest(F.lit(0.0), F.col("away") - F.col("widest") - 1e-7)) + 1e-8  # rounding must not rule a row out
+    return best_of_cells(asked, placed.select("cell", "id", "x"), each.select("q_cell", "cell", bound.alias("bound")), lambda q, x: F.round(dot(q, x), 9))
+
+
+@dataclass(frozen=True)
+class Projection:
+    """A frozen standardisation and two layers with a ReLU between: what a model file holds of them."""
+
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]
+    first: np.ndarray
+    first_bias: np.ndarray
+    second: np.ndarray
+    second_bias: np.ndarray
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        z = (x - np.array(self.mean)) / np.array(self.scale)
+        return np.maximum(z @ self.first.T + self.first_bias, 0.0) @ self.second.T + self.second_bias
+
+
+def frozen_scale(rows: DataFrame, vector: str, width: int, floor: float = 1e-9) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Mean and population standard deviation of each component, in one pass: ``2 * width`` numbers reach the driver."""
+    component = [F.get(vector, F.lit(k)).cast("double") for k in range(width)]
+    found = rows.agg(F.array(*[F.avg(c) for c in component]).alias("m"), F.array(*[F.stddev_pop(c) for c in component]).alias("s")).first()
+    return tuple(x or 0.0 for x in found["m"]), tuple(max(x or 0.0, floor) for x in found["s"])
+
+
+def project(rows: DataFrame, projection: Projection, vector: str = "vector", out: str = "projected") -> DataFrame:
+    """Adds the projection of whole vectors as matrix products over Arrow batches. A null vector, or one of another width, gives null."""
+    width = len(projection.mean)
+    ship_package(rows.sparkSession)
+    weights = projection
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        ok = values.map(lambda v: v is not None and len(v) == width).to_numpy(bool)
+        made: list[np.ndarray | None] = [None] * len(values)
+        if ok.any():
+            for k, row in zip(np.flatnonzero(ok).tolist(), weights.apply(np.stack(values[ok].to_numpy()).astype(float))):
+                made[k] = row
+        return pd.Series(made, dtype=object)
+
+    return rows.withColumn(out, run(F.col(vector)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.entities import decode_entities, entities_sql
 from ..functions.evidence import ascii_upper, sequence_digest
+from ..operators import hooks
 from ..operators.snapshots import set_digest
 from ..sources import releases as rel
 from ..sources.tables import OBS, observations, table
@@ -19,32 +21,34 @@ ORDER = ["okey", "line", "item", "assay", "v"]
 
 
 def release_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The observations as numbered raw lines of a release: some with a field too many, some that are no UTF-8."""
-    obs = rel.numbered_lines(observations(spark, sf_dir).select(*ORDER, "grp", "rel", "src"), ORDER)
+    """The observations as raw lines of a release: some with a field too many, some that are no UTF-8."""
+    obs = observations(spark, sf_dir).select(*ORDER, "grp", "rel", "src")
     note = F.when(F.col("okey") % 4 == 0, "").when(F.col("okey") % 4 == 1, "  ").otherwise(F.col("src"))
     assay = F.when(F.col("okey") % 9 == 0, "").otherwise(F.col("assay").cast("string"))
     line = F.concat_ws("\t", F.col("item").cast("string"), F.col("grp").cast("string"), assay, "rel", F.floor("v").cast("string"), note)
     raw = F.encode(F.when(F.col("okey") % 101 == 0, F.concat(line, F.lit("\textra"))).otherwise(line), "UTF-8")
     broken = F.concat(raw, F.unhex(F.lit("FFFE")))
-    return obs.select("line_no", F.when(F.col("okey") % 103 == 0, broken).otherwise(raw).alias("raw"), "okey")
+    return obs.select(*ORDER, F.when(F.col("okey") % 103 == 0, broken).otherwise(raw).alias("raw"))
 
 
-def loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lines = release_lines(spark, sf_dir)
-    good, bad = rel.split_lines(lines, len(HEADER))
-    return lines, rel.to_payload(good, HEADER), bad
+def read_back(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame]:
+    """The release as files, read again: its header and its numbered lines. All loading starts from here."""
+    path = rel.scratch(spark, "release")
+    rel.write_release(release_lines(spark, sf_dir), HEADER, path, ORDER)
+    return rel.read_release(spark, path, ["item", "grp", "value"])
 
 
-def written_release(spark: SparkSession, sf_dir: str) -> str:
-    path = rel.scratch(spark, "release")
-    rel.write_release(release_lines(spark, sf_dir), HEADER, path)
-    return path
+def loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and quarantine of the release."""
+    header, lines = read_back(spark, sf_dir)
+    good, bad = rel.split_lines(lines, len(header))
+    return rel.to_payload(good, header), bad
 
 
 @query("SRC01", f"with {GOOD} select count(*) as n_lines, sum(length(f1 || f2 || f3 || f4 || f5 || f6) + 5 + case when okey % 101 = 0 then 6 else 0 end + case when okey % 103 = 0 then 2 else 0 end)::bigint as n_bytes, count(*) filter (where okey % 103 = 0) as n_not_utf8 from fields join (select line_no, okey from ordered) using (line_no)")
 def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A release is written as text and read again as bytes, split at line feeds only."""
-    lines = rel.read_lines(spark, written_release(spark, sf_dir))
+    _, lines = read_back(spark, sf_dir)
     broken = F.try_validate_utf8(F.col("raw").cast("string")).isNull()
     return lines.agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("raw")).alias("n_bytes"), F.count_if(broken).alias("n_not_utf8"))
 
@@ -52,9 +56,8 @@ def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SRC02", f"with {GOOD}, p as (select unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as column_name, unnest(range(0, 6))::int as position, unnest([f1, f2, f3, f4, f5, f6]) as value from fields where not bad) select column_name, position, count(*) filter (where value <> '') as n_present from p group by all")
 def src02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header is read from the release, decoded and checked; its columns are then counted over the lines that have its width."""
-    path = written_release(spark, sf_dir)
-    header = rel.read_header(spark, path, ["item", "grp", "value"])
-    good, _ = rel.split_lines(rel.read_lines(spark, path).withColumn("line_no", F.lit(0)), len(header))
+    header, lines = read_back(spark, sf_dir)
+    good, _ = rel.split_lines(lines, len(header))
     counts = good.select(F.split("text", "\t", -1).alias("f")).agg(F.array(*[F.count_if(F.col("f")[k] != "") for k in range(len(header))]).alias("n"))
     named = F.arrays_zip(F.array(*map(F.lit, header)).alias("c"), F.col("n").alias("n"))
     return counts.select(F.posexplode(named).alias("position", "x")).select(F.col("x.c").alias("column_name"), "position", F.col("x.n").alias("n_present"))
@@ -62,29 +65,33 @@ def src02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SRC03", f"with {GOOD} select line_no, (f1 <> '')::int + (f2 <> '')::int + (f3 <> '')::int + (f4 <> '')::int + (f5 <> '')::int + (f6 <> '')::int as n_fields, nullif(f3, '') as assay, nullif(f6, '') as note from fields where not bad")
 def src03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, _ = loaded(spark, sf_dir)
+    rows, _ = loaded(spark, sf_dir)
     return rows.select("line_no", F.size("payload").alias("n_fields"), F.col("payload")["assay"].alias("assay"), F.col("payload")["note"].alias("note"))
 
 
 @query("SRC04", f"with {GOOD}, o as (select line_no, okey from ordered) select line_no, case when okey % 103 = 0 then 'invalid_utf8' else 'field_count' end as rule, (length(f1 || f2 || f3 || f4 || f5 || f6) + 5 + case when okey % 101 = 0 then 6 else 0 end + case when okey % 103 = 0 then 2 else 0 end)::bigint as byte_length from fields join o using (line_no) where bad")
 def src04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, bad = loaded(spark, sf_dir)
+    _, bad = loaded(spark, sf_dir)
     return bad.select("line_no", "rule", "byte_length")
 
 
-@query("SRC05", f"with {GOOD} select line_no, okey from ordered")
+@query("SRC05", f"with {GOOD} select f.line_no, f1 as item, f4 as relation, (length(f1 || f2 || f3 || f4 || f5 || f6) + 5 + case when okey % 101 = 0 then 6 else 0 end + case when okey % 103 = 0 then 2 else 0 end)::bigint as byte_length from fields f join (select line_no, okey from ordered) o using (line_no)")
 def src05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return release_lines(spark, sf_dir).select("line_no", "okey")
+    """Lines that were read with their numbers, whether they can be loaded or not."""
+    _, lines = read_back(spark, sf_dir)
+    field = lambda k: F.split_part(F.make_valid_utf8(F.col("raw").cast("string")), F.lit("\t"), F.lit(k))
+    return lines.select("line_no", field(1).alias("item"), field(4).alias("relation"), F.octet_length("raw").cast("long").alias("byte_length"))
 
 
-@query("SRC06", f"with {GOOD} select count(*) as n_lines, count(*) filter (where not bad) as n_loaded, count(*) filter (where bad) as n_excluded, round(avg((f1 <> '')::int + (f2 <> '')::int + (f3 <> '')::int + (f4 <> '')::int + (f5 <> '')::int + (f6 <> '')::int) filter (where not bad), 6) as mean_fields, true as reconciles from fields")
+@query("SRC06", f"with {GOOD}, o as (select line_no, okey from ordered) select count(*) as n_lines, count(*) filter (where not bad) as n_loaded, count(*) filter (where bad) as n_excluded, count(*) filter (where okey % 103 = 0) as n_invalid_utf8, count(*) filter (where okey % 101 = 0 and okey % 103 <> 0) as n_field_count, round(avg((f1 <> '')::int + (f2 <> '')::int + (f3 <> '')::int + (f4 <> '')::int + (f5 <> '')::int + (f6 <> '')::int) filter (where not bad), 6) as mean_fields, true as reconciles from fields join o using (line_no)")
 def src06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.reconciliation(*loaded(spark, sf_dir)).withColumn("mean_fields", F.round("mean_fields", 6))
+    header, lines = read_back(spark, sf_dir)
+    return rel.reconciliation(lines, header).withColumn("mean_fields", F.round("mean_fields", 6))
 
 
 @query("SRC07", f"with {GOOD} select line_no, concat_ws(chr(9), f1, f2, f3, f4, f5, f6) as text from fields where not bad")
 def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, _ = loaded(spark, sf_dir)
+    rows, _ = loaded(spark, sf_dir)
     return rows.select("line_no", rel.reconstruct(F.col("payload"), HEADER).alias("text"))
 
 
@@ -176,7 +183,7 @@ MICRO = "array_to_string(list_transform(embedding, lambda x: round(x::double * 1
 @query(
     "SRC15",
     f"with k as (select vec_id || ':' || {MICRO} as row from embeddings), hd as (" + digest_sql("row", "k", nested=True) + """)
-  select version, case when version in ('v1', 'v2') then digest end as digest, n, state from hd, (values ('v1', 'superseded'), ('v1 on demand', 'loaded'), ('v2', 'loaded'), ('v3', 'changed')) t(version, state)""",
+  select version, case when version in ('v1', 'v2') then digest end as digest, n, state from hd, (values ('v1', 'superseded'), ('v1 on demand', 'loaded'), ('v2', 'loaded'), ('v3', 'changed'), ('reuse', 'v2'), ('reuse of another specification', 'none'), ('reuse for another population', 'none'), ('reuse of what is superseded', 'none'), ('reuse of what has changed', 'none'), ('reuse of a part', 'none')) t(version, state)""",
 )
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature tables registered with a digest of their ids and vectors: one superseded, one current, one changed after it was registered."""
@@ -189,7 +196,11 @@ def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel.write_version(source, f"{base}/v2")
     rel.write_version(source.withColumn("embedding", moved), f"{base}/v3")
     digest = content(source).first()
-    registry = spark.createDataFrame([(name, f"{base}/{name}", digest["digest"], "v2" if name == "v1" else None) for name in ("v1", "v2", "v3")], "name string, path string, digest string, superseded_by string")
+    whole, some = (set_digest(df, F.col("vec_id").cast("string")).first()["digest"] for df in (source, source.where("vec_id % 2 = 0")))
+    rel.write_version(source.where("vec_id % 2 = 0"), f"{base}/v4")
+    key = lambda width, population=whole: rel.identity_key({"model": "vectors", "width": width}, population)
+    entries = [("v1", "v2", key(32), True), ("v2", None, key(64), True), ("v3", None, key(128), True), ("v4", None, key(16), False)]
+    registry = spark.createDataFrame([(name, f"{base}/{name}", digest["digest"], by, identity, whole_) for name, by, identity, whole_ in entries], "name string, path string, digest string, superseded_by string, identity string, complete boolean")
     states = []
     for name, allow in (("v1", False), ("v1", True), ("v2", False), ("v3", False)):
         try:
@@ -198,6 +209,8 @@ def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
         except rel.VersionError as refused:
             state = "superseded" if "superseded" in str(refused) else "changed"
         states.append((f"{name} on demand" if allow else name, state))
+    asked = {"reuse": key(64), "reuse of another specification": key(65), "reuse for another population": key(64, some), "reuse of what is superseded": key(32), "reuse of what has changed": key(128), "reuse of a part": key(16)}
+    states += [(name, rel.find_reusable(registry, identity, content).name or "none") for name, identity in asked.items()]
     found = spark.createDataFrame(states, "version string, state string")
     return found.select("version", F.when(F.col("version").isin("v1", "v2"), F.lit(digest["digest"])).alias("digest"), F.lit(digest["n"]).cast("long").alias("n"), "state")
 
@@ -282,14 +295,19 @@ def src19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("AGG35", f"with {GOOD}, p as (select unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value from fields where not bad) select key, count(*) filter (where value <> '') as n_present, count(distinct nullif(value, '')) as n_distinct from p group by key")
 def agg35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, _ = loaded(spark, sf_dir)
+    rows, _ = loaded(spark, sf_dir)
     return rows.select(F.explode("payload")).groupBy("key").agg(F.count("*").alias("n_present"), F.count_distinct("value").alias("n_distinct"))
 
 
-@query("UDF05", f"with {GOOD}, p as (select line_no, unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value from fields where not bad) select line_no, key, value from p where value <> ''")
+@query("UDF05", f"with {GOOD}, p as (select line_no, unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value, unnest(range(0, 6))::int as ordinal from fields where not bad) select line_no, key, value, ordinal from p where value <> ''")
 def udf05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, _ = loaded(spark, sf_dir)
-    return rows.select("line_no", F.explode("payload"))
+    """A table function beside each row: the fields of its sparse map with their places in the header."""
+    header, lines = read_back(spark, sf_dir)
+    good, _ = rel.split_lines(lines, len(header))
+    rows = rel.to_payload(good, header)
+    entries = hooks.payload_entries()
+    names = F.array(*map(F.lit, header))
+    return rows.lateralJoin(entries(F.col("payload").outer(), names)).select("line_no", "key", "value", "ordinal")
 
 
 # scalar functions on texts
@@ -300,12 +318,15 @@ def sca01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sequence_digest(F.col("text")).alias("digest"))
 
 
-@query("SCA02")
-def sca02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities decoded beside the raw text: a vectorised function, since no built-in knows them."""
-    from ..operators.hooks import decode_entities
+PAGES = "pg as (select page_id, coalesce(html, '') as html from pages), " + entities_sql("pg", "page_id", "html")
 
-    return table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("n_raw"), F.length(decode_entities(F.col("html"))).alias("n_decoded"))
+
+@query("SCA02", f"with {PAGES} select page_id, length(html) as n_raw, length(decoded) as n_decoded, sha256(decoded) as decoded_sha256 from pg join decoded using (page_id)")
+def sca02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities decoded beside the raw text, by built-in functions."""
+    raw = F.coalesce("html", F.lit(""))
+    found = table(spark, sf_dir, "pages").select("page_id", raw.alias("html"), decode_entities(raw).alias("decoded"))
+    return found.select("page_id", F.length("html").cast("long").alias("n_raw"), F.length("decoded").cast("long").alias("n_decoded"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("SCA07", "select p_partkey as item, split_part(p_partkey || '_' || p_size, '_', 2)::int as second from part")

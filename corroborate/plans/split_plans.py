@@ -232,11 +232,6 @@ def agg24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("grp", "n", *r6("mean", "median", "spread"))
 
 
-@query("AGG39", f"with {TEMPORAL}, hs as (select item, grp, list_sort(list(distinct part)) as parts from dated group by all) select ev.part as period, case when list_contains(parts, 'train') and ev.part <> 'train' then 'recurrent' else 'new_pair' end as stratum, label, count(*) as n from ev join hs on ev.item = hs.item and ev.grp = hs.grp group by all")
-def agg39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spl05(spark, sf_dir).groupBy("period", "stratum", "label").agg(F.count("*").alias("n"))
-
-
 @query(
     "JON08",
     f"""with {TEMPORAL}, gl as (select item, grp, label from ev where part = 'train'), tl as (select item, grp, label from ev where part = 'test')

@@ -7,13 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evidence, hooks
+from ..functions.entities import decode_entities
+from ..operators import alignment, evidence, hooks
 from ..operators import metrics as m
 from ..operators import statistics as st
 from ..sources.tables import OBS, observations, table
 from .evidence_plans import r6, r6_sql
 from .metric_plans import AP, AUROC, COHORT, GRP, SEEDS, blocks_sql, by, cohort, seeded_runs
 from .registry import query
+from .source_plans import PAGES
 
 
 def uniform_sql(*parts: str) -> str:
@@ -113,13 +115,17 @@ def sta05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.signed_rank(deltas, "d").select("n_groups", "n", "w_plus", "n_up", *r6("z", "sign_p", "median", "lower_quartile", "upper_quartile"))
 
 
+#: Two-sided tail of the normal distribution at z, by the error function's rational approximation 7.1.26 of Abramowitz and Stegun.
+NORMAL_TAIL = "list_transform([1 / (1 + 0.3275911 * abs(z) / sqrt(2.0))], lambda t: ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2))[1]"
+
+
 @query(
     "STA06",
     f"""with {COHORT}, {GRP}, u as (select g, sum(p * (an - n + (n + 1) / 2)) - any_value(tp) * (any_value(tp) + 1) / 2 as u, any_value(tp)::bigint as n1, (any_value(tn) - any_value(tp))::bigint as n2, sum(n * n * n - n) as ties from bl group by g)
-  select g, round(u, 6) as u, n1, n2, round((u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) as z from u where n1 > 0 and n2 > 0""",
+  select g, round(u, 6) as u, n1, n2, round(z, 6) as z, round({NORMAL_TAIL}, 6) as p_value from (select *, (u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) as z from u where n1 > 0 and n2 > 0)""",
 )
 def sta06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.mann_whitney(by(spark, sf_dir, "grp"), "g").select("g", *r6("u"), "n1", "n2", *r6("z"))
+    return st.mann_whitney(by(spark, sf_dir, "grp"), "g").select("g", *r6("u"), "n1", "n2", *r6("z", "p_value"))
 
 
 @query("STA07", f"with {COHORT}, zz as (select item, grp, score, (score - avg(score) over (partition by grp)) / stddev_pop(score) over (partition by grp) as z from cohort) select item, round(avg(z), 6) as mean_z, round(avg(score), 6) as mean_raw, md5(item || '|perm') as permuted from zz group by item")
@@ -221,26 +227,23 @@ def jon22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.round(F.percentile("d", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("d", F.lit(0.9)), 6).alias("p90"))
 
 
-HITS = "hits as (select l_orderkey as query, l_partkey as target, l_discount * 10 as identity, l_tax * 10 as cov_q, (l_quantity % 11) / 10 as cov_t from lineitem where l_discount >= 0.05)"
-BEST = HITS + ", best as (select query, target, identity, least(cov_q, cov_t) as mutual, row_number() over (partition by query order by round(least(cov_q, cov_t), 6) desc, target, round(identity, 6)) as k from hits)"
-
+def similar_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation texts (every fifth id), and of each its best hit among the training texts, searched over whole documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = docs.where("id % 5 = 0")
+    return asked, alignment.best_hits(alignment.hits(asked, docs.where("id % 5 <> 0")))
 
-def best_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each query's hits above the identity cut, the one with the highest mutual coverage."""
-    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.05")
-    hits = lines.select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("target"), (F.col("l_discount") * 10).alias("identity"), F.least(F.col("l_tax") * 10, (F.col("l_quantity") % 11) / 10).alias("mutual"))
-    w = Window.partitionBy("query").orderBy(F.round("mutual", 6).desc(), "target", F.round("identity", 6))
-    return hits.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
-
-@query("JON14", f"with {BEST} select query, target, round(identity, 6) as identity, round(mutual, 6) as mutual from best where k = 1")
+@query("JON14")
 def jon14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_hits(spark, sf_dir).select("query", "target", *r6("identity", "mutual"))
+    _, best = similar_texts(spark, sf_dir)
+    return best.select("query", "target", *r6("identity", "mutual", "cov_query", "cov_target"))
 
 
-@query("SPL15", f"with {BEST} select query, round(identity, 6) >= 0.9 and round(mutual, 6) >= 0.5 as near_homolog from best where k = 1")
+@query("SPL15")
 def spl15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_hits(spark, sf_dir).select("query", ((F.round("identity", 6) >= 0.9) & (F.round("mutual", 6) >= 0.5)).alias("near_homolog"))
+    found = alignment.near_homologs(*similar_texts(spark, sf_dir))
+    return found.select("id", "target", *r6("identity", "mutual"), "near_homolog")
 
 
 @query("AGG52", f"with {OBS}, ro as (select distinct case when item % 10 < 8 then 'train' else 'validation' end as role, item from obs), le as (select p_partkey as item, length(p_name) * 70 as n from part where p_size > 2) select role, count(*) as n_entities, count(n) as n_resolved, count(*) filter (where n > 1022) as n_over, max(n) as longest from ro left join le using (item) group by role")
@@ -272,11 +275,14 @@ def udf01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.map_entities(observations(spark, sf_dir).select("okey", "line", "item"), "item", lambda k: k[::-1].upper(), "made")
 
 
-@query("UDF02")
+@query("UDF02", f"with {PAGES} select page_id, sha256(decoded) as decoded_sha256, length(decoded) - length(replace(decoded, '&', '')) as n_ampersands from decoded")
 def udf02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vectorised scalar hook with a library function that no built-in replaces: entities of whole pages decoded, then hashed."""
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.sha2(F.coalesce(hooks.decode_entities(F.col("html")), F.lit("")), 256).alias("decoded_sha256"))
+    """A vectorised scalar hook, here a count by Arrow's own functions, on pages whose entities were decoded without one."""
+    import pyarrow.compute as pc
+
+    decoded = table(spark, sf_dir, "pages").select("page_id", decode_entities(F.coalesce("html", F.lit(""))).alias("decoded"))
+    counted = hooks.vectorised(F.col("decoded"), lambda values: pc.cast(pc.count_substring(values, pattern="&"), "int64"), "long")
+    return decoded.select("page_id", F.sha2("decoded", 256).alias("decoded_sha256"), counted.alias("n_ampersands"))
 
 
 @query("UDF03", f"with {OBS}, top as (select grp, v, row_number() over (partition by grp order by v desc, okey, line) as place from obs where v > 0) select grp, count(*) as n, round(exp(avg(ln(v))), 6) as geometric_mean from top where place <= 50 group by grp")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,25 +107,26 @@ def jon11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JON12", f"with {SCORED} select query_id, arg_max(id, struct_pack(s := score, t := -id)) as nearest, round(max(score), 6) as score from sc group by query_id")
 def jon12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = scores_of(spark, sf_dir).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("t"))).alias("b"))
-    return best.select("query_id", (-F.col("b.t")).alias("nearest"), F.round("b.score", 6).alias("score"))
+    """The nearest row by cosine, through cells around centres: exact at any size, without a broadcast side."""
+    whole = library(spark, sf_dir)
+    return v.nearest_by_cosine(whole.where("id % 100 = 0"), whole).select("query_id", F.col("id").alias("nearest"), *r6("score"))
 
 
-@query("JON13", f"with {BITS}, tr as (select * from bt where id % 5 <> 0 order by md5(id::varchar), id limit 300), te as (select * from bt where id % 5 = 0 order by md5(id::varchar), id limit 100) select a.id, round(max({TANI}), 6) as nearest from te a, tr b group by a.id")
+@query("JON13", f"with {BITS}, pr as (select a.id, b.id as ref_id, {TANI} as sim from bt a join bt b on a.id % 5 = 0 and b.id % 5 <> 0) select id, arg_max(ref_id, struct_pack(s := sim, t := -ref_id)) as train_id, round(max(sim), 6) as nearest from pr group by id")
 def jon13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every held-out row against every training row, neither side sampled: pairs of bit counts rule most others out."""
     bits = library(spark, sf_dir).select("id", v.sign_words(F.col("vector")).alias("bits"))
-    by_hash = [F.md5(F.col("id").cast("string")), F.col("id")]
-    train = bits.where("id % 5 <> 0").orderBy(*by_hash).limit(300)
-    held = bits.where("id % 5 = 0").orderBy(*by_hash).limit(100).select(F.col("id").alias("query_id"), F.col("bits").alias("q"))
-    return v.against_all(held, train).groupBy(F.col("query_id").alias("id")).agg(F.round(F.max(v.tanimoto(F.col("q"), F.col("bits"))), 6).alias("nearest"))
+    found = v.nearest_by_overlap(bits.where("id % 5 = 0"), bits.where("id % 5 <> 0"))
+    return found.select(F.col("query_id").alias("id"), F.col("id").alias("train_id"), F.round("score", 6).alias("nearest"))
 
 
-@query("JON10", "select count(*) as n_both, count(*) filter (where a.embedding[1] <> b.embedding[2]) as n_different from embeddings a join embeddings b on a.vec_id = b.vec_id where a.vec_id % 2 = 0")
+@query("JON10", "with a as (select vec_id as id, list_transform(embedding::double[], lambda x: round(x, 3)) as x from embeddings where vec_id % 2 = 0), b as (select vec_id as id, list_transform(embedding::double[], lambda x: case when vec_id % 3 = 0 then round(x, 2) else round(x, 3) end) as y from embeddings where vec_id % 7 <> 0), p as (select id, len(list_filter(list_zip(x, y), lambda z: z[1] <> z[2])) as n, list_max(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))) as most from a join b using (id)) select (select count(*) from a) as n_left, (select count(*) from b) as n_right, count(*) as n_both, count(*) filter (where n > 0) as n_different, sum(n)::bigint as n_components, round(max(most), 6) as most from p")
 def jon10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = library(spark, sf_dir)
-    a = whole.where("id % 2 = 0").select("id", F.element_at("vector", 1).alias("x"))
-    b = whole.select("id", F.element_at("vector", 2).alias("y"))
-    return a.join(b, "id").agg(F.count("*").alias("n_both"), F.count_if(F.col("x") != F.col("y")).alias("n_different"))
+    """Two caches of vectors, one made with less precision for some ids, compared by whole payloads where both have the id."""
+    whole = library(spark, sf_dir).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    a = whole.where("id % 2 = 0").select("id", F.transform("vector", lambda x: F.round(x, 3)).alias("x"))
+    b = whole.where("id % 7 <> 0").select("id", F.transform("vector", lambda x: F.when(F.col("id") % 3 == 0, F.round(x, 2)).otherwise(F.round(x, 3))).alias("y"))
+    return v.compare_payloads(a, b)
 
 
 @query("JON09", "with e as (select vec_id as id, label, row_number() over (partition by label order by md5(vec_id || '-7'), vec_id) as place from embeddings), p as (select least(a.id, b.id) as a, greatest(a.id, b.id) as b, a.label from e a join e b on a.label = b.label and b.place - a.place between 1 and 8) select a, b, label from p order by md5(a || '-' || b || '-7'), a, b limit 500")
@@ -150,12 +152,28 @@ def prj20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library(spark, sf_dir).select("id", verdict.alias("verdict"))
 
 
-@query("SCA14", "with st as (select avg(embedding[1]::double) as m, stddev_pop(embedding[1]::double) as s, avg(embedding[2]::double) as m2, stddev_pop(embedding[2]::double) as s2 from embeddings) select vec_id as id, round(greatest(0, 0.5 * (embedding[1]::double - m) / s - 0.25 * (embedding[2]::double - m2) / s2 + 0.1), 6) as projected from embeddings, st")
+HIDDEN, OUTPUTS = 16, 4
+
+
+def weight_matrices() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two layers of weights by a rule that SQL can repeat."""
+    h, i, o = np.arange(1, HIDDEN + 1), np.arange(1, 65), np.arange(1, OUTPUTS + 1)
+    one, two = ((np.add.outer(7 * h, 13 * i)) % 17 - 8) / 40, ((np.add.outer(5 * o, 11 * h)) % 13 - 6) / 10
+    return one, (h % 5 - 2) / 10, two, o / 10
+
+
+@query(
+    "SCA14",
+    """with x as (select vec_id as id, i, embedding[i]::double as x from embeddings, range(1, 65) t(i)), st as (select i, avg(x) as m, greatest(stddev_pop(x), 1e-9) as s from x group by i), z as (select id, i, (x - m) / s as z from x join st using (i)),
+  hd as (select id, h, greatest(0, sum(z * ((7 * h + 13 * i) % 17 - 8) / 40.0::double) + (h % 5 - 2) / 10.0::double) as y from z, range(1, 17) t(h) group by id, h),
+  ot as (select id, o, sum(y * ((5 * o + 11 * h) % 13 - 6) / 10.0::double) + o / 10.0::double as y from hd, range(1, 5) t(o) group by id, o)
+  select id, round(max(y) filter (where o = 1), 6) as y1, round(max(y) filter (where o = 2), 6) as y2, round(max(y) filter (where o = 3), 6) as y3, round(max(y) filter (where o = 4), 6) as y4 from ot group by id""",
+)
 def sca14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = library(spark, sf_dir).select("id", F.element_at("vector", 1).cast("double").alias("x1"), F.element_at("vector", 2).cast("double").alias("x2"))
-    frozen = x.agg(F.avg("x1").alias("m"), F.stddev_pop("x1").alias("s"), F.avg("x2").alias("m2"), F.stddev_pop("x2").alias("s2"))
-    hidden = 0.5 * (F.col("x1") - F.col("m")) / F.col("s") - 0.25 * (F.col("x2") - F.col("m2")) / F.col("s2") + 0.1
-    return x.crossJoin(F.broadcast(frozen)).select("id", F.round(F.greatest(F.lit(0.0), hidden), 6).alias("projected"))
+    """All 64 components by a frozen mean and scale, then two layers, as matrix products over batches."""
+    rows = library(spark, sf_dir).select("id", "vector")
+    made = v.project(rows, v.Projection(*v.frozen_scale(rows, "vector", 64), *weight_matrices()))
+    return made.select("id", *[F.round(F.get("projected", F.lit(k)), 6).alias(f"y{k + 1}") for k in range(OUTPUTS)])
 
 
 @query("EVL10", f"with {UNITS}, pr as (select a.label = b.label as same_cluster, list_dot_product(a.u, b.u) as c from un a join un b on a.id % 100 = 0 and b.id > a.id) select same_cluster, count(*) as n, round(avg(c), 6) as mean from pr group by same_cluster")

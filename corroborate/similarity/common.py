@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: str | None = None
-_recorders: list[list[str]] = []
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,20 +40,20 @@ def write_once(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
-    for paths in _recorders:
+    for paths in _recorders.get():
         paths.append(path)
     return out
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths of all tables that ``write_once`` writes within, for a caller who knows when nothing reads them any more."""
+    """The paths of all tables that ``write_once`` writes within, in this thread, for a caller who knows when nothing reads them any more."""
     paths: list[str] = []
-    _recorders.append(paths)
+    token = _recorders.set((*_recorders.get(), paths))
     try:
         yield paths
     finally:
-        _recorders[:] = [kept for kept in _recorders if kept is not paths]
+        _recorders.reset(token)
 
 
 def discard(*tables: DataFrame | str) -> None:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
+from ..similarity.common import fresh_path
+
+#: Lines of one range of a file, of which each gives its first headers.
+RANGE_LINES = 1 << 20
+
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or in the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a session on several machines must name one."""
+    return fresh_path(spark, label)
 
 
 def numbered_lines(df: DataFrame, order: list[str], first: int = 2) -> DataFrame:
@@ -40,26 +49,43 @@ def validate_header(header: list[str], required: list[str]) -> list[str]:
     return header
 
 
-def write_release(lines: DataFrame, header: list[str], path: str, order: str = "line_no", raw: str = "raw") -> None:
+def write_release(lines: DataFrame, header: list[str], path: str, order: list[str], raw: str = "raw") -> None:
     """A release as files whose names give the order of their lines: the header line alone, then the lines in ranges of ``order``."""
     spark = lines.sparkSession
     spark.createDataFrame([("\t".join(header),)], "value string").coalesce(1).write.text(f"{path}/0-header")
-    lines.repartitionByRange(order).sortWithinPartitions(order).select(F.col(raw).cast("string").alias("value")).write.text(f"{path}/1-lines")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(raw).cast("string").alias("value")).write.text(f"{path}/1-lines")
+
 
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, raw) of all lines of a file, or of a folder's files in the order of their names, split at line feeds only.
 
-def read_header(spark: SparkSession, path: str, required: list[str]) -> list[str]:
-    """The first line of a release, decoded and checked."""
-    first = spark.read.option("lineSep", "\n").text(f"{path}/0-header").select(F.encode("value", "UTF-8").alias("raw"), F.try_validate_utf8("value").alias("text")).first()
+    Numbers start at 1 and need no column to sort by: a line is known by its file, the start of the split that it was read in and its
+    place there. Splits are counted, and their running totals, one row a split and one a file, are the offsets. The lines are
+    written out with their places first, since a second reading may be split otherwise. Files of any split size give the same numbers.
+    """
+    source = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    placed = source.select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    kept = scratch(spark, "numbered")
+    placed.write.parquet(kept)
+    lines = spark.read.parquet(kept)
+    splits = lines.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    in_file = F.sum("__n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    files = splits.groupBy("__file").agg(F.sum("__n").alias("__lines"))
+    earlier = files.select("__file", (F.sum("__lines").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__lines")).alias("__before"))
+    offsets = splits.select("__file", "__start", (in_file - F.col("__first") + 1).alias("__offset")).join(earlier, "__file")
+    joined = lines.join(F.broadcast(offsets), ["__file", "__start"])
+    return joined.select((F.col("__at") + F.col("__offset") + F.col("__before")).alias("line_no"), "raw")
+
+
+def read_release(spark: SparkSession, path: str, required: list[str]) -> tuple[list[str], DataFrame]:
+    """The header, decoded and checked, of a release, and its other lines as (line_no, raw), numbered from 2."""
+    lines = read_numbered(spark, path)
+    first = lines.where("line_no = 1").select("raw", F.try_validate_utf8(F.col("raw").cast("string")).alias("text")).first()
     if first is None or not first["raw"]:
         raise ValueError("the release has no header line")
     if first["text"] is None:
         raise ValueError("the header line is not valid UTF-8")
-    return validate_header(first["text"].split("\t"), required)
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a release as bytes, split at line feeds only."""
-    return spark.read.option("lineSep", "\n").text(f"{path}/1-lines").select(F.col("value").cast("binary").alias("raw"))
+    return validate_header(first["text"].split("\t"), required), lines.where("line_no > 1")
 
 
 def split_lines(lines: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +115,24 @@ def reconstruct(payload: Column, header: list[str]) -> Column:
     return F.concat_ws("\t", *[F.coalesce(payload[h], F.lit("")) for h in header])
 
 
-def reconciliation(lines: DataFrame, loaded: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Lines in, rows loaded, rows excluded, mean fields a row, and whether they add up."""
-    one = lines.agg(F.count("*").alias("n_lines")).crossJoin(loaded.agg(F.count("*").alias("n_loaded"), F.avg(F.size("payload")).alias("mean_fields"))).crossJoin(excluded.agg(F.count("*").alias("n_excluded")))
-    return one.withColumn("reconciles", F.col("n_lines") == F.col("n_loaded") + F.col("n_excluded"))
+def reconciliation(lines: DataFrame, header: list[str]) -> DataFrame:
+    """Lines in, rows loaded, rows excluded by rule, mean fields a row, and whether they add up: one pass over the lines.
+
+    What is loaded counts by its rows, and what is excluded by its rules, so a line that is neither, or both, shows.
+    """
+    text = F.try_validate_utf8(F.col("raw").cast("string"))
+    fields = F.split(F.coalesce(text, F.lit("")), "\t", -1)
+    judged = lines.select(text.isNull().alias("bad"), (F.size(fields) != len(header)).alias("odd"), F.size(F.filter(fields, lambda x: x != "")).alias("n"))
+    loaded = ~F.col("bad") & ~F.col("odd")
+    found = judged.agg(
+        F.count("*").alias("n_lines"),
+        F.count_if(loaded).alias("n_loaded"),
+        F.count_if(F.col("bad")).alias("n_invalid_utf8"),
+        F.count_if(~F.col("bad") & F.col("odd")).alias("n_field_count"),
+        F.avg(F.when(loaded, F.col("n"))).alias("mean_fields"),
+    )
+    excluded = F.col("n_invalid_utf8") + F.col("n_field_count")
+    return found.withColumn("n_excluded", excluded).withColumn("reconciles", F.col("n_lines") == F.col("n_loaded") + F.col("n_excluded"))
 
 
 def release_state(incoming: DataFrame, registry: DataFrame) -> DataFrame:
@@ -151,6 +191,38 @@ def load_version(registry: DataFrame, name: str, digest, allow_superseded: bool
     return rows
 
 
+def identity_key(specification: dict[str, object], population: str) -> str:
+    """What a version is made of: a digest of how it was specified and of the digest of the population that it covers."""
+    named = json.dumps(specification, sort_keys=True, separators=(",", ":"), default=str)
+    return hashlib.sha256(f"{named}\n{population}".encode()).hexdigest()
+
+
+class Reusable(NamedTuple):
+    """A version that can stand for what would be computed, or why each of the versions of its kind cannot."""
+
+    name: str | None
+    rows: DataFrame | None
+    refused: dict[str, str]
+
+
+def find_reusable(registry: DataFrame, identity: str, digest) -> Reusable:
+    """The registered version (name, path, digest, superseded_by, identity, complete) that makes the work unneeded, looked up before it begins.
+
+    Only versions with this identity are looked at, so nothing else is read. One that covers a part of its population, that another
+    supersedes, or whose rows are no longer those that were registered is not returned; of several the last by name is.
+    """
+    refused: dict[str, str] = {}
+    for row in registry.where(F.col("identity") == identity).orderBy(F.desc("name")).toLocalIterator():
+        if not row["complete"]:
+            refused[row["name"]] = "partial"
+            continue
+        try:
+            return Reusable(row["name"], load_version(registry, row["name"], digest), refused)
+        except VersionError as why:
+            refused[row["name"]] = str(why)
+    return Reusable(None, None, refused)
+
+
 def shard_of(key: Column, shards: int) -> Column:
     """A shard by the first 32 bits of the key's MD5, which any engine can repeat."""
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % shards).cast("int")
@@ -162,17 +234,79 @@ def write_sharded(lines: DataFrame, path: str, key: Column, shards: int) -> None
     dealt.repartition("shard", F.pmod(F.xxhash64("value"), F.lit(8))).write.partitionBy("shard").text(path)
 
 
+#: Characters of lines that travel as one row to the task that digests a file.
+PIECE_CHARS = 1 << 18
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by file and number to pieces of consecutive lines of a file, joined by line feeds."""
+    rows: list[tuple] = []
+    now: list = []
+    size = 0
+    for batch in batches:
+        for file, line, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if now and (now[0] != file or size >= PIECE_CHARS):
+                rows.append((now[0], now[1], "\n".join(now[2])))
+                now, size = [], 0
+            if not now:
+                now = [file, line, []]
+            now[2].append(text or "")
+            size += len(text or "")
+        if len(rows) >= 16:
+            yield _columns(rows, "file line text")
+            rows = []
+    if now:
+        rows.append((now[0], now[1], "\n".join(now[2])))
+    if rows:
+        yield _columns(rows, "file line text")
+
+
+def _columns(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "line": pa.int64(), "text": pa.string(), "digest": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*rows), names.split())], names=names.split())
+
+
+def _digest_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces sorted by file and first line to one SHA-256 a file: the hash runs along, and no file is held."""
+    file, state = None, None
+    for batch in batches:
+        rows = []
+        for name, _, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if state is None or name != file:
+                if state is not None:
+                    rows.append((file, state.hexdigest()))
+                file, state = name, hashlib.sha256()
+            else:
+                state.update(b"\n")
+            state.update(text.encode())
+        if rows:
+            yield _columns(rows, "file digest")
+    if state is not None:
+        yield _columns([(file, state.hexdigest())], "file digest")
+
+
+def file_digests(lines: DataFrame, file: str = "file", line: str = "line_no", text: str = "text") -> DataFrame:
+    """(file, digest): SHA-256 of each file's lines, in order, joined by line feeds. Lines are joined to pieces where they stand; a
+    file's pieces then pass through one task, which holds the state of the hash and one piece."""
+    slim = lines.select(F.col(file).cast("string").alias("file"), F.col(line).cast("long").alias("line"), F.col(text).alias("text"))
+    pieces = map_arrow(slim.repartitionByRange("file", "line").sortWithinPartitions("file", "line"), _pieces, "file string, line long, text string")
+    return map_arrow(pieces.repartition("file").sortWithinPartitions("file", "line"), _digest_pieces, "file string, digest string")
+
+
 def inspect_files(lines: DataFrame, pins: DataFrame, sample: int = 3, file: str = "file", line: str = "line_no", text: str = "text") -> DataFrame:
     """What stands in each file, without loading it: lines, records, the first header, some headers, and whether its content is as pinned.
 
-    ``pins`` holds (file, pin), a SHA-256 of the lines joined by line feeds; a file without a pin matches nothing.
+    ``pins`` holds (file, pin), a SHA-256 of the lines joined by line feeds; a file without a pin matches nothing. The first
+    headers come from the least lines of each range of a file, so no file is gathered.
     """
     head = F.col(text).startswith(">")
-    in_order = F.array_sort(F.collect_list(F.struct(line, text)))
-    found = lines.groupBy(file).agg(F.count("*").alias("n_lines"), F.count_if(head).alias("n_records"), F.transform(in_order, lambda x: x[text]).alias("content"))
-    heads = F.filter("content", lambda x: x.startswith(">"))
-    shown = found.select(file, "n_lines", "n_records", F.get(heads, F.lit(0)).alias("first_header"), F.array_join(F.slice(heads, 1, sample), "|").alias("sample"), F.sha2(F.array_join("content", "\n"), 256).alias("digest"))
-    return shown.join(pins, file, "left").withColumn("pin_matches", F.coalesce(F.col("pin") == F.col("digest"), F.lit(False))).drop("pin")
+    found = lines.groupBy(file).agg(F.count("*").alias("n_lines"), F.count_if(head).alias("n_records"))
+    heads = lines.where(head).select(file, line, text).withColumn("__k", F.row_number().over(Window.partitionBy(file, F.floor(F.col(line) / RANGE_LINES)).orderBy(line))).where(F.col("__k") <= sample)
+    first = heads.withColumn("__k", F.row_number().over(Window.partitionBy(file).orderBy(line))).where(F.col("__k") <= sample)
+    shown = first.groupBy(file).agg(F.transform(F.array_sort(F.collect_list(F.struct(line, text))), lambda x: x[text]).alias("h")).select(file, F.get("h", F.lit(0)).alias("first_header"), F.array_join("h", "|").alias("sample"))
+    digests = file_digests(lines, file, line, text).withColumnRenamed("file", "__f")
+    whole = found.join(shown, file, "left").join(digests, F.col(file).cast("string") == F.col("__f")).drop("__f").join(pins, file, "left")
+    return whole.select(file, "n_lines", "n_records", "first_header", F.coalesce("sample", F.lit("")).alias("sample"), "digest", F.coalesce(F.col("pin") == F.col("digest"), F.lit(False)).alias("pin_matches"))
 
 
 def write_ranking(ranking: DataFrame, path: str, preamble: list[str], columns: list[str], order: str = "rank") -> None:

@@ -159,19 +159,3 @@ def mann_whitney(df: DataFrame, group: str) -> DataFrame:
     variance = F.col("n1") * F.col("n2") / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
     z = (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(variance)
     return found.where("n1 > 0 and n2 > 0").withColumn("z", z).withColumn("p_value", F.when(variance > 0, normal_tail(z)).otherwise(1.0))
-
-
-def prediction_checks(predictions: DataFrame, expected: DataFrame) -> DataFrame:
-    """Counts of rows, of expected rows that are missing, of scores that are not finite and of repeated keys."""
-    keys = ["item", "grp"]
-    bad = F.isnan("s") | (F.abs("s") == float("inf")) | F.col("s").isNull()
-    parts = [
-        predictions.agg(F.lit("rows").alias("check_name"), F.count("*").alias("observed")),
-        expected.join(predictions, keys, "left_anti").agg(F.lit("missing").alias("check_name"), F.count("*").alias("observed")),
-        predictions.where(bad).agg(F.lit("not_finite").alias("check_name"), F.count("*").alias("observed")),
-        predictions.groupBy(*keys).count().where("count > 1").agg(F.lit("duplicates").alias("check_name"), F.count("*").alias("observed")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

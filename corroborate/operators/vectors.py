@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from ..similarity.common import salted_join, write_once
+from .snapshots import set_digest
 
 #: A side of so many rows or fewer is broadcast to the other; beyond it both sides are dealt in blocks.
 BROADCAST_ROWS = 20_000
@@ -101,7 +102,11 @@ def diverse(ranked: DataFrame, vectors: DataFrame, n: int, threshold: float) ->
 
 
 def cache_checks(cache: DataFrame, expected: DataFrame, width: int) -> DataFrame:
-    """Counts of what can be wrong with a table of feature vectors."""
+    """Counts of what can be wrong with a table of feature vectors (id, place, vector) against its manifest (id, place).
+
+    ``misaligned`` are ids that stand at another place than the manifest says, ``digest_differs`` is 1 if the sets of ids differ.
+    """
+    digest = lambda df, name: set_digest(df.select("id").distinct(), F.col("id").cast("string")).select(F.col("digest").alias(name))
     bad = F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     parts = [
         cache.agg(F.lit("duplicates").alias("check_name"), (F.count("*") - F.count_distinct("id")).alias("observed")),
@@ -109,6 +114,8 @@ def cache_checks(cache: DataFrame, expected: DataFrame, width: int) -> DataFrame
         cache.join(expected, "id", "left_anti").agg(F.lit("extra").alias("check_name"), F.count("*").alias("observed")),
         cache.agg(F.lit("wrong_width").alias("check_name"), F.count_if(F.size("vector") != width).alias("observed")),
         cache.agg(F.lit("not_finite").alias("check_name"), F.count_if(bad).alias("observed")),
+        cache.select("id", "place").join(expected.select("id", F.col("place").alias("due")), "id").where("place <> due").agg(F.lit("misaligned").alias("check_name"), F.count("*").alias("observed")),
+        digest(cache, "a").crossJoin(digest(expected, "b")).select(F.lit("digest_differs").alias("check_name"), F.when(F.col("a") == F.col("b"), 0).otherwise(1).cast("long").alias("observed")),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import checks
 from ..operators import metrics as m
+from ..similarity.common import write_once
 from ..sources.tables import SCORES, observations, scores
 from .evidence_plans import EVIDENCE, evidence_of, r6, r6_sql
 from .registry import query
@@ -311,19 +313,34 @@ def evl03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("g", "n", *r6("auroc", "ap"))
 
 
-CHECKS = """pr as (select item, grp, score, item % 7 <> 0 as present, case when item % 101 = 0 then 'nan'::double else score end as s from cohort)"""
+SAVED = """ck as (select item, grp, score, case when pos then 'active' else 'inactive' end as label, case when item % 53 <> 0 then case when item % 2 = 0 then 'new' else 'recurrent' end end as stratum from cohort),
+pr as (select run, item, grp, case when run = 1 and item % 89 = 0 then case when label = 'active' then 'inactive' else 'active' end when run = 2 and item % 83 = 0 then 'unsure' else label end as label, case when item % 101 = 0 then 'nan'::double else score end as s
+  from ck, range(0, 4) t(run), range(0, 2) c(k) where not (run = 2 and item % 7 = 0) and (k = 0 or (run = 1 and item % 97 = 0)) union all select 0, -1 - grp, grp, 'active', 0.5 from (select distinct grp from ck))"""
 
 
 @query(
     "EVL04",
-    f"""with {COHORT}, {CHECKS} select 'rows' as check_name, count(*) as observed from pr where present union all select 'missing', count(*) from pr where not present
-  union all select 'not_finite', count(*) from pr where present and isnan(s) union all select 'duplicates', count(*) from (select item, grp from pr group by all having count(*) > 1)""",
+    f"""with {COHORT}, {SAVED}, jn as (select pr.*, ck.label as due, ck.stratum, ck.item is not null as known from pr left join ck using (item, grp))
+  select 'rows' as check_name, count(*) as observed, (select count(*) from pr where run <> 3)::bigint as expected from pr union all select 'missing_run', 1, 0 union all select 'unexpected_run', count(distinct run), 0 from pr where run = 3 union all select 'digest_differs', count(distinct run), 0 from pr where run = 2
+  union all select 'repeated_pair', count(*) - count(distinct (run, item, grp)), 0 from pr union all select 'unknown_label', count(*), 0 from jn where label not in ('active', 'inactive') union all select 'not_finite', count(*), 0 from jn where isnan(s) union all select 'not_in_cohort', count(*), 0 from jn where not known
+  union all select 'label_differs', count(*), 0 from jn where known and label <> due union all select 'without_stratum', count(*), 0 from jn where known and stratum is null
+  union all select 'pair_not_scored', 4 * (select count(*) from ck) - count(distinct (run, item, grp)), 0 from jn where known""",
 )
 def evl04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.statistics import prediction_checks
-
-    whole = cohort(spark, sf_dir).select("item", "grp", F.when(F.col("item") % 101 == 0, float("nan")).otherwise(F.col("score")).alias("s"))
-    return prediction_checks(whole.where("item % 7 <> 0"), whole.select("item", "grp"))
+    """Four saved runs with faults of every kind, against a cohort and a manifest that lacks one, names another and has an old digest of a third."""
+    known = cohort(spark, sf_dir).select("item", "grp", "score", F.when(F.col("pos"), "active").otherwise("inactive").alias("label"), F.when(F.col("item") % 53 != 0, F.when(F.col("item") % 2 == 0, "new").otherwise("recurrent")).alias("stratum"))
+    run, item = F.col("run"), F.col("item")
+    other = F.when(F.col("label") == "active", "inactive").otherwise("active")
+    label = F.when((run == 1) & (item % 89 == 0), other).when((run == 2) & (item % 83 == 0), "unsure").otherwise(F.col("label"))
+    value = F.when(item % 101 == 0, float("nan")).otherwise(F.col("score"))
+    copies = F.sequence(F.lit(0), F.when((run == 1) & (item % 97 == 0), 1).otherwise(0))
+    each = known.withColumn("run", F.explode(F.array(*map(F.lit, range(4))))).where(~((run == 2) & (item % 7 == 0)))
+    saved = each.select("run", "item", "grp", label.alias("label"), value.alias("s"), F.explode(copies)).drop("col")
+    strange = known.select("grp").distinct().select(F.lit(0).alias("run"), (-1 - F.col("grp")).cast("long").alias("item"), "grp", F.lit("active").alias("label"), F.lit(0.5).alias("s"))
+    saved = write_once(saved.unionByName(strange), "predictions")
+    digests = checks.run_digests(saved).where("run <> 3").withColumn("digest", F.when(run == 2, F.lit("old")).otherwise(F.col("digest")))
+    manifest = digests.unionByName(spark.createDataFrame([(4, 0, "never made")], "run int, n long, digest string"))
+    return checks.verify_predictions(saved, known, manifest)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, splits
+from ..operators import checks, evidence, splits
 from ..operators.clustering import cluster_sequences
 from ..operators.snapshots import set_digest
 from ..sources.tables import OBS, observations, table
@@ -153,24 +153,105 @@ def spl08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.visible(observations(spark, sf_dir), random_split(spark, sf_dir), evidence_of(spark, sf_dir)).select("okey", "line", "item", "grp")
 
 
-@query("SPL09", "select unnest(['pairs_assigned_twice', 'pairs_unassigned', 'pairs_without_observations', 'unknown_parts', 'pairs_in_train_and_held_out', 'null_keys', 'clusters_across_parts']) as check_name, 0::bigint as observed, 0::bigint as expected")
+STRUCTURES = f"""st as (select p_partkey as item, coalesce(nullif(case when p_size % 5 = 0 then '' else p_brand end, ''), '__own__' || p_partkey) as cluster from part), su as (select *, {U.format(h="sha256(cluster || '|s9')")} as u from st),
+dj as (select p.item, p.grp, case when p.reason is not null then 'excluded' when u < 0.7 then 'train' when u < 0.8 then 'validation' else 'test' end as part from ev p join su on p.item = su.item)"""
+REVERSAL = """cand as (select item from ev where reason is null group by item having count(*) filter (where label = 'active') > 0 and count(*) filter (where label = 'inactive') > 0),
+rk2 as (select item, row_number() over (order by sha256(item || '|s4')) as r, count(*) over () as n from cand), sd as (select item, case when r <= floor(least(1000, n) / 2) then 'inactive' when r <= least(1000, n) then 'active' end as tested from rk2),
+lr as (select ev.item, ev.grp, case when reason is not null then 'excluded' when tested = label then 'test' else 'train' end as part from ev left join sd on ev.item = sd.item)"""
+PERIODS = """hs as (select item, grp, list_sort(list(distinct part)) as parts from dated group by all), tp as (select ev.item, ev.grp, ev.part as period, case when reason is not null and ev.part <> 'train' then 'excluded' else ev.part end as part,
+  case when list_contains(parts, 'train') and ev.part <> 'train' then 'recurrent' else 'new_pair' end as stratum from ev join hs on ev.item = hs.item and ev.grp = hs.grp)"""
+
+
+def _checks_sql(split: str, tables: str, **counts: str) -> str:
+    return f"(with {tables} " + " union all ".join(f"select '{split}' as split, '{name}' as check_name, ({sql})::bigint as observed, 0::bigint as expected" for name, sql in counts.items()) + ")"
+
+
+def _common_sql(t: str) -> dict[str, str]:
+    return {
+        "known_part": f"select count(*) from {t} where part not in ('train', 'validation', 'test', 'excluded')",
+        "pair_in_one_part": f"select count(*) from (select item, grp from {t} group by all having count(*) > 1)",
+        "excluded_pair_held_out": f"select count(*) from {t} join ev using (item, grp) where {t}.part in ('validation', 'test') and ev.reason is not null",
+    }
+
+
+def _cluster_sql(t: str, c: str, name: str) -> dict[str, str]:
+    scored = f"(select distinct x.item, x.part, y.cluster from {t} x left join {c} y on x.item = y.item where x.part in ('train', 'validation', 'test'))"
+    return {f"{name}_in_one_part": f"select count(*) from (select cluster from {scored} where cluster is not null group by cluster having count(distinct part) > 1)", f"{name}_of_every_entity": f"select count(distinct item) from {scored} where cluster is null"}
+
+
+SPLIT_CHECKS = " union all ".join([
+    _checks_sql("random", RANDOM, **_common_sql("rp")),
+    _checks_sql("cold_groups", EVIDENCE + ", " + COLD[len(OBS) + 2 :], **_common_sql("cold"), **_cluster_sql("cold", "cl", "cluster")),
+    _checks_sql("disjoint", f"{EVIDENCE}, {STRUCTURES}", **_common_sql("dj"), **_cluster_sql("dj", "st", "structure")),
+    _checks_sql("reversal", f"{EVIDENCE}, {REVERSAL}", **_common_sql("lr"), diagnostic_has_no_tuning="select count(*) from lr where part = 'validation'", reversed_entity_has_both_labels="select count(*) from (select lr.item from lr join ev using (item, grp) where lr.part in ('train', 'validation', 'test') group by lr.item having count(distinct lr.part) > 1 and count(distinct label) = 1)"),
+    _checks_sql(
+        "temporal", f"{TEMPORAL}, {PERIODS}", known_part=_common_sql("tp")["known_part"],
+        observation_in_one_part="select count(*) from (select okey, line from dated group by all having count(distinct part) > 1)", part_has_evidence="select 3 - count(distinct part) from ev where part in ('train', 'validation', 'test')",
+        label_support_of_own_part="select count(*) from r join dated d on r.okey = d.okey and r.line = d.line where role in ('exact', 'censored') and r.part <> d.part", value_support_of_own_part="select count(*) from r join dated d on r.okey = d.okey and r.line = d.line where role = 'exact' and r.part <> d.part",
+        pair_has_evidence_of_own_part="select count(*) from tp where part in ('train', 'validation', 'test') and (item, grp, part) not in (select (item, grp, part) from ev)", stratum_named="select count(*) from tp where stratum is null",
+        excluded_by_own_part_held_out="select count(*) from tp join ev using (item, grp, part) where tp.part in ('validation', 'test') and ev.reason is not null",
+        later_exclusion_keeps_training="select count(*) from ev where part = 'train' and reason is null and (item, grp) in (select (item, grp) from tp where part = 'excluded') and (item, grp) not in (select (item, grp) from tp where part = 'train')",
+    ),
+])
+
+
+def split_builds(spark: SparkSession, sf_dir: str) -> list[checks.SplitBuild]:
+    """Five splits of the observations, one of each kind, with what each was built from."""
+    obs, found = observations(spark, sf_dir), evidence_of(spark, sf_dir)
+    labels = found.select("item", "grp", "label", "reason")
+    structures = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.coalesce(F.nullif(F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")), F.lit("")), F.concat(F.lit("__own__"), F.col("p_partkey").cast("string"))).alias("cluster"))
+    disjoint = splits.cold_groups(labels, structures, "item", "s9").withColumn("part", F.when(F.col("reason").isNotNull(), "excluded").otherwise(F.col("part")))
+    dated = splits.temporal_parts(obs, VALIDATION, TEST)
+    by_part = evidence.pair_evidence(dated, keys=("item", "grp", "part"))
+    return [
+        checks.SplitBuild("random", random_split(spark, sf_dir), labels),
+        checks.SplitBuild("cold_groups", cold_split(spark, sf_dir), labels, clusters(spark, sf_dir)),
+        checks.SplitBuild("disjoint", disjoint, labels, structures),
+        checks.SplitBuild("reversal", splits.label_reversal(found, "s4"), labels, protocol="diagnostic"),
+        checks.SplitBuild("temporal", spl05(spark, sf_dir), by_part, placed=dated.select("okey", "line", "part"), support=evidence.with_roles(dated).select("item", "grp", "part", "okey", "line", "role")),
+    ]
+
+
+@query("SPL09", SPLIT_CHECKS)
 def spl09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.leakage_checks(cold_split(spark, sf_dir).select("item", "grp", "part"), observations(spark, sf_dir), clusters(spark, sf_dir))
+    """All rules for all five kinds of split. The cold split takes no notice of exclusions, and its count says so."""
+    out = None
+    for build in split_builds(spark, sf_dir):
+        found = checks.split_checks(build)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query("SPL10", f"with {RANDOM}, ix as (select item, grp from rp where part = 'train' or item % 50 = 0) select count(*) as n_not_training from ix where (item, grp) not in (select (item, grp) from rp where part = 'train')")
+@query(
+    "SPL10",
+    f"""with {RANDOM}, ix as (select item, grp from rp where part = 'train' or item % 50 = 0) select 'index' as guard, count(*) as observed from ix where (item, grp) not in (select (item, grp) from rp where part = 'train')
+  union all select 'fitting', count(*) from obs where (item, grp) in (select (item, grp) from rp where part = 'train') union all select 'selection', count(*) from obs where (item, grp) in (select (item, grp) from rp where part = 'validation')
+  union all select 'reserved', count(*) from (select distinct item, grp from ix where (item, grp) in (select (item, grp) from rp where part = 'test'))""",
+)
 def spl10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = random_split(spark, sf_dir)
+    """What each guard sees: index rows that training may not see, rows given for fitting and for selection, reserved pairs among those for fitting."""
+    assigned, obs = random_split(spark, sf_dir), observations(spark, sf_dir)
+    train, reserved = (assigned.where(F.col("part") == p).select("item", "grp") for p in ("train", "test"))
     index = assigned.where("part = 'train' or item % 50 = 0").select("item", "grp")
-    return index.join(assigned.where("part = 'train'").select("item", "grp"), ["item", "grp"], "left_anti").agg(F.count("*").alias("n_not_training"))
+    named = lambda name, df: df.select(F.lit(name).alias("guard"), "observed")
+    counted = lambda name, df: df.agg(F.lit(name).alias("guard"), F.count("*").alias("observed"))
+    given = [counted(name, checks.select_for_fitting(obs, assigned, purpose)) for name, purpose in (("fitting", "fit"), ("selection", "select"))]
+    hit = counted("reserved", index.distinct().join(reserved, ["item", "grp"], "left_semi"))
+    return named("index", checks.not_visible(index, train, ["item", "grp"])).unionByName(given[0]).unionByName(given[1]).unionByName(hit)
 
 
-@query("SPL11", f"with {RANDOM} select p.part, count(distinct p.item) as n_items, count(distinct p.item) filter (where p.item in (select item from rp where part = 'train')) as n_exposed from rp p where p.part in ('validation', 'test') group by p.part")
+@query(
+    "SPL11",
+    f"""with {RANDOM}, su as (select item, grp from r where role = 'exact' and ((item, grp) in (select (item, grp) from rp where part = 'train') or item % 50 = 0)), lk as (select part, count(*) as n from rp join su using (item, grp) where part in ('validation', 'test') group by part)
+  select p.part, count(distinct p.item) as n_items, count(distinct p.item) filter (where p.item in (select item from rp where part = 'train')) as n_exposed, coalesce(any_value(lk.n), 0) as n_support_leaks from rp p left join lk on lk.part = p.part where p.part in ('validation', 'test') group by p.part""",
+)
 def spl11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out entities that training shows, and feature support from held-out pairs: some was put in, and is found."""
     assigned = random_split(spark, sf_dir)
-    seen = assigned.where("part = 'train'").select("item").distinct().withColumn("seen", F.lit(1))
-    held = assigned.where("part in ('validation', 'test')").select("part", "item").distinct().join(seen, "item", "left")
-    return held.groupBy("part").agg(F.count("*").alias("n_items"), F.count("seen").alias("n_exposed"))
+    exact = evidence.with_roles(observations(spark, sf_dir)).where("role = 'exact'").select("item", "grp")
+    train = assigned.where("part = 'train'").select("item", "grp").withColumn("__t", F.lit(True))
+    support = exact.join(train, ["item", "grp"], "left").where("__t or item % 50 = 0").select("item", "grp")
+    return checks.exposure(assigned, support)
 
 
 @query(
@@ -185,21 +266,39 @@ def spl12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SPL13",
-    """with c as (select vec_id as id, embedding from embeddings), e as (select p_partkey as id from part)
+    f"""with c as (select vec_id as id, embedding, case when vec_id % 97 = 0 then vec_id + 1 else vec_id end as place from embeddings), e as (select p_partkey as id, p_partkey as place from part)
   select 'duplicates' as check_name, count(*) - count(distinct id) as observed from c union all select 'missing', count(*) from e where id not in (select id from c) union all select 'extra', count(*) from c where id not in (select id from e)
-  union all select 'wrong_width', count(*) from c where len(embedding) <> 64 union all select 'not_finite', count(*) from c where len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0""",
+  union all select 'wrong_width', count(*) from c where len(embedding) <> 64 union all select 'not_finite', count(*) from c where len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0
+  union all select 'misaligned', count(*) from c join e using (id) where c.place <> e.place union all select 'digest_differs', ((select digest from ({digest_sql("id::varchar", "(select distinct id from c)", nested=True)})) is distinct from (select digest from ({digest_sql("id::varchar", "(select distinct id from e)", nested=True)})))::bigint""",
 )
 def spl13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of vectors against a manifest of ids and their places, some of them moved."""
     from ..operators.vectors import cache_checks
 
-    cache = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return cache_checks(cache, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), 64)
+    place = F.when(F.col("vec_id") % 97 == 0, F.col("vec_id") + 1).otherwise(F.col("vec_id"))
+    cache = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), place.alias("place"))
+    return cache_checks(cache, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place")), 64)
+
+
+FROM_N = "src = 'N'"
+
+
+def _manifest_sql(name: str, where: str) -> str:
+    return f"""select '{name}' as population, digest, n, (select count(*) from (select distinct item from obs where {where}) where item in (select p_partkey from part where p_size > 2)) as n_with_features from ({digest_sql('item::varchar', f'(select distinct item from obs where {where})', nested=True)})"""
 
 
-@query("SPL14", f"with {OBS}, m as (select distinct item from obs where src = 'N'), hd as ({digest_sql('item::varchar', 'm', nested=True)}) select 'release:N' as population, digest, n from hd")
+@query("SPL14", f"with {OBS}, m as ({_manifest_sql('release:N', FROM_N)} union all {_manifest_sql('all_rows', 'true')}) select *, n = n_with_features as complete from m")
 def spl14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = observations(spark, sf_dir).where("src = 'N'").select("item").distinct()
-    return set_digest(members, F.col("item").cast("string")).withColumn("population", F.lit("release:N"))
+    """Manifests of a release and of all rows: members, their digest, and whether each has features."""
+    obs = observations(spark, sf_dir)
+    features = table(spark, sf_dir, "part").where("p_size > 2").select(F.col("p_partkey").alias("item"))
+    out = None
+    for name, rows in (("release:N", obs.where("src = 'N'")), ("all_rows", obs)):
+        members = rows.select("item").distinct()
+        covered = members.join(features, "item", "left_semi").agg(F.count("*").alias("n_with_features"))
+        one = set_digest(members, F.col("item").cast("string")).crossJoin(covered).select(F.lit(name).alias("population"), "digest", "n", "n_with_features", (F.col("n") == F.col("n_with_features")).alias("complete"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SPL16")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.entities import decode_entities
-from ..operators import alignment, evidence, hooks
+from ..operators import alignment, checks, evidence, hooks
 from ..operators import metrics as m
 from ..operators import statistics as st
+from ..sources.releases import scratch, write_version
 from ..sources.tables import OBS, observations, table
 from .evidence_plans import r6, r6_sql
 from .metric_plans import AP, AUROC, COHORT, GRP, SEEDS, blocks_sql, by, cohort, seeded_runs
@@ -259,12 +260,25 @@ def agg53(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort(spark, sf_dir).withColumn("stage", stage).groupBy("pos").pivot("stage", ["scored", "prepare", "dock"]).agg(F.count(F.lit(1)))
 
 
-@query("EVL11", f"with {COHORT}, k as (select item, case when item % 5 = 0 then 'evaluation' else 'train' end as role from cohort), f as (select p_partkey as item from part) select role, count(distinct item) as n_items, count(distinct item) filter (where item not in (select item from f)) as n_missing, true as complete from k group by role")
+@query(
+    "EVL11",
+    f"""with {COHORT}, k as (select item, grp, y, case when item % 5 = 0 then 'evaluation' else 'train' end as role from cohort), ds as (select role, 'label' as kind, item, grp from k union all select role, 'value', item, grp from k where y is not null),
+  hs as (select role, kind, sha256(item || '|' || grp) as h from ds), em as (select role, kind, count(*) as n, sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::hugeint) || ':' || sum(('0x' || substr(h, 16, 15))::hugeint)) as digest from hs group by role, kind)
+  select role, kind, n, digest, case when role = 'train' and kind = 'value' then 'digest_differs' when role = 'evaluation' and kind = 'label' then 'count_differs' else 'as_pinned' end as verdict from em
+  union all select 'calibration', 'label', 0, null, 'not_covered' union all select 'train', 'rank', 0, null, 'not_emitted'""",
+)
 def evl11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = cohort(spark, sf_dir).select("item", F.when(F.col("item") % 5 == 0, "evaluation").otherwise("train").alias("role")).distinct()
-    have = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.lit(True).alias("hit"))
-    found = roles.join(have, "item", "left").groupBy("role").agg(F.count("*").alias("n_items"), F.count_if(F.col("hit").isNull()).alias("n_missing"))
-    return found.withColumn("complete", F.col("n_missing") == 0)
+    """Datasets of two roles and two kinds, emitted anew and compared with a pinned table that was stored before: one changed, one grown, one never made."""
+    rows = cohort(spark, sf_dir).select("item", "grp", "y", F.when(F.col("item") % 5 == 0, "evaluation").otherwise("train").alias("role"))
+    cells = rows.select("role", "item", "grp", F.explode(F.array_compact(F.array(F.lit("label"), F.when(F.col("y").isNotNull(), "value")))).alias("kind"))
+    emitted = checks.group_digests(cells, ["role", "kind"], F.concat_ws("|", "item", "grp"))
+    changed = (F.col("role") == "train") & (F.col("kind") == "value")
+    grown = (F.col("role") == "evaluation") & (F.col("kind") == "label")
+    pinned = emitted.select("role", "kind", F.when(grown, F.col("n") + 1).otherwise(F.col("n")).alias("n"), F.when(changed, "old").otherwise(F.col("digest")).alias("digest"))
+    path = scratch(spark, "pinned")
+    write_version(pinned.unionByName(spark.createDataFrame([("train", "rank", 7, "gone")], "role string, kind string, n long, digest string")), path)
+    required = [(r, k) for r in ("train", "evaluation") for k in ("label", "value")] + [("calibration", "label")]
+    return checks.against_pinned(emitted, spark.read.parquet(path), required)
 
 
 # hooks

@@ -6,12 +6,14 @@ exchange on the pair serves them all.
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+from ..similarity.common import write_once
 from .evidence import pair_evidence
 
 PAIR = ["item", "grp"]
@@ -137,41 +139,75 @@ def pair_up(rows: DataFrame) -> DataFrame:
     used up to its count. Returns, a group with removals and additions: its shape and totals, the bound of what could be
     paired, what was, and on how many paired occurrences either identifier stands on both sides and agrees.
 
-    Records are counted before a group meets in a task, which then takes steps in number of records.
+    Records are counted first and laid end to end, so a record is a stretch of its side's line. Where no slot stands on both sides, what
+    pairs is where stretches overlap, which a join finds; only groups in which a slot meets itself are gone through in order.
     """
     open_rows = rows.where(F.col("surplus") & ~linked() & F.col("kind").isin("removal", "addition"))
     slot = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pub", "ph", "temp", "src")])
-    records = open_rows.groupBy(*PAIR, *VALUE, slot.alias("slot"), F.coalesce("doi", F.lit(-1)).alias("doi"), F.coalesce("rsid", F.lit("")).alias("rsid"), "kind").agg(F.count("*").alias("n"))
-    groups = records.groupBy(*PAIR, *VALUE).agg(F.count_if(F.col("kind") == "removal").alias("r"), F.count_if(F.col("kind") == "addition").alias("a"))
-    ambiguous = groups.where("r > 0 and a > 0 and r + a > 2").select(*PAIR, *VALUE)
-    keys = [*PAIR, *VALUE]
-    slim = records.join(ambiguous, keys)
-
-    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["slot", "doi", "rsid"])
-        sides = [deque(zip(part["slot"], zip(part["doi"], part["rsid"]), part["n"])) for part in (ordered[ordered["kind"] == k] for k in ("removal", "addition"))]
-        shape, totals = "x".join(str(len(s)) for s in sides), [sum(n for *_, n in s) for s in sides]
-        pairs = []
-        while all(sides):
-            heads = [s.popleft() for s in sides]
-            (slot, before, n), (other, after, m) = heads
-            if slot != other:
-                pairs.append((before, after, min(n, m)))
-                rests = [n - min(n, m), m - min(n, m)]
-            else:  # the side with fewer left gives up its record
-                rests = [0, m] if n <= m else [n, 0]
-            for side, (at, ids, _), rest in zip(sides, heads, rests):
-                if rest:
-                    side.appendleft((at, ids, rest))
-        agreed = []
-        for k, missing in ((0, -1), (1, "")):
-            known = [(b[k] == a[k], t) for b, a, t in pairs if missing not in (b[k], a[k])]
-            agreed += [sum(t for _, t in known), sum(t for same, t in known if same)]
-        differ = len(ordered[["doi", "rsid"]].drop_duplicates()) > 1
-        return pd.DataFrame([(*key, shape, *totals, min(totals), differ, sum(t for *_, t in pairs), *agreed)])
-
-    schema = "item long, grp int, mtype string, rel string, v double, shape string, n_gone long, n_new long, most long, identifiers_differ boolean, paired long, doi_both long, doi_same long, rsid_both long, rsid_same long"
-    return slim.groupBy(*keys).applyInPandas(work, schema)
+    keys, ids = [*PAIR, *VALUE], ["slot", "doi", "rsid"]
+    records = write_once(open_rows.groupBy(*keys, slot.alias("slot"), F.coalesce("doi", F.lit(-1)).alias("doi"), F.coalesce("rsid", F.lit("")).alias("rsid"), "kind").agg(F.count("*").alias("n")), "records")
+    gone, new = F.col("kind") == "removal", F.col("kind") == "addition"
+    groups = records.groupBy(*keys).agg(
+        F.count_if(gone).alias("r"), F.count_if(new).alias("a"), F.sum(F.when(gone, F.col("n"))).alias("n_gone"), F.sum(F.when(new, F.col("n"))).alias("n_new"),
+        F.min(F.struct("doi", "rsid")).alias("least"), F.max(F.struct("doi", "rsid")).alias("most_id"),
+    ).where("r > 0 and a > 0 and r + a > 2")
+    groups = groups.select(*keys, F.concat_ws("x", "r", "a").alias("shape"), "n_gone", "n_new", F.least("n_gone", "n_new").alias("most"), (F.col("least") != F.col("most_id")).alias("identifiers_differ"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "kind").orderBy(*ids).rowsBetween(Window.unboundedPreceding, 0))
+    placed = write_once(records.join(groups.select(*keys), keys).withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n")), "records-placed")
+    sides = {c: placed.where(F.col("kind") == kind).select(*keys, *[F.col(x).alias(f"{c}_{x}") for x in (*ids, "lo", "hi")]) for c, kind in (("r", "removal"), ("a", "addition"))}
+    meeting = write_once(placed.groupBy(*keys, "slot").agg(F.count_distinct("kind").alias("k")).where("k = 2").select(*keys).distinct(), "records-meeting")
+
+    # occurrences in one line each: where no slot stands on both sides, a removal and an addition pair where their stretches overlap
+    apart = sides["r"].join(meeting, keys, "left_anti").join(sides["a"], keys).withColumn("t", F.least("r_hi", "a_hi") - F.greatest("r_lo", "a_lo")).where("t > 0")
+    stretch = lambda c: F.array_sort(F.collect_list(F.struct(f"{c}_hi", f"{c}_slot")))
+    lines = sides["r"].join(meeting, keys).groupBy(*keys).agg(stretch("r").alias("r")).join(sides["a"].groupBy(*keys).agg(stretch("a").alias("a")), keys)
+    ship_package(rows.sparkSession)
+    overlaps = F.pandas_udf(_overlaps, "array<struct<r:long,a:long,t:long>>")
+    met = lines.select(*keys, F.explode(overlaps(F.col("r.r_hi"), F.col("r.r_slot"), F.col("a.a_hi"), F.col("a.a_slot"))).alias("o")).select(*keys, F.col("o.r").alias("r_hi"), F.col("o.a").alias("a_hi"), F.col("o.t").alias("t"))
+    tied = met.join(sides["r"], [*keys, "r_hi"]).join(sides["a"], [*keys, "a_hi"])
+    pairs = apart.select(*keys, "t", *[f"{c}_{x}" for c in "ra" for x in ids]).unionByName(tied.select(*keys, "t", *[f"{c}_{x}" for c in "ra" for x in ids]))
+
+    def agreed(name: str, missing) -> list[Column]:
+        both = (F.col(f"r_{name}") != F.lit(missing)) & (F.col(f"a_{name}") != F.lit(missing))
+        total = lambda c: F.coalesce(F.sum(F.when(c, F.col("t"))), F.lit(0)).cast("long")
+        return [total(both).alias(f"{name}_both"), total(both & (F.col(f"r_{name}") == F.col(f"a_{name}"))).alias(f"{name}_same")]
+
+    counted = pairs.groupBy(*keys).agg(F.sum("t").alias("paired"), *agreed("doi", -1), *agreed("rsid", ""))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("paired", "doi_both", "doi_same", "rsid_both", "rsid_same")]
+    named = groups.alias("g").join(counted.alias("c"), _same("g", "c", keys), "left")
+    return named.select("g.*", *["c.paired", "c.doi_both", "c.doi_same", "c.rsid_both", "c.rsid_same"]).select(*keys, "shape", "n_gone", "n_new", "most", "identifiers_differ", *zero)
+
+
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def _overlaps(r_ends: pd.Series, r_slots: pd.Series, a_ends: pd.Series, a_slots: pd.Series) -> pd.Series:
+    """Overlaps of the two lines of a group in which some slot stands on both, each named by the ends of its stretches.
+
+    A place on either line moves on. Where both stretches lie in one slot they must not pair, and the line with less of its stretch
+    ahead leaves it out; the lines are shifted against each other from there.
+    """
+    out = []
+    for r, rs, a, as_ in zip(r_ends, r_slots, a_ends, a_slots):
+        x = y = 0
+        found = []
+        while x < r[-1] and y < a[-1]:
+            i, j = bisect_right(r, x), bisect_right(a, y)
+            ahead, beyond = int(r[i]) - x, int(a[j]) - y
+            step = min(ahead, beyond)
+            if rs[i] != as_[j]:
+                found.append((int(r[i]), int(a[j]), step))
+                x, y = x + step, y + step
+            elif step == ahead:
+                x += ahead
+            else:
+                y += beyond
+        out.append(found)
+    return pd.Series(out)
 
 
 def set_digest(df: DataFrame, row: Column) -> DataFrame:

@@ -175,3 +175,30 @@ def class_balance(df: DataFrame, group: str, floors: tuple[int, ...]) -> DataFra
     counts = df.groupBy(group).agg(F.count_if("pos").alias("a"), F.count_if(~F.col("pos")).alias("b"))
     ladder = counts.withColumn("k", F.explode(F.array(*map(F.lit, floors))))
     return ladder.groupBy("k").agg(F.count_if((F.col("a") >= F.col("k")) & (F.col("b") >= F.col("k"))).alias("n_groups"))
+
+
+def cohort_cells(tagged: DataFrame, cell: list[str]) -> DataFrame:
+    """A row a cell of (item, grp, label, status, covered): labels and their balance, entities, groups, groups of one class, coverage and screening.
+
+    Groups are counted first, so a cell sees one row a group; entities are counted apart.
+    """
+    screened = F.col("status").isin("exact_bound_conflict", "empty_intersection")
+    by_group = tagged.groupBy(*cell, "grp").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "active").alias("a"), F.count_if(F.col("label") == "inactive").alias("b"), F.count("covered").alias("c"), F.count_if(screened).alias("s"))
+    n, a, b = F.sum("n"), F.sum("a"), F.sum("b")
+    found = by_group.groupBy(*cell).agg(
+        n.alias("n"), a.alias("n_active"), b.alias("n_inactive"), F.least(a, b).alias("minority"), F.count("*").alias("n_groups"), F.count_if((F.col("a") == 0) != (F.col("b") == 0)).alias("n_single_class"),
+        F.round(F.sum("c") / n, 6).alias("coverage"), F.sum("s").alias("n_screened"), F.round(F.sum("s") / n, 6).alias("screened_share"),
+    )
+    return found.join(tagged.groupBy(*cell).agg(F.count_distinct("item").alias("n_items")), cell)
+
+
+def seed_differences(runs: DataFrame, first: int) -> DataFrame:
+    """Each seed's predictions (seed, item, grp, score) against the first seed's: whether they are the same bits, greatest and mean difference, rows
+    that differ; with the greatest standard deviation of a row over all seeds, and the groups in which a seed's scores are all one.
+    """
+    start = runs.where(F.col("seed") == first).select("item", "grp", F.col("score").alias("__first"))
+    d = runs.where(F.col("seed") != first).join(start, ["item", "grp"]).withColumn("delta", F.abs(F.col("score") - F.col("__first")))
+    found = d.groupBy("seed").agg((F.max("delta") == 0).alias("identical"), F.max("delta").alias("most"), F.avg("delta").alias("mean"), F.count_if(F.col("delta") != 0).alias("rows_differing"))
+    spread = runs.groupBy("item", "grp").agg(F.stddev_pop("score").alias("sd")).agg(F.max("sd").alias("row_sd_most"))
+    flat = runs.groupBy("seed", "grp").agg((F.min("score") == F.max("score")).alias("flat")).groupBy("seed").agg(F.count_if("flat").alias("n_constant_groups"))
+    return found.join(flat, "seed").crossJoin(spread)

@@ -120,6 +120,7 @@ def moved(rows: DataFrame) -> DataFrame:
     found = open_rows.groupBy(*PAIR, *VALUE).agg(
         F.count_if(gone).alias("n_gone"), F.count_if(new).alias("n_new"),
         F.max(F.when(gone, F.col("pub"))).alias("pub_before"), F.max(F.when(new, F.col("pub"))).alias("pub_after"),
+        F.max(F.when(gone, F.col("doi"))).alias("doi_before"), F.max(F.when(new, F.col("doi"))).alias("doi_after"),
         F.sort_array(F.collect_list(F.when(new, F.col("rsid")))).alias("locators"),
     )
     return found.where("n_gone > 0 and n_new > 0").withColumn("matched", F.least("n_gone", "n_new")).withColumn("unambiguous", (F.col("n_gone") == 1) & (F.col("n_new") == 1))

@@ -159,3 +159,17 @@ def mann_whitney(df: DataFrame, group: str) -> DataFrame:
     variance = F.col("n1") * F.col("n2") / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
     z = (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(variance)
     return found.where("n1 > 0 and n2 > 0").withColumn("z", z).withColumn("p_value", F.when(variance > 0, normal_tail(z)).otherwise(1.0))
+
+
+def balanced_sample(pool: DataFrame, label: str, n: int, seed: str, *keys: str) -> DataFrame:
+    """The first ``n`` rows of each class in hash order, or an error if a class of the pool has fewer: a cohort is not filled up from elsewhere."""
+    sizes = {r[label]: r["n"] for r in pool.groupBy(label).agg(F.count("*").alias("n")).limit(1000).collect()}
+    short = {k: v for k, v in sizes.items() if v < n}
+    if short or len(sizes) < 2:
+        raise ValueError(f"{n} rows a class were asked for; the pool has {sizes}")
+    h = F.sha2(F.concat_ws("|", *keys, F.lit(seed)), 256)
+    picked = [pool.where(F.col(label) == k).orderBy(h, *keys).limit(n) for k in sizes]
+    out = picked[0]
+    for one in picked[1:]:
+        out = out.unionByName(one)
+    return out

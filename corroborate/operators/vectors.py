@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from ..similarity.common import salted_join, write_once
+from .ranks import quantiles
 from .snapshots import set_digest
 
 #: A side of so many rows or fewer is broadcast to the other; beyond it both sides are dealt in blocks.
@@ -66,6 +67,15 @@ def histogram(scores: DataFrame, bins: int) -> DataFrame:
     return scores.join(edges, "query_id").groupBy("query_id", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def distribution(scores: DataFrame, bins: int) -> DataFrame:
+    """The histogram of each query with the edges of its bins, and the quartiles, mean and population SD of all its scores."""
+    edges = scores.groupBy("query_id").agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
+    middle = quantiles(scores.select("query_id", "score"), ["query_id"], "score", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    found = histogram(scores, bins).join(edges, "query_id").join(middle, "query_id")
+    return found.select("query_id", "bin", "n", (F.col("__lo") + F.col("bin") * width).alias("low"), (F.col("__lo") + (F.col("bin") + 1) * width).alias("high"), "q1", "median", "q3", "mean", "sd")
+
+
 def property_filter(rows: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """Keeps rows whose properties lie within their limits; names the first that does not, apart from those unknown."""
     reasons = []

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import checks
 from ..operators import metrics as m
 from ..similarity.common import write_once
-from ..sources.tables import SCORES, observations, scores
+from ..sources.releases import scratch, write_version
+from ..sources.tables import SCORES, observations, scores, table
 from .evidence_plans import EVIDENCE, evidence_of, r6, r6_sql
 from .registry import query
 
@@ -203,14 +204,16 @@ def agg26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "AGG27",
-    f"""with {EVIDENCE}, cc as (select *, case when evidence = 'exact' then 'exact' else 'bounded' end as branch, case when grp % 2 = 0 then 'declared' else 'excluded' end as arm from ev)
-  select arm, branch, count(*) as n, count(*) filter (where label = 'active') as n_active, count(*) filter (where label = 'inactive') as n_inactive, least(count(*) filter (where label = 'active'), count(*) filter (where label = 'inactive')) as minority,
-  count(distinct item) as n_items, count(distinct grp) as n_groups from cc group by all""",
+    f"""with {EVIDENCE}, cc as (select ev.*, f.p_partkey is not null as covered, status in ('exact_bound_conflict', 'empty_intersection') as screened, case when evidence = 'exact' then 'exact' else 'bounded' end as branch, case when grp % 2 = 0 then 'declared' else 'excluded' end as arm from ev left join (select p_partkey from part where p_size > 2) f on f.p_partkey = ev.item),
+  cg as (select arm, branch, grp, count(*) as n, count(*) filter (where label = 'active') as a, count(*) filter (where label = 'inactive') as b, count(*) filter (where covered) as c, count(*) filter (where screened) as s from cc group by all),
+  ci as (select arm, branch, count(distinct item) as n_items from cc group by all)
+  select arm, branch, sum(n)::bigint as n, sum(a)::bigint as n_active, sum(b)::bigint as n_inactive, least(sum(a), sum(b))::bigint as minority, any_value(n_items) as n_items, count(*) as n_groups, count(*) filter (where (a = 0) <> (b = 0)) as n_single_class, round(sum(c) / sum(n), 6) as coverage, sum(s)::bigint as n_screened, round(sum(s) / sum(n), 6) as screened_share from cg join ci using (arm, branch) group by all""",
 )
 def agg27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = evidence_of(spark, sf_dir).withColumn("branch", F.when(F.col("evidence") == "exact", "exact").otherwise("bounded")).withColumn("arm", F.when(F.col("grp") % 2 == 0, "declared").otherwise("excluded"))
-    a, b = F.count_if(F.col("label") == "active"), F.count_if(F.col("label") == "inactive")
-    return tagged.groupBy("arm", "branch").agg(F.count("*").alias("n"), a.alias("n_active"), b.alias("n_inactive"), F.least(a, b).alias("minority"), F.count_distinct("item").alias("n_items"), F.count_distinct("grp").alias("n_groups"))
+    """Cells of a cohort: labels and their balance, entities, groups of one class only, pairs with features, and what screening takes."""
+    features = table(spark, sf_dir, "part").where("p_size > 2").select(F.col("p_partkey").alias("item"), F.lit(True).alias("covered"))
+    tagged = evidence_of(spark, sf_dir).join(features, "item", "left").withColumn("branch", F.when(F.col("evidence") == "exact", "exact").otherwise("bounded")).withColumn("arm", F.when(F.col("grp") % 2 == 0, "declared").otherwise("excluded"))
+    return m.cohort_cells(tagged, ["arm", "branch"])
 
 
 SEEDS = COHORT + ", runs as (select grp, item, pos, s as seed, ((item * (7919 + s) + grp * 104729) % 50) / 50.0 as score, 'm' || (s % 2) as model from cohort, (select unnest(range(0, 6)) as s))"
@@ -243,40 +246,51 @@ def agg42(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "AGG43",
-    f"""with {SEEDS}, d as (select r.seed, r.item, r.grp, abs(r.score - f.score) as delta from runs r join runs f on r.item = f.item and r.grp = f.grp and f.seed = 0 where r.seed > 0)
-  select seed, max(delta) = 0 as identical, round(max(delta), 6) as most, round(avg(delta), 6) as mean, count(*) filter (where delta <> 0) as rows_differing from d group by seed""",
+    f"""with {SEEDS}, d as (select r.seed, r.item, r.grp, abs(r.score - f.score) as delta from runs r join runs f on r.item = f.item and r.grp = f.grp and f.seed = 0 where r.seed > 0),
+  sd as (select max(s) as most from (select stddev_pop(score) as s from runs group by item, grp)), cg as (select seed, count(*) filter (where same) as n from (select seed, grp, min(score) = max(score) as same from runs group by seed, grp) group by seed)
+  select d.seed, max(delta) = 0 as identical, round(max(delta), 6) as most, round(avg(delta), 6) as mean, count(*) filter (where delta <> 0) as rows_differing, round(any_value(sd.most), 6) as row_sd_most, any_value(cg.n) as n_constant_groups from d join cg on cg.seed = d.seed, sd group by d.seed""",
 )
 def agg43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = seeded_runs(spark, sf_dir)
-    first = runs.where("seed = 0").select("item", "grp", F.col("score").alias("first"))
-    d = runs.where("seed > 0").join(first, ["item", "grp"]).withColumn("delta", F.abs(F.col("score") - F.col("first")))
-    return d.groupBy("seed").agg((F.max("delta") == 0).alias("identical"), F.round(F.max("delta"), 6).alias("most"), F.round(F.avg("delta"), 6).alias("mean"), F.count_if(F.col("delta") != 0).alias("rows_differing"))
+    """Each seed against the first, with the widest spread of a row over all seeds and the groups in which a seed says one thing."""
+    return m.seed_differences(seeded_runs(spark, sf_dir), 0).select("seed", "identical", *r6("most", "mean"), "rows_differing", *r6("row_sd_most"), "n_constant_groups")
 
 
 @query(
     "AGG49",
-    f"""with {SEEDS}, tagged as (select *, seed || case when item % 3 = 0 then '-in' else '-out' end as tag from runs), {blocks_sql("tag", "tagged")}, sa as (select g, {AUROC} as auroc from bl group by g)
+    f"""with {SEEDS}, tagged as (select *, seed || case when item % 3 = 0 then '-in' else '-out' end as tag from runs), {blocks_sql("tag", "tagged")}, sa as (select g, {AUROC} as auroc from bl group by g),
+  sg as (select count(*) filter (where inside) as n_in, count(*) filter (where not inside) as n_out from (select grp, item % 3 = 0 as inside from cohort group by all having bool_or(pos) and not bool_and(pos)))
   select 'm' || (split_part(g, '-', 1)::int % 2) as model, round(avg(auroc) filter (where g like '%-in'), 6) as inside, round(avg(auroc) filter (where g like '%-out'), 6) as outside,
-  round(avg(auroc) filter (where g like '%-in') - avg(auroc) filter (where g like '%-out'), 6) as difference from sa group by all""",
+  round(avg(auroc) filter (where g like '%-in') - avg(auroc) filter (where g like '%-out'), 6) as difference, any_value(n_in) as groups_inside, any_value(n_out) as groups_outside from sa, sg group by all""",
 )
 def agg49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stratum against the rest, averaged over seeds, with the groups on either side that have both classes and so a score."""
     runs = seeded_runs(spark, sf_dir).withColumn("tag", F.concat("seed", F.when(F.col("item") % 3 == 0, "-in").otherwise("-out")))
     found = m.blocks(runs, "tag").groupBy("tag").agg(m.auroc().alias("auroc")).withColumn("model", F.concat(F.lit("m"), (F.split_part("tag", F.lit("-"), F.lit(1)).cast("int") % 2).cast("string")))
     inside, outside = F.avg(F.when(F.col("tag").endswith("-in"), F.col("auroc"))), F.avg(F.when(F.col("tag").endswith("-out"), F.col("auroc")))
-    return found.groupBy("model").agg(F.round(inside, 6).alias("inside"), F.round(outside, 6).alias("outside"), F.round(inside - outside, 6).alias("difference"))
+    contrast = found.groupBy("model").agg(F.round(inside, 6).alias("inside"), F.round(outside, 6).alias("outside"), F.round(inside - outside, 6).alias("difference"))
+    sides = cohort(spark, sf_dir).groupBy("grp", (F.col("item") % 3 == 0).alias("in")).agg(F.bool_or("pos").alias("some"), F.bool_and("pos").alias("all")).where("some and not all")
+    return contrast.crossJoin(sides.agg(F.count_if("in").alias("groups_inside"), F.count_if(~F.col("in")).alias("groups_outside")))
 
 
 @query(
     "AGG51",
     f"""with {SEEDS}, tagged as (select *, seed || '-' || grp as tag from runs), {blocks_sql("tag", "tagged")}, sa as (select split_part(g, '-', 2)::int as grp, split_part(g, '-', 1)::int % 2 as model, {AUROC} as auroc from bl group by g),
-  w as (select grp, avg(auroc) filter (where model = 0) as a, avg(auroc) filter (where model = 1) as b from sa group by grp) select grp, round(a, 6) as mean_a, round(b, 6) as mean_b, case when round(a, 6) > round(b, 6) then 'a' when round(b, 6) > round(a, 6) then 'b' else 'tie' end as winner from w""",
+  w as (select grp, avg(auroc) filter (where model = 0) as a, avg(auroc) filter (where model = 1) as b from sa group by grp), v as (select grp, round(a, 6) as mean_a, round(b, 6) as mean_b, case when round(a, 6) > round(b, 6) then 'a' when round(b, 6) > round(a, 6) then 'b' else 'tie' end as winner from w),
+  rt as (select median(n) filter (where model = 'm0') as work_a, median(n) filter (where model = 'm1') as work_b from (select model, seed, count(*) filter (where pos) as n from runs where (item + seed) % 3 > 0 group by all))
+  select *, count(*) filter (where winner = 'a') over () as wins_a, count(*) filter (where winner = 'b') over () as wins_b, count(*) filter (where winner = 'tie') over () as ties from v, rt""",
 )
 def agg51(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = seeded_runs(spark, sf_dir).withColumn("tag", F.concat_ws("-", "seed", "grp"))
-    found = m.blocks(runs, "tag").groupBy("tag").agg(m.auroc().alias("auroc"))
+    """Two models by group on means over seeds, with all wins counted, and the median work of a model's runs (the tables hold no times: rows of one class stand for them)."""
+    runs = seeded_runs(spark, sf_dir)
+    tagged = runs.withColumn("tag", F.concat_ws("-", "seed", "grp"))
+    found = m.blocks(tagged, "tag").groupBy("tag").agg(m.auroc().alias("auroc"))
     found = found.select(F.split_part("tag", F.lit("-"), F.lit(2)).cast("int").alias("grp"), (F.split_part("tag", F.lit("-"), F.lit(1)).cast("int") % 2).alias("model"), "auroc")
     w = found.groupBy("grp").agg(F.round(F.avg(F.when(F.col("model") == 0, F.col("auroc"))), 6).alias("mean_a"), F.round(F.avg(F.when(F.col("model") == 1, F.col("auroc"))), 6).alias("mean_b"))
-    return w.withColumn("winner", F.when(F.col("mean_a") > F.col("mean_b"), "a").when(F.col("mean_b") > F.col("mean_a"), "b").otherwise("tie"))
+    won = w.withColumn("winner", F.when(F.col("mean_a") > F.col("mean_b"), "a").when(F.col("mean_b") > F.col("mean_a"), "b").otherwise("tie"))
+    totals = won.agg(*[F.count_if(F.col("winner") == k).alias(name) for k, name in (("a", "wins_a"), ("b", "wins_b"), ("tie", "ties"))])
+    sizes = runs.where("(item + seed) % 3 > 0").groupBy("model", "seed").agg(F.count_if("pos").alias("n"))
+    work = sizes.agg(*[F.percentile(F.when(F.col("model") == k, F.col("n")), F.lit(0.5)).alias(name) for k, name in (("m0", "work_a"), ("m1", "work_b"))])
+    return won.crossJoin(totals).crossJoin(work)
 
 
 @query("AGG54", f"with {SEEDS} select grp, model, count(*) as n, round(min(score), 6) as least, round(max(score), 6) as most, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as sd from runs group by all")
@@ -343,14 +357,22 @@ def evl04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.verify_predictions(saved, known, manifest)
 
 
+OLD_RUNS = "select grp, item, pos, seed, case when seed = 3 then ((item * (7919 + 9) + grp * 104729) % 50) / 50.0 else score end as score from runs"
+
+
 @query(
     "EVL05",
-    f"""with {SEEDS}, {SEED_BLOCKS}, {SEED_AUROC} select seed, round(auroc, 6) as recomputed, abs(auroc - (auroc + case when seed = 3 then 0.001 else 0 end)) > 5e-7 as changed from sa""",
+    f"""with {SEEDS}, {SEED_BLOCKS}, {SEED_AUROC}, od as (with rn as ({OLD_RUNS}), {blocks_sql("seed", "rn")} select g as seed, {AUROC} as auroc, {AP} as ap from bl group by g)
+  select seed, {r6_sql("sa.auroc", "sa.ap").replace("as sa.auroc", "as auroc").replace("as sa.ap", "as ap")}, round(od.auroc, 6) as auroc_before, round(od.ap, 6) as ap_before, abs(sa.auroc - od.auroc) > 5e-7 or abs(sa.ap - od.ap) > 5e-7 as changed from sa join od using (seed)""",
 )
 def evl05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = seed_metrics(spark, sf_dir)
-    before = now.select("seed", (F.col("auroc") + F.when(F.col("seed") == 3, 0.001).otherwise(0.0)).alias("before"))
-    return now.join(before, "seed").select("seed", F.round("auroc", 6).alias("recomputed"), (F.abs(F.col("auroc") - F.col("before")) > 5e-7).alias("changed"))
+    """Metrics of an earlier version, stored when one seed's predictions were others, against those recomputed from the predictions of today."""
+    path = scratch(spark, "metrics")
+    old = seeded_runs(spark, sf_dir).withColumn("score", F.when(F.col("seed") == 3, ((F.col("item") * (7919 + 9) + F.col("grp") * 104729) % 50) / 50.0).otherwise(F.col("score")))
+    write_version(m.blocks(old, "seed").groupBy("seed").agg(m.auroc().alias("auroc_before"), m.average_precision().alias("ap_before")), path)
+    both = seed_metrics(spark, sf_dir).join(spark.read.parquet(path), "seed")
+    changed = (F.abs(F.col("auroc") - F.col("auroc_before")) > 5e-7) | (F.abs(F.col("ap") - F.col("ap_before")) > 5e-7)
+    return both.select("seed", *r6("auroc", "ap", "auroc_before", "ap_before"), changed.alias("changed"))
 
 
 @query(

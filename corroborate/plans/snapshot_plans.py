@@ -158,7 +158,7 @@ def prj16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("item", "grp", "stratum", "arm.label", F.col("arm.branches")["primary"].alias("in_primary"), F.col("arm.branches")["sensitivity"].alias("in_sensitivity"))
 
 
-MOVED = DIFF + f""", mv as (select item, grp, {VALUE}, count(*) filter (where kind = 'removal') as n_gone, count(*) filter (where kind = 'addition') as n_new, max(pub) filter (where kind = 'removal') as pub_before, max(pub) filter (where kind = 'addition') as pub_after,
+MOVED = DIFF + f""", mv as (select item, grp, {VALUE}, count(*) filter (where kind = 'removal') as n_gone, count(*) filter (where kind = 'addition') as n_new, max(pub) filter (where kind = 'removal') as pub_before, max(pub) filter (where kind = 'addition') as pub_after, max(doi) filter (where kind = 'removal') as doi_before, max(doi) filter (where kind = 'addition') as doi_after,
   list_sort(list(rsid) filter (where kind = 'addition')) as locators from d where surplus and not linked group by item, grp, {VALUE}), moved as (select *, least(n_gone, n_new) as matched, n_gone = 1 and n_new = 1 as unambiguous from mv where n_gone > 0 and n_new > 0)"""
 
 
@@ -181,10 +181,13 @@ def jon18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.excluded_locators(s.moved(rows_of(spark, sf_dir)))
 
 
-@query("AGG31", f"with {MOVED} select unambiguous, case when pub_before = pub_after then 'same' else 'changed' end as publication, count(*) as n_groups, sum(matched)::bigint as matched, sum(n_gone - matched)::bigint as unmatched_gone, sum(n_new - matched)::bigint as unmatched_new from moved group by all")
+@query("AGG31", f"with {MOVED} select unambiguous, case when doi_before is null and doi_after is null then 'none' when doi_before is null then 'gained' when doi_after is null then 'lost' when doi_before = doi_after then 'same' else 'changed' end as publication, pub_before = pub_after as same_issue, count(*) as n_groups, sum(matched)::bigint as matched, sum(n_gone - matched)::bigint as unmatched_gone, sum(n_new - matched)::bigint as unmatched_new from moved group by all")
 def agg31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = s.moved(rows_of(spark, sf_dir)).withColumn("publication", F.when(F.col("pub_before") == F.col("pub_after"), "same").otherwise("changed"))
-    return found.groupBy("unambiguous", "publication").agg(
+    """Moved values by what became of their publication: gained, lost, changed, the same, or none before and after."""
+    before, after = F.col("doi_before"), F.col("doi_after")
+    kind = F.when(before.isNull() & after.isNull(), "none").when(before.isNull(), "gained").when(after.isNull(), "lost").when(before == after, "same").otherwise("changed")
+    found = s.moved(rows_of(spark, sf_dir)).withColumn("publication", kind).withColumn("same_issue", F.col("pub_before") == F.col("pub_after"))
+    return found.groupBy("unambiguous", "publication", "same_issue").agg(
         F.count("*").alias("n_groups"), F.sum("matched").alias("matched"), F.sum(F.col("n_gone") - F.col("matched")).alias("unmatched_gone"), F.sum(F.col("n_new") - F.col("matched")).alias("unmatched_new")
     )
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.entities import decode_entities, entities_sql
 from ..functions.evidence import ascii_upper, sequence_digest
 from ..operators import hooks
+from ..operators.ranks import evenly_spaced
 from ..operators.snapshots import set_digest
+from ..similarity.common import write_once
 from ..sources import releases as rel
 from ..sources.tables import OBS, observations, table
 from .registry import query
@@ -293,10 +295,25 @@ def src19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@query("AGG35", f"with {GOOD}, p as (select unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value from fields where not bad) select key, count(*) filter (where value <> '') as n_present, count(distinct nullif(value, '')) as n_distinct from p group by key")
+@query(
+    "AGG35",
+    f"""with {GOOD}, o as (select line_no, okey from ordered), p as (select unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value from fields where not bad)
+  select 'present' as section, key, count(*) filter (where value <> '') as n from p group by key union all select 'distinct', key, count(distinct nullif(value, '')) from p group by key
+  union all select 'relation', case when f4 in ('<', '<=') then 'upper' when f4 in ('>', '>=') then 'lower' when f4 = '=' then 'exact' else 'other' end, count(*) from fields where not bad group by 2
+  union all select 'excluded', case when okey % 103 = 0 then 'invalid_utf8' else 'field_count' end, count(*) from fields join o using (line_no) where bad group by 2""",
+)
 def agg35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = loaded(spark, sf_dir)
-    return rows.select(F.explode("payload")).groupBy("key").agg(F.count("*").alias("n_present"), F.count_distinct("value").alias("n_distinct"))
+    """Statistics of a release: presence and different values by key, relations by pattern, exclusions by rule."""
+    header, lines = read_back(spark, sf_dir)
+    good, bad = rel.split_lines(lines, len(header))
+    rows = rel.to_payload(good, header)
+    cells = rows.select(F.explode("payload")).groupBy("key", "value").agg(F.count("*").alias("n"))
+    by_key = cells.groupBy("key").agg(F.sum("n").alias("present"), F.count("*").alias("distinct")).unpivot("key", ["present", "distinct"], "section", "n")
+    relation = F.col("payload")["relation"]
+    pattern = F.when(relation.rlike("^<=?$"), "upper").when(relation.rlike("^>=?$"), "lower").when(relation == "=", "exact").otherwise("other")
+    kinds = rows.groupBy(F.lit("relation").alias("section"), pattern.alias("key")).agg(F.count("*").alias("n"))
+    rules = bad.groupBy(F.lit("excluded").alias("section"), F.col("rule").alias("key")).agg(F.count("*").alias("n"))
+    return by_key.select("section", "key", "n").unionByName(kinds).unionByName(rules)
 
 
 @query("UDF05", f"with {GOOD}, p as (select line_no, unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value, unnest(range(0, 6))::int as ordinal from fields where not bad) select line_no, key, value, ordinal from p where value <> ''")
@@ -386,11 +403,13 @@ def prj19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs.select("doc_id", F.length(c).cast("long").alias("n"), F.array_join(errors, ",").alias("errors"), notes.alias("notes"))
 
 
-@query("AGG36", f"with {SEQ}, n as (select length(s) as n, row_number() over (order by length(s)) - 1 as r, count(*) over () as k from sq where s <> '') select min(n) as least, max(n) filter (where r = k // 2) as upper_median, max(n) as most, count(*) filter (where n > 1022) as n_over from n")
+@query("AGG36", f"with {SEQ}, n as (select doc_id, length(s) as n, row_number() over (order by length(s), doc_id) - 1 as r, count(*) over () as k from sq where s <> '') select min(n) as least, max(n) filter (where r = k // 2) as upper_median, max(n) as most, count(*) filter (where n > 1022) as n_over, (select string_agg(n.doc_id || ':' || n.n, ',' order by p) from n, range(0, 10) t(p) where n.r = p * n.k // 10) as sample from n")
 def agg36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length statistics; the median comes from counts by length, so no window spans all rows."""
+    """Length statistics and ten sequences at equal steps of rank. The median comes from counts by length, the ten from counts of ranges."""
     s = F.length(ascii_upper(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")))
-    counts = table(spark, sf_dir, "documents").select(s.cast("long").alias("n")).where("n > 0").groupBy("n").agg(F.count("*").alias("c"))
+    lengths = write_once(table(spark, sf_dir, "documents").select("doc_id", s.cast("long").alias("n")).where("n > 0"), "lengths")
+    counts = lengths.groupBy("n").agg(F.count("*").alias("c"))
     running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.sum("c").over(Window.partitionBy()))
-    return running.agg(F.min("n").alias("least"), F.min(F.when(F.col("upto") > F.floor(F.col("k") / 2), F.col("n"))).alias("upper_median"), F.max("n").alias("most"), F.sum(F.when(F.col("n") > 1022, F.col("c")).otherwise(0)).alias("n_over"))
-
+    found = running.agg(F.min("n").alias("least"), F.min(F.when(F.col("upto") > F.floor(F.col("k") / 2), F.col("n"))).alias("upper_median"), F.max("n").alias("most"), F.sum(F.when(F.col("n") > 1022, F.col("c")).otherwise(0)).alias("n_over"))
+    spaced = evenly_spaced(lengths, "n", "doc_id", 10).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n").cast("long").cast("string")).alias("x")))), lambda x: x["x"]), ",").alias("sample"))
+    return found.crossJoin(spaced)

@@ -138,8 +138,7 @@ def sta07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SRT07", f"with {COHORT}, k as (select item, grp, pos, row_number() over (partition by pos order by sha256(item || '|' || grp || '|draw'), item, grp) as r from cohort) select item, grp, pos from k where r <= 100")
 def srt07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("pos").orderBy(F.sha2(F.concat_ws("|", "item", "grp", F.lit("draw")), 256), "item", "grp")
-    return cohort(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 100").select("item", "grp", "pos")
+    return st.balanced_sample(cohort(spark, sf_dir).select("item", "grp", "pos"), "pos", 100, "draw", "item", "grp")
 
 
 @query("SRT08", f"with {COHORT} select grp, count(*) as n from cohort group by grp having count(*) filter (where pos) >= 10 and count(*) filter (where not pos) >= 10 order by n desc, grp limit 12")

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import vectors as v
+from ..similarity.common import write_once
 from ..sources.tables import table
-from .evidence_plans import r6
+from .evidence_plans import r6, r6_sql
 from .registry import query
 
 UNITS = "un as (select vec_id as id, label, embedding, list_transform(embedding::double[], lambda x: x / greatest(sqrt(list_dot_product(embedding::double[], embedding::double[])), 1e-9)) as u from embeddings)"
@@ -42,11 +43,13 @@ def srt01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SRT02",
-    f"""with {SCORED}, ed as (select query_id, min(score) as lo, max(score) as hi from sc group by query_id)
-  select query_id, case when hi = lo then 0 else least(47, floor((score - lo) / (hi - lo) * 48)) end::int as bin, count(*) as n from sc join ed using (query_id) group by all""",
+    f"""with {SCORED}, ed as (select query_id, min(score) as lo, max(score) as hi, avg(score) as mean, stddev_pop(score) as sd, quantile_cont(score, 0.25) as q1, quantile_cont(score, 0.5) as median, quantile_cont(score, 0.75) as q3 from sc group by query_id),
+  hs as (select query_id, case when hi = lo then 0 else least(47, floor((score - lo) / (hi - lo) * 48)) end::int as bin, count(*) as n from sc join ed using (query_id) group by all)
+  select query_id, bin, n, round(lo + bin * (hi - lo) / 48, 6) as low, round(lo + (bin + 1) * (hi - lo) / 48, 6) as high, {r6_sql("q1", "median", "q3", "mean", "sd")} from hs join ed using (query_id)""",
 )
 def srt02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.histogram(scores_of(spark, sf_dir), 48)
+    scores = write_once(scores_of(spark, sf_dir), "scores")
+    return v.distribution(scores, 48).select("query_id", "bin", "n", *r6("low", "high", "q1", "median", "q3", "mean", "sd"))
 
 
 @query("AGG20", f"with {SCORED}, o as (select query_id, score, row_number() over (partition by query_id order by score) - 1 as r, count(*) over (partition by query_id) as n from sc) select query_id, round(max(score) filter (where r = floor(0.1 * (n - 1))), 6) as p10, round(max(score) filter (where r = floor(0.5 * (n - 1))), 6) as median, round(max(score) filter (where r = floor(0.9 * (n - 1))), 6) as p90, round(max(score) filter (where r = floor(0.99 * (n - 1))), 6) as p99, round(avg(score), 6) as mean, round(avg((score >= 0.3)::int), 6) as over_03 from o group by query_id")

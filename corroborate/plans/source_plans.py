@@ -13,6 +13,7 @@ from ..operators.snapshots import set_digest
 from ..similarity.common import write_once
 from ..sources import releases as rel
 from ..sources.tables import OBS, observations, table
+from ..streaming import arrivals
 from .registry import query
 from .snapshot_plans import DIFF, SLOT, digest_sql, rows_of
 
@@ -103,11 +104,17 @@ def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
   select release, digest, case k when 0 then 'absent' when 1 then 'conflict' when 2 then 'ingested' else 'unparsed' end as state from r""",
 )
 def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A release a month of orders, against a registry that lacks some, has others unfinished or with another digest."""
+    """A release a month of orders arrives at a machine that has seen some of them, finished or not, or with another digest."""
     content = F.concat_ws(":", F.col("release"), F.count("*").cast("string"), F.sum("o_orderkey").cast("string"))
-    incoming = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("release")).agg(F.md5(content).alias("digest"), (F.count("*") % 4).alias("k"))
-    registry = incoming.where("k <> 0").select("release", F.when(F.col("k") == 1, "other").otherwise(F.col("digest")).alias("digest"), (F.col("k") == 2).alias("finished"))
-    return rel.release_state(incoming.select("release", "digest"), registry)
+    incoming = write_once(table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("release")).agg(F.md5(content).alias("digest"), (F.count("*") % 4).alias("k")), "incoming")
+    digest = F.when(F.col("k") == 1, "other").otherwise(F.col("digest"))
+    word = lambda rows, digest, event, day: rows.select("release", digest.alias("digest"), F.lit(event).alias("event"), F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp").alias("at"))
+    seen = word(incoming.where("k <> 0"), digest, "arrived", 1).unionByName(word(incoming.where("k = 2"), digest, "finished", 1))
+    folder = rel.scratch(spark, "machine")
+    for events in (seen, word(incoming, F.col("digest"), "arrived", 2)):
+        events.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        answers = arrivals.run_release_machine(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", patience="30 days")
+    return answers.where(F.col("at") == F.lit("2024-01-02 00:00:00").cast("timestamp")).select("release", "digest", "state")
 
 
 @query("SRC09", "select s_suppkey as line_no0, s_name as name, s_nationkey::varchar as nation from supplier")

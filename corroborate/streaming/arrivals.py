@@ -99,3 +99,89 @@ def paths(spark: SparkSession, label: str) -> tuple[str, str]:
     """An output path and a checkpoint path."""
     base = scratch(spark, label)
     return f"{base}/out", f"{base}/checkpoint"
+
+
+#: What a release goes through. ``arrived`` asks what is to be done with it, ``finished`` says that it was loaded.
+EVENTS = "release string, digest string, event string, at timestamp"
+_ANSWERS = "release string, digest string, state string, at timestamp"
+_STATE = "digest string, finished boolean"
+
+
+def release_machine(patience: str = "1 day"):
+    """The registry of releases as keyed state: a value for each release, and a timer for one that is not finished.
+
+    A release that nobody knows is ``absent`` and is loaded from now on; a known one is ``unparsed`` until it is said to be finished,
+    then ``ingested`` and no work; another digest of it is a ``conflict``, whatever its state. Of several new digests in one batch the
+    least is the release. Each answer bears the time of the last such arrival. When the stream's time passes ``patience`` after the last word of an unfinished release, it is ``stalled``.
+    The state of a release is a digest and a flag; nothing is read again, however many releases there are.
+    """
+    from datetime import timedelta
+
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+    amount, unit = patience.split()
+    wait = int(timedelta(**{unit.rstrip("s") + "s": int(amount)}).total_seconds() * 1000)
+
+    class Releases(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.known = handle.getValueState("known", _STATE)
+
+        def handleInputRows(self, key, rows, timerValues: TimerValues):
+            asked: dict[str, pd.Timestamp] = {}
+            done: set[str] = set()
+            latest = 0
+            for frame in rows:
+                for digest, event, at in zip(frame["digest"], frame["event"], frame["at"]):
+                    latest = max(latest, int(at.timestamp() * 1000))
+                    if event == "finished":
+                        done.add(digest)
+                    else:
+                        asked[digest] = max(asked.get(digest, at), at)
+            held = tuple(self.known.get()) if self.known.exists() else None
+            fresh = held is None and bool(asked)
+            if fresh:
+                held = (min(asked), False)
+            out = []
+            for digest in sorted(asked):
+                state = "conflict" if digest != held[0] else "absent" if fresh else "ingested" if held[1] else "unparsed"
+                out.append((key[0], digest, state, asked[digest]))
+            if held is not None:
+                held = (held[0], held[1] or held[0] in done)
+                self.known.update(held)
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                if not held[1]:
+                    self.handle.registerTimer(latest + wait)
+            yield pd.DataFrame(out, columns=["release", "digest", "state", "at"])
+
+        def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
+            held = tuple(self.known.get())
+            over = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+            yield pd.DataFrame([(key[0], held[0], "stalled", over)], columns=["release", "digest", "state", "at"])
+
+        def close(self) -> None:
+            pass
+
+    return Releases()
+
+
+def release_states(events: DataFrame, patience: str = "1 day", delay: str = "0 seconds") -> DataFrame:
+    """The answers of ``release_machine`` to a stream of events (release, digest, event, at). The session needs the RocksDB state store."""
+    return events.withWatermark("at", delay).groupBy("release").transformWithStateInPandas(release_machine(patience), _ANSWERS, "append", "EventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_release_machine(spark: SparkSession, arrived: str, out: str, checkpoint: str, patience: str = "1 day") -> DataFrame:
+    """Answer everything that has arrived in ``arrived`` and stop; returns all answers so far. A restart goes on with the state that it left."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        run_available(release_states(read_arrivals(spark, arrived, EVENTS), patience), "append", out, checkpoint)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(_ANSWERS).parquet(out)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corroborate.operators import alignment, metrics, ranks, splits, statistics, vectors
 from corroborate.sources import releases as rel
+from corroborate.streaming import arrivals
 
 # loading
 
@@ -259,3 +260,21 @@ def test_runs_of_groups_equal_the_plain_rule(spark, seed):
         left[k] -= n * whole
         want[g] = splits.PARTS[k]
     assert got == want
+
+
+# releases as keyed state
+
+
+def test_releases_go_through_their_states_and_restart(spark, tmp_path):
+    def arrive(*rows):
+        events = spark.createDataFrame(rows, "release string, digest string, event string, t string").selectExpr("release", "digest", "event", "cast(t as timestamp) as at")
+        events.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        found = arrivals.run_release_machine(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+        return sorted((r.release, r.digest, r.state) for r in found.collect())
+
+    one = [("a", "1", "absent"), ("b", "4", "absent"), ("b", "5", "conflict")]
+    assert arrive(*[(r, d, "arrived", "2024-01-01 00:00:00") for r, d in (("a", "1"), ("a", "1"), ("b", "5"), ("b", "4"))]) == one
+    two = [*one, ("a", "1", "unparsed")]  # each call starts the stream anew on the state that the last one left
+    assert arrive(("a", "1", "arrived", "2024-01-01 01:00:00"), ("a", "1", "finished", "2024-01-01 02:00:00")) == sorted(two)
+    three = [*two, ("a", "1", "ingested"), ("a", "2", "conflict"), ("b", "4", "stalled")]
+    assert arrive(("a", "1", "arrived", "2024-01-01 03:00:00"), ("a", "2", "arrived", "2024-01-05 03:00:00")) == sorted(three)

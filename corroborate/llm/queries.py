@@ -69,4 +69,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_personal_data, op4_packing, op5_ngram_join, op6_substring, op7_nearest, op8_toxicity, op9_exact_dedup, op10_warc, op11_merkle, op12_decontaminate, op13_prefix_trie)}
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op9_exact_dedup": exact.SQL, "op11_merkle": merkle.SQL, "op12_decontaminate": decontaminate.SQL, "op13_prefix_trie": prefix_trie.SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact.SQL, "op11_merkle": merkle.SQL, "op12_decontaminate": decontaminate.SQL, "op13_prefix_trie": prefix_trie.SQL}

@@ -301,7 +301,15 @@ def spl14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SPL16")
+CLUSTERED = """with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+p as (select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l as (select x, y from p union all select y, x from p), r as (select doc_id as node, doc_id as reach from documents union select l.x, r.reach from l join r on r.node = l.y)
+select node as id, min(reach) as cluster from r group by node"""
+
+
+@query("SPL16", CLUSTERED)
 def spl16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_sequences(table(spark, sf_dir, "documents"))
 

@@ -110,6 +110,13 @@ def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
         assert all(a + n == (places[k + 1][0] if k + 1 < len(places) else a + n) for k, (a, n) in enumerate(places)) and sum(n for _, n in places) <= packing.CAPACITY
 
 
+def test_stages_of_two_tables_may_interleave(spark):
+    docs = [spark.createDataFrame([(k, f"text {k // 2} of {name}", "en", "s", 1) for k in range(6)], p_docs()) for name in ("one", "two")]
+    first, second = (p.drop_copies(spark, d, SF) for d in docs)
+    later = p.drop_near_copies(spark, second, SF)
+    assert [sorted(r.doc_id for r in x.collect()) for x in (first, later, second)] == [[1, 3, 5]] * 3
+
+
 def test_an_empty_table_passes_through(spark, tmp_path):
     spark.createDataFrame([], p_docs()).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")

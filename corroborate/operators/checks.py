@@ -39,48 +39,60 @@ def split_checks(build: SplitBuild) -> DataFrame:
     """
     if build.kind not in KINDS:
         raise ValueError(f"unknown kind of split: {build.kind}")
-    a, e = write_once(build.assigned, "split-assigned"), write_once(build.evidence, "split-evidence")  # each is read by many counts
+    kept = lambda df, label: df if hasattr(df, "written_to") else write_once(df, label)  # noqa: E731  # each is read by several counts
+    dealt = lambda df: df.hint("merge")  # noqa: E731  # a table of pairs or entities grows with the input: never broadcast through the driver
+    a, e = kept(build.assigned, "split-assigned"), kept(build.evidence, "split-evidence")
     held, scored = a.where("part in ('validation', 'test')"), a.where(F.col("part").isin(*PARTS))
-    broken = {"known_part": a.where(F.col("part").isNull() | ~F.col("part").isin(*PARTS, "excluded"))}
+
+    def counted(rows: DataFrame, *columns: str, **conditions: Column) -> DataFrame:
+        """One pass over rows: the sum of each of ``columns`` and the number of rows that meet each condition, a row a check."""
+        totals = [*[F.sum(c).alias(c) for c in columns], *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()]]
+        checks = [F.struct(F.lit(build.kind).alias("split"), F.lit(n).alias("check_name"), F.coalesce(n, F.lit(0)).cast("long").alias("observed"), F.lit(0).cast("long").alias("expected")) for n in (*columns, *conditions)]
+        return rows.agg(*totals).select(F.inline(F.array(*checks)))
+
+    part, every = F.col("part"), F.lit(True)
+    of_rows = {"known_part": part.isNull() | ~part.isin(*PARTS, "excluded")}
+    found = []
     if build.kind == "temporal":
-        placed, support = write_once(build.placed, "split-placed"), write_once(build.support, "split-support")
-        own = e.where(F.col("part").isin(*PARTS))
+        of_rows["stratum_named"] = part.isin(*PARTS) & F.col("stratum").isNull()
+        placed = kept(build.placed, "split-placed")
+        own = e.where(part.isin(*PARTS))
         by_part = [*PAIR, "part"]
-        observed_in = placed.select("okey", "line", F.col("part").alias("__placed"))
-        foreign = support.join(observed_in, ["okey", "line"], "left").where(~F.col("__placed").eqNullSafe(F.col("part")))
+        observed_in = placed.select("okey", "line", part.alias("__placed"))
+        foreign = build.support.where("role in ('exact', 'censored')").join(dealt(observed_in), ["okey", "line"], "left").where(~F.col("__placed").eqNullSafe(part))
         excluded = own.where("reason is not null")
         gone = a.where("part = 'excluded'").select(*PAIR)
-        broken |= {
-            "observation_in_one_part": placed.groupBy("okey", "line").agg(F.count_distinct("part").alias("k")).where("k > 1"),
-            "part_has_evidence": a.sparkSession.createDataFrame([(p,) for p in PARTS], "part string").join(own.select("part").distinct(), "part", "left_anti"),
-            "label_support_of_own_part": foreign.where("role in ('exact', 'censored')"),
-            "value_support_of_own_part": foreign.where("role = 'exact'"),
-            "pair_has_evidence_of_own_part": scored.join(own.select(*by_part), by_part, "left_anti"),
-            "stratum_named": scored.where("stratum is null"),
-            "excluded_by_own_part_held_out": held.join(excluded.select(*by_part), by_part, "left_semi"),
+        found = [
+            counted(placed.groupBy("okey", "line").agg(F.count_distinct("part").alias("k")), observation_in_one_part=F.col("k") > 1),
+            counted(a.sparkSession.createDataFrame([(p,) for p in PARTS], "part string").join(own.select("part").distinct(), "part", "left_anti"), part_has_evidence=every),
+            counted(foreign, label_support_of_own_part=every, value_support_of_own_part=F.col("role") == "exact"),
+            counted(scored.join(dealt(own.select(*by_part)), by_part, "left_anti"), pair_has_evidence_of_own_part=every),
+            counted(held.join(dealt(excluded.select(*by_part)), by_part, "left_semi"), excluded_by_own_part_held_out=every),
             # a pair that a later period excludes still trains, if its training period does not
-            "later_exclusion_keeps_training": own.where("part = 'train' and reason is null").join(gone, PAIR, "left_semi").join(a.where("part = 'train'"), PAIR, "left_anti"),
-        }
+            counted(own.where("part = 'train' and reason is null").join(dealt(gone), PAIR, "left_semi").join(dealt(a.where("part = 'train'")), PAIR, "left_anti"), later_exclusion_keeps_training=every),
+        ]
     else:
-        broken |= {
-            "pair_in_one_part": a.groupBy(*PAIR).agg(F.count("*").alias("k")).where("k > 1"),
-            "excluded_pair_held_out": held.join(e.where("reason is not null").select(*PAIR), PAIR, "left_semi"),
-        }
+        pairs = a.groupBy(*PAIR).agg(F.count("*").alias("k"), F.count_if(part.isin("validation", "test")).alias("n"))
+        out = e.where("reason is not null").select(*PAIR).distinct().withColumn("out", every)
+        pairs = pairs.join(dealt(out), PAIR, "left").withColumn("excluded_pair_held_out", F.when(F.col("out"), F.col("n")))
+        found = [counted(pairs, "excluded_pair_held_out", pair_in_one_part=F.col("k") > 1)]
     if build.kind in ("cold_groups", "disjoint"):
         name = "cluster" if build.kind == "cold_groups" else "structure"
-        tagged = scored.select(build.key, "part").distinct().join(build.clusters.select(build.key, "cluster"), build.key, "left")
-        broken |= {
-            f"{name}_in_one_part": tagged.where("cluster is not null").groupBy("cluster").agg(F.count_distinct("part").alias("k")).where("k > 1"),
-            f"{name}_of_every_entity": tagged.where("cluster is null").select(build.key).distinct(),
-        }
+        tagged = scored.select(build.key, "part").distinct().join(dealt(build.clusters.select(build.key, "cluster")), build.key, "left")
+        found += [
+            counted(tagged.where("cluster is not null").groupBy("cluster").agg(F.count_distinct("part").alias("k")), **{f"{name}_in_one_part": F.col("k") > 1}),
+            counted(tagged.where("cluster is null").select(build.key).distinct(), **{f"{name}_of_every_entity": every}),
+        ]
     if build.kind == "reversal":
-        sides = scored.join(e.select(*PAIR, "label"), PAIR).groupBy("item").agg(F.count_distinct("part").alias("parts"), F.count_distinct("label").alias("labels"))
-        tuning = a.where("part = 'validation'") if build.protocol == "diagnostic" else a.limit(1)
-        broken |= {"diagnostic_has_no_tuning": tuning, "reversed_entity_has_both_labels": sides.where("parts > 1 and labels = 1")}
-    out = None
-    for name, rows in broken.items():
-        one = rows.agg(F.lit(build.kind).alias("split"), F.lit(name).alias("check_name"), F.count("*").alias("observed"), F.lit(0).cast("long").alias("expected"))
-        out = one if out is None else out.unionByName(one)
+        sides = scored.join(dealt(e.select(*PAIR, "label")), PAIR).groupBy("item").agg(F.count_distinct("part").alias("parts"), F.count_distinct("label").alias("labels"))
+        found.append(counted(sides, reversed_entity_has_both_labels=(F.col("parts") > 1) & (F.col("labels") == 1)))
+        if build.protocol == "diagnostic":
+            of_rows["diagnostic_has_no_tuning"] = part == "validation"
+        else:
+            found.append(counted(a.limit(1), diagnostic_has_no_tuning=every))
+    out = counted(a, **of_rows)
+    for one in found:
+        out = out.unionByName(one)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, evidence, splits
 from ..operators.clustering import cluster_sequences
 from ..operators.snapshots import set_digest
+from ..similarity.common import write_once
 from ..sources.tables import OBS, observations, table
 from .evidence_plans import EVIDENCE, evidence_of, evidence_sql, r6
 from .registry import query
@@ -197,18 +198,20 @@ SPLIT_CHECKS = " union all ".join([
 
 def split_builds(spark: SparkSession, sf_dir: str) -> list[checks.SplitBuild]:
     """Five splits of the observations, one of each kind, with what each was built from."""
-    obs, found = observations(spark, sf_dir), evidence_of(spark, sf_dir)
-    labels = found.select("item", "grp", "label", "reason")
+    obs = observations(spark, sf_dir)
+    found = write_once(evidence_of(spark, sf_dir).select("item", "grp", "label", "reason"), "split-pairs")  # four of the splits stand on it
     structures = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.coalesce(F.nullif(F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")), F.lit("")), F.concat(F.lit("__own__"), F.col("p_partkey").cast("string"))).alias("cluster"))
-    disjoint = splits.cold_groups(labels, structures, "item", "s9").withColumn("part", F.when(F.col("reason").isNotNull(), "excluded").otherwise(F.col("part")))
-    dated = splits.temporal_parts(obs, VALIDATION, TEST)
-    by_part = evidence.pair_evidence(dated, keys=("item", "grp", "part"))
+    structures, grouped = structures.hint("merge"), clusters(spark, sf_dir).hint("merge")
+    disjoint = splits.cold_groups(found, structures, "item", "s9").withColumn("part", F.when(F.col("reason").isNotNull(), "excluded").otherwise(F.col("part")))
+    fields = ["item", "grp", "assay", "pub", "rel", "v", "okey", "line", "part"]
+    dated = write_once(splits.temporal_parts(obs, VALIDATION, TEST).select(*fields), "split-dated")
+    by_part = write_once(evidence.pair_evidence(dated.repartition("item", "grp"), keys=("item", "grp", "part")).select("item", "grp", "part", "label", "status", "reason"), "split-periods")
     return [
-        checks.SplitBuild("random", random_split(spark, sf_dir), labels),
-        checks.SplitBuild("cold_groups", cold_split(spark, sf_dir), labels, clusters(spark, sf_dir)),
-        checks.SplitBuild("disjoint", disjoint, labels, structures),
-        checks.SplitBuild("reversal", splits.label_reversal(found, "s4"), labels, protocol="diagnostic"),
-        checks.SplitBuild("temporal", spl05(spark, sf_dir), by_part, placed=dated.select("okey", "line", "part"), support=evidence.with_roles(dated).select("item", "grp", "part", "okey", "line", "role")),
+        checks.SplitBuild("random", splits.random_pairs(found, "s1"), found),
+        checks.SplitBuild("cold_groups", splits.cold_groups(found.select("item", "grp"), grouped, "item", "s3"), found, grouped),
+        checks.SplitBuild("disjoint", disjoint, found, structures),
+        checks.SplitBuild("reversal", splits.label_reversal(found, "s4"), found, protocol="diagnostic"),
+        checks.SplitBuild("temporal", splits.temporal_split(by_part), by_part, placed=dated, support=evidence.with_roles(dated).select("item", "grp", "part", "okey", "line", "role")),
     ]
 
 

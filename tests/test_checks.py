@@ -124,3 +124,10 @@ def test_datasets_are_those_that_were_pinned(spark):
             checks.assert_pinned(checks.against_pinned(emitted, spark.createDataFrame(pinned, schema), need))
     with pytest.raises(ValueError, match="test label: not_covered"):
         checks.assert_pinned(checks.against_pinned(emitted, emitted, [*need, ("test", "label")]))
+
+
+@pytest.mark.parametrize("kind", ["random", "cold_groups", "disjoint"])
+def test_no_table_of_a_build_is_broadcast(spark, kind):
+    """Pairs and clusters grow with the input; broadcast, they would pass through the driver, several at once."""
+    plan = checks.split_checks(plain(spark, kind))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan

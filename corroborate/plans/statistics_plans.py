@@ -11,6 +11,7 @@ from ..functions.entities import decode_entities
 from ..operators import alignment, checks, evidence, hooks
 from ..operators import metrics as m
 from ..operators import statistics as st
+from ..similarity.common import write_once
 from ..sources.releases import scratch, write_version
 from ..sources.tables import OBS, observations, table
 from .evidence_plans import r6, r6_sql
@@ -180,11 +181,12 @@ def agg50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JON24", f"with {COHORT}, pr as (select item, grp from cohort where item % 7 <> 0 union all select -1, 0) select (select count(*) from cohort where (item, grp) not in (select (item, grp) from pr)) as n_missing, (select count(*) from pr where (item, grp) not in (select (item, grp) from cohort)) as n_extra, (select count(*) from pr join cohort using (item, grp)) as n_aligned")
 def jon24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = cohort(spark, sf_dir).select("item", "grp")
+    keys = write_once(cohort(spark, sf_dir).select("item", "grp"), "cohort-keys")
     predicted = keys.where("item % 7 <> 0").unionByName(keys.limit(1).select(F.lit(-1).cast("long").alias("item"), F.lit(0).alias("grp")))
-    a = keys.join(predicted, ["item", "grp"], "left_anti").agg(F.count("*").alias("n_missing"))
-    b = predicted.join(keys, ["item", "grp"], "left_anti").agg(F.count("*").alias("n_extra"))
-    return a.crossJoin(b).crossJoin(predicted.join(keys, ["item", "grp"]).agg(F.count("*").alias("n_aligned")))
+    both = keys.withColumns({"k": F.lit(1), "p": F.lit(0)}).unionByName(predicted.withColumns({"k": F.lit(0), "p": F.lit(1)}))
+    each = both.groupBy("item", "grp").agg(F.sum("k").alias("k"), F.sum("p").alias("p"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(total(F.when(F.col("p") == 0, F.col("k"))).alias("n_missing"), total(F.when(F.col("k") == 0, F.col("p"))).alias("n_extra"), total(F.col("k") * F.col("p")).alias("n_aligned"))
 
 
 @query(

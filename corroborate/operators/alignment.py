@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import ship_package
 from ..similarity.common import salted_join, write_once
 
 #: Words of a seed. An alignment of ten columns or more, nine in ten of them equal, has so many equal ones in a row.
@@ -33,13 +33,8 @@ def _seeds(sequences: DataFrame) -> DataFrame:
     return sequences.where(F.size("words") > 0).select("seq", F.size("words").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, SEED)))).alias("place", "seed"))
 
 
-def candidates(queries: DataFrame, targets: DataFrame, cover: float) -> DataFrame:
-    """(query, target) pairs that can reach an identity of 0.9 over ``cover`` of both; each of (seq, words).
-
-    Of an alignment's columns a tenth may differ, and each spoils ``SEED`` runs, so at least half of the columns less four begin
-    a shared seed. The rarest shared seed then stands among the rarest of both sequences once that many are left out, and
-    only those are joined. Seeds that many sequences share are dealt over several tasks.
-    """
+def seed_ranks(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(side, seq, n, seed, r, shared) of the seeds that both sides have, each sequence's numbered from the rarest; sides of (seq, words)."""
     sides = {"query": _seeds(queries), "target": _seeds(targets)}
     each = write_once(sides["query"].withColumn("side", F.lit("query")).unionByName(sides["target"].withColumn("side", F.lit("target"))), "align-seeds")
     counts = each.groupBy("seed").agg(F.count("*").alias("rows"), F.max("side").alias("hi"), F.min("side").alias("lo"))
@@ -48,13 +43,28 @@ def candidates(queries: DataFrame, targets: DataFrame, cover: float) -> DataFram
     # seeds of one side alone are the rarest in effect: they take places of the prefix without ever being joined
     own = known.groupBy("side", "seq", "n").agg(F.count("*").alias("shared"))
     ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("side", "seq").orderBy("rows", "seed", "place"))).join(own, ["side", "seq", "n"])
+    return write_once(ranked.select("side", "seq", "n", "seed", "r", "shared"), "align-ranked")
+
+
+def pairs_within(ranked: DataFrame, cover: float) -> DataFrame:
+    """(query, target) pairs that can reach an identity of 0.9 over ``cover`` of both, of the sequences in ``seed_ranks``.
+
+    Of an alignment's columns a tenth may differ, and each spoils ``SEED`` runs, so at least half of the columns less four begin
+    a shared seed. The rarest shared seed then stands among the rarest of both sequences once that many are left out, and
+    only those are joined. Seeds that many sequences share are dealt over several tasks.
+    """
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * (0.5 * cover)) - (SEED - 1))
-    kept = write_once(ranked.where(F.col("r") <= F.col("shared") - need + 1).select("side", "seq", "seed").distinct(), "align-prefix")
-    asked, found = (kept.where(F.col("side") == s).select("seed", F.col("seq").alias(s)) for s in ("query", "target"))
+    kept = write_once(ranked.where(F.col("r") <= F.col("shared") - need + 1).select("side", "seq", "n", "seed").distinct(), "align-prefix")
+    asked, found = (kept.where(F.col("side") == s).select("seed", F.col("seq").alias(s), F.col("n").alias(f"n_{s}")) for s in ("query", "target"))
     rows = found.groupBy("seed").agg(F.count("*").alias("rows"))
     spread = asked.join(rows, "seed").withColumn("slices", F.ceil(F.col("rows") / 1000).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = found.join(rows, "seed").withColumn("slice", F.pmod(F.xxhash64("target"), F.ceil(F.col("rows") / 1000).cast("int")).cast("int"))
-    return spread.select("seed", "slice", "query").join(dealt.select("seed", "slice", "target"), ["seed", "slice"]).select("query", "target").distinct()
+    return spread.select("seed", "slice", "query", "n_query").join(dealt.select("seed", "slice", "target", "n_target"), ["seed", "slice"]).select("query", "target", "n_query", "n_target")
+
+
+def candidates(queries: DataFrame, targets: DataFrame, cover: float) -> DataFrame:
+    """(query, target) pairs that can reach an identity of 0.9 over ``cover`` of both; each of (seq, words)."""
+    return pairs_within(seed_ranks(queries, targets), cover).select("query", "target").distinct()
 
 
 def band(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
@@ -128,17 +138,209 @@ def align(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int,
     return best
 
 
-def _align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for query, target, one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            a, b = one.values.to_numpy(), two.values.to_numpy()
+#: Cells of a row, of all pairs of a batch together, and pairs of a batch.
+CELLS, PAIRS = 1 << 14, 256
+#: Bits of a count or a place in what a cell carries; longer sequences are aligned one at a time.
+BITS = 21
+
+
+def _batches_of(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """The pairs of (rows, width) in batches of nearly the same widths and rows."""
+    kind = [int(np.log(w) / np.log(1.2)) for _, w in sizes]
+    now: list[int] = []
+    for k in sorted(range(len(sizes)), key=lambda k: (kind[k], sizes[k])):
+        rows, width = sizes[k]
+        if now and (kind[now[0]] != kind[k] or rows > 1.25 * sizes[now[0]][0] + 16 or len(now) >= max(1, min(PAIRS, CELLS // width))):
+            yield now
+            now = []
+        now.append(k)
+    if now:
+        yield now
+
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """What ``align`` gives of each (a, b, low, high), of many pairs at once.
+
+    A column of the arrays is a pair, a row is a diagonal. A cell carries its score and, in one number, the equal columns and the place and
+    diagonal where its path began; the columns follow, since the score is five times the equal columns less three times all.
+    """
+    out: list[tuple[int, int, int, int, int]] = [(0, 0, 0, 0, 0)] * len(pairs)
+    sizes, short = [], []
+    for k, (a, b, low, high) in enumerate(pairs):
+        first, end = max(0, -high), min(len(a), len(b) - low)
+        if end <= first:
+            continue
+        if max(len(a), len(b), high - low + 1) >= 1 << BITS:
+            out[k] = align(a, b, low, high)
+            continue
+        short.append((k, first))
+        sizes.append((end - first, high - low + 1))
+    for batch in _batches_of(sizes):
+        members = [short[x] for x in batch]
+        for (k, _), found in zip(members, _align_batch([(*pairs[k], first) for k, first in members])):
+            out[k] = found
+    return out
+
+
+def _align_batch(members: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    n = len(members)
+    rows = max(min(len(a), len(b) - low) - first for a, b, low, _, first in members)
+    width = max(high - low + 1 for _, _, low, high, _ in members)
+    # row r of a pair meets the words of b that stand in rows r to r + width of its column
+    one, two, inside = np.zeros((rows, n), np.int64), np.zeros((rows + width, n), np.int64), np.zeros((rows + width, n), bool)
+    for p, (a, b, low, high, first) in enumerate(members):
+        mine = a[first : first + rows]
+        one[: len(mine), p] = mine
+        start = first + low
+        left = max(0, -start)
+        part = b[max(0, start) : start + rows + width]
+        two[left : left + len(part), p] = part
+        inside[left : left + len(part), p] = True
+    spare = np.array([width - (high - low + 1) for _, _, low, high, _ in members])
+    narrow = (np.arange(width)[:, None] < width - spare[None, :]) if spare.any() else None
+    ends = np.array([min(len(a), len(b) - low) - first for a, b, low, _, first in members])
+    firsts = np.array([first for *_, first in members], np.int64)
+    shift = int(width).bit_length()
+    kind = np.int32 if (MATCH * rows - GAP * width + 1) << shift < 2**31 else np.int64
+    places = np.arange(width, dtype=kind)[:, None]
+    steps = places * kind(-GAP)
+    lift = (steps << shift) | places
+    columns = np.arange(n)[None, :]
+    begin = places.astype(np.int64) | (firsts << BITS)[None, :]
+    score, carried = np.zeros((width, n), kind), begin.copy()
+    best, held, at, on = np.zeros(n, kind), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    up, lower = np.full((width, n), GAP, kind), np.zeros((width, n), np.int64)
+    for r in range(rows):
+        live = inside[r : r + width] if narrow is None else inside[r : r + width] & narrow
+        same = (two[r : r + width] == one[r]) & live
+        # one row up, the cell of this diagonal is (i - 1, j - 1); the next one is (i - 1, j)
+        x = score + np.where(same, kind(MATCH), kind(MISMATCH))
+        np.add(score[1:], kind(GAP), out=up[:-1])
+        lower[:-1] = carried[1:]
+        carried += same.astype(np.int64) << (2 * BITS)
+        np.copyto(carried, lower, where=up > x)
+        np.maximum(x, up, out=x)
+        np.maximum(x, 0, out=x)
+        x *= live
+        # gaps along the row: the greatest of what stands to the left, less its distance, and of equal ones the nearest
+        top = np.maximum.accumulate((x << shift) + lift, axis=0)
+        source = top & kind((1 << shift) - 1)
+        score = ((top >> shift) - steps) * live
+        if r >= ends.min():
+            score *= r < ends
+        carried = carried[source, columns]
+        peak = score.max(axis=0)
+        better = np.flatnonzero(peak > best)
+        if len(better):
+            k = np.argmax(score[:, better], axis=0)
+            best[better], held[better], at[better], on[better] = peak[better], carried[k, better], r, k
+        np.copyto(carried, begin + ((r + 1) << BITS), where=score == 0)
+    mask = (1 << BITS) - 1
+    found = []
+    for p, (_, _, low, _, first) in enumerate(members):
+        if not best[p]:
+            found.append((0, 0, 0, 0, 0))
+            continue
+        matches, from_a, diagonal = int(held[p]) >> (2 * BITS), (int(held[p]) >> BITS) & mask, int(held[p]) & mask
+        total = (((MATCH - MISMATCH) * matches) - int(best[p])) // -GAP
+        i = first + int(at[p])
+        found.append((int(best[p]), matches, total, i - from_a + 1, i + int(on[p]) - (from_a + diagonal) + 1))
+    return found
+
+
+#: Words of one side in a block, and pairs that are aligned at once.
+BLOCK_WORDS, AT_ONCE = 400_000, 4_096
+#: The identity that a best hit has at least, less what rounding to six places gives away.
+_LEAST = 0.8999995
+
+
+def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> int:
+    """Words that two texts share, with their repeats; each given as its different words in order and their counts."""
+    at = np.searchsorted(one[0], two[0])
+    at[at == len(one[0])] = 0
+    return int(np.minimum(one[1][at], two[1])[one[0][at] == two[0]].sum())
+
+
+def _align_block(pairs: pa.Table, texts: pa.Table, best: bool) -> pa.Table:
+    """The hits of a block's pairs. With ``best``, a pair is left out if the words that it shares are too few to cover as much of both,
+    at an identity of 0.9, as a hit of that query which the block has found.
+    """
+    words: dict[tuple[str, int], np.ndarray] = {}
+    for side, seq, text in zip(texts.column("side").to_pylist(), texts.column("seq").to_pylist(), (x for c in texts.column("words").chunks for x in c)):
+        words[side, seq] = text.values.to_numpy()
+    todo = [(("query", q), ("target", t)) for q, t in zip(pairs.column("query").to_pylist(), pairs.column("target").to_pylist())]
+    rows: list[tuple] = []
+    reached: dict[int, float] = {}
+
+    def work(chosen: list[int]) -> None:
+        ids, met = [], []
+        for k in chosen:
+            a, b = (words[x] for x in todo[k])
             edges = band(a, b)
             if edges is not None:
-                score, matches, columns, span_a, span_b = align(a, b, *edges)
-                rows.append((query, target, score, matches, columns, len(a), len(b), span_a, span_b))
-        names = [c.split()[0] for c in _HIT.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 9)], names=names)
+                ids.append(k)
+                met.append((a, b, *edges))
+        for k, (a, b, *_), (score, matches, columns, span_a, span_b) in zip(ids, met, align_many(met)):
+            (_, query), (_, target) = todo[k]
+            rows.append((query, target, score, matches, columns, len(a), len(b), span_a, span_b))
+            if columns and matches >= _LEAST * columns:
+                reached[query] = max(reached.get(query, 0.0), min(span_a / len(a), span_b / len(b)))
+
+    order = list(range(len(todo)))
+    bound = np.full(len(todo), 1.0)
+    if best:
+        counted = {key: np.unique(text, return_counts=True) for key, text in words.items()}
+        bound = np.array([_common(counted[x], counted[y]) / (_LEAST * max(len(words[x]), len(words[y]))) for x, y in todo])
+        order = np.argsort(-bound, kind="stable").tolist()
+        seen: set[int] = set()
+        first = [k for k in order if not (todo[k][0][1] in seen or seen.add(todo[k][0][1]))]
+        for at in range(0, len(first), AT_ONCE):
+            work(first[at : at + AT_ONCE])
+        taken = set(first)
+        order = [k for k in order if k not in taken]
+    for at in range(0, len(order), AT_ONCE):
+        work([k for k in order[at : at + AT_ONCE] if bound[k] >= reached.get(todo[k][0][1], 0.0) - 1e-6])
+    names = [c.split()[0] for c in _HIT.split(", ")]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 9)], names=names)
+
+
+def _sequences(queries: DataFrame, targets: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Each side's (id, seq), and its different sequences (seq, id, n, words) with their least id."""
+    sides = [s.select("id", word_codes(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("seq", F.xxhash64("words")) for s in (queries, targets)]
+    named = [write_once(s, "align-sequences") for s in sides]
+    distinct = [s.groupBy("seq").agg(F.min("id").alias("id"), F.first("words").alias("words")).withColumn("n", F.size("words")) for s in named]
+    return [s.select("id", "seq") for s in named], [write_once(s, "align-distinct") for s in distinct]
+
+
+def _aligned(pairs: DataFrame, distinct: list[DataFrame], best: bool = False) -> DataFrame:
+    """The hits of pairs (query, target) of sequences, with identity and both coverages; with ``best``, those that can be a query's best.
+
+    Pairs meet in blocks of both sides, so a text goes once to each block in which it has a pair, and not once for each pair.
+    """
+    spark = pairs.sparkSession
+    ship_package(spark)
+    placed = pairs.select("query", "target")
+    for side, known in zip(("query", "target"), distinct):
+        total = placed.select(F.col(side).alias("seq")).distinct().join(known.select("seq", "n"), "seq").agg(F.sum("n")).first()[0] or 0
+        placed = placed.withColumn(f"{side}_block", F.pmod(F.xxhash64(side), F.lit(-(-total // BLOCK_WORDS) or 1)).cast("int"))
+    keys = ["query_block", "target_block"]
+    sent = [placed.select(*[F.col(k).alias(f"{k}_met") for k in keys], F.lit(side).alias("side"), F.col(side).alias("seq")).distinct().join(known.select("seq", "words"), "seq") for side, known in zip(("query", "target"), distinct)]
+    texts = sent[0].unionByName(sent[1])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _align_block(left, right, best)
+
+    met = placed.groupBy(*keys).cogroup(texts.groupBy(*[f"{k}_met" for k in keys])).applyInArrow(run, _HIT)
+    found = write_once(met, "align-hits").where("columns > 0")
+    ratios = [(F.col("matches") / F.col("columns")).alias("identity"), (F.col("span_query") / F.col("n_query")).alias("cov_query"), (F.col("span_target") / F.col("n_target")).alias("cov_target")]
+    return found.select("query", "target", "score", *ratios)
+
+
+def _named(found: DataFrame, named: list[DataFrame], distinct: list[DataFrame]) -> DataFrame:
+    """Hits of sequences as hits of ids: each query's, with the least target."""
+    asked = named[0].select(F.col("seq").alias("query"), F.col("id").alias("query_id"))
+    least = distinct[1].select(F.col("seq").alias("target"), F.col("id").alias("target_id"))
+    return found.join(asked, "query").join(least, "target").select(F.col("query_id").alias("query"), F.col("target_id").alias("target"), "score", "identity", "cov_query", "cov_target")
 
 
 def hits(queries: DataFrame, targets: DataFrame, cover: float = 0.25) -> DataFrame:
@@ -148,17 +350,38 @@ def hits(queries: DataFrame, targets: DataFrame, cover: float = 0.25) -> DataFra
     seeds. Equal sequences are aligned once: each of their queries gets the hit, and the least of their targets stands for all.
     Texts without a word hit nothing.
     """
-    sides = [s.select("id", word_codes(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("seq", F.xxhash64("words")) for s in (queries, targets)]
-    named = [write_once(s, "align-sequences") for s in sides]
-    distinct = [s.groupBy("seq").agg(F.min("id").alias("id"), F.first("words").alias("words")) for s in named]
+    named, distinct = _sequences(queries, targets)
     pairs = write_once(candidates(*(s.select("seq", "words") for s in distinct), cover), "align-pairs")
-    one, two = (s.select(F.col("seq").alias(c), F.col("words").alias(f"{c}_words")) for s, c in zip(distinct, ("query", "target")))
-    both = salted_join(salted_join(pairs, one, "query", "target"), two, "target", "query").select("query", "target", "query_words", "target_words")
-    found = write_once(map_arrow(both, _align_pairs, _HIT), "align-hits").where("columns > 0")
-    ratios = [(F.col("matches") / F.col("columns")).alias("identity"), (F.col("span_query") / F.col("n_query")).alias("cov_query"), (F.col("span_target") / F.col("n_target")).alias("cov_target")]
-    asked = named[0].select(F.col("seq").alias("query"), F.col("id").alias("query_id"))
-    least = distinct[1].select(F.col("seq").alias("target"), F.col("id").alias("target_id"))
-    return found.select("query", "target", "score", *ratios).join(asked, "query").join(least, "target").select(F.col("query_id").alias("query"), F.col("target_id").alias("target"), "score", "identity", "cov_query", "cov_target")
+    return _named(_aligned(pairs, distinct), named, distinct)
+
+
+def search_best(queries: DataFrame, targets: DataFrame, cover: float = 0.25, levels: tuple[float, ...] = (0.8, 0.5)) -> DataFrame:
+    """The rows that ``best_hits`` gives of all ``hits``, at an identity of 0.9, without aligning all their pairs.
+
+    Pairs that can cover 0.8 of both come first. A query that gets such a hit is done, since all that can be better were among them;
+    the others go on to the next level, and those left to the pairs that ``hits`` aligns. So a text with a near copy never meets the
+    many texts with which it shares a common passage only.
+    """
+    named, distinct = _sequences(queries, targets)
+    ranked = seed_ranks(*(s.select("seq", "words") for s in distinct))
+    parts: list[DataFrame] = []
+    met = done = None
+    for level in (*(x for x in levels if x > cover), cover):
+        left = ranked if done is None else ranked.join(done.withColumn("side", F.lit("query")), ["side", "seq"], "left_anti")
+        # a thousandth below the level, so that rounded ratios lose nothing
+        last = level == cover
+        reach = cover if last else level - 0.001
+        close = F.lit(True) if last else F.least("n_query", "n_target") >= F.greatest("n_query", "n_target") * (0.89 * reach)
+        pairs = pairs_within(left, reach).where(close).select("query", "target").distinct()
+        pairs = write_once(pairs if met is None else pairs.join(met, ["query", "target"], "left_anti"), "align-pairs")
+        met = pairs if met is None else met.unionByName(pairs)
+        parts.append(_aligned(pairs, distinct, best=True))
+        good = parts[-1].where((F.round("identity", 6) >= 0.9) & (F.round(F.least("cov_query", "cov_target"), 6) >= level)).select(F.col("query").alias("seq")).distinct()
+        done = good if done is None else done.unionByName(good).distinct()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return best_hits(_named(found, named, distinct))
 
 
 def best_hits(found: DataFrame, identity: float = 0.9) -> DataFrame:

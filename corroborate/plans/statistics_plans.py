@@ -233,7 +233,7 @@ def similar_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Evaluation texts (every fifth id), and of each its best hit among the training texts, searched over whole documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = docs.where("id % 5 = 0")
-    return asked, alignment.best_hits(alignment.hits(asked, docs.where("id % 5 <> 0")))
+    return asked, alignment.search_best(asked, docs.where("id % 5 <> 0"))
 
 
 @query("JON14")

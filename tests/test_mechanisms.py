@@ -144,6 +144,39 @@ def test_best_hits_are_those_of_all_pairs(spark):
     assert strata == {q: q in want and want[q][1][2] >= 0.5 for q, _ in queries}
 
 
+def test_many_alignments_at_once_equal_single_ones():
+    rng = random.Random(6)
+    met = []
+    for k in range(400):
+        kinds = (4, 40, 10**9)[k % 3]
+        a = [rng.randrange(kinds) for _ in range(rng.randint(1, 150))]
+        b = [rng.randrange(kinds) for _ in range(rng.randint(0, 40))] + [x if rng.random() > 0.1 else rng.randrange(kinds) for x in a][rng.randint(0, 8) :]
+        one, two = np.array(a, np.int64), np.array(b, np.int64)
+        edges = alignment.band(one, two) if len(b) and k % 4 else (low := rng.randint(-160, 160), low + rng.randint(0, 70))
+        if edges is not None and len(b):
+            met.append((one, two, *edges))
+    assert alignment.align_many(met) == [alignment.align(*pair) for pair in met]
+
+
+def test_texts_with_a_near_copy_do_not_meet_those_of_a_common_passage(spark, monkeypatch):
+    """40 pairs of near copies of which all texts bear one passage: the best hits are those of all pairs, and few pairs are aligned."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(12)
+    base = [fresh(rng.randint(10, 60)) + passage + fresh(10) for _ in range(40)]
+    lone = [fresh(20) + passage for _ in range(3)] + [base[0][:30], fresh(9), []]
+    frame = lambda rows: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "id long, text string")
+    queries = frame([(k, mutated(rng, w, 0.03)) for k, w in enumerate(base)] + [(50 + k, w) for k, w in enumerate(lone)])
+    targets = frame([(100 + k, w) for k, w in enumerate(base)])
+    order = lambda df: sorted(map(tuple, df.collect()))
+    want = order(alignment.best_hits(alignment.hits(queries, targets)))
+    met = []
+    aligned = alignment._aligned
+    monkeypatch.setattr(alignment, "_aligned", lambda pairs, *rest, **named: met.append(pairs.count()) or aligned(pairs, *rest, **named))
+    assert order(alignment.search_best(queries, targets)) == want and len(want) >= 40
+    assert sum(met) < 400  # of 1,600 and more that share the passage
+
+
 # nearest rows through cells
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +45,21 @@ def grouped(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.Da
     return df.groupBy(*keys).applyInPandas(work, schema)
 
 
-def payload_entries():
-    """A table function of (payload, header): a row for each field of a sparse map, with its place in the header from 0.
+def payload_entries(rows: DataFrame, header: list[str], key: str, payload: str = "payload") -> DataFrame:
+    """(key, value, ordinal) beside ``key`` for each field of each row's sparse map: a table function of whole batches of rows.
 
-    Fields that the header does not name come last, in the order of their names, with a null place.
+    The ordinal is the field's place in the header from 0, and null for one that the header does not name. A null map has no fields.
     """
+    kind = rows.schema[key].dataType.simpleString()
 
     class Entries:
-        def eval(self, payload: dict[str, str] | None, header: list[str]):
-            place = {name: k for k, name in enumerate(header)}
-            for name in sorted(payload or {}, key=lambda n: (place.get(n, len(place)), n)):
-                yield name, payload[name], place.get(name)
-
-    return F.udtf(Entries, returnType="key string, value string, ordinal int")
+        def eval(self, batch: pa.RecordBatch):
+            maps = batch.column(1)
+            ends = maps.offsets.to_numpy()
+            names, values = (x.slice(ends[0], ends[-1] - ends[0]) for x in (maps.keys, maps.items))
+            parent = np.repeat(np.arange(len(maps)), np.diff(ends))
+            ordinal = pc.index_in(names, value_set=pa.array(header, names.type))
+            yield pa.table({"id": batch.column(0).take(pa.array(parent)), "key": names, "value": values, "ordinal": ordinal})
+
+    made = F.arrow_udtf(Entries, returnType=f"id {kind}, key string, value string, ordinal int")
+    return made(rows.select(key, payload).asTable()).withColumnRenamed("id", key)

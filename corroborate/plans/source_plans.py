@@ -325,13 +325,10 @@ def agg35(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("UDF05", f"with {GOOD}, p as (select line_no, unnest(['item', 'grp', 'assay', 'relation', 'value', 'note']) as key, unnest([f1, f2, f3, f4, f5, f6]) as value, unnest(range(0, 6))::int as ordinal from fields where not bad) select line_no, key, value, ordinal from p where value <> ''")
 def udf05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table function beside each row: the fields of its sparse map with their places in the header."""
+    """A table function over all rows: the fields of their sparse maps with their places in the header."""
     header, lines = read_back(spark, sf_dir)
     good, _ = rel.split_lines(lines, len(header))
-    rows = rel.to_payload(good, header)
-    entries = hooks.payload_entries()
-    names = F.array(*map(F.lit, header))
-    return rows.lateralJoin(entries(F.col("payload").outer(), names)).select("line_no", "key", "value", "ordinal")
+    return hooks.payload_entries(rel.to_payload(good, header), header, "line_no")
 
 
 # scalar functions on texts

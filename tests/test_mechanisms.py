@@ -311,3 +311,22 @@ def test_releases_go_through_their_states_and_restart(spark, tmp_path):
     assert arrive(("a", "1", "arrived", "2024-01-01 01:00:00"), ("a", "1", "finished", "2024-01-01 02:00:00")) == sorted(two)
     three = [*two, ("a", "1", "ingested"), ("a", "2", "conflict"), ("b", "4", "stalled")]
     assert arrive(("a", "1", "arrived", "2024-01-01 03:00:00"), ("a", "2", "arrived", "2024-01-05 03:00:00")) == sorted(three)
+
+
+# table functions
+
+
+def test_entries_of_sparse_maps_come_by_batches(spark):
+    from corroborate.operators import hooks
+
+    rows = [(1, {"b": "x", "a": " "}), (2, {}), (3, None), (4, {"odd": "y", "c": None})] + [(k, {"c": str(k)}) for k in range(10, 60)]
+    source = spark.createDataFrame(rows, "line_no long, payload map<string,string>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = hooks.payload_entries(source, ["a", "b", "c"], "line_no")
+        assert made.columns == ["line_no", "key", "value", "ordinal"]
+        got = sorted(map(tuple, made.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    place = {"a": 0, "b": 1, "c": 2}
+    assert got == sorted(((k, n, v, place.get(n)) for k, m in rows for n, v in (m or {}).items()), key=str)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from ..streaming import arrivals as a
 from .registry import query
 
 
-def arrived(spark: SparkSession, sf_dir: str, source: DataFrame, label: str, arrivals: int = 3, by: str | None = None) -> DataFrame:
-    """A stream of the rows of ``source``, which arrive one part after the other: by hash, or in ranges of a time column ``by``."""
-    path = scratch(spark, label)
+def run_arrivals(spark: SparkSession, source: DataFrame, label: str, stream: Callable[[DataFrame], DataFrame], mode: str, out: str, checkpoint: str, arrivals: int = 3, by: str | None = None) -> None:
+    """Run ``stream`` over the rows of ``source``, which arrive one part after the other: by hash, or in ranges of a time column ``by``.
+
+    The source is read once and dealt. Each arrival is one batch, however many files it has, so batches do not grow in number with the rows,
+    and no file of an arrival comes after the stream's time has passed it.
+    """
     if by is None:
         part = F.pmod(F.xxhash64(*source.columns), F.lit(arrivals))
     else:
@@ -21,10 +26,13 @@ def arrived(spark: SparkSession, sf_dir: str, source: DataFrame, label: str, arr
         width = F.nullif(F.lit(most).cast("double") - F.lit(least).cast("double"), F.lit(0.0))
         step = (F.col(by).cast("double") - F.lit(least).cast("double")) / width
         part = F.least(F.floor(step * arrivals), F.lit(arrivals - 1))
-    parted = source.withColumn("__part", part)
+    path, dealt = scratch(spark, label), scratch(spark, f"{label}-dealt")
+    parted = source.withColumn("__part", F.coalesce(part, F.lit(0)).cast("int"))
+    parted.write.partitionBy("__part").parquet(dealt)
+    written = spark.read.schema(parted.schema).parquet(dealt)
     for k in range(arrivals):
-        parted.where(F.coalesce("__part", F.lit(0)) == k).drop("__part").write.mode("append").parquet(path)
-    return a.read_arrivals(spark, path, source.schema)
+        written.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(path)
+        a.run_available(stream(a.read_arrivals(spark, path, source.schema, a.ALL_FILES)), mode, out, checkpoint)
 
 
 RULED = "ru as (select event_id, event_type, case when event_type is null then 'missing_type' when value is null then 'missing_value' when value <= 0 then 'no_magnitude' end as rule from events)"
@@ -33,9 +41,7 @@ RULED = "ru as (select event_id, event_type, case when event_type is null then '
 @query("STR01", f"with {RULED} select * from ru")
 def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = a.paths(spark, "str01")
-    stream = a.curate_stream(arrived(spark, sf_dir, table(spark, sf_dir, "events"), "arrivals")).select("event_id", "event_type", "rule")
-    a.run_available(stream, "append", out, checkpoint)
-    a.run_available(stream, "append", out, checkpoint)  # a second run finds nothing new
+    run_arrivals(spark, table(spark, sf_dir, "events"), "arrivals", lambda events: a.curate_stream(events).select("event_id", "event_type", "rule"), "append", out, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -70,14 +76,14 @@ def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = a.paths(spark, "str03")
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    a.run_available(a.distinct_keys(arrived(spark, sf_dir, events, "arrivals"), "user_id"), "append", out, checkpoint)
+    run_arrivals(spark, events, "arrivals", lambda came: a.distinct_keys(came, "user_id"), "append", out, checkpoint)
     return spark.read.parquet(out)
 
 
 @query("STR04", f"with {RULED} select coalesce(rule, 'kept') as rule, event_type, count(*) as n from ru group by all")
 def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = a.paths(spark, "str04")
-    a.run_available(a.running_counts(arrived(spark, sf_dir, table(spark, sf_dir, "events"), "arrivals")), "update", out, checkpoint)
+    run_arrivals(spark, table(spark, sf_dir, "events"), "arrivals", a.running_counts, "update", out, checkpoint)
     return a.latest(spark, out, ["rule", "event_type"])
 
 
@@ -87,7 +93,8 @@ def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = a.paths(spark, "str05")
-    a.run_available(a.running_intervals(arrived(spark, sf_dir, observations(spark, sf_dir).select("item", "grp", "rel", "v"), "observations")), "update", out, checkpoint)
+    with a.state_on_disk(spark):
+        run_arrivals(spark, observations(spark, sf_dir).select("item", "grp", "rel", "v"), "observations", a.running_intervals, "update", out, checkpoint)
     return a.latest(spark, out, ["item", "grp"]).select("item", "grp", "n", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -95,5 +102,5 @@ def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = a.paths(spark, "str06")
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    a.run_available(a.period_counts(arrived(spark, sf_dir, events, "arrivals", by="ts")), "update", out, checkpoint)
+    run_arrivals(spark, events, "arrivals", a.period_counts, "update", out, checkpoint, by="ts")
     return a.latest(spark, out, ["period"]).select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")

@@ -6,7 +6,8 @@ restart goes on where the last run stopped and counts nothing twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from ..operators.evidence import tightest, with_roles
 from ..sources.releases import scratch
 
 
+#: Files a batch, for streams that take all that has come at once.
+ALL_FILES = 1_000_000
+
+
 def read_arrivals(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
@@ -31,10 +36,10 @@ def run_available(stream: DataFrame, mode: str, path: str, checkpoint: str, each
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Of rows written in update mode, each key's last."""
+    """Of rows written in update mode, each key's last; a null is a key too."""
     rows = spark.read.option("basePath", path).parquet(path)
-    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [*keys, "batch"]).drop("batch")
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__last")).select(*keys, *[F.col("__last")[c].alias(c) for c in others])
 
 
 def curate_stream(events: DataFrame) -> DataFrame:
@@ -175,13 +180,20 @@ def release_states(events: DataFrame, patience: str = "1 day", delay: str = "0 s
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_release_machine(spark: SparkSession, arrived: str, out: str, checkpoint: str, patience: str = "1 day") -> DataFrame:
-    """Answer everything that has arrived in ``arrived`` and stop; returns all answers so far. A restart goes on with the state that it left."""
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, so that a state of many keys does not fill the executors' memory."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKS)
     try:
-        run_available(release_states(read_arrivals(spark, arrived, EVENTS), patience), "append", out, checkpoint)
+        yield
     finally:
         spark.conf.set(name, before)
+
+
+def run_release_machine(spark: SparkSession, arrived: str, out: str, checkpoint: str, patience: str = "1 day") -> DataFrame:
+    """Answer everything that has arrived in ``arrived`` and stop; returns all answers so far. A restart goes on with the state that it left."""
+    with state_on_disk(spark):
+        run_available(release_states(read_arrivals(spark, arrived, EVENTS), patience), "append", out, checkpoint)
     return spark.read.schema(_ANSWERS).parquet(out)

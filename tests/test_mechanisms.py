@@ -330,3 +330,27 @@ def test_entries_of_sparse_maps_come_by_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     place = {"a": 0, "b": 1, "c": 2}
     assert got == sorted(((k, n, v, place.get(n)) for k, m in rows for n, v in (m or {}).items()), key=str)
+
+
+# arrivals
+
+
+def test_each_arrival_is_one_batch_however_many_files(spark, tmp_path):
+    """Days of a month, each arrival in several files: no day's rows are late, and a batch is an arrival."""
+    from corroborate.plans.stream_plans import run_arrivals
+    from corroborate.streaming import arrivals
+
+    source = spark.range(900).repartition(5).selectExpr("cast(timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 30 as int), 1) as timestamp) as ts")
+    out, checkpoint = f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint"
+    run_arrivals(spark, source, "month", arrivals.period_counts, "update", out, checkpoint, by="ts")
+    got = {r.period.day: r.n for r in arrivals.latest(spark, out, ["period"]).collect()}
+    assert got == {d: 30 for d in range(1, 31)}
+    assert spark.read.option("basePath", out).parquet(out).where("n > 0").select("batch").distinct().count() == 3
+
+
+def test_the_last_row_of_a_null_key_is_kept(spark, tmp_path):
+    from corroborate.streaming import arrivals
+
+    for k, rows in enumerate(([("a", 1), (None, 2)], [(None, 5)])):
+        spark.createDataFrame(rows, "key string, n long").write.parquet(f"file://{tmp_path}/batch={k}")
+    assert sorted(map(tuple, arrivals.latest(spark, f"file://{tmp_path}", ["key"]).collect()), key=str) == [("a", 1), (None, 5)]

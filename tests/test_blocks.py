@@ -85,3 +85,36 @@ def test_best_overlap_of_blocks_takes_the_least_id(spark, small_blocks):
         for q in (k for k in range(122) if k % 4 < 2):
             pairs = [(len(sets[q] & sets[k]) / len(sets[q] | sets[k]) if sets[q] | sets[k] else 0.0, -k) for k in range(122) if k != q and (not group or k % 3 == q % 3)]
             assert found[q] == (-max(pairs)[1], pytest.approx(max(pairs)[0]))
+
+
+def test_sums_of_labels_are_those_of_all_pairs(spark, monkeypatch):
+    """Every pair of rows with different ids counts, whatever their ids; repeated ids, missing labels and odd vectors included."""
+    monkeypatch.setattr(blocks, "SUM_ROWS", 13)
+    x, _ = odd_rows(spark)
+    del x[10]  # the NaN has a case of its own below
+    rows = [(k % 80 + 1, v, None if k % 11 == 0 else k % 4) for k, v in enumerate(x)]
+    schema = "id long, vector array<double>, label int"
+    more = [[], [(200, [float("nan")] * 4, 9)]]
+    for extra in more:
+        mine, want = rows + extra, {}
+        for k, (i, a, p) in enumerate(mine):
+            for j, b, q in mine[:k]:
+                if i != j:
+                    want.setdefault(None if p is None or q is None else p == q, []).append(plain_score(a, b))
+        found = {r.same: (r.n, r.mean) for r in blocks.same_label_sums(spark.createDataFrame(mine, schema)).collect()}
+        assert set(found) == set(want) == {True, False, None}
+        for same, scores in want.items():
+            known = [s for s in scores if s is not None]
+            assert found[same] == (len(scores), pytest.approx(np.mean(known), abs=1e-8, nan_ok=True))
+    assert blocks.same_label_sums(spark.createDataFrame(rows[:1], schema)).count() == 0
+    assert [(r.n, r.mean) for r in blocks.same_label_sums(spark.createDataFrame([(1, None, 3), (2, None, 3)], schema)).collect()] == [(1, None)]
+    assert blocks.same_label_sums(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_label_contrast_leaves_no_row_out(spark, tmp_path):
+    """EVL10 on rows of which no id is divisible by 100."""
+    from corroborate.plans import registry
+
+    rows = [(k, [1.0, float(k)], k % 2) for k in range(1, 6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.same_cluster: r.n for r in registry.queries()["EVL10"](spark, str(tmp_path)).collect()} == {True: 4, False: 6}

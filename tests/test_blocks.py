@@ -118,3 +118,23 @@ def test_label_contrast_leaves_no_row_out(spark, tmp_path):
     rows = [(k, [1.0, float(k)], k % 2) for k in range(1, 6)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r.same_cluster: r.n for r in registry.queries()["EVL10"](spark, str(tmp_path)).collect()} == {True: 4, False: 6}
+
+
+def test_every_row_has_its_nearest(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "NEAREST_BLOCK", 23)
+    x, rows = odd_rows(spark)
+    found = {r.query_id: (r.id, r.score) for r in blocks.nearest(rows).collect()}
+    assert sorted(found) == list(range(90))
+    for q in range(90):
+        k, s = min(((k, plain_score(x[q], x[k])) for k in range(90) if k != q), key=order)
+        assert found[q][0] == k
+        assert found[q][1] is None if s is None else found[q][1] == pytest.approx(s, abs=2e-9, nan_ok=True)
+
+
+def test_nearest_rows_are_found_for_ids_of_any_kind(spark, tmp_path):
+    """JON12 on rows of which no id is divisible by 100."""
+    from corroborate.plans import registry
+
+    rows = [(k, [1.0, float(k)], 0) for k in (1, 2, 4, 7, 11)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.query_id: r.nearest for r in registry.queries()["JON12"](spark, str(tmp_path)).collect()} == {1: 2, 2: 4, 4: 7, 7: 11, 11: 7}

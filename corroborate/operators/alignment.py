@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from ..similarity.common import salted_join, write_once
+from ..similarity.common import write_once
 
 #: Words of a seed. An alignment of ten columns or more, nine in ten of them equal, has so many equal ones in a row.
 SEED = 5
@@ -27,22 +27,93 @@ def word_codes(text: Column) -> Column:
     return F.transform(F.filter(F.split(folded, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(sequences: DataFrame) -> DataFrame:
-    """(seq, n, place, seed) of every run of ``SEED`` words; a shorter sequence is one seed."""
-    last = F.greatest(F.size("words") - SEED, F.lit(0))
-    return sequences.where(F.size("words") > 0).select("seq", F.size("words").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, SEED)))).alias("place", "seed"))
+#: Words whose seeds are made at once, and seeds of a bucket, about.
+SLICE_WORDS, BUCKET_SEEDS = 1 << 20, 1 << 20
+_DEALT = "bucket int, side string, seeds array<long>, seqs array<long>, sizes array<int>, places array<int>"
+_KNOWN = "side string, seq long, n int, seed long, rows long, place int"
+
+
+def _chained(x: np.ndarray, size: int) -> np.ndarray:
+    """``xxhash64`` of every run of ``size`` numbers, as Spark hashes an array of them."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    x, n = turn(x.view(np.uint64) * two, 31) * one, len(x) - size + 1
+    h = np.full(n, 42, np.uint64)
+    for k in range(size):
+        h = turn((h + five + np.uint64(8)) ^ x[k : k + n], 27) * one + four
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _dealt_seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Seeds of (side, seq, words) with their places, a row a bucket and slice of texts; every run of ``SEED`` words is one, a shorter text is one."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(batch.column("words").value_lengths()))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, "right")))
+            part = batch.slice(at, upto - at)
+            at = upto
+            lists = part.column("words")
+            sizes, flat = np.asarray(lists.value_lengths()).astype(np.int32), np.asarray(lists.flatten())
+            starts = np.cumsum(sizes) - sizes
+            n_seeds = np.where(sizes > 0, np.maximum(sizes - SEED + 1, 1), 0)
+            owner = np.repeat(np.arange(len(sizes)), n_seeds)
+            places = np.arange(len(owner)) - np.repeat(np.cumsum(n_seeds) - n_seeds, n_seeds)
+            from_, short = starts[owner] + places, sizes[owner]
+            seeds = np.zeros(len(owner), np.uint64)
+            for size in range(1, SEED + 1):
+                mine = np.flatnonzero(np.minimum(short, SEED) == size)
+                if len(mine):
+                    seeds[mine] = _chained(flat, size)[from_[mine]]
+            bucket = (seeds % np.uint64(buckets)).astype(np.int32)
+            side = (np.asarray(part.column("side").to_numpy(zero_copy_only=False)) == "target")[owner]
+            key = bucket * 2 + side
+            order = np.argsort(key, kind="stable")
+            held, first = np.unique(key[order], return_index=True)
+            cuts = pa.array(np.append(first, len(order)).astype(np.int32))
+            made = lambda v: pa.ListArray.from_arrays(cuts, pa.array(v[order]))
+            seqs = np.asarray(part.column("seq"))[owner]
+            sides = pa.array(["target" if k % 2 else "query" for k in held.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(held // 2, pa.int32()), sides, made(seeds.view(np.int64)), made(seqs), made(short), made(places.astype(np.int32))], names=[c.split()[0] for c in _DEALT.split(", ")])
+
+
+def _known_seeds(dealt: pa.Table) -> pa.Table:
+    """The seeds of a bucket that both sides have, with how often they stand in all texts."""
+    lists = {c: dealt.column(c).combine_chunks() for c in ("seeds", "seqs", "sizes", "places")}
+    side = np.repeat(np.asarray(dealt.column("side").to_numpy()) == "target", np.asarray(lists["seeds"].value_lengths()))
+    seeds, seqs, sizes, places = (np.asarray(v.flatten()) for v in lists.values())
+    order = np.argsort(seeds, kind="stable")
+    seeds, side = seeds[order], side[order]
+    first = np.flatnonzero(np.concatenate(([True], seeds[1:] != seeds[:-1])))
+    n, targets = np.diff(np.append(first, len(seeds))), np.add.reduceat(side.astype(np.int64), first)
+    kept = np.repeat((targets > 0) & (targets < n), n)
+    chosen = order[kept]
+    columns = [pa.DictionaryArray.from_arrays(pa.array(side[kept].astype(np.int32)), pa.array(["query", "target"])).cast(pa.string()), seqs[chosen], sizes[chosen], seeds[kept], np.repeat(n, n)[kept], places[chosen]]
+    return pa.Table.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], names=[c.split()[0] for c in _KNOWN.split(", ")])
 
 
 def seed_ranks(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """(side, seq, n, seed, r, shared) of the seeds that both sides have, each sequence's numbered from the rarest; sides of (seq, words)."""
-    sides = {"query": _seeds(queries), "target": _seeds(targets)}
-    each = write_once(sides["query"].withColumn("side", F.lit("query")).unionByName(sides["target"].withColumn("side", F.lit("target"))), "align-seeds")
-    counts = each.groupBy("seed").agg(F.count("*").alias("rows"), F.max("side").alias("hi"), F.min("side").alias("lo"))
-    both = write_once(counts.where("hi <> lo").select("seed", "rows"), "align-shared")
-    known = salted_join(each, both, "seed", "place", counts=both)
-    # seeds of one side alone are the rarest in effect: they take places of the prefix without ever being joined
-    own = known.groupBy("side", "seq", "n").agg(F.count("*").alias("shared"))
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("side", "seq").orderBy("rows", "seed", "place"))).join(own, ["side", "seq", "n"])
+    """(side, seq, n, seed, r, shared) of the seeds that both sides have, each sequence's numbered from the rarest; sides of (seq, words).
+
+    Seeds travel once, in lists by bucket, and those of one side alone end there: they are the rarest in effect, and take places of the
+    prefix without ever being joined.
+    """
+    ship_package(queries.sparkSession)
+    both = queries.select(F.lit("query").alias("side"), "seq", "words").unionByName(targets.select(F.lit("target").alias("side"), "seq", "words"))
+    buckets = max(1, -(-(both.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET_SEEDS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _dealt_seeds(batches, buckets)
+
+    def known(dealt: pa.Table) -> pa.Table:
+        return _known_seeds(dealt)
+
+    found = both.where(F.size("words") > 0).mapInArrow(deal, _DEALT).groupBy("bucket").applyInArrow(known, _KNOWN)
+    mine = Window.partitionBy("side", "seq")
+    ranked = found.withColumn("r", F.row_number().over(mine.orderBy("rows", "seed", "place"))).withColumn("shared", F.count("*").over(mine))
     return write_once(ranked.select("side", "seq", "n", "seed", "r", "shared"), "align-ranked")
 
 
@@ -67,27 +138,63 @@ def candidates(queries: DataFrame, targets: DataFrame, cover: float) -> DataFram
     return pairs_within(seed_ranks(queries, targets), cover).select("query", "target").distinct()
 
 
-def band(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
-    """The diagonals (place in ``b`` less place in ``a``) of the best chain of shared seeds, with a margin; none without a seed."""
+def _runs(x: np.ndarray, size: int) -> np.ndarray:
+    """A number of every run of ``size`` words."""
+    n = len(x) - size + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out += x[k : k + n].astype(np.uint64) * _POWERS[k]
+    return out
+
+
+_POWERS = np.uint64(0x9E3779B97F4A7C15) ** np.arange(SEED, dtype=np.uint64)
+
+
+def _indexed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The seeds of a text, their places in order of the seeds, and the seeds in that order; none of a text shorter than a seed."""
+    if len(x) < SEED:
+        return None
+    key = _runs(x, SEED)
+    order = np.argsort(key, kind="stable")
+    return key, order, key[order]
+
+
+def _shared(a: np.ndarray, b: np.ndarray, of_a=None, of_b=None) -> tuple[int, int, int] | None:
+    """``band``, and a score that an alignment within it reaches at least: that of the longest run of equal words."""
     size = min(SEED, len(a), len(b))
     if not size:
         return None
-    runs = lambda x: np.lib.stride_tricks.sliding_window_view(x, size)
-    key = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ** np.arange(size, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    ka, kb = key(runs(a)), key(runs(b))
-    order = np.argsort(kb, kind="stable")
-    left, right = np.searchsorted(kb[order], ka), np.searchsorted(kb[order], ka, "right")
+    if size == SEED:
+        ka, (_, order, ordered) = (of_a or _indexed(a))[0], of_b or _indexed(b)
+    else:
+        ka, kb = _runs(a, size), _runs(b, size)
+        order = np.argsort(kb, kind="stable")
+        ordered = kb[order]
+    left, right = ordered.searchsorted(ka), ordered.searchsorted(ka, "right")
     n = right - left
-    pa_ = np.repeat(np.arange(len(ka)), n)
-    pb = order[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    if not len(pa_):
+    met = np.flatnonzero(n)
+    if not len(met):
         return None
-    diagonals, weight = np.unique(pb - pa_, return_counts=True)
+    n, left = n[met], left[met]
+    pa_ = np.repeat(met, n)
+    pb = order[np.repeat(left, n) + np.arange(len(pa_)) - np.repeat(np.cumsum(n) - n, n)]
+    apart = pb - pa_
+    by = np.lexsort((pa_, apart))
+    apart, pa_ = apart[by], pa_[by]
+    steps = np.diff(apart)
     # neighbouring diagonals chain: the heaviest group whose steps are within the margin
-    group = np.concatenate(([0], np.cumsum(np.diff(diagonals) > MARGIN)))
-    total = np.bincount(group, weight)
-    mine = diagonals[group == int(np.argmax(total))]
-    return int(mine[0]) - MARGIN, int(mine[-1]) + MARGIN
+    cuts = np.concatenate(([0], np.flatnonzero(steps > MARGIN) + 1, [len(apart)]))
+    heaviest = int(np.argmax(np.diff(cuts)))
+    start, end = int(cuts[heaviest]), int(cuts[heaviest + 1])
+    breaks = np.flatnonzero((steps[start : end - 1] != 0) | (np.diff(pa_[start:end]) != 1))
+    longest = int(np.diff(np.concatenate(([-1], breaks, [end - start - 1]))).max())
+    return int(apart[start]) - MARGIN, int(apart[end - 1]) + MARGIN, MATCH * (longest + size - 1)
+
+
+def band(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """The diagonals (place in ``b`` less place in ``a``) of the best chain of shared seeds, with a margin; none without a seed."""
+    found = _shared(a, b)
+    return None if found is None else found[:2]
 
 
 def align(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
@@ -144,13 +251,44 @@ CELLS, PAIRS = 1 << 14, 256
 BITS = 21
 
 
+#: Equal words of a row and its band are looked for in so many cells at once.
+LOOKED = 1 << 20
+
+
+def _stretches(a: np.ndarray, b: np.ndarray, low: int, high: int, least: int = 1) -> list[tuple[int, int, int]]:
+    """(first, end, equal) of the rows of ``a`` between which a score of ``least`` can arise, and of those that have an equal word in the band.
+
+    A row's greatest score is at most that of the row above and a match, if the band holds its word there, else that less a mismatch. Where
+    this falls to nothing every cell is 0, so what lies between two such rows is aligned by itself with the same result.
+    """
+    first, end, width = max(0, -high), min(len(a), len(b) - low), high - low + 1
+    if end <= first:
+        return []
+    start = first + low
+    left, right = max(0, -start), max(0, end - 1 + high + 1 - len(b))
+    part = b[max(0, start) : end + high]
+    if left or right:
+        part = np.concatenate((np.zeros(left, b.dtype), part, np.zeros(right, b.dtype)))
+    view, step = np.lib.stride_tricks.sliding_window_view(part, width), max(1, LOOKED // width)
+    equal = np.concatenate([(view[k : k + step] == a[first + k : min(first + k + step, end), None]).any(axis=1) for k in range(0, end - first, step)])
+    total = np.cumsum(np.where(equal, MATCH, max(MISMATCH, GAP)))
+    over = total - np.minimum(0, np.minimum.accumulate(total))
+    alive = np.concatenate(([False], over > 0, [False]))
+    edges = np.flatnonzero(alive[1:] != alive[:-1]).reshape(-1, 2)
+    if not len(edges):
+        return []
+    edges = edges[np.maximum.reduceat(over, edges[:, 0]) >= least]
+    before, places = np.concatenate(([0], np.cumsum(equal))), np.flatnonzero(equal)
+    # no alignment ends in a row without an equal word
+    return [(first + f, first + int(places[before[e] - 1]) + 1, int(before[e] - before[f])) for f, e in edges.tolist()]
+
+
 def _batches_of(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
-    """The pairs of (rows, width) in batches of nearly the same widths and rows."""
+    """The parts of (rows, width) in batches of nearly the same widths, each from the most rows down."""
     kind = [int(np.log(w) / np.log(1.2)) for _, w in sizes]
     now: list[int] = []
-    for k in sorted(range(len(sizes)), key=lambda k: (kind[k], sizes[k])):
-        rows, width = sizes[k]
-        if now and (kind[now[0]] != kind[k] or rows > 1.25 * sizes[now[0]][0] + 16 or len(now) >= max(1, min(PAIRS, CELLS // width))):
+    for k in sorted(range(len(sizes)), key=lambda k: (kind[k], -sizes[k][0])):
+        if now and (kind[now[0]] != kind[k] or len(now) >= max(1, min(PAIRS, CELLS // sizes[k][1])) or (len(now) + 1) * (sizes[now[0]][0] + sizes[k][1]) > LOOKED * 4):
             yield now
             now = []
         now.append(k)
@@ -158,48 +296,49 @@ def _batches_of(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield now
 
 
-def align_many(pairs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """What ``align`` gives of each (a, b, low, high), of many pairs at once.
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray, int, int]], stretches: list[list[tuple[int, int, int]]] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """What ``align`` gives of each (a, b, low, high), of many pairs at once, each by its ``_stretches``.
 
-    A column of the arrays is a pair, a row is a diagonal. A cell carries its score and, in one number, the equal columns and the place and
+    A column of the arrays is a stretch, a row is a diagonal. A cell carries its score and, in one number, the equal columns and the place and
     diagonal where its path began; the columns follow, since the score is five times the equal columns less three times all.
     """
     out: list[tuple[int, int, int, int, int]] = [(0, 0, 0, 0, 0)] * len(pairs)
-    sizes, short = [], []
+    sizes, parts = [], []
     for k, (a, b, low, high) in enumerate(pairs):
-        first, end = max(0, -high), min(len(a), len(b) - low)
-        if end <= first:
-            continue
         if max(len(a), len(b), high - low + 1) >= 1 << BITS:
             out[k] = align(a, b, low, high)
             continue
-        short.append((k, first))
-        sizes.append((end - first, high - low + 1))
+        for first, end, _ in _stretches(a, b, low, high) if stretches is None else stretches[k]:
+            parts.append((k, first, end))
+            sizes.append((end - first, high - low + 1))
+    found: list[tuple[int, int, int, int, int]] = [(0, 0, 0, 0, 0)] * len(parts)
     for batch in _batches_of(sizes):
-        members = [short[x] for x in batch]
-        for (k, _), found in zip(members, _align_batch([(*pairs[k], first) for k, first in members])):
-            out[k] = found
+        for x, one in zip(batch, _align_batch([(*pairs[parts[x][0]], *parts[x][1:]) for x in batch])):
+            found[x] = one
+    for (k, _, _), one in zip(parts, found):  # of equal scores the first end in a
+        if one[0] > out[k][0]:
+            out[k] = one
     return out
 
 
-def _align_batch(members: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+def _align_batch(members: list[tuple[np.ndarray, np.ndarray, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The best alignments of stretches (a, b, low, high, first, end), given from the most rows down: those that end leave the arrays."""
     n = len(members)
-    rows = max(min(len(a), len(b) - low) - first for a, b, low, _, first in members)
-    width = max(high - low + 1 for _, _, low, high, _ in members)
-    # row r of a pair meets the words of b that stand in rows r to r + width of its column
+    lengths = [end - first for *_, first, end in members]
+    rows = lengths[0]
+    width = max(high - low + 1 for _, _, low, high, *_ in members)
+    # row r of a stretch meets the words of b that stand in rows r to r + width of its column
     one, two, inside = np.zeros((rows, n), np.int64), np.zeros((rows + width, n), np.int64), np.zeros((rows + width, n), bool)
-    for p, (a, b, low, high, first) in enumerate(members):
-        mine = a[first : first + rows]
-        one[: len(mine), p] = mine
+    for p, (a, b, low, high, first, end) in enumerate(members):
+        one[: end - first, p] = a[first:end]
         start = first + low
         left = max(0, -start)
-        part = b[max(0, start) : start + rows + width]
+        part = b[max(0, start) : end + low + width]
         two[left : left + len(part), p] = part
         inside[left : left + len(part), p] = True
-    spare = np.array([width - (high - low + 1) for _, _, low, high, _ in members])
+    spare = np.array([width - (high - low + 1) for _, _, low, high, *_ in members])
     narrow = (np.arange(width)[:, None] < width - spare[None, :]) if spare.any() else None
-    ends = np.array([min(len(a), len(b) - low) - first for a, b, low, _, first in members])
-    firsts = np.array([first for *_, first in members], np.int64)
+    firsts = np.array([first for *_, first, _ in members], np.int64)
     shift = int(width).bit_length()
     kind = np.int32 if (MATCH * rows - GAP * width + 1) << shift < 2**31 else np.int64
     places = np.arange(width, dtype=kind)[:, None]
@@ -210,14 +349,20 @@ def _align_batch(members: list[tuple[np.ndarray, np.ndarray, int, int, int]]) ->
     score, carried = np.zeros((width, n), kind), begin.copy()
     best, held, at, on = np.zeros(n, kind), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     up, lower = np.full((width, n), GAP, kind), np.zeros((width, n), np.int64)
+    m = n
     for r in range(rows):
-        live = inside[r : r + width] if narrow is None else inside[r : r + width] & narrow
-        same = (two[r : r + width] == one[r]) & live
+        if lengths[m - 1] <= r:
+            while lengths[m - 1] <= r:
+                m -= 1
+            score, carried, up, lower, begin, columns = (x[:, :m] for x in (score, carried, up, lower, begin, columns))
+            narrow = None if narrow is None else narrow[:, :m]
+        live = inside[r : r + width, :m] if narrow is None else inside[r : r + width, :m] & narrow
+        same = (two[r : r + width, :m] == one[r, :m]) & live
         # one row up, the cell of this diagonal is (i - 1, j - 1); the next one is (i - 1, j)
         x = score + np.where(same, kind(MATCH), kind(MISMATCH))
         np.add(score[1:], kind(GAP), out=up[:-1])
         lower[:-1] = carried[1:]
-        carried += same.astype(np.int64) << (2 * BITS)
+        carried = carried + (same.astype(np.int64) << (2 * BITS))
         np.copyto(carried, lower, where=up > x)
         np.maximum(x, up, out=x)
         np.maximum(x, 0, out=x)
@@ -226,18 +371,16 @@ def _align_batch(members: list[tuple[np.ndarray, np.ndarray, int, int, int]]) ->
         top = np.maximum.accumulate((x << shift) + lift, axis=0)
         source = top & kind((1 << shift) - 1)
         score = ((top >> shift) - steps) * live
-        if r >= ends.min():
-            score *= r < ends
         carried = carried[source, columns]
         peak = score.max(axis=0)
-        better = np.flatnonzero(peak > best)
+        better = np.flatnonzero(peak > best[:m])
         if len(better):
             k = np.argmax(score[:, better], axis=0)
             best[better], held[better], at[better], on[better] = peak[better], carried[k, better], r, k
         np.copyto(carried, begin + ((r + 1) << BITS), where=score == 0)
     mask = (1 << BITS) - 1
     found = []
-    for p, (_, _, low, _, first) in enumerate(members):
+    for p, (_, _, low, _, first, _) in enumerate(members):
         if not best[p]:
             found.append((0, 0, 0, 0, 0))
             continue
@@ -248,58 +391,176 @@ def _align_batch(members: list[tuple[np.ndarray, np.ndarray, int, int, int]]) ->
     return found
 
 
-#: Words of one side in a block, and pairs that are aligned at once.
-BLOCK_WORDS, AT_ONCE = 400_000, 4_096
+#: Words of the queries of a block, and its pairs, about; words of the targets that one block meets; pairs that are aligned at once.
+QUERY_WORDS, BLOCK_PAIRS, TARGET_WORDS, AT_ONCE = 20_000, 50_000, 4_000_000, 4_096
+MOST_TASKS = 2_000
 #: The identity that a best hit has at least, less what rounding to six places gives away.
 _LEAST = 0.8999995
 
 
-def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> int:
-    """Words that two texts share, with their repeats; each given as its different words in order and their counts."""
-    at = np.searchsorted(one[0], two[0])
-    at[at == len(one[0])] = 0
-    return int(np.minimum(one[1][at], two[1])[one[0][at] == two[0]].sum())
+#: Places at which a text meets another's seeds, beyond which its band is found only when it is needed: both repeat the same words often.
+OFTEN = 512
+
+
+def _bands(of_a: tuple, keys: list[np.ndarray]) -> dict[int, tuple[int, int, int] | None]:
+    """``_shared`` of one text with many, all of ``SEED`` words or more, given by their seeds; but for those that meet it ``OFTEN``."""
+    (_, order, ordered), sizes = of_a, np.array([len(k) for k in keys])
+    key, text = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
+    left, right = ordered.searchsorted(key), ordered.searchsorted(key, "right")
+    n = right - left
+    few = np.bincount(text, n, len(keys)) <= OFTEN
+    found: dict[int, tuple[int, int, int] | None] = dict.fromkeys(np.flatnonzero(few).tolist())
+    met = np.flatnonzero((n > 0) & few[text])
+    if not len(met):
+        return found
+    n, left, text = n[met], left[met], text[met]
+    pb = np.repeat(met - (np.cumsum(sizes) - sizes)[text], n)
+    pa_ = order[np.repeat(left, n) + np.arange(len(pb)) - np.repeat(np.cumsum(n) - n, n)]
+    rows, spread = len(order), len(order) + int(sizes.max())
+    placed = np.sort((np.repeat(text, n) * spread + (pb - pa_ + rows)) * rows + pa_)  # by text, diagonal and place in one number
+    placed, pa_ = np.divmod(placed, rows)
+    text, apart = np.divmod(placed, spread)
+    apart -= rows
+    other, steps = text[1:] != text[:-1], np.diff(apart)
+    cut = other | (steps > MARGIN)
+    first = np.concatenate(([0], np.flatnonzero(cut) + 1))
+    ends = np.append(first[1:], len(text))
+    runs = np.concatenate(([0], np.flatnonzero(cut | (steps != 0) | (np.diff(pa_) != 1)) + 1))
+    longest = np.maximum.reduceat(np.diff(np.append(runs, len(text))), np.searchsorted(runs, first))
+    heaviest = np.lexsort((first - ends, text[first]))
+    heaviest = heaviest[np.concatenate(([True], np.diff(text[first][heaviest]) != 0))]
+    for k, low, high, run in zip(text[first][heaviest].tolist(), apart[first][heaviest].tolist(), apart[ends - 1][heaviest].tolist(), longest[heaviest].tolist()):
+        found[k] = low - MARGIN, high + MARGIN, MATCH * (run + SEED - 1)
+    return found
+
+
+#: Words that do not match which a part of a text is looked at with; of more, all that match in the text are taken.
+MISSES = 8
+
+
+def _most_covered(n_a: int, known: np.ndarray, texts: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """What an alignment of identity 0.9 and a score of ``least`` covers at most of both, for one text, of ``known`` different words, and each other.
+
+    In the other text it lies in a part of which nine in ten words are known. Its score grows to its end and from its start, so if a
+    word does not match, two or more words beyond it do.
+    """
+    sizes = np.array([len(t) for t in texts])
+    text = np.repeat(np.arange(len(texts)), sizes + 1)
+    words = np.concatenate([np.append(t, 0) for t in texts])
+    at = known.searchsorted(words)
+    at[at == len(known)] = 0
+    equal = known[at] == words
+    stops = np.cumsum(sizes + 1) - 1  # what stands between two texts matches nothing
+    equal[stops] = False
+    n_equal = np.add.reduceat(equal.astype(np.int64), stops - sizes)
+    missing = np.concatenate(([-1], np.flatnonzero(~equal)))
+    run = np.diff(missing) - 1
+    matches, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for m in range(MISSES + 1):
+        if len(missing) < m + 2:
+            break
+        size = missing[m + 1 :] - missing[: -m - 1] - 1
+        good = (size - m >= _LEAST * size) & (size > m)
+        if m:
+            good &= (run[:-m] > 1) & (run[m:] > 1)
+        good = np.flatnonzero(good)
+        size, mine = size[good], text[missing[good] + 1]
+        inside = (mine == text[missing[good + m + 1] - 1]) & (MATCH * (size - m) + MISMATCH * m >= least[mine])
+        size, mine = size[inside], mine[inside]
+        np.maximum.at(matches, mine, size - m)
+        np.maximum.at(longest, mine, size)
+    more = n_equal >= _LEAST * 10 * (MISSES + 1) - 1
+    matches, longest = np.where(more, n_equal, matches), np.where(more, sizes, longest)
+    columns = _columns(matches, least)
+    return np.minimum(1.0, np.minimum(columns / n_a, np.minimum(columns, longest) / sizes))
+
+
+def _columns(matches, least):
+    """The most columns of an alignment with so many equal ones at most, at an identity of 0.9 and a score of ``least``."""
+    return matches + np.maximum(0, np.minimum((MATCH * matches - least) // -GAP, (matches / _LEAST).astype(np.int64) - matches))
 
 
 def _align_block(pairs: pa.Table, texts: pa.Table, best: bool) -> pa.Table:
-    """The hits of a block's pairs. With ``best``, a pair is left out if the words that it shares are too few to cover as much of both,
-    at an identity of 0.9, as a hit of that query which the block has found.
+    """The hits of a block's pairs. With ``best``, a pair is left out if it cannot be a better hit, at an identity of 0.9, than one of that query
+    which the block has found: the words that both share are too few, or those of any stretch, or they can reach as much only and the target comes later.
     """
     words: dict[tuple[str, int], np.ndarray] = {}
-    for side, seq, text in zip(texts.column("side").to_pylist(), texts.column("seq").to_pylist(), (x for c in texts.column("words").chunks for x in c)):
+    named: dict[int, object] = {}
+    for side, seq, name, text in zip(texts.column("side").to_pylist(), texts.column("seq").to_pylist(), texts.column("id").to_pylist(), (x for c in texts.column("words").chunks for x in c)):
         words[side, seq] = text.values.to_numpy()
+        if side == "target":
+            named[seq] = name
+    indexed: dict[tuple[str, int], tuple] = {}
     todo = [(("query", q), ("target", t)) for q, t in zip(pairs.column("query").to_pylist(), pairs.column("target").to_pylist())]
     rows: list[tuple] = []
-    reached: dict[int, float] = {}
+    reached: dict[int, tuple[float, object]] = {}
+    banded: dict[int, tuple[int, int, int] | None] = {}  # of the pairs whose band is known
+
+    def index(key: tuple[str, int]):
+        if key not in indexed:
+            indexed[key] = _indexed(words[key])
+        return indexed[key]
+
+    def loses(k: int, bound: float) -> bool:
+        """Whether no hit of the pair that covers so much at most comes before the best one of its query so far."""
+        (_, query), (_, target) = todo[k]
+        if query not in reached:
+            return bound <= 0
+        most, holder = reached[query]
+        return bound <= 0 or bound < most - 1.1e-6 or (bound <= most and None not in (holder, named[target]) and named[target] > holder)
 
     def work(chosen: list[int]) -> None:
-        ids, met = [], []
+        ids, met, stretches = [], [], []
         for k in chosen:
             a, b = (words[x] for x in todo[k])
-            edges = band(a, b)
-            if edges is not None:
-                ids.append(k)
-                met.append((a, b, *edges))
-        for k, (a, b, *_), (score, matches, columns, span_a, span_b) in zip(ids, met, align_many(met)):
+            edges = banded[k] if k in banded else _shared(a, b, *(index(x) for x in todo[k]))
+            if edges is None:
+                continue
+            parts = _stretches(a, b, *edges)
+            if best:
+                columns = [int(c) for c in _columns(np.array([equal for *_, equal in parts], np.int64), edges[2])]
+                if loses(k, max((min(min(end - first, c) / len(a), c / len(b), 1.0) for (first, end, _), c in zip(parts, columns)), default=0.0)):
+                    continue
+            ids.append(k)
+            met.append((a, b, *edges[:2]))
+            stretches.append(parts)
+        for k, (a, b, *_), (score, matches, columns, span_a, span_b) in zip(ids, met, align_many(met, stretches)):
             (_, query), (_, target) = todo[k]
             rows.append((query, target, score, matches, columns, len(a), len(b), span_a, span_b))
-            if columns and matches >= _LEAST * columns:
-                reached[query] = max(reached.get(query, 0.0), min(span_a / len(a), span_b / len(b)))
-
-    order = list(range(len(todo)))
-    bound = np.full(len(todo), 1.0)
-    if best:
-        counted = {key: np.unique(text, return_counts=True) for key, text in words.items()}
-        bound = np.array([_common(counted[x], counted[y]) / (_LEAST * max(len(words[x]), len(words[y]))) for x, y in todo])
-        order = np.argsort(-bound, kind="stable").tolist()
-        seen: set[int] = set()
-        first = [k for k in order if not (todo[k][0][1] in seen or seen.add(todo[k][0][1]))]
-        for at in range(0, len(first), AT_ONCE):
-            work(first[at : at + AT_ONCE])
-        taken = set(first)
-        order = [k for k in order if k not in taken]
-    for at in range(0, len(order), AT_ONCE):
-        work([k for k in order[at : at + AT_ONCE] if bound[k] >= reached.get(todo[k][0][1], 0.0) - 1e-6])
+            if columns and matches >= 0.9 * columns:
+                mutual = min(span_a / len(a), span_b / len(b))
+                if query not in reached or not loses(k, mutual):
+                    reached[query] = mutual, named[target]
+
+    if not best:
+        for at in range(0, len(todo), AT_ONCE):
+            work(list(range(at, min(at + AT_ONCE, len(todo)))))
+    else:
+        bound = np.ones(len(todo))
+        of: dict[int, list[int]] = {}
+        for k, ((_, query), target) in enumerate(todo):
+            if SEED <= min(len(words["query", query]), len(words[target])) and max(len(words["query", query]), len(words[target])) < 1 << BITS:
+                of.setdefault(query, []).append(k)
+        for query, mine in of.items():
+            a, known = words["query", query], np.unique(words["query", query])
+            step = max(1, LOOKED // 4 * len(mine) // sum(len(words[todo[k][1]]) for k in mine))
+            for part in (mine[at : at + step] for at in range(0, len(mine), step)):
+                banded |= {part[i]: edges for i, edges in _bands(index(("query", query)), [index(todo[k][1])[0] for k in part]).items()}
+                least = np.array([MATCH * SEED if (edges := banded.get(k)) is None else edges[2] for k in part])
+                bound[part] = _most_covered(len(a), known, [words[todo[k][1]] for k in part], least)
+                bound[[k for k in part if k in banded and banded[k] is None]] = 0.0
+        # each query's pairs from the greatest bound and least target on, in rounds of one, two, four and so on
+        left: dict[int, list[int]] = {}
+        for k in sorted(range(len(todo)), key=lambda k: (-bound[k], named[todo[k][1][1]] is not None, named[todo[k][1][1]] or 0)):
+            if bound[k] > 0:
+                left.setdefault(todo[k][0][1], []).append(k)
+        taken = 1
+        while left:
+            chosen = [k for mine in left.values() for k in mine[:taken]]
+            for at in range(0, len(chosen), AT_ONCE):
+                work(chosen[at : at + AT_ONCE])
+            left = {q: rest for q, mine in left.items() if (rest := [k for k in mine[taken:] if not loses(k, bound[k])])}
+            taken = min(2 * taken, AT_ONCE)
     names = [c.split()[0] for c in _HIT.split(", ")]
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 9)], names=names)
 
@@ -319,18 +580,20 @@ def _aligned(pairs: DataFrame, distinct: list[DataFrame], best: bool = False) ->
     """
     spark = pairs.sparkSession
     ship_package(spark)
-    placed = pairs.select("query", "target")
+    placed, n_pairs, blocks = pairs.select("query", "target"), pairs.count(), []
     for side, known in zip(("query", "target"), distinct):
         total = placed.select(F.col(side).alias("seq")).distinct().join(known.select("seq", "n"), "seq").agg(F.sum("n")).first()[0] or 0
-        placed = placed.withColumn(f"{side}_block", F.pmod(F.xxhash64(side), F.lit(-(-total // BLOCK_WORDS) or 1)).cast("int"))
+        blocks.append(max(1, -(-total // QUERY_WORDS), -(-n_pairs // BLOCK_PAIRS)) if side == "query" else max(1, -(-total // TARGET_WORDS)))
+        placed = placed.withColumn(f"{side}_block", F.pmod(F.xxhash64(side), F.lit(blocks[-1])).cast("int"))
     keys = ["query_block", "target_block"]
-    sent = [placed.select(*[F.col(k).alias(f"{k}_met") for k in keys], F.lit(side).alias("side"), F.col(side).alias("seq")).distinct().join(known.select("seq", "words"), "seq") for side, known in zip(("query", "target"), distinct)]
+    sent = [placed.select(*[F.col(k).alias(f"{k}_met") for k in keys], F.lit(side).alias("side"), F.col(side).alias("seq")).distinct().join(known.select("seq", "id", "words"), "seq") for side, known in zip(("query", "target"), distinct)]
     texts = sent[0].unionByName(sent[1])
+    tasks = min(MOST_TASKS, blocks[0] * blocks[1])  # a block is little data and much work: not for the engine to put together
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _align_block(left, right, best)
 
-    met = placed.groupBy(*keys).cogroup(texts.groupBy(*[f"{k}_met" for k in keys])).applyInArrow(run, _HIT)
+    met = placed.repartition(tasks, *keys).groupBy(*keys).cogroup(texts.repartition(tasks, *[f"{k}_met" for k in keys]).groupBy(*[f"{k}_met" for k in keys])).applyInArrow(run, _HIT)
     found = write_once(met, "align-hits").where("columns > 0")
     ratios = [(F.col("matches") / F.col("columns")).alias("identity"), (F.col("span_query") / F.col("n_query")).alias("cov_query"), (F.col("span_target") / F.col("n_target")).alias("cov_target")]
     return found.select("query", "target", "score", *ratios)

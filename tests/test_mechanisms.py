@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,93 @@ def test_texts_with_a_near_copy_do_not_meet_those_of_a_common_passage(spark, mon
     assert sum(met) < 400  # of 1,600 and more that share the passage
 
 
+def block_of(queries, targets):
+    """All pairs of texts of numbers, as a block of pairs and texts; targets are named from the last on."""
+    texts = [("query", k, k, w) for k, w in enumerate(queries)] + [("target", 1000 + k, len(targets) - k, w) for k, w in enumerate(targets)]
+    pairs = pa.table({"query": [q for q in range(len(queries)) for _ in targets], "target": [1000 + t for _ in queries for t in range(len(targets))]})
+    return pairs, pa.table({"side": [t[0] for t in texts], "seq": [t[1] for t in texts], "id": [t[2] for t in texts], "words": pa.array([t[3] for t in texts], pa.list_(pa.int64()))})
+
+
+def best_of_block(rows, n_targets):
+    out = {}
+    for r in rows.to_pylist():
+        if r["columns"] and round(r["matches"] / r["columns"], 6) >= 0.9:
+            key = (-round(min(r["span_query"] / r["n_query"], r["span_target"] / r["n_target"]), 6), n_targets - (r["target"] - 1000), -round(r["matches"] / r["columns"], 6))
+            out[r["query"]] = min(out.get(r["query"], key), key)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_left_out_of_a_block_hold_no_best_hit(seed):
+    """Common words, repeated lines, near copies, fragments and shared passages: the best hits are those of all alignments."""
+    rng = random.Random(seed)
+    common = [rng.randrange(1 << 40) for _ in range((3, 8, 30)[seed % 3])]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else rng.randrange(1 << 40)
+    fresh = lambda n: [word() for _ in range(n)]
+    passages, line = [fresh(k) for k in (6, 9, 13, 30)], fresh(7)
+    base = [fresh(rng.randint(3, 120)) for _ in range(6)]
+
+    def made():
+        kind, b = rng.randrange(6), list(rng.choice(base))
+        if kind == 0:
+            return fresh(rng.randint(1, 60)) + rng.choice(passages) + fresh(rng.randint(0, 60))
+        if kind == 1:
+            return fresh(rng.randint(0, 20)) + line * rng.randint(2, 40) + fresh(rng.randint(0, 20))
+        if kind == 2:
+            return b[rng.randint(0, len(b) // 2) :]
+        if kind == 3:
+            return b + rng.choice(passages) + b[: len(b) // 2]
+        return [w if rng.random() > 0.06 else word() for w in b if rng.random() > 0.02] or b
+
+    queries, targets = [made() for _ in range(25)], [made() for _ in range(60)]
+    pairs, texts = block_of(queries, targets)
+    whole, few = (alignment._align_block(pairs, texts, best) for best in (False, True))
+    assert best_of_block(few, len(targets)) == best_of_block(whole, len(targets)) != {}
+    assert few.num_rows < 0.7 * whole.num_rows
+
+
+def test_texts_of_one_passage_are_not_all_aligned():
+    """Each query shares a passage with 200 targets that are shorter: all cover as much, so the least id wins and one alignment shows it."""
+    rng = random.Random(3)
+    fresh = lambda n: [rng.randrange(1 << 40) for _ in range(n)]
+    passage = fresh(13)
+    queries, targets = [fresh(70) + passage + fresh(30) for _ in range(10)], [fresh(rng.randint(0, 50)) + passage + fresh(rng.randint(0, 50)) for _ in range(200)]
+    pairs, texts = block_of(queries, targets)
+    found = alignment._align_block(pairs, texts, True)
+    assert best_of_block(found, 200) == {q: (-round(13 / 113, 6), 1, -1.0) for q in range(10)}
+    assert found.num_rows <= 20  # of 2,000 pairs
+
+
+def test_bands_of_one_text_with_many_are_those_of_each_pair():
+    rng = random.Random(8)
+    for kinds in (3, 40, 1 << 40):
+        texts = [np.array([rng.randrange(kinds) for _ in range(rng.randint(5, 40))], np.int64) for _ in range(30)]
+        texts += [np.array([*texts[0][:20], *texts[1][5:], *texts[0][3:]]), texts[0]]
+        found = alignment._bands(alignment._indexed(texts[0]), [alignment._indexed(t)[0] for t in texts])
+        assert len(found) >= 2 and all(edges == alignment._shared(texts[0], texts[k]) for k, edges in found.items())
+
+
+def test_seeds_are_numbered_from_the_rarest_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BUCKET_SEEDS", 50)
+    rng = random.Random(9)
+    line = [rng.randrange(-(1 << 40), 1 << 40) for _ in range(9)]
+    texts = {s: [(k, [rng.randrange(6) for _ in range(rng.randint(0, 12))] + line * (k % 3)) for k in range(20)] for s in ("query", "target")}
+    frames = [spark.createDataFrame(texts[s], "seq long, words array<long>") for s in ("query", "target")]
+    runs = [(s, q, len(w), place, w[place : place + 5]) for s in texts for q, w in texts[s] for place in range(max(len(w) - 4, 1)) if w]
+    seeds = [r.h for r in spark.createDataFrame([(k, r[4]) for k, r in enumerate(runs)], "k long, w array<long>").selectExpr("k", "xxhash64(w) h").orderBy("k").collect()]
+    rows, sides = {}, {}
+    for (s, *_), h in zip(runs, seeds):
+        rows[h] = rows.get(h, 0) + 1
+        sides.setdefault(h, set()).add(s)
+    want, mine = [], {}
+    for (s, q, n, place, _), h in zip(runs, seeds):
+        if len(sides[h]) == 2:
+            mine.setdefault((s, q, n), []).append((rows[h], h, place))
+    for (s, q, n), found in mine.items():
+        want += [(s, q, n, h, r, len(found)) for r, (_, h, _) in enumerate(sorted(found), 1)]
+    assert sorted(map(tuple, alignment.seed_ranks(*frames).collect())) == sorted(want)
+
+
 # nearest rows through cells
 
 

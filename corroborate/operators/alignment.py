@@ -551,7 +551,7 @@ def _align_block(pairs: pa.Table, texts: pa.Table, best: bool) -> pa.Table:
                 bound[[k for k in part if k in banded and banded[k] is None]] = 0.0
         # each query's pairs from the greatest bound and least target on, in rounds of one, two, four and so on
         left: dict[int, list[int]] = {}
-        for k in sorted(range(len(todo)), key=lambda k: (-bound[k], named[todo[k][1][1]] is not None, named[todo[k][1][1]] or 0)):
+        for k in sorted(range(len(todo)), key=lambda k: (-bound[k], (name := named[todo[k][1][1]]) is not None, 0 if name is None else name)):
             if bound[k] > 0:
                 left.setdefault(todo[k][0][1], []).append(k)
         taken = 1
@@ -567,8 +567,9 @@ def _align_block(pairs: pa.Table, texts: pa.Table, best: bool) -> pa.Table:
 
 def _sequences(queries: DataFrame, targets: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Each side's (id, seq), and its different sequences (seq, id, n, words) with their least id."""
-    sides = [s.select("id", word_codes(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("seq", F.xxhash64("words")) for s in (queries, targets)]
-    named = [write_once(s, "align-sequences") for s in sides]
+    # texts without a word are left out when this is read: a filter before it would make the words twice
+    sides = [s.select("id", word_codes(F.col("text")).alias("words")).withColumn("seq", F.xxhash64("words")).withColumn("n", F.size("words")) for s in (queries, targets)]
+    named = [write_once(s, "align-sequences").where("n > 0") for s in sides]
     distinct = [s.groupBy("seq").agg(F.min("id").alias("id"), F.first("words").alias("words")).withColumn("n", F.size("words")) for s in named]
     return [s.select("id", "seq") for s in named], [write_once(s, "align-distinct") for s in distinct]
 

@@ -442,3 +442,17 @@ def test_the_last_row_of_a_null_key_is_kept(spark, tmp_path):
     for k, rows in enumerate(([("a", 1), (None, 2)], [(None, 5)])):
         spark.createDataFrame(rows, "key string, n long").write.parquet(f"file://{tmp_path}/batch={k}")
     assert sorted(map(tuple, arrivals.latest(spark, f"file://{tmp_path}", ["key"]).collect()), key=str) == [("a", 1), (None, 5)]
+
+
+def test_near_homologs_of_texts_that_share_a_passage_only(spark, tmp_path):
+    """SPL15: of the texts that share a passage the least id is the hit and lies outside the stratum; a near copy lies within."""
+    from corroborate.plans import registry
+
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage, copied = fresh(13), fresh(40)
+    rows = [(k, fresh(90) + passage) for k in (5, 10)] + [(15, copied + fresh(2)), (20, fresh(30)), (25, [])]
+    rows += [(k, fresh(20) + passage) for k in range(101, 150) if k % 5] + [(151, copied)]
+    spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.id: (r.target, r.near_homolog) for r in registry.queries()["SPL15"](spark, str(tmp_path)).collect()}
+    assert found == {5: (101, False), 10: (101, False), 15: (151, True), 20: (None, False), 25: (None, False)}
